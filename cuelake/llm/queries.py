@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import exact_dedup, language_id, license_scan, packing, secret_scan, token_counts, webp
+from cuelake.llm import exact_dedup, language_id, license_scan, near_dedup, packing, secret_scan, token_counts, webp
 from cuelake.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir), k=3, percent=85)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
@@ -69,4 +73,13 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY t ORDER BY points DESC, doc_id)
 """,
         "op4_license_scan": _license_sql(),
+        "op6_minhash_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+g AS (SELECT doc_id, unnest(s) AS g FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+reach(id, to_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT id, b FROM reach JOIN link ON a = to_id)
+SELECT s.doc_id, len(any_value(s.s))::BIGINT AS n_shingles, min(to_id) AS component_id, s.doc_id = min(to_id) AS kept FROM s JOIN reach ON id = s.doc_id GROUP BY s.doc_id
+""",
     }
