@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import exact_dedup, language_id, license_scan, near_dedup, packing, repeats, secret_scan, token_counts, webp
+from cuelake.llm import exact_dedup, language_id, license_scan, near_dedup, packing, repeats, secret_scan, segmentation, token_counts, webp
 from cuelake.llm.common import documents
 
 
@@ -34,6 +34,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir), k=3, percent=85)
 
 
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = segmentation.sampled_segmentations(documents(spark, sf_dir))
+    return segmentation.decoded(samples).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
