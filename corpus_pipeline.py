@@ -1,15 +1,63 @@
-"""A training-corpus pipeline: language, exact and near duplicates, secrets, packing."""
+"""A training-corpus pipeline: language, exact duplicates, near duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage's
+output is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelake.llm import exact_dedup, language_id, near_dedup, packing, secret_scan
+from cuelake.llm.common import shared_folder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A prediction less certain than this is no language the corpus can use.
+LEAST_CERTAINTY = 0.5
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told with certainty; those without letters, or between languages, go."""
+    found = language_id.language_id(docs, carry=COLUMNS)
+    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY)).select(*COLUMNS)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that is equal but for white space."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each component of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    kept = near_dedup.near_dedup(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document; each secret in its text gives way to a mark, and n_chars follows."""
+    clean = secret_scan.redacted(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in full sequences."""
+    return packing.packed(docs)
+
 
-STAGES: list = []
+STAGES = [("language_id", identified), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("secret_scan", without_secrets), ("packing", packed)]
+#: Neither the classifier nor the tokenizer can be put into SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/cuelake/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return docs
