@@ -1,7 +1,5 @@
 """SQL by name of query."""
 
-from __future__ import annotations
+from cuelake.plans.registry import oracle_sql
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql"]

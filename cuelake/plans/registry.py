@@ -1,7 +1,37 @@
-"""Queries by name."""
+"""Queries by name, each with the SQL that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+MODULES = ("cues",)
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    for module in MODULES:
+        import_module(f"cuelake.plans.{module}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    load()
+    return dict(_SQL)
