@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
+from cuelake.llm.shingles import LOWER
+
 #: Words whose tokens a Python worker keeps; then it starts anew. Only speed depends on it.
-MOST_WORDS = 400_000
+MOST_WORDS = 700_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,7 +29,9 @@ class WordIds:
     """Ids of texts under a tokenizer that drops white space, so a text's ids are those of its words one after another.
 
     Words end at ASCII white space, which no token of such a tokenizer crosses. Each word is encoded by the tokenizer once;
-    its ids stay in one buffer, from which a batch of texts is gathered by numpy.
+    its ids stay in one buffer, from which a batch of texts is gathered by numpy. As the tokenizer lowers letters, A-Z are
+    lowered first (but in a text that might name a special token), and as it parts letters from what follows them, a word
+    with a full stop or comma after a letter is that without it and the sign's own id.
     """
 
     def __init__(self, path: str):
@@ -34,40 +39,59 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.lowers = self.tokenizer.encode("ABCXYZ", add_special_tokens=False).ids == self.tokenizer.encode("abcxyz", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.of: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
-
-    def learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [np.asarray(e.ids, np.uint32) for e in got]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        first, more = len(self.of), int(sizes.sum())
-        while self.used + more > len(self.ids):
+        self.add([b".", b","], *self.encoded([b".", b","]))
+        # Signs may be told apart from the letters before them only where they are one token there as well.
+        a, dot, comma = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", ".", ","))
+        whole = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a.", "a,")]
+        self.parts = len(dot) == len(comma) == 1 and whole == [a + dot, a + comma]
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.of)
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while first + len(words) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.ids[self.used : self.used + more] = np.concatenate(ids)
+        self.ids[self.used : self.used + len(ids)] = ids
         self.starts[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[first : first + len(words)] = sizes
-        self.used += more
+        self.used += len(ids)
         self.of.update(zip(words, range(first, first + len(words))))
 
+    def gathered(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and where each word's end."""
+        sizes = self.sizes[words]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[words] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+    def learn(self, words: set[bytes]) -> None:
+        signed = [w for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalpha()] if self.parts else []
+        plain = sorted((words.difference(signed) | {w[:-1] for w in signed}).difference(self.of))
+        if plain:
+            self.add(plain, *self.encoded(plain))
+        if signed:
+            ids, ends = self.gathered(np.fromiter((self.of[w[:-1]] for w in signed), np.int64, len(signed)))
+            signs = self.ids[self.starts[np.fromiter((self.of[w[-1:]] for w in signed), np.int64, len(signed))]]
+            self.add(signed, np.insert(ids, ends, signs), np.diff(ends, prepend=0) + 1)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the n + 1 places where each text's begin and end."""
         if len(self.of) > MOST_WORDS:
             self.clear()
-        split = [t.split() for t in texts]
+        split = [(t.translate(LOWER) if self.lowers and b"<|" not in t else t).split() for t in texts]
         if new := set().union(*split).difference(self.of):
-            self.learn(sorted(new))
-        counts = np.array([len(w) for w in split], np.int64)
-        words = np.fromiter((self.of[w] for ws in split for w in ws), np.int64, int(counts.sum()))
-        sizes = self.sizes[words]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.starts[words] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, bounds
+            self.learn(new)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        ids, ends = self.gathered(np.fromiter(map(self.of.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum())))
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
