@@ -125,15 +125,12 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         sequence = group = 0
         held: list[tuple] = []  # (id, ids, place of the first, doc_tokens, whole)
-        texts: list[tuple] = []
+        fresh: list[tuple] = []
         size, kind = 0, None
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, texts, size, sequence, group
-            ids, bounds = encoder.encode([t for _, t in texts])
-            every = list(held)
-            for (name, _), a, b in zip(texts, bounds[:-1], bounds[1:]):
-                every.append((name, np.append(ids[a:b], np.uint32(END_ID)), 0, int(b - a) + 1))
+            nonlocal held, fresh, size, sequence, group
+            every = held + fresh
             windows, left = pack([len(x[1]) for x in every], last)
             groups = step_groups([s for s, _ in windows])
             rows: list[tuple] = []
@@ -146,7 +143,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 sequence += 1
             group += max(groups, default=-1) + 1
             held = [(every[p.number][0], every[p.number][1][p.start : p.start + p.length].copy(), every[p.number][2] + p.start, every[p.number][3]) for p in left]
-            texts, size = [], 0
+            fresh, size = [], 0
             if rows:
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group"]
                 columns = list(zip(*rows))
@@ -156,11 +153,12 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             kind = batch.schema.field("id").type
             data, offsets = as_bytes(batch.column("text"))
             raw = data.tobytes()
-            texts += [(name, raw[a:b]) for name, a, b in zip(batch.column("id").to_pylist(), offsets[:-1], offsets[1:])]
+            ids, bounds = encoder.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
+            fresh += [(name, np.append(ids[a:b], np.uint32(END_ID)), 0, int(b - a) + 1) for name, a, b in zip(batch.column("id").to_pylist(), bounds[:-1], bounds[1:])]
             size += len(raw)
             if size >= BATCH_BYTES:
                 yield from flush(False)
-        if texts or held:
+        if fresh or held:
             yield from flush(True)
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -57,6 +57,8 @@ class Pieces:
                 if (score := model.get_score(i)) > UNUSED:
                     self.known[piece] = (alpha * score, i)
                     least, self.longest = min(least, alpha * score), max(self.longest, len(piece))
+        # The mark of a space alone has no score to speak of, but stands where no piece begins with it.
+        self.known[SPACE] = (least - 1.0, model.piece_to_id(SPACE))
         for piece in list(self.known):
             for end in range(1, len(piece)):
                 self.known.setdefault(piece[:end], None)
