@@ -149,8 +149,10 @@ class Lattices:
             other = self.first[node[close]] + k
             real = (other < self.first[node[close] + 1]) & (other != close)
             self.rest[close[real]] += self.p[other[real]]
-        share = np.cumsum(self.p)
-        share -= np.repeat((share - self.p)[self.first[:-1]], np.diff(self.first))
+        share, many = self.p.copy(), np.diff(self.first)
+        for k in range(1, int(many.max())):  # each node's sums apart, so that they don't depend on the batch
+            later = self.first[:-1][many > k] + k
+            share[later] += share[later - 1]
         share[self.first[1:] - 1] = 1.0
         self.key, self.node, self.piece, self.to = node + np.minimum(share, 1.0), node, piece, np.where(is_end[to], -1, to)
 
@@ -206,8 +208,7 @@ class Search:
         doc = self.doc_of_unit[unit]
         lp = self.at.lp[edge]
         first = np.searchsorted(doc, docs)
-        upto = np.cumsum(lp) - lp
-        upto -= np.repeat(upto[first], np.diff(np.append(first, len(doc))))
+        upto = np.concatenate([np.cumsum(x) for x in np.split(lp, first[1:])]) - lp
         other = self.at.rest[edge]
         r = len(self.rounds)
         leaves = np.zeros(len(doc), bool)  # steps before the one where a path left its set belong to the set it left
