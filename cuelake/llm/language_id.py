@@ -19,6 +19,8 @@ BUCKETS = 1 << 14
 #: Most labelled documents that training reads; those with the smallest hash of their id.
 MAX_TRAINING_DOCUMENTS = 4000
 UNDETERMINED = "und"
+#: Bytes of text that are scored at a time; numpy takes about 50 bytes for each of them.
+AT_ONCE = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -67,7 +69,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         n_docs: dict[str, int] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", AT_ONCE):
             texts, names = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for name in set(names):
                 found, _ = ngram_buckets([t for t, x in zip(texts, names) if x == name], buckets)
@@ -122,7 +124,7 @@ def language_id(docs: DataFrame, model: LanguageModel | None = None, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", AT_ONCE):
             texts = pc.fill_null(batch.column("_text"), "").to_pylist()
             letters = np.array([LETTER.search(t) is not None for t in texts]) & (len(model.languages) > 0)
             names, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))

@@ -149,7 +149,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 19):
             kind = batch.schema.field("id").type
             data, offsets = as_bytes(batch.column("text"))
             raw = data.tobytes()
