@@ -73,6 +73,17 @@ class Pieces:
         self.hashes = np.array(sorted(hashes), np.uint64)
         self.id_of = np.array([hashes[int(h)][1] for h in self.hashes], np.int64)
         self.weight_of = np.array([hashes[int(h)][0] for h in self.hashes])
+        # Where the hashes of each leading 20 bits begin: a few steps from there find a hash.
+        buckets = np.searchsorted(self.hashes >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
+        self.bucket, self.steps = buckets[:-1].astype(np.int32), int(np.diff(buckets).max())
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash stands among the known ones, or where another one stands if it is not known."""
+        last = len(self.hashes) - 1
+        at = np.minimum(self.bucket[(h >> np.uint64(44)).astype(np.int64)], last)
+        for _ in range(self.steps - 1):
+            at = np.minimum(at + (self.hashes[at] < h), last)
+        return at
 
     def decode(self, ids: list[int]) -> bytes:
         """The text's bytes; the space that encoding has put first is taken off."""
@@ -105,7 +116,7 @@ class Lattices:
             inside = left[at] >= size
             at, h = at[inside], h[inside]
             h = mixed(h + points[at + size - 1] + np.uint64(1))
-            place = np.minimum(np.searchsorted(vocabulary.hashes, h), len(vocabulary.hashes) - 1)
+            place = vocabulary.place(h)
             known = vocabulary.hashes[place] == h
             is_piece = known & (vocabulary.id_of[place] >= 0)
             node.append(at[is_piece])
@@ -121,7 +132,7 @@ class Lattices:
             at, h = at[known], h[known]
         node, to, piece, weight = map(np.concatenate, (node, to, piece, weight))
         # From a unit's end backwards: all nodes at the same distance together.
-        order = np.lexsort((node, left[node]))
+        order = np.argsort((left[node] * len(points) + node) * (vocabulary.longest + 1) + to - node)
         bounds = np.searchsorted(left[node[order]], np.arange(1, int(left.max()) + 2))
         beta = np.zeros(len(points) + 1)
         is_end = np.zeros(len(points) + 1, bool)
@@ -134,7 +145,7 @@ class Lattices:
             most = np.maximum.reduceat(w, first)
             total = np.add.reduceat(np.exp(w - np.repeat(most, np.diff(np.append(first, len(w))))), first)
             beta[source[first]] = most + np.log(total)
-        order = np.lexsort((to, node))
+        order = np.argsort(node * (vocabulary.longest + 1) + to - node)
         node, to, piece, weight = node[order], to[order], piece[order], weight[order]
         self.first = np.searchsorted(node, np.arange(len(points) + 1))
         self.lp = weight + np.where(is_end[to], 0.0, beta[to]) - beta[node]
@@ -300,12 +311,12 @@ def sampled_segmentations(docs: DataFrame, k: int = 2, id_col: str = "doc_id", t
     the same samples in whatever batch it comes. A text with fewer segmentations than k gives them all.
 
     Null and empty texts have one segmentation without pieces. A character without a piece becomes its UTF-8 bytes. Rows that
-    repeat give repeated rows; extra columns are ignored. Row-wise, without a shuffle; lattices are built for about 2 MB of texts at a time.
+    repeat give repeated rows; extra columns are ignored. Row-wise, without a shuffle; lattices are built for about 256 KB of texts at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model, alpha)
-        for batch in slices(batches, "text", 1 << 21):
+        for batch in slices(batches, "text", 1 << 18):
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             names = batch.column("id")
             units = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -331,9 +342,17 @@ def sampled_segmentations(docs: DataFrame, k: int = 2, id_col: str = "doc_id", t
 
 def plain(ids: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """Ids with each character that has no piece as the ids of its bytes."""
-    if not (ids >= vocabulary.size).any():
+    ascii_ids = np.array(vocabulary.byte_ids[:128])
+    alone = np.flatnonzero(ids >= vocabulary.size)
+    if not len(alone):
         return ids.astype(np.int32)
-    return np.array([i for x in ids.tolist() for i in ([x] if x < vocabulary.size else [vocabulary.byte_ids[b] for b in chr(x - vocabulary.size).encode()])], np.int32)
+    points, ids = ids[alone] - vocabulary.size, ids.copy()
+    ids[alone] = ascii_ids[np.minimum(points, 127)]
+    if (wide := points > 127).any():
+        parts = [[vocabulary.byte_ids[b] for b in chr(x).encode()] for x in points[wide].tolist()]
+        ids[alone[wide]] = [p[0] for p in parts]
+        ids = np.insert(ids, np.repeat(alone[wide] + 1, [len(p) - 1 for p in parts]), list(chain.from_iterable(p[1:] for p in parts)))
+    return ids.astype(np.int32)
 
 
 def decoded(samples: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str | None = None, keep: tuple[str, ...] = ("doc_id", "sample", "log_prob", "inclusion")) -> DataFrame:
