@@ -27,14 +27,19 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that is equal but for white space."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return exact_dedup.first_of_each(docs, COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each component of near duplicates: five-word shingles, a similarity of 0.8 or more."""
-    kept = near_dedup.near_dedup(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the first document of each component of near duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    Rows that repeat id and text are one document; those without an id are linked with nothing.
+    """
+    kept = near_dedup.first_of_each(docs, k=5, percent=80)
+    # Repeated rows collapse before the shuffle.
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    single = near_dedup.keyed(docs).groupBy("key_a", "key_b").agg(F.min(F.struct(*rest, "doc_id", "text")).alias("_row"))
+    return single.join(kept, ["key_a", "key_b"], "left_semi").select(*(F.col(f"_row.{c}") for c in COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

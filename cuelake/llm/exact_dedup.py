@@ -41,3 +41,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return light.join(named, (F.col("_hash") == F.col("_h")) & (F.col("_sha") == F.col("_s"))).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")
     )
+
+
+def first_of_each(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of one row of each group of exact_dedup: of the rows with keep_id and the most code points, the one whose columns are the smallest.
+
+    The decision is taken on rows, not on ids: ids may be null or repeated. Copies collapse before the shuffle.
+    """
+    rest = [c for c in columns if c not in (id_col, text_col)]
+    row = F.struct((-F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("_points"), F.col(id_col).isNull().alias("_null"), *(F.col(c) for c in (id_col, *rest, text_col)))
+    text = normalised(F.col(text_col))
+    first = docs.select(F.unhex(F.md5(text)).alias("_hash"), text.alias("_text"), row.alias("_row")).groupBy("_hash", "_text").agg(F.min("_row").alias("_row"))
+    return first.select(*(F.col(f"_row.{c}") for c in columns))

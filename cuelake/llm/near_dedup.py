@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import shingles
-from cuelake.llm.common import as_bytes, slices, written
+from cuelake.llm.common import as_bytes, row_key, slices, written
 from cuelake.llm.components import connected
 
 #: Members of a block; larger buckets are compared block by block, so that a task holds two blocks at most.
@@ -20,8 +20,14 @@ SHARE = 512
 WORDS = shingles.SKETCH_BITS // 64
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with key_a and key_b, the two halves of row_key."""
+    key = row_key(id_col, text_col)
+    return docs.select("*", key["a"].alias("key_a"), key["b"].alias("key_b"))
+
+
 def signatures(docs: DataFrame, k: int, rows: int, bands: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, seq_a and seq_b (a hash of all words in order), bands (keys) and sketch; the last two are empty without shingles."""
+    """id, key_a and key_b (row_key), n_shingles, seq_a and seq_b (a hash of all words in order), bands (keys) and sketch; the last two are empty without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -38,10 +44,11 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int, id_col: str, text
             lists = lambda values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * values.shape[1])]).astype(np.int32)), pa.array(values.ravel()))
             seq = [shingles.sequence_hash(t) for t in texts]
             columns = [pa.array(counts), pa.array([s[0] for s in seq], pa.int64()), pa.array([s[1] for s in seq], pa.int64()), lists(keys), lists(sketches)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n_shingles", "seq_a", "seq_b", "bands", "sketch"])
+            own = [batch.column(c) for c in ("id", "key_a", "key_b")]
+            yield pa.RecordBatch.from_arrays([*own, *columns], ["id", "key_a", "key_b", "n_shingles", "seq_a", "seq_b", "bands", "sketch"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, n_shingles long, seq_a long, seq_b long, bands array<long>, sketch array<long>")
+    source = keyed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "key_a", "key_b", F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "id long, key_a long, key_b long, n_shingles long, seq_a long, seq_b long, bands array<long>, sketch array<long>")
 
 
 def near(n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column, percent: int, most: int) -> Column:
@@ -165,17 +172,13 @@ def across(members: DataFrame, texts: DataFrame, k: int, percent: int, most: int
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rows: int | None = None, block: int = BLOCK) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
-
-    Words lie between white space, A-Z in lower case. A text's set holds its distinct k-word shingles; one with fewer words
-    has all its words as one shingle. Texts are linked when 100 * intersection >= percent * union; a component is what links
-    reach, named by its smallest id, and the row with this id is kept.
+def classes_linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, rows: int | None, block: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and for each class of texts with the same words (seq_a, seq_b) its component and component_id, the smallest id in it.
 
-    Texts without words, and rows with a null id, are linked with nothing. Rows that repeat an id count as one document for
-    links, and each gets the component of its own text. Ids are whole numbers; extra columns are ignored.
+    by_id: the classes of an id that has several texts are linked too.
 
-    1. Texts with the same words form a class and go on as one document, so exact copies cost nothing.
+    1. Texts with the same words form a class and go on as one document, so exact copies cost nothing. Classes are numbered
+       in the order of their smallest ids; an id may be the smallest one of several classes.
     2. MinHash samples are folded into band keys (a pair at the threshold misses all bands once in 10^7) and an odd sketch.
     3. In each band bucket every member is paired with the first and the last one, which doesn't grow with its square. Pairs
        whose sketches differ too much (a pair at the threshold: once in 10^9) go; the rest is confirmed on full sets.
@@ -187,16 +190,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     most = 2 * shingles.most_differences(percent / 100, rows * bands)
     sig = written(signatures(docs, k, rows, bands, id_col, text_col), "signatures")
     live = sig.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = live.groupBy("seq_a", "seq_b").agg(F.min("id").alias("rep"))
-    reps = live.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "seq_a", "seq_b"])
+    smallest = live.groupBy("seq_a", "seq_b").agg(F.min("id").alias("first_id"))
+    classes = written(smallest.orderBy("first_id", "seq_a", "seq_b").withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = live.join(classes.withColumnRenamed("first_id", "id"), ["id", "seq_a", "seq_b"]).dropDuplicates(["id", "seq_a", "seq_b"])
+    reps = written(reps.select(F.col("rep").alias("id"), "key_a", "key_b", "n_shingles", "bands", "sketch"), "reps")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     sized = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
     # Another key than the one the counts are dealt by: both sides are shuffled anew, and a hot bucket's rows can be split.
     flipped = lambda df: df.withColumn("_k", F.col("bucket").bitwiseXOR(F.lit(1)))
     members = written(flipped(buckets).join(flipped(sized).drop("bucket"), "_k").drop("_k"), "members")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = written(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    sketches = reps.select("id", "n_shingles", "sketch").dropDuplicates(["id"])
+    wanted = reps.select("id", "key_a", "key_b").join(members.select("id").distinct(), "id", "left_semi")
+    texts = keyed(docs, id_col, text_col).select("key_a", "key_b", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = written(texts.join(wanted, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b", "id"]).select("id", "text"), "texts")
+    sketches = reps.select("id", "n_shingles", "sketch")
     pairs = members.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).union(members.filter("id < high AND id > low").select(F.col("high").alias("a"), F.col("id").alias("b"))).distinct()
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(near(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"), percent, most)).select("a", "b")
@@ -206,11 +212,52 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = named.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
     open_ = flipped(named).join(flipped(split).select("_k"), "_k", "left_semi").drop("_k").join(sketches.select("id", "sketch"), "id")
     more = across(open_, texts, k, percent, most, block)
+    if by_id:
+        several = live.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("seq_a", "seq_b"))).filter("min_seq_a < max_seq_a OR min_seq_b < max_seq_b").select("id")
+        of_id = live.join(several, "id", "left_semi").select("id", "seq_a", "seq_b").distinct().join(classes.drop("first_id"), ["seq_a", "seq_b"])
+        more = more.union(of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("a")), "id").filter("a < rep").select("a", F.col("rep").alias("b")))
     joined = more.join(first.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     second = connected(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     every = first.unionByName(second.select("id", F.col("id").alias("component")).join(first, "id", "left_anti"))
-    final = every.join(second.select(F.col("id").alias("component"), F.col("component").alias("_top")), "component", "left").select(F.col("id").alias("rep"), F.coalesce("_top", "component").alias("component_id"))
-    of_class = classes.join(final, "rep", "left").select(F.col("seq_a").alias("_a"), F.col("seq_b").alias("_b"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = sig.join(of_class, (F.col("seq_a") == F.col("_a")) & (F.col("seq_b") == F.col("_b")) & (F.col("n_shingles") > 0) & F.col("id").isNotNull(), "left")
+    final = every.join(second.select(F.col("id").alias("component"), F.col("component").alias("_top")), "component", "left").select(F.col("id").alias("rep"), F.coalesce("_top", "component").alias("component"))
+    final = final.join(classes.select(F.col("rep").alias("component"), F.col("first_id").alias("component_id")), "component")
+    of_class = classes.join(final, "rep", "left").select("seq_a", "seq_b", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return sig.drop("bands", "sketch"), of_class
+
+
+def _with_components(sig: DataFrame, of_class: DataFrame) -> DataFrame:
+    """sig with component and component_id, both null for rows without words or id."""
+    right = of_class.select(F.col("seq_a").alias("_a"), F.col("seq_b").alias("_b"), "component", "component_id")
+    return sig.join(right, (F.col("seq_a") == F.col("_a")) & (F.col("seq_b") == F.col("_b")) & (F.col("n_shingles") > 0) & F.col("id").isNotNull(), "left").drop("_a", "_b")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rows: int | None = None, block: int = BLOCK) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept.
+
+    Words lie between white space, A-Z in lower case. A text's set holds its distinct k-word shingles; one with fewer words
+    has all its words as one shingle. Texts are linked when 100 * intersection >= percent * union; a component is what links
+    reach, named by its smallest id, and the row with this id is kept.
+
+    Texts without words, and rows with a null id, are linked with nothing. Rows that repeat an id count as one document with
+    the links of all its texts, and share its component. Ids are whole numbers; extra columns are ignored.
+    """
+    sig, of_class = classes_linked(docs, id_col, text_col, k, percent, rows, block, by_id=True)
+    wordless = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    mixed = sig.filter("id IS NOT NULL").groupBy("id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")).filter("low = 0 AND high > 0").select("id")
+    of_mixed = _with_components(sig.filter("n_shingles > 0").join(mixed, "id", "left_semi"), of_class).select("id", "component_id").distinct()
+    out = _with_components(sig.filter(~F.coalesce(wordless, F.lit(False))), of_class).select("id", "n_shingles", "component_id")
+    out = out.unionByName(sig.filter(wordless).join(of_mixed, "id", "left").select("id", "n_shingles", "component_id"))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rows: int | None = None, block: int = BLOCK) -> DataFrame:
+    """key_a, key_b (see keyed) of the rows that stay: one of each component.
+
+    Links are near_dedup's, but each row counts with its own text only, whatever rows share its id: the first one of a component
+    is that with the smallest id, then the smallest key. Rows without words or id are linked with nothing and stay. Rows that
+    repeat id and text have one key.
+    """
+    found = _with_components(*classes_linked(docs, id_col, text_col, k, percent, rows, block, by_id=False))
+    firsts = found.filter("id = component_id").groupBy("component").agg(F.min(F.struct("key_a", "key_b")).alias("_k")).select("_k.key_a", "_k.key_b")
+    return firsts.union(found.filter("component IS NULL").select("key_a", "key_b").distinct())

@@ -1,0 +1,96 @@
+"""The pipeline's stages that drop documents, against brute force on rows with null ids, repeated rows and ids with several texts."""
+
+import random
+import re
+
+import corpus_pipeline
+import pytest
+
+from cuelake.llm import near_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"w{i}" for i in range(50)]
+
+
+def near(text, at):
+    words = text.split(" ")
+    words[at] = "other"
+    return " ".join(words)
+
+
+def made():
+    r = random.Random(3)
+    t = [" ".join(r.choice(WORDS) for _ in range(80)) for _ in range(12)]
+    return [
+        (1, t[0]), (2, t[1]), (3, near(t[1], 0)),
+        (None, t[2]),  # no id and no copy
+        (None, t[0] + "\n"), (None, t[3]), (None, t[3]), (9, t[3] + " "),
+        (4, t[4]), (4, t[4]), (4, t[4]),  # repeated rows
+        (5, t[5]), (5, near(t[5], 79)), (5, t[6]),  # an id with several texts, two of them near copies
+        (6, t[0]), (6, t[7]),  # a copy whose id also has a text of its own
+        (7, near(t[1], 79)), (7, t[8]),  # the same with a near copy
+        (8, t[9]), (10, t[10]), (10, near(t[9], 40)), (11, near(t[10], 1)),
+        (12, None), (13, ""), (None, " "), (14, "few words"), (15, "few  words"),
+    ]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+
+
+def shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def order(row):
+    return row[0] is None, row[0] or 0
+
+
+def components(rows, k, percent):
+    """Numbers of the components of rows, each with its own text; rows without words or id are alone."""
+    sets = [shingles(t, k) if i is not None else set() for i, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                group = [group[b] if g == group[a] else g for g in group]
+    return group
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    rows = made()
+    got = corpus_pipeline.without_copies(spark, frame(spark, rows), "").collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i, t))
+    want = [min(g, key=lambda x: x[:3])[3:] for g in groups.values()]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
+    assert all((r.lang, r.source, r.n_chars) == ("en", "s", len(r.text or "")) for r in got)
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = list(dict.fromkeys(made()))
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(spark, frame(spark, made()), "").collect()), key=str)
+    group = dict(zip(rows, components(rows, 5, 80)))
+    assert sorted(group[r] for r in got) == sorted(set(group.values()))
+    smallest = {g: min(order(r) for r in rows if group[r] == g) for g in group.values()}
+    assert all(order(r) == smallest[group[r]] for r in got)
+
+
+@pytest.mark.parametrize("block", [768, 4])
+def test_an_id_has_the_links_of_all_its_texts(spark, block):
+    rows = made() + [(16, ""), (16, near(made()[1][1], 30))]
+    got = near_dedup.near_dedup(frame(spark, rows), k=3, percent=80, block=block).collect()
+    sets = [shingles(t, 3) for _, t in rows]
+    ids = {i for i, _ in rows} - {None}
+    of = {i: i for i in ids}
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows):
+            x, y = sets[a], sets[b]
+            if None not in (i, j) and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                low, high = sorted((of[i], of[j]))
+                of = {n: low if c == high else c for n, c in of.items()}
+    want = [(i, len(s), of.get(i), i is None or of[i] == i) for (i, _), s in zip(rows, sets)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
