@@ -77,9 +77,9 @@ def split_segments(segments: DataFrame, soft: int = 20, hard: int = 36) -> DataF
 
 
 def prompt_echoes(cues: DataFrame, prompts: DataFrame, least: int = 6, percent: int = 80) -> DataFrame:
-    """Ids of cues that repeat a prompt: part of it word for word, or with one block of `percent` of the cue in common. prompts is a short table of templates."""
+    """Ids of cues that repeat a prompt: part of it word for word, or with one block of `percent` of the cue in common. prompts is a table of templates; all of them are tried."""
     key = T.compact(F.col("text_stt"))
-    both = cues.select("id", key.alias("_k")).filter(F.length("_k") >= least).crossJoin(F.broadcast(prompts.select(T.compact(F.col("prompt")).alias("_p")).filter("_p <> ''").limit(100)))
+    both = cues.select("id", key.alias("_k")).filter(F.length("_k") >= least).crossJoin(F.broadcast(prompts.select(T.compact(F.col("prompt")).alias("_p")).filter("_p <> ''").distinct()))
     held = F.contains("_p", "_k")
     return both.filter(held | (alignment.longest_block("_k", "_p") * 100 >= percent * F.length("_k"))).select("id").distinct()
 

@@ -191,3 +191,9 @@ def test_empty_tables(spark):
     captions = spark.createDataFrame([], "job_id long, cap_id long, start_ms long, end_ms long, text string")
     for df in (quality.qc_report(cues), ordered.derolled(captions), intervals.overlap_text(cues, captions), speech.gap_rows(cues, captions), learning.extracted_pairs(cues), quality.line_budget(cues)):
         assert df.count() == 0
+
+
+def test_every_prompt_is_tried(spark):
+    prompts = spark.createDataFrame([(f"list {i:03d} of spoken words",) for i in range(150)], "prompt string")
+    cues = spark.createDataFrame([(i, f"List {i:03d} of spoken") for i in range(150)], "id long, text_stt string")
+    assert sorted(r.id for r in speech.prompt_echoes(cues, prompts, percent=101).collect()) == list(range(150))
