@@ -196,7 +196,7 @@ def aligned_sentences(sentences: DataFrame, words: DataFrame, least_share: float
     """job_id, no, text, start_ms, end_ms: times of a script's sentences (job_id, no, text) from the words heard; a job that doesn't fit, or whose times would run backwards, gives no row."""
 
     def run(script: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"job_id": [], "no": [], "text": [], "start_ms": [], "end_ms": []})
+        none = pd.DataFrame()
         plain = lambda s: re.sub(r"[^가-힣0-9a-zA-Z]", "", s or "")
         script, heard = script.sort_values("no"), heard.sort_values(["start_ms", "end_ms"])
         spoken = [plain(w) for w in heard["word"]]

@@ -208,7 +208,7 @@ def x13_line_wrap(spark, sf_dir):
 
 @query("x14_join_dedup")
 def x14_join_dedup(spark, sf_dir):
-    return ordered.merged_text(X.short_cues(spark, sf_dir))
+    return ordered.merged_text(X.cues(spark, sf_dir))
 
 
 @query("k4_safe_name", r"""SELECT page_id, coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(url, '[\\/:*?"<>|]', '', 'g'), '^\s+|\s+$', '', 'g'), '\.+$', '', 'g'), 1, 80), ''), 'untitled') AS name FROM pages""")

@@ -215,13 +215,13 @@ def x6_agreement(spark, sf_dir):
 
 @query("x7_window_similarity")
 def x7_window_similarity(spark, sf_dir):
-    rows = X.short_cues(spark, sf_dir).select("id", T.echo_key(F.substring("text_caption", 3, 12)).alias("a"), T.echo_key(F.col("text_stt")).alias("b"))
+    rows = X.cues(spark, sf_dir).select("id", T.echo_key(F.substring("text_caption", 3, 12)).alias("a"), T.echo_key(F.col("text_stt")).alias("b"))
     return rows.select("id", F.round(alignment.window_similarity("a", "b"), 6).alias("score"))
 
 
 @query("x23_token_diff")
 def x23_token_diff(spark, sf_dir):
-    return X.short_cues(spark, sf_dir).select("id", alignment.token_changes("text_stt", "text_final").alias("c")).select("id", "c.deleted", "c.inserted")
+    return X.cues(spark, sf_dir).select("id", alignment.token_changes("text_stt", "text_final").alias("c")).select("id", "c.deleted", "c.inserted")
 
 
 @query("d1_annotation_share", f"""WITH t AS (SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '[^ ]*tion ', 'nation(x) ', 'g'), '([\\p{{L}}\\p{{N}}]+)(\\([^)]*\\))?')) AS t FROM conversations), f AS (SELECT regexp_replace(t, '\\(.*$', '') AS term, contains(t, '(') AS w FROM t)

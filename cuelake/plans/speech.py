@@ -30,45 +30,46 @@ def s5_word_stream(spark, sf_dir):
 
 @query("x8_prompt_echoes")
 def x8_prompt_echoes(spark, sf_dir):
-    cues = X.short_cues(spark, sf_dir).withColumn("text_stt", F.when(F.col("idx") == 1, "List of words that a recogniser").otherwise(F.col("text_stt")))
+    cues = X.cues(spark, sf_dir).withColumn("text_stt", F.when(F.col("idx") == 1, "List of words that a recogniser").otherwise(F.col("text_stt")))
     return speech.prompt_echoes(cues, prompts(spark))
 
 
 @query("x10_gap_rows")
 def x10_gap_rows(spark, sf_dir):
-    return speech.gap_rows(X.short_cues(spark, sf_dir).filter("idx % 2 = 0"), X.captions(spark, sf_dir).withColumn("text", F.left("text", F.lit(40))))
+    return speech.gap_rows(X.cues(spark, sf_dir).filter("idx % 2 = 0"), X.captions(spark, sf_dir))
 
 
 @query("x9_crosscheck")
 def x9_crosscheck(spark, sf_dir):
-    return speech.crosschecked(X.short_cues(spark, sf_dir).filter("idx % 3 > 0"), X.captions(spark, sf_dir).withColumn("text", F.left("text", F.lit(40))), prompts(spark))
+    return speech.crosschecked(X.cues(spark, sf_dir).filter("idx % 3 > 0"), X.captions(spark, sf_dir), prompts(spark))
 
 
 @query("e14_repair_recognition")
 def e14_repair_recognition(spark, sf_dir):
     """Cross-check anew for jobs that aren't complete."""
-    cues = X.short_cues(spark, sf_dir)
+    cues = X.cues(spark, sf_dir)
     open_ = cues.filter("NOT reviewed").select("job_id").distinct()
     return speech.crosschecked(cues.join(open_, "job_id", "left_semi"), X.captions(spark, sf_dir), prompts(spark))
 
 
 @query("x12_w9_clamped")
 def x12_w9_clamped(spark, sf_dir):
-    cues = X.short_cues(spark, sf_dir).withColumn("text_llm", F.when(F.col("idx") % 3 == 0, F.concat_ws(" ", "text_stt", F.lit("and more"))).otherwise(F.lit("and more")))
+    cues = X.cues(spark, sf_dir).withColumn("text_llm", F.when(F.col("idx") % 3 == 0, F.concat_ws(" ", "text_stt", F.lit("and more"))).otherwise(F.lit("and more")))
     return speech.clamped(cues)
 
 
 @query("x16_tighten")
 def x16_tighten(spark, sf_dir):
-    cues = X.short_cues(spark, sf_dir).withColumn("end_ms", F.col("end_ms") + 600)
-    words = X.words(spark, sf_dir).filter("word_no < 6")
+    cues = X.cues(spark, sf_dir).withColumn("end_ms", F.col("end_ms") + 600)
+    words = X.words(spark, sf_dir)
     return speech.tightened(cues, words)
 
 
 @query("x19_x20_aligned_sentences")
 def x19_x20_aligned_sentences(spark, sf_dir):
-    sentences = X.short_cues(spark, sf_dir).select("job_id", F.col("idx").alias("no"), F.col("text_stt").alias("text"))
-    words = X.short_cues(spark, sf_dir).select("job_id", "start_ms", "end_ms", F.posexplode(F.split("text_stt", " ")).alias("i", "word")).selectExpr("job_id", "start_ms + i * 100 AS start_ms", "start_ms + i * 100 + 90 AS end_ms", "word")
+    sentences = X.cues(spark, sf_dir).select("job_id", F.col("idx").alias("no"), F.col("text_stt").alias("text"))
+    split = X.cues(spark, sf_dir).select("job_id", "start_ms", F.split("text_stt", " ").alias("w"))
+    words = split.select("job_id", "start_ms", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")).selectExpr("job_id", "start_ms + i * 7000 div n AS start_ms", "start_ms + (i + 1) * 7000 div n AS end_ms", "word")
     return speech.aligned_sentences(sentences, words)
 
 

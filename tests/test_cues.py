@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import alignment, korean
 from cuelake.functions import text as T
 from cuelake.operators import editing, intervals, learning, ordered, quality, speech
+from cuelake.plans import registry
 from cuelake.sources import formats, storage
 
 
@@ -197,3 +198,20 @@ def test_every_prompt_is_tried(spark):
     prompts = spark.createDataFrame([(f"list {i:03d} of spoken words",) for i in range(150)], "prompt string")
     cues = spark.createDataFrame([(i, f"List {i:03d} of spoken") for i in range(150)], "id long, text_stt string")
     assert sorted(r.id for r in speech.prompt_echoes(cues, prompts, percent=101).collect()) == list(range(150))
+
+
+def test_a_job_that_does_not_fit_gives_no_sentence(spark):
+    sentences = spark.createDataFrame([(1, 0, "one two three"), (2, 0, "four five six")], "job_id long, no long, text string")
+    words = spark.createDataFrame([(1, i * 100, i * 100 + 90, w) for i, w in enumerate(["one", "two", "three"])] + [(2, 0, 90, "zzz")], "job_id long, start_ms long, end_ms long, word string")
+    assert [tuple(r) for r in speech.aligned_sentences(sentences, words).collect()] == [(1, 0, "one two three", 0, 290)]
+
+
+def test_kernel_queries_take_whole_texts(spark, tmp_path):
+    text = "the start of a long turn and then many more words that stand after it, the end"
+    spark.createDataFrame([(7, t, "user", f"{text} {t}") for t in range(6)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert all("that" in r.inserted for r in run("x23_token_diff") if (7 + r.id % 1000) % 3)
+    assert all(len(r.text) > 70 for r in run("x10_gap_rows"))
+    assert [r.text.split()[-1] for r in sorted(run("x19_x20_aligned_sentences"))] == list("012345")
+    assert all(r.end_ms > 6900 + 8000 * r.no for r in run("x19_x20_aligned_sentences"))
+    assert all(len(r.text) > 70 for r in run("x12_w9_clamped") if r.id % 1000 % 3 == 0)
