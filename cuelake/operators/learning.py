@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import alignment, korean
 from cuelake.functions import text as T
+from cuelake.sources import storage
 
 LONGEST_PHRASE = 30
 
@@ -57,12 +58,32 @@ def _first_word(c: Column) -> Column:
     return F.get(F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != ""), F.lit(0))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = storage.fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _closed(steps: DataFrame) -> DataFrame:
+    """All (_from, _word) that steps reach one after another; paths double in length with each round, and each round's table cuts the lineage."""
+    found = _written(steps.distinct(), "chains")
+    n = found.count()
+    while n:
+        longer = found.select("_from", F.col("_word").alias("_by")).join(found.select(F.col("_from").alias("_by"), "_word"), "_by").select("_from", "_word")
+        found = _written(found.select("_from", "_word").union(longer).distinct(), "chains")
+        last, n = n, found.count()
+        if n == last:
+            break
+    return found
+
+
 def _applied(cues: DataFrame, ranked: DataFrame, allowed: Column | None = None) -> DataFrame:
     words = cues.select("id", "job_id", "idx", F.explode(F.array_distinct(F.filter(F.split("text", r"(?U)[^\w]+"), lambda w: w != ""))).alias("_word"))
-    # A replacement may bring in the first word of another pair, so pairs that could follow are taken along.
+    # A replacement may bring in the first word of another pair, and that of a third one, so all pairs that could follow are taken along.
     keyed = ranked.withColumn("_word", _first_word(F.col("wrong")))
     chained = keyed.select(F.col("_word").alias("_from"), F.explode(F.array_distinct(F.filter(F.split("right", r"(?U)[^\w]+"), lambda w: w != ""))).alias("_word")).distinct()
-    reach = words.unionByName(words.withColumnRenamed("_word", "_from").join(chained, "_from").select("id", "job_id", "idx", "_word")).distinct()
+    starts = keyed.select("_word").distinct()
+    reach = words.join(_closed(chained.join(starts, "_word", "left_semi")).union(starts.select(F.col("_word").alias("_from"), "_word")).distinct().withColumnRenamed("_word", "_to"), words["_word"] == F.col("_from")).select("id", "job_id", "idx", F.col("_to").alias("_word")).distinct()
     joined = reach.join(keyed, "_word")
     met = (joined if allowed is None else joined.filter(allowed)).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("_rank", "wrong", "right"))).alias("_pairs"))
     out = cues.join(met, "id", "left")
@@ -75,7 +96,7 @@ def propagated(cues: DataFrame, global_pairs: DataFrame, job_pairs: DataFrame, l
     everywhere = global_pairs.filter(F.col("count") >= least).select("wrong", "right", F.lit(None).cast("long").alias("_job"), F.lit(None).cast("long").alias("_after"))
     here = job_pairs.select("wrong", "right", F.col("job_id").alias("_job"), F.col("first_idx").alias("_after"))
     ranked = everywhere.unionByName(here).withColumn("_rank", rank)
-    targets = cues.filter("NOT reviewed").select("id", "job_id", "idx", T.first_filled("text_final", "text_llm").alias("text")).filter("text <> ''")
+    targets = cues.filter("NOT reviewed").select("id", "job_id", "idx", T.first_filled(*(c for c in ("text_final", "text_llm", "text_stt") if c in cues.columns)).alias("text")).filter("text <> ''")
     return _applied(targets, ranked, F.col("_job").isNull() | ((F.col("_job") == F.col("job_id")) & (F.col("idx") > F.col("_after"))))
 
 

@@ -215,3 +215,12 @@ def test_kernel_queries_take_whole_texts(spark, tmp_path):
     assert [r.text.split()[-1] for r in sorted(run("x19_x20_aligned_sentences"))] == list("012345")
     assert all(r.end_ms > 6900 + 8000 * r.no for r in run("x19_x20_aligned_sentences"))
     assert all(len(r.text) > 70 for r in run("x12_w9_clamped") if r.id % 1000 % 3 == 0)
+
+
+def test_propagation_falls_back_on_recognised_text_and_follows_chains(spark):
+    cues = spark.createDataFrame([(1, 1, 1, "one x", "", "", False), (2, 1, 2, "one", "five", "", False)], "id long, job_id long, idx long, text_stt string, text_llm string, text_final string, reviewed boolean")
+    steps = [("one", "two", 9), ("two x", "three x", 8), ("three x", "four y", 7), ("four y", "six", 6)]
+    pairs = spark.createDataFrame([(a, b, n) for a, b, n in steps], "wrong string, right string, count long")
+    assert {r.id: r.text for r in learning.pre_passed(cues, pairs).collect()} == {1: "six", 2: "two"}
+    none = spark.createDataFrame([], "wrong string, right string, job_id long, first_idx long")
+    assert {r.id: r.before for r in learning.propagated(cues, pairs, none).collect()} == {1: "one x", 2: "five"}
