@@ -60,7 +60,10 @@ def mentions(cues: DataFrame, hay: Column, forms: DataFrame, key: str = "id", gr
     places = at.select("_key", "_hay", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_hay"), F.lit(1)))).alias("_at"))
     sized = forms.select("form", F.least(F.length("form"), F.lit(gram)).alias("_size"), F.substring("form", 1, gram).alias("_gram"))
     grams = places.select("_key", F.col("_hay").substr(F.col("_at"), F.lit(40)).alias("_rest")).withColumn("_size", F.explode(F.sequence(F.lit(1), F.lit(gram)))).withColumn("_gram", F.expr("substring(_rest, 1, _size)")).filter("length(_gram) = _size")
-    return grams.join(sized, ["_size", "_gram"]).filter(F.startswith("_rest", "form")).select(F.col("_key").alias(key), "form").distinct()
+    found = grams.join(sized, ["_size", "_gram"]).filter(F.startswith("_rest", F.left("form", F.lit(40)))).select("_key", "form").distinct()
+    # The slices tell about forms of up to 40 characters; what begins like a longer one is looked up in its whole text.
+    long = found.filter(F.length("form") > 40).join(at, "_key").filter(F.contains("_hay", "form")).select("_key", "form").distinct()
+    return found.filter(F.length("form") <= 40).union(long).select(F.col("_key").alias(key), "form")
 
 
 def low_risk(cues: DataFrame, mentioned: DataFrame) -> DataFrame:

@@ -224,3 +224,11 @@ def test_propagation_falls_back_on_recognised_text_and_follows_chains(spark):
     assert {r.id: r.text for r in learning.pre_passed(cues, pairs).collect()} == {1: "six", 2: "two"}
     none = spark.createDataFrame([], "wrong string, right string, job_id long, first_idx long")
     assert {r.id: r.before for r in learning.propagated(cues, pairs, none).collect()} == {1: "one x", 2: "five"}
+
+
+def test_mentions_of_long_forms(spark):
+    long = "a phrase of the domain that has more than forty characters"
+    cues = spark.createDataFrame([(1, f"here is {long}, said once"), (2, f"here is {long[:45]}"), (3, "abc")], "id long, text string")
+    forms = spark.createDataFrame([(long,), (long[:40],), (long[:41],), ("bc",)], "form string")
+    got = sorted(tuple(r) for r in quality.mentions(cues, F.col("text"), forms).collect())
+    assert got == sorted([(1, long), (1, long[:40]), (1, long[:41]), (2, long[:40]), (2, long[:41]), (3, "bc")])
