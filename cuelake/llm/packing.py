@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import as_bytes, slices
+from cuelake.llm.common import slices
 from cuelake.llm.tokens import word_ids
 
 #: The longest window, and the context-size tiers that documents are routed to.
@@ -149,13 +149,11 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text"):
             kind = batch.schema.field("id").type
-            data, offsets = as_bytes(batch.column("text"))
-            raw = data.tobytes()
-            ids, bounds = encoder.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
+            ids, bounds = encoder.encode(batch.column("text"))
             fresh += [(name, np.append(ids[a:b], np.uint32(END_ID)), 0, int(b - a) + 1) for name, a, b in zip(batch.column("id").to_pylist(), bounds[:-1], bounds[1:])]
-            size += len(raw)
+            size += batch.column("text").nbytes
             if size >= BATCH_BYTES:
                 yield from flush(False)
         if fresh or held:

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import as_bytes, slices
-from cuelake.llm.tokens import MOST_WORDS, tokenizer_path
+from cuelake.llm.common import slices
+from cuelake.llm.tokens import WordCache, tokenizer_path, words_of
 
 #: What marks a piece that begins a word in the vocabulary file.
 WORD_START = "▁"
@@ -94,21 +94,29 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words end at ASCII white space. A word with a part that no piece matches counts as one unknown token. Null and empty texts
     have no words and no tokens; rows that repeat give repeated rows; extra columns are ignored. Row-wise, without a shuffle;
-    a worker keeps the counts of MOST_WORDS words at most. model: path of a sentencepiece model on every executor.
+    what a worker keeps of words is bounded by bytes (tokens.MOST_BYTES). model: path of a sentencepiece model on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = automaton(model or tokenizer_path("piece_bpe_32k.model"))
-        known: dict[bytes, int] = {}
+        known, of_word = WordCache(), np.zeros(1 << 14, np.int64)
+
+        def learn(words: list[str]) -> None:
+            nonlocal of_word
+            first = len(known.of)
+            while first + len(words) > len(of_word):
+                of_word = np.concatenate([of_word, np.zeros_like(of_word)])
+            of_word[first : first + len(words)] = [matcher.count(w) for w in words]
+            known.add(words, 0)
+
         for batch in slices(batches, "text"):
-            data, offsets = as_bytes(batch.column("text"))
-            raw = data.tobytes()
-            if len(known) > MOST_WORDS:
+            if known.held > known.most_bytes:
                 known.clear()
-            split = [raw[a:b].split() for a, b in zip(offsets[:-1], offsets[1:])]
-            known.update((w, matcher.count(w.decode())) for w in set().union(*split).difference(known))
-            sizes = np.array([len(w) for w in split], np.int64)
-            counts = np.fromiter((known[w] for words in split for w in words), np.int64, int(sizes.sum()))
+            words, at, bounds = words_of(batch.column("text"))
+            full = np.fromiter(map(len, words), np.int64, len(words))[at] > 0
+            sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[bounds])
+            places = known.places(words, learn)
+            counts = of_word[places][at][full]
             # A zero at the end lets reduceat begin behind the last word; rows without words are set to 0 after it.
             at, full = np.cumsum(sizes) - sizes, sizes > 0
             per_row = lambda values, f: np.where(full, f.reduceat(np.append(values, 0), at), 0)

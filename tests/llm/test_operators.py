@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.llm import components, exact_dedup, language_id, license_scan, near_dedup, packing, repeats, secret_scan, segmentation, token_counts, webp
+from cuelake.llm import components, exact_dedup, language_id, license_scan, near_dedup, packing, repeats, secret_scan, segmentation, shingles, token_counts, tokens, webp
 from cuelake.llm.tokens import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, id string, _id string"
@@ -124,6 +125,22 @@ def test_near_dedup(spark, k, percent, block):
     same((tuple(r) for r in got), brute_components(ROWS, k, percent))
 
 
+@pytest.mark.parametrize("n", range(1, 8))
+def test_shingles_of_batches_with_few_words(n):
+    """Batches that hold fewer words than a shingle, one text or two."""
+    words = [f"w{i}".encode() for i in range(n)]
+    value, bounds = shingles.shingle_sets([b" ".join(words)], 5)
+    assert len(value) == max(1, n - 4) and list(bounds) == [0, len(value)]
+    two, bounds = shingles.shingle_sets([words[0], b"", b" ".join(words[1:])], 5)
+    assert list(np.diff(bounds)) == [1, 0, max(1, n - 5) if n > 1 else 0]
+
+
+def test_near_dedup_of_few_words(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 4))) for i in range(12)]
+    got = near_dedup.near_dedup(frame(spark, rows).repartition(12)).collect()
+    same((tuple(x) for x in got), brute_components(rows, 5, 80))
+
+
 def test_near_dedup_of_a_large_group(spark):
     r = random.Random(5)
     base = [f"w{i}" for i in range(60)]
@@ -158,12 +175,12 @@ def test_webp_columns(spark):
         b = (t or "").encode()
         p = webp.padded(b)
         m = webp.encode(p)
-        assert len(p) % 64 == 0 and webp.samples(webp.decode(m))[: len(p)] == p
+        assert len(p) % 64 == 0 and webp.samples(webp.decode(m), webp.is_grey(m))[: len(p)] == p
         want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()))
     same((tuple(r)[:7] for r in got), want)
     media = spark.createDataFrame([(1, bytearray(webp.encode(bytes(64)))), (2, None), (3, bytearray(b"junk"))], "k long, media binary")
     rows = {r.k: r for r in webp.pixel_arrays(media, "k").collect()}
-    assert rows[1].argb == [0] * 16 and rows[2].argb is None and rows[2].error is None and rows[3].error
+    assert rows[1].argb == [0xFF000000] * 64 and rows[2].argb is None and rows[2].error is None and rows[3].error
 
 
 def test_license_scan(spark):
@@ -219,7 +236,8 @@ def test_sampled_segmentations(spark):
 def test_gumbel_draws_follow_the_distribution():
     vocabulary = segmentation.pieces(None, segmentation.ALPHA)
     text, n = "the ox", 6000
-    units = segmentation.UNIT.findall(segmentation.SPACE + text.replace(" ", segmentation.SPACE))
+    names, at, _ = segmentation.units_of(pa.array([text]))
+    units, places = [names[i] for i in at], np.tile(at, n)
 
     def ways(u):
         if not u:
@@ -231,8 +249,9 @@ def test_gumbel_draws_follow_the_distribution():
         every = [(a + b, x + y) for a, x in every for b, y in ways(u)]
     weights = np.exp([w for _, w in every])
     p = dict(zip((a for a, _ in every), weights / weights.sum()))
-    at = segmentation.Lattices(vocabulary, sorted(set(units)))
-    starts = np.array([at.start[u] for u in units] * n)
+    at = segmentation.Lattices(vocabulary)
+    starts = at.starts(names)[places]
+    at.starts(["▁more", "▁words", *names])  # what is built later leaves a lattice as it is
     search = segmentation.Search(at, starts, np.full(n, len(units)), segmentation.mixed(np.arange(n).astype(np.uint64)))
     limit = search.run(2)
     drawn = [[tuple(at.piece[x["edge"]][a:b]) for a, b in zip(x["first"][:-1], x["first"][1:])] for x in search.rounds]
@@ -312,6 +331,20 @@ def test_packing(spark):
         assert n == g.sequence_tokens.iloc[0] <= 4096 and n & (n - 1) == 0
 
 
+def test_kept_words_are_bounded_by_bytes():
+    small = tokens.WordIds(tokenizer_path("word_bpe_49k.json"), most_bytes=20_000)
+    large = tokens.WordIds(tokenizer_path("word_bpe_49k.json"))
+    r = random.Random(8)
+    for _ in range(30):
+        texts = pa.array(["".join(r.choice("abcéßÉ.,'!<| \n7한") for _ in range(r.choice([0, 5, 3000]))) for _ in range(4)] + [None])
+        for x, y in zip(small.encode(texts), large.encode(texts)):
+            assert (x == y).all()
+        one = large.tokenizer.encode(texts[1].as_py(), add_special_tokens=False).ids
+        ids, bounds = small.encode(texts)
+        assert list(ids[bounds[1] : bounds[2]]) == one
+    assert small.known.held < 20_000 + 4 * 3000 * 170 and large.known.held > small.known.held
+
+
 def test_pack_fills_every_window():
     r = random.Random(6)
     for n in (0, 1, 5, 300):
