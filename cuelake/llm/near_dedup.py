@@ -88,6 +88,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return rows.repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
+def may_link(sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray, groups: np.ndarray, percent: int, most: int) -> np.ndarray:
+    """A matrix that tells which members i < j of a block can be linked by their sizes and sketches, are of different groups and, where there are two sides, of both."""
+    two = len(np.unique(sides)) > 1
+    may = np.zeros((len(sizes), len(sizes)), bool)
+    for i in range(len(sizes)):
+        other = (groups != groups[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        if two:
+            other &= sides != sides[i]
+        other[: i + 1] = False
+        at = np.flatnonzero(other)
+        may[i, at] = np.bitwise_count((sketches[at] ^ sketches[i]).view(np.uint64)).sum(axis=1) <= most
+    return may
+
+
 def block_links(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray, groups: list[int], percent: int, most: int) -> list[tuple[int, int]]:
     """Links (places in sets) that join different groups and aren't implied by links before them; where there are two sides, only across them.
 
@@ -95,15 +109,7 @@ def block_links(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray,
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     group_of = np.unique(groups, return_inverse=True)[1]
-    two = len(np.unique(sides)) > 1
-    may = np.zeros((len(sets), len(sets)), bool)
-    for i in range(len(sets)):
-        other = (group_of != group_of[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-        if two:
-            other &= sides != sides[i]
-        other[: i + 1] = False
-        at = np.flatnonzero(other)
-        may[i, at] = np.bitwise_count((sketches[at] ^ sketches[i]).view(np.uint64)).sum(axis=1) <= most
+    may = may_link(sizes, sketches, sides, group_of, percent, most)
     used = np.flatnonzero(may.any(axis=0) | may.any(axis=1))
     if not len(used):
         return []
@@ -136,40 +142,61 @@ def block_links(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray,
     return out
 
 
+def by_block(rows: DataFrame, columns: list[str], of_block, schema: str, texts: tuple[int, str] | None = None) -> DataFrame:
+    """of_block over the members of each (bucket, i, j), which one task holds: a list of dicts, with `sets` where texts gives k; what it returns are rows of schema."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held and (out := of_block(held)):
+                yield pa.RecordBatch.from_pydict({n: [x[c] for x in out] for c, n in enumerate(names)})
+
+        for batch in slices(batches, texts[1]) if texts else batches:
+            if texts:
+                data, offsets = as_bytes(batch.column(texts[1]))
+                raw = data.tobytes()
+                hashes, bounds = shingles.shingle_sets([shingles.normalised(raw[x:y]) for x, y in zip(offsets[:-1], offsets[1:])], texts[0])
+            for r, row in enumerate(batch.select(columns).to_pylist()):
+                if (now := (row["bucket"], row["i"], row["j"])) != key:
+                    yield from done()
+                    key, held = now, []
+                if texts:
+                    row["set"] = hashes[bounds[r] : bounds[r + 1]].copy()
+                held.append(row)
+        yield from done()
+
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, schema)
+
+
 def across(members: DataFrame, texts: DataFrame, k: int, percent: int, most: int, block: int) -> DataFrame:
-    """Links (a, b) between members of a bucket that belong to different components; members: bucket, n, id, component, sketch.
+    """Links (a, b) between members of a bucket that belong to different components; members: bucket, n, id, component, n_shingles, sketch.
 
-    A bucket of more than `block` members is cut into blocks by a hash of the id, and each pair of blocks is one group.
+    A bucket of more than `block` members is cut into blocks by a hash of the id, and each pair of blocks is one group. Only
+    sketches go to every pair of blocks; texts go where their sketch has a partner.
     """
     blocks = F.ceil(F.col("n") / block)
     mine = F.pmod(F.xxhash64("id"), blocks)
     placed = members.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    keyed = placed.select("bucket", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), F.col("_mine").alias("side"), "id", "component", "sketch")
-    rows = keyed.join(texts, "id")
+    columns = ["bucket", "i", "j", "side", "id", "component", "n_shingles", "sketch"]
+    rows = placed.select("bucket", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), F.col("_mine").alias("side"), *columns[4:])
 
-    def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+    def arrays(held: list[dict], *names: str) -> list[np.ndarray]:
+        return [np.array([row[n] for row in held], np.int64) for n in names]
 
-        def done() -> list[tuple[int, int]]:
-            ids, sides, comps, sketches, sets = zip(*held)
-            return [(ids[i], ids[j]) for i, j in block_links(list(sets), np.array(sketches, np.int64), np.array(sides), list(comps), percent, most)]
+    def likely(held: list[dict]) -> list[tuple]:
+        sizes, sketches, sides, components = arrays(held, "n_shingles", "sketch", "side", "component")
+        may = may_link(sizes, sketches, sides, components, percent, most)
+        return [tuple(held[x][c] for c in columns) for x in np.flatnonzero(may.any(axis=0) | may.any(axis=1))]
 
-        for batch in slices(groups, "text"):
-            data, offsets = as_bytes(batch.column("text"))
-            raw = data.tobytes()
-            hashes, bounds = shingles.shingle_sets([shingles.normalised(raw[x:y]) for x, y in zip(offsets[:-1], offsets[1:])], k)
-            out = []
-            for r, row in enumerate(batch.select(["bucket", "i", "j", "side", "id", "component", "sketch"]).to_pylist()):
-                if (now := (row["bucket"], row["i"], row["j"])) != key:
-                    out += done() if held else []
-                    key, held = now, []
-                held.append((row["id"], row["side"], row["component"], row["sketch"], hashes[bounds[r] : bounds[r + 1]].copy()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-        if held and (out := done()):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+    def links(held: list[dict]) -> list[tuple]:
+        sketches, sides, components = arrays(held, "sketch", "side", "component")
+        return [(held[x]["id"], held[y]["id"]) for x, y in block_links([row["set"] for row in held], sketches, sides, components, percent, most)]
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+    kinds = ", ".join(f"{c} array<long>" if c == "sketch" else f"{c} long" for c in columns)
+    chosen = by_block(rows, columns, likely, kinds)
+    return by_block(chosen.join(texts, "id"), columns, links, "a long, b long", (k, "text"))
 
 
 def classes_linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, rows: int | None, block: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +237,7 @@ def classes_linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     # Buckets of up to three members have had all their pairs.
     named = members.filter("n > 3").select("bucket", "n", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = named.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
-    open_ = flipped(named).join(flipped(split).select("_k"), "_k", "left_semi").drop("_k").join(sketches.select("id", "sketch"), "id")
+    open_ = flipped(named).join(flipped(split).select("_k"), "_k", "left_semi").drop("_k").join(sketches, "id")
     more = across(open_, texts, k, percent, most, block)
     if by_id:
         several = live.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("seq_a", "seq_b"))).filter("min_seq_a < max_seq_a OR min_seq_b < max_seq_b").select("id")

@@ -57,9 +57,9 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     text_of = np.repeat(np.arange(len(full)), per_text)
     left = np.repeat(first + per_text, per_text) - np.arange(len(words))  # words up to the text's end
     value = np.zeros(len(words), np.uint64)
-    for j in range(k):
-        shifted = words[j:] if j else words
-        value[: len(words) - j] = np.where(left[: len(words) - j] > j, mixed(value[: len(words) - j] + shifted), value[: len(words) - j])
+    for j in range(min(k, len(words))):
+        n = len(words) - j
+        value[:n] = np.where(left[:n] > j, mixed(value[:n] + words[j:]), value[:n])
     is_start = left >= np.minimum(k, np.repeat(per_text, per_text))
     value, text_of = value[is_start], text_of[is_start]
     order = np.argsort(value)
