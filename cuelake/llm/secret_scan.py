@@ -13,10 +13,13 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
+#: Values that a scan gathers at a time.
+BLOCK = 128
 #: `[0-9a-f]+` meets a short run in most words; runs are maximal, so asking for the least length finds the same spans.
 FAST = {"hex": r"[0-9a-f]{24,}"}
 MARKOV = "markov"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A run that an assignment begins in, however long its value, or one of 20 characters and more.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_=-]*?{BASE[0][1]}|[A-Za-z0-9+/_=-]{{20,}})"
 #: Labelled samples of each class that the Markov models are trained on.
 TRAINING_TOKENS = 4000
 #: Words that ordinary identifiers are made of.
@@ -32,17 +35,33 @@ IDENTIFIER_WORDS = (
 ALPHABET = 96
 
 
+def scanned(values: Column, start: Column, step, kind: str) -> Column:
+    """An array of what step(state, value) gives for each value in turn: a struct of the next state and an out of type `kind`.
+
+    An array can't grow in place, so a scan that appends to one array would take time with the square of its length. The
+    values go block by block: outs are gathered for a block, blocks for the array.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    each = lambda acc, v: F.transform(F.array(step(acc["state"], v)), lambda s: F.struct(s["state"].alias("state"), F.concat(acc["outs"], F.array(s["out"])).alias("outs")))[0]
+    inner = lambda acc, block: F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("outs")), each)
+    outer = lambda acc, block: F.transform(F.array(inner(acc, block)), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["blocks"], F.array(x["outs"])).alias("blocks")))[0]
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    whole = F.aggregate(blocks, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks")), outer, lambda acc: F.flatten(acc["blocks"]))
+    return F.when(F.size(values) > 0, whole).otherwise(none)
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """Leftmost, non-overlapping matches as an array of (start, end, match), in code points: what lies between them, from split, gives the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-        F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("end"), x["match"].alias("match")))).alias("spans"),
-    )
+
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        end = start + F.length(x["match"])
+        return F.struct(end.alias("state"), F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")).alias("out"))
+
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])).otherwise(none)
+    return scanned(pairs, F.lit(0), step, "struct<start:int,end:int,match:string>")
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -103,15 +122,17 @@ def log_ratio(token: Column, model: list[float]) -> Column:
 def secret_spans(docs: DataFrame, text_col: str = "text", out_col: str = "_spans", model: list[float] | None = None, threshold: float = 0.5) -> DataFrame:
     """docs with a column out_col: array of (start, end, kind), in order of start, then kind as BASE lists them, the method's own last.
 
-    Base spans are the matches of BASE whose measured part is long enough. The method adds strings of CANDIDATE that hold a
-    letter and a digit, touch no base span, and whose mean log-likelihood ratio is at least threshold. Null counts as empty.
+    Base spans are the matches of BASE whose measured part is long enough. The method adds the runs of CANDIDATE that hold a
+    letter and a digit, touch no assignment, hold no access key or long hex run, and whose mean log-likelihood ratio is at
+    least threshold; each of these is seen from the run itself. Null counts as empty.
     """
     model = model or train(labelled_tokens(docs.sparkSession))
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = {kind: k for k, kind in enumerate([*(b[0] for b in BASE), MARKOV])}
     tagged = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order[kind]).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     base = docs.withColumn("_base", F.concat(*(tagged(base_spans(text, kind), kind) for kind, *_ in BASE)))
-    likely = lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]") & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    clear = lambda m: m.rlike("^[A-Za-z0-9+/_=-]+$") & ~m.rlike(BASE[0][1]) & ~m.rlike(r"AKIA[A-Z0-9]{16}") & ~m.rlike(r"[0-9a-f]{24}")
+    likely = lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]") & clear(s["match"])
     more = F.filter(F.filter(spans_of(text, CANDIDATE), likely), lambda s: log_ratio(s["match"], model) >= threshold)
     every = F.array_sort(F.concat("_base", tagged(more, MARKOV)))
     return base.withColumn(out_col, F.transform(every, lambda s: F.struct(s["start"], s["end"], s["kind"]))).drop("_base")
@@ -137,12 +158,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", model: list[float] | None = None, threshold: float = 0.5) -> DataFrame:
     """docs, with each secret in text_col replaced by mark (overlapping spans by one). A text without secrets, or null, stays as it is."""
     found = secret_spans(docs, text_col, "_spans", model, threshold)
-    # (text so far, place up to which it goes): what lies before a span is copied, a span that begins inside the last one adds no mark.
+    # The state is the place up to which the text is told: what lies before a span is copied, a span that begins inside the last one adds no mark.
     text = F.col(text_col)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
-        F.greatest(acc["at"], s["end"]).alias("at"),
-    )
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+
+    def step(at: Column, s: Column) -> Column:
+        told = F.when(s["start"] < at, "").otherwise(F.concat(text.substr(at + 1, s["start"] - at), F.lit(mark)))
+        return F.struct(F.greatest(at, s["end"]).alias("state"), told.alias("out"))
+
+    whole = F.concat(F.array_join(scanned(F.col("_spans"), F.lit(0), step, "string"), ""), text.substr(F.array_max(F.transform("_spans", lambda s: s["end"])) + 1, F.length(text)))
     return found.withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(text)).drop("_spans")
