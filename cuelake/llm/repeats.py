@@ -26,6 +26,8 @@ STEPS = 24
 AT_ONCE = 4096
 SEGMENT = 1 << 22
 POSITION_BITS = 24
+#: Of each half of a window's hash: a random number for every byte, and the odd number whose powers are the places.
+LANES = tuple((r.integers(1, 1 << 63, 256, dtype=np.uint64), r.integers(1, 1 << 62, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) for r in map(np.random.default_rng, (41, 43)))
 
 
 def gram_size(length: int) -> int:
@@ -226,17 +228,31 @@ def compared(contents: DataFrame, length: int, at_once: int) -> DataFrame:
     return contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, first long, until long")
 
 
+def window_hashes(data: np.ndarray, length: int) -> list[np.ndarray]:
+    """128 bits of each window of data: two polynomials in an odd number over random numbers of the bytes, from sums up to each byte."""
+    out = []
+    for values, base in LANES:
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data) - 1, base)]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * powers)])
+        # A window's sum begins at the power of its place, which the inverse takes away.
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data) - length, inverse)]))
+        out.append(mixed((sums[length:] - sums[:-length]) * back).view(np.int64))
+    return out
+
+
 def counted(contents: DataFrame, length: int) -> DataFrame:
     """What compared() gives, for anchors with very many contents: windows are counted by a 128-bit hash of their bytes, summed before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "content", 1 << 16):
-            out = []
-            for r in batch.to_pylist():
-                for w in range(len(r["content"]) - length + 1):
-                    h = hashlib.blake2b(r["content"][w : w + length], digest_size=16).digest()
-                    out.append((r["a"], r["b"], r["first"] + w, r["n"], int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(6)], ["a", "b", "first", "n", "h", "i"])
+        for batch in slices(batches, "content", 1 << 18):
+            data, offsets = as_bytes(batch.column("content"))
+            sizes = np.diff(offsets) - length + 1
+            parts = [window_hashes(data[a:b], length) for a, b in zip(offsets[:-1], offsets[1:])]
+            first = np.repeat(batch.column("first").to_numpy(), sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            own = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("a", "b", "n")]
+            h, i = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own[0], own[1], first, own[2], h, i)], ["a", "b", "first", "n", "h", "i"])
 
     windows = contents.mapInArrow(run, "a long, b long, first long, n long, h long, i long")
     often = windows.groupBy("h", "i").agg(F.count("*").alias("_times")).filter("_times > 1").select(F.col("h").alias("_h"), F.col("i").alias("_i"))
