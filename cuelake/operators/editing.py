@@ -127,6 +127,16 @@ def routed(cues: DataFrame, renditions: DataFrame, model: DataFrame, lang: str)
     return rows.withColumn("route", route).select("id", "route", F.when(F.col("route").isin("edited", "fresh"), F.col("_old")).when(F.col("route") == "model", F.col("_new")).otherwise(F.col("_source")).alias("text"))
 
 
+def correction_routes(lines: DataFrame, memo: DataFrame, salt: str, chunk: int = 50) -> DataFrame:
+    """Routing of a job's lines (job_id, id, text, needed) to the correction model: blank or skipped (not needed) ones stay, cached ones take the memo's text, and all others are sent, `chunk` of a job at a time in order; chunk numbers begin at 0."""
+    known = memo.select(F.col("source_hash").alias("_hash"), F.col("text").alias("_known")).dropDuplicates(["_hash"])
+    rows = lines.withColumn("_hash", T.content_hash(20, F.lit(salt), F.col("text"))).join(known, "_hash", "left")
+    route = F.when(T.stripped(F.col("text")) == "", "blank").when(~F.col("needed"), "skipped").when(F.col("_known").isNotNull(), "cached").otherwise("sent")
+    place = F.row_number().over(Window.partitionBy("job_id", "route").orderBy("id")) - 1
+    routed_ = rows.withColumn("route", route)
+    return routed_.select("job_id", "id", "route", F.when(F.col("route") == "sent", F.floor(place / chunk)).alias("chunk"), F.when(F.col("route") == "cached", F.col("_known")).otherwise(F.col("text")).alias("text"))
+
+
 def cached_stage(lines: DataFrame, memo: DataFrame, kind: str, salt: str, limit: int) -> DataFrame:
     """Routing of lines (id, text) to a model stage through its memo (kind, source_hash, text): skipped if blank, cached if known, sent up to the limit, and left for later beyond."""
     rows = lines.withColumn("_hash", T.content_hash(20, F.lit(salt), F.col("text")))

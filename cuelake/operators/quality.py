@@ -99,15 +99,27 @@ def cer_text(c: Column) -> Column:
     return T.collapsed(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", "")))
 
 
-def evaluated(cues: DataFrame) -> DataFrame:
-    """One row per job: character edits and reference length of the machine texts against the reviewed text.
+def error_rate(ref: Column, hyp: Column) -> Column:
+    """Character edits over the reference's length, to four places; null where the reference is empty. Equal texts cost nothing."""
+    edits = F.when(ref == hyp, 0).otherwise(F.levenshtein(ref, hyp))
+    return F.when(F.length(ref) > 0, F.round(edits / F.length(ref), 4))
 
-    Edits are counted cue by cue and summed, so no task holds a job's whole text. `matched` counts only cues whose reviewed
-    text is half to twice as long as the recognised one. A rate is edits over length; sums are whole numbers.
+
+def evaluated(cues: DataFrame, media: DataFrame, imported: DataFrame) -> DataFrame:
+    """One row per real job with reviewed text: job_id, title, created, source, n_reviewed, n_matched, and the error rates cer_stt, cer_llm and cer_matched.
+
+    A job's texts are joined in order of their cues, and the joined texts compared, so a character that moves from a cue to the
+    next is no error. `matched` takes only cues whose reviewed text is half to twice as long as the recognised one. Practice
+    jobs and blank reviewed texts don't count; source is srt for jobs in imported (job_id), else app.
     """
-    ref, stt, llm = cer_text(F.col("text_final")), cer_text(F.col("text_stt")), cer_text(T.machine_text())
-    rows = cues.filter("reviewed").select("job_id", ref.alias("ref"), stt.alias("stt"), llm.alias("llm"), T.stripped(F.col("text_stt")).alias("raw"), F.length("text_final").alias("n"), F.length("text_stt").alias("m"))
-    matched = (F.col("raw") != "") & (F.col("n") * 2 >= F.greatest("m", F.lit(1))) & (F.col("n") <= 2 * F.greatest("m", F.lit(1)))
-    return rows.withColumns({"e_stt": F.levenshtein("ref", "stt"), "e_llm": F.levenshtein("ref", "llm"), "matched": matched}).groupBy("job_id").agg(
-        F.count("*").alias("n_cues"), F.sum(F.length("ref")).alias("ref_chars"), F.sum("e_stt").alias("edits_stt"), F.sum("e_llm").alias("edits_llm"), F.count_if("matched").alias("n_matched"), F.coalesce(F.sum(F.when(F.col("matched"), F.col("e_stt"))), F.lit(0)).alias("edits_matched")
-    )
+    real = media.filter("NOT practice").select("job_id", F.left("title", F.lit(40)).alias("title"), "created")
+    n, m = F.length(T.stripped(F.col("text_final"))), F.greatest(F.length(T.stripped(F.col("text_stt"))), F.lit(1))
+    matched = (T.stripped(F.col("text_stt")) != "") & (n * 2 >= m) & (n <= 2 * m)
+    rows = cues.filter("reviewed").filter(T.stripped(F.col("text_final")) != "").select("job_id", "idx", "id", matched.alias("matched"), F.col("text_final").alias("ref"), F.col("text_stt").alias("stt"), T.machine_text().alias("llm"))
+    texts = lambda c, only: cer_text(F.array_join(F.transform(F.filter("_rows", only), lambda x: x[c]), " "))
+    every, some = (lambda x: F.lit(True)), (lambda x: x["matched"])
+    joined = rows.groupBy("job_id").agg(F.count("*").alias("n_reviewed"), F.count_if("matched").alias("n_matched"), F.sort_array(F.collect_list(F.struct("idx", "id", "matched", "ref", "stt", "llm"))).alias("_rows"))
+    wide = joined.select("job_id", "n_reviewed", "n_matched", *(texts(c, f).alias(f"{c}{k}") for k, f in enumerate((every, some)) for c in ("ref", "stt", "llm")))
+    rates = wide.select("job_id", "n_reviewed", "n_matched", error_rate(F.col("ref0"), F.col("stt0")).alias("cer_stt"), error_rate(F.col("ref0"), F.col("llm0")).alias("cer_llm"), error_rate(F.col("ref1"), F.col("llm1")).alias("cer_matched"))
+    of_file = imported.select("job_id").distinct().withColumn("_srt", F.lit("srt"))
+    return rates.join(real, "job_id").join(of_file, "job_id", "left").withColumn("source", F.coalesce("_srt", F.lit("app"))).drop("_srt")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,41 +27,54 @@ BOUNDARY_GAP, SILENCE, LONGEST, TAIL = 600, 700, 7000, 6
 def cut_places(words: list[dict], soft: int, hard: int) -> list[int]:
     """Places behind which a segment's words are cut (the last word's place is always the last one).
 
-    A token without a leading blank goes on with the word before it, where nothing may cut. A silence cuts unless it would
-    leave a single word that ends no sentence; a sentence's end or a pause cuts from `soft` characters on; `hard` characters or
-    LONGEST cut anyway, then rather at the last boundary behind the first third.
+    A token without a leading blank belongs to the word before it. Words and the pauses behind them are laid out once; each cut
+    is then the first word at which one of three conditions holds for the line since the last cut: a silence follows (unless
+    the line is a single word that ends no sentence), `soft` characters are reached at a boundary, or `hard` characters or
+    LONGEST are. A line that is cut by size alone ends at its last boundary instead, if that lies behind its first third.
     """
     n = len(words)
-    joined = [i + 1 < n and not words[i + 1]["word"][:1].isspace() for i in range(n)]
-    gap = [words[i + 1]["start_ms"] - words[i]["end_ms"] if i + 1 < n else 0 for i in range(n)]
-    natural = [not joined[i] and (words[i]["word"].strip().endswith(SENTENCE_MARKS) or gap[i] >= BOUNDARY_GAP) for i in range(n)]
-    said = lambda a, b: "".join(w["word"] for w in words[a : b + 1]).strip()
-    cuts, first = [], 0
-    for i in range(n):
-        if joined[i]:
-            continue
-        shown = said(first, i)
-        if gap[i] >= SILENCE and not (i == first and shown and not SENTENCE_END.search(shown)):
-            cuts.append(i)
-            first = i + 1
-            continue
-        over = len(shown) >= hard or words[i]["end_ms"] - words[first]["start_ms"] >= LONGEST
-        if not over and not (natural[i] and len(shown) >= soft):
-            continue
-        back = next((k for k in range(i - 1, first, -1) if natural[k]), None) if over and not natural[i] else None
-        if back is not None and back - first >= (i - first + 1) // 3:
-            cuts.append(back)
-            first = back + 1
-        else:
-            cuts.append(i)
-            first = i + 1
-    if first < n:
+    whole = np.array([i + 1 == n or words[i + 1]["word"][:1].isspace() for i in range(n)], bool)
+    last = np.flatnonzero(whole)  # the last token of each word
+    begins = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
+    texts = ["".join(w["word"] for w in words[a : b + 1]) for a, b in zip(begins, last)]
+    upto = np.cumsum([len(t) for t in texts])
+    lead, trail = (np.array([len(t) - len(cut(t)) for t in texts], np.int64) for cut in (str.lstrip, str.rstrip))
+    start, end = (np.array([words[i][c] for i in at], np.int64) for at, c in ((begins, "start_ms"), (last, "end_ms")))
+    pause = np.append(start[1:] - end[:-1], 0)
+    boundary = (pause >= BOUNDARY_GAP) | np.array([t.strip().endswith(SENTENCE_MARKS) for t in texts], bool)
+    boundary[-1:] = [t.strip().endswith(SENTENCE_MARKS) for t in texts[-1:]]
+    # A line of one token that is no sentence isn't left alone by a silence.
+    thin = (begins == last) & np.array([bool(t.strip()) and not SENTENCE_END.search(t.strip()) for t in texts], bool)
+
+    def characters(a: int, b: int | slice) -> np.ndarray:
+        return np.maximum(upto[b] - (upto[a] - len(texts[a])) - lead[a] - trail[b], 0)
+
+    cuts: list[int] = []  # words behind which is cut
+    first = 0
+    while first < len(last):
+        rest = slice(first, None)
+        long = characters(first, rest)
+        silent = pause[rest] >= SILENCE
+        silent[0] &= not thin[first]
+        full = (long >= hard) | (end[rest] - start[first] >= LONGEST)
+        due = np.flatnonzero(silent | full | (boundary[rest] & (long >= soft)))
+        if not len(due):
+            break
+        at = first + int(due[0])
+        if full[at - first] and not silent[at - first] and not boundary[at]:
+            back = np.flatnonzero(boundary[first:at]) + first
+            back = back[last[back] > begins[first]]
+            if len(back) and last[back[-1]] - begins[first] >= (last[at] - begins[first] + 1) // 3:
+                at = int(back[-1])
+        cuts.append(at)
+        first = at + 1
+    if first < len(last):
+        end_of_all = len(last) - 1
         before = cuts[-2] + 1 if len(cuts) > 1 else 0
-        glue = cuts and len(said(first, n - 1)) <= TAIL and len(said(before, n - 1)) <= hard and gap[cuts[-1]] < SILENCE
-        if glue:
+        if cuts and characters(first, end_of_all) <= TAIL and characters(before, end_of_all) <= hard and pause[cuts[-1]] < SILENCE:
             cuts.pop()
-        cuts.append(n - 1)
-    return cuts
+        cuts.append(end_of_all)
+    return last[cuts].tolist()
 
 
 def split_segments(segments: DataFrame, soft: int = 20, hard: int = 36) -> DataFrame:
@@ -192,43 +206,71 @@ def tightened(cues: DataFrame, words: DataFrame) -> DataFrame:
     return cues.select("id", T.work_text().alias("t"), "start_ms", "end_ms").join(heard, "id", "left").select("id", plan("t", "start_ms", "end_ms", "words").alias("p")).select("id", "p.*")
 
 
-def aligned_sentences(sentences: DataFrame, words: DataFrame, least_share: float = 0.7) -> DataFrame:
-    """job_id, no, text, start_ms, end_ms: times of a script's sentences (job_id, no, text) from the words heard; a job that doesn't fit, or whose times would run backwards, gives no row."""
-
-    def run(script: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame()
-        plain = lambda s: re.sub(r"[^가-힣0-9a-zA-Z]", "", s or "")
-        script, heard = script.sort_values("no"), heard.sort_values(["start_ms", "end_ms"])
-        spoken = [plain(w) for w in heard["word"]]
-        owner = [i for i, w in enumerate(spoken) for _ in w]
-        stream, lines = "".join(spoken), [plain(t) for t in script["text"]]
-        match = SequenceMatcher(None, "".join(lines), stream, autojunk=False)
-        if not stream or match.ratio() < least_share:
-            return none
-        blocks = [b for b in match.get_matching_blocks() if b.size]
-
-        def place(p: int) -> int:
-            """Where the script's character p is in the stream: in its block, or at the near end of the block that starts nearest."""
-            inside = next((b for b in blocks if b.a <= p < b.a + b.size), None)
-            if inside:
-                return inside.b + p - inside.a
-            near = min(blocks, key=lambda b: abs(b.a - p))
-            return near.b if p < near.a else near.b + near.size - 1
-
-        starts, ends, at, last, out = heard["start_ms"].tolist(), heard["end_ms"].tolist(), 0, -1, []
-        for job, no, text, line in zip(script["job_id"], script["no"], script["text"], lines):
-            if not line:
-                continue
-            a, b = sorted(owner[min(place(p), len(owner) - 1)] for p in (at, at + len(line) - 1))
-            at += len(line)
-            a = min(max(a, last + 1), b) if a <= last else a
-            last = b
-            if ends[b] <= starts[a] or out and starts[a] < out[-1][3]:
-                return none
-            out.append((job, no, text.strip(), starts[a], ends[b]))
-        return pd.DataFrame(out, columns=["job_id", "no", "text", "start_ms", "end_ms"])
+def _placed(tokens: DataFrame, order: list[str], word: str = "word") -> DataFrame:
+    """Tokens with letters or digits, `w` without all else, and their place `at` in the job."""
+    plain = tokens.withColumn("w", F.regexp_replace(word, "[^가-힣0-9a-zA-Z]", "")).filter("w <> ''")
+    return plain.withColumn("at", F.row_number().over(Window.partitionBy("job_id").orderBy(*order)) - 1)
+
+
+def _grams(line: DataFrame, as_name: str) -> DataFrame:
+    """Words, and runs of three, that occur once in their job: job_id, gram, and the place as as_name."""
+    w = Window.partitionBy("job_id").orderBy("at")
+    three = F.when(F.lead("w", 2).over(w).isNotNull(), F.concat_ws(" ", "w", F.lead("w", 1).over(w), F.lead("w", 2).over(w)))
+    each = line.withColumn("_three", three).select("job_id", "at", F.explode(F.array("w", "_three")).alias("gram")).filter("gram IS NOT NULL")
+    return each.groupBy("job_id", "gram").agg(F.count("*").alias("_n"), F.min("at").alias(as_name)).filter("_n = 1").drop("_n")
+
 
-    return sentences.groupBy("job_id").cogroup(words.groupBy("job_id")).applyInPandas(run, "job_id long, no long, text string, start_ms long, end_ms long")
+def aligned_sentences(sentences: DataFrame, words: DataFrame, least_share: float = 0.7, astray: int = 20) -> DataFrame:
+    """job_id, no, text, start_ms, end_ms: times of a script's sentences (job_id, no, text) from the words heard; a job that doesn't fit, or whose times would run backwards, gives no row.
+
+    Words and runs of three words that stand once in the script and once in what was heard are anchors, found by an equi-join.
+    Anchors more than `astray` words off the median of their neighbours go, as do those before an earlier one. Between two
+    anchors a word's place is interpolated. A job fits if the characters of words that are the same at their place are
+    least_share of all, counted on both sides.
+    """
+    tokens = sentences.select("job_id", "no", F.posexplode(F.split("text", r"\s+")).alias("i", "word"))
+    script, heard = _placed(tokens, ["no", "i"]), _placed(words, ["start_ms", "end_ms", "word"])
+    met = _grams(script, "s").join(_grams(heard, "h"), ["job_id", "gram"]).groupBy("job_id", "s").agg(F.min("h").alias("h"))
+    w = Window.partitionBy("job_id").orderBy("s")
+    off = F.col("h") - F.col("s")
+    near = met.withColumn("_m", F.percentile_approx(off, 0.5).over(w.rowsBetween(-4, 4))).filter(F.abs(off - F.col("_m")) <= astray)
+    anchors = near.withColumn("_most", F.max("h").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter("_most IS NULL OR h > _most").select("job_id", F.col("s").alias("at"), F.struct("s", "h").alias("anchor"))
+    by_place = Window.partitionBy("job_id").orderBy("at")
+    line = script.join(anchors, ["job_id", "at"], "left")
+    line = line.withColumns({"a": F.last("anchor", True).over(by_place.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first("anchor", True).over(by_place.rowsBetween(0, Window.unboundedFollowing))})
+    between = F.col("a.h") + F.round((F.col("at") - F.col("a.s")) * (F.col("b.h") - F.col("a.h")) / F.greatest(F.col("b.s") - F.col("a.s"), F.lit(1))).cast("int")
+    place = F.coalesce(between, F.col("a.h") + F.col("at") - F.col("a.s"), F.col("b.h") + F.col("at") - F.col("b.s"))
+    sizes = heard.groupBy("job_id").agg(F.count("*").alias("n_heard"), F.sum(F.length("w")).alias("heard_chars"))
+    placed = line.join(sizes, "job_id").withColumn("h", F.greatest(F.lit(0), F.least(place, F.col("n_heard") - 1)).cast("int")).filter("h IS NOT NULL")
+    spoken = heard.select("job_id", F.col("at").alias("h"), F.col("w").alias("_heard"), "start_ms", "end_ms")
+    both = placed.join(spoken, ["job_id", "h"])
+    same = F.sum(F.when(F.col("w") == F.col("_heard"), F.length("w")).otherwise(0))
+    fit = both.groupBy("job_id").agg((2 * same / (F.sum(F.length("w")) + F.max("heard_chars"))).alias("share")).filter(F.col("share") >= least_share).select("job_id")
+    found = both.join(fit, "job_id").groupBy("job_id", "no").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # A sentence begins behind the one before it, if it has a word left there.
+    in_order = Window.partitionBy("job_id").orderBy("no")
+    begun = found.withColumn("lo", F.least("hi", F.greatest("lo", F.coalesce(F.max("hi").over(in_order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(0)))))
+    time = lambda c, name: spoken.select("job_id", F.col("h").alias(c), F.col(name))
+    timed = begun.join(time("lo", "start_ms"), ["job_id", "lo"]).join(time("hi", "end_ms"), ["job_id", "hi"])
+    back = (F.col("end_ms") <= F.col("start_ms")) | F.coalesce(F.col("start_ms") < F.lag("end_ms").over(in_order), F.lit(False))
+    wrong = timed.withColumn("_back", back).filter("_back").select("job_id").distinct()
+    return timed.join(wrong, "job_id", "left_anti").join(sentences, ["job_id", "no"]).select("job_id", "no", T.stripped(F.col("text")).alias("text"), "start_ms", "end_ms")
+
+
+def rebuilt_cells(cues: DataFrame, aligned: DataFrame) -> DataFrame:
+    """job_id, idx, start_ms, end_ms, text_stt, text_llm, text_final, reviewed: the track of each job made anew from its aligned sentences, with times alone left to review.
+
+    Jobs without aligned sentences stay as they are, and so do those whose cues already hold the same sentences in order, so a
+    second run changes nothing.
+    """
+    key = lambda c: F.regexp_replace(c, "[^가-힣0-9a-zA-Z]", "")
+    script = lambda df, order, text: df.groupBy("job_id").agg(F.sha2(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(order, key(F.col(text)).alias("k")))), lambda x: x["k"])), 256).alias("_script"))
+    same = script(cues, "idx", "text_llm").join(script(aligned, "no", "text"), ["job_id", "_script"]).select("job_id")
+    new = aligned.join(same, "job_id", "left_anti")
+    columns = ["job_id", "idx", "start_ms", "end_ms", "text_stt", "text_llm", "text_final", "reviewed"]
+    idx = (F.row_number().over(Window.partitionBy("job_id").orderBy("no")) - 1).cast("long")
+    fresh = new.withColumn("idx", idx).select("job_id", "idx", "start_ms", "end_ms", F.col("text").alias("text_stt"), F.col("text").alias("text_llm"), F.lit("").alias("text_final"), F.lit(False).alias("reviewed"))
+    return cues.join(new.select("job_id").distinct(), "job_id", "left_anti").select(*columns).unionByName(fresh)
 
 
 def annotated(cues: DataFrame, lexicon: DataFrame, most: int = 6) -> DataFrame:
@@ -242,7 +284,7 @@ def annotated(cues: DataFrame, lexicon: DataFrame, most: int = 6) -> DataFrame:
     glyphs = rows.select("id", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit("([가-힣]+) ([가-힣]) 자"), F.lit(1)).alias("g"), F.regexp_extract_all("text", F.lit("([가-힣]+) ([가-힣]) 자"), F.lit(2)).alias("r"))).alias("m")).select("id", F.col("m.g").alias("gloss"), F.col("m.r").alias("reading"))
     a = glyphs.join(lexicon.filter("gloss <> ''"), ["gloss", "reading"]).select("id", F.lit(0).alias("o"), F.concat(F.lit("(?<![가-힣])"), "gloss", F.lit(" "), "reading", F.lit(" 자")).alias("find"), F.concat("gloss", F.lit(" "), "reading", F.lit("("), "hanja", F.lit(") 자")).alias("put"))
     tokens = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[가-힣]{2,}(?!\\()"), F.lit(0)))).alias("token"))
-    heads = tokens.select("id", "token", F.explode(F.sequence(F.lit(2), F.least(F.length("token"), F.lit(10)))).alias("k")).withColumn("reading", F.left("token", F.col("k"))).withColumn("tail", F.substr("token", F.col("k") + 1))
+    heads = tokens.select("id", "token", F.explode(F.sequence(F.lit(2), F.length("token"))).alias("k")).withColumn("reading", F.left("token", F.col("k"))).withColumn("tail", F.substr("token", F.col("k") + 1))
     fit = (F.col("tail") == "") | F.col("tail").isin(*korean.PARTICLES)
     b = heads.filter(fit).join(lexicon.filter("gloss = '' AND tier = 'special'"), "reading").groupBy("id", "token").agg(F.max_by(F.struct("reading", "hanja", "tail"), F.length("reading")).alias("m"))
     b = b.select("id", F.lit(1).alias("o"), F.concat(F.lit("(?<![가-힣])"), "token", F.lit("(?![가-힣(])")).alias("find"), F.concat("m.reading", F.lit("("), F.col("m.hanja"), F.lit(")"), F.col("m.tail")).alias("put"))

@@ -59,12 +59,11 @@ def f8_reading_speed(spark, sf_dir):
     return X.cues(spark, sf_dir).select("id", T.solid_length(work).alias("chars"), F.greatest(T.duration_ms(), F.lit(100)).alias("ms"), T.is_too_fast(work).alias("too_fast"))
 
 
-TERMS = """(SELECT word AS form FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM benchmark) GROUP BY word ORDER BY count(*) DESC, word LIMIT 60)"""
+TERMS = """(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS form FROM benchmark)"""
 
 
-def top_terms(spark, sf_dir, n=60):
-    words = X.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("form"))
-    return words.groupBy("form").count().orderBy(F.desc("count"), "form").limit(n).select("form")
+def forms(spark, sf_dir):
+    return X.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("form")).distinct()
 
 
 HAY = f"({WORK} || ' ' || text_caption)"
@@ -74,18 +73,18 @@ HAY = f"({WORK} || ' ' || text_caption)"
 def f6_low_risk(spark, sf_dir):
     cues = X.short_cues(spark, sf_dir)
     hay = F.concat_ws(" ", T.work_text(), "text_caption")
-    return quality.low_risk(cues, quality.mentions(cues, hay, top_terms(spark, sf_dir))).select("id")
+    return quality.low_risk(cues, quality.mentions(cues, hay, forms(spark, sf_dir))).select("id")
 
 
-@query("f7_needs_model", f"SELECT id FROM {X.CUES_SQL} c WHERE regexp_replace(coalesce(nullif(text_llm, ''), text_stt), {STRIP}) <> '' AND (flagged OR EXISTS (SELECT 1 FROM {TERMS} t WHERE contains(coalesce(nullif(text_llm, ''), text_stt), t.form)))")
+@query("f7_needs_model", f"SELECT id FROM {X.CUES_SQL} c WHERE regexp_replace(coalesce(nullif(text_llm, ''), text_stt), {STRIP}) <> '' AND (flagged OR EXISTS (SELECT 1 FROM {TERMS} t WHERE contains(coalesce(nullif(text_llm, ''), text_stt) || ' ' || text_caption, t.form)))")
 def f7_needs_model(spark, sf_dir):
     cues = X.cues(spark, sf_dir)
-    return quality.needs_model(cues, quality.mentions(cues, T.machine_text(), top_terms(spark, sf_dir))).select("id")
+    return quality.needs_model(cues, quality.mentions(cues, F.concat_ws(" ", T.machine_text(), "text_caption"), forms(spark, sf_dir))).select("id")
 
 
 @query("j15_term_mentions", f"SELECT id, form FROM {X.CUES_SQL}, {TERMS} t WHERE contains({WORK}, form)")
 def j15_term_mentions(spark, sf_dir):
-    return quality.mentions(X.cues(spark, sf_dir), T.work_text(), top_terms(spark, sf_dir))
+    return quality.mentions(X.cues(spark, sf_dir), T.work_text(), forms(spark, sf_dir))
 
 
 @query("f12_script_guard", r"SELECT doc_id, length(regexp_replace(text, '[^가-힣]', '', 'g')) AS hangul, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, hangul < latin AS rejected FROM documents")
@@ -110,10 +109,10 @@ def x1_speaker_marks(spark, sf_dir):
     return X.cues(spark, sf_dir).select("id", T.without_speaker_marks(F.concat(F.lit(">> "), "text_stt", F.lit(" > x"))).alias("clean"))
 
 
-@query("x2_normal_forms", rf"SELECT doc_id, md5(regexp_replace(text, '[^\p{{L}}\p{{N}}_]+', '', 'g')) AS words, md5({COMPACT.format('text')}) AS compact, md5(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS alnum FROM documents WHERE regexp_matches(text, '^[\x01-\x7F]*$')")
+@query("x2_normal_forms", rf"SELECT doc_id, md5(regexp_replace(text, '[^\p{{L}}\p{{N}}_]+', '', 'g')) AS words, md5({COMPACT.format('text')}) AS compact, md5(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS alnum FROM documents")
 def x2_normal_forms(spark, sf_dir):
     t = F.col("text")
-    return X.table(spark, sf_dir, "documents").filter(t.rlike(r"^[\x01-\x7F]*$")).select("doc_id", F.md5(T.words_only(t)).alias("words"), F.md5(T.compact(t)).alias("compact"), F.md5(T.alnum_only(t)).alias("alnum"))
+    return X.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.words_only(t)).alias("words"), F.md5(T.compact(t)).alias("compact"), F.md5(T.alnum_only(t)).alias("alnum"))
 
 
 def _sino_sql(n: str) -> str:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.operators import editing
+from cuelake.operators import editing, quality
 from cuelake.plans import fixtures as X
-from cuelake.plans.cues import WORK
+from cuelake.plans.cues import TERMS as TERM_FORMS
+from cuelake.plans.cues import WORK, forms
 from cuelake.plans.registry import query
 
 RENUMBERED = "row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms, id) - 1 AS idx"
@@ -120,12 +121,15 @@ def e17_spell_routing(spark, sf_dir):
     return editing.cached_stage(lines, memo, "spell", "s1", 100)
 
 
-@query("e16_correct_routing", f"""WITH l AS (SELECT id, text_stt AS text, substr(sha256('c7' || chr(31) || text_stt), 1, 20) AS h FROM {X.CUES_SQL} WHERE flagged), k AS (SELECT DISTINCT h, lower(text) AS known FROM l WHERE id % 2 = 0), r AS (SELECT id, text, known, CASE WHEN known IS NOT NULL THEN 'cached' ELSE 'todo' END AS route FROM l LEFT JOIN k USING (h))
-SELECT id, CASE WHEN route <> 'todo' THEN route WHEN row_number() OVER (PARTITION BY route ORDER BY id) <= 50 THEN 'sent' ELSE 'later' END AS route, coalesce(known, text) AS text FROM r""")
+@query("e16_correct_routing", f"""WITH l AS (SELECT job_id, id, text_stt AS text, substr(sha256('c7' || chr(31) || text_stt), 1, 20) AS h, flagged OR EXISTS (SELECT 1 FROM {TERM_FORMS} t WHERE contains(coalesce(nullif(text_llm, ''), text_stt) || ' ' || text_caption, t.form)) AS needed FROM {X.CUES_SQL} c),
+k AS (SELECT DISTINCT h, lower(text) AS known FROM l WHERE id % 2 = 0), r AS (SELECT job_id, id, text, known, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 'blank' WHEN NOT needed THEN 'skipped' WHEN known IS NOT NULL THEN 'cached' ELSE 'sent' END AS route FROM l LEFT JOIN k USING (h))
+SELECT job_id, id, route, CASE WHEN route = 'sent' THEN (row_number() OVER (PARTITION BY job_id, route ORDER BY id) - 1) // 50 END AS chunk, CASE WHEN route = 'cached' THEN known ELSE text END AS text FROM r""")
 def e16_correct_routing(spark, sf_dir):
-    lines = X.cues(spark, sf_dir).filter("flagged").select("id", F.col("text_stt").alias("text"))
-    memo = lines.filter("id % 2 = 0").select(F.lit("correct").alias("kind"), T.content_hash(20, F.lit("c7"), F.col("text")).alias("source_hash"), F.lower("text").alias("text"))
-    return editing.cached_stage(lines, memo, "correct", "c7", 50)
+    cues = X.cues(spark, sf_dir)
+    needed = quality.needs_model(cues, quality.mentions(cues, F.concat_ws(" ", T.machine_text(), "text_caption"), forms(spark, sf_dir))).select("id", F.lit(True).alias("_needed"))
+    lines = cues.join(needed, "id", "left").select("job_id", "id", F.col("text_stt").alias("text"), F.coalesce("_needed", F.lit(False)).alias("needed"))
+    memo = lines.filter("id % 2 = 0").select(T.content_hash(20, F.lit("c7"), F.col("text")).alias("source_hash"), F.lower("text").alias("text"))
+    return editing.correction_routes(lines, memo, "c7")
 
 
 @query("e19_clone", f"SELECT count(*) AS n, count(DISTINCT job_id) AS jobs, sum(end_ms - start_ms)::BIGINT AS ms FROM {X.CUES_SQL} WHERE job_id = 3")

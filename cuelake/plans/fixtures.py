@@ -23,7 +23,9 @@ CUE = {
     "reviewed": "(conv_id + turn) % 3 <> 0",
     "hold": "(conv_id * 7 + turn) % 13 = 0",
 }
-SHORT = {**CUE, "text_stt": "replace(substring(text, 1, 40), 'th', 't')", "text_caption": "replace(substring(text, 1, 40), 'an', 'am')", "text_llm": "''", "text_final": "substring(text, 1, 40)"}
+#: Cues of 40 characters each, as many as a turn has.
+SHORT = {**CUE, "id": "conv_id * 1000000 + turn", "text_llm": "''", "text_final": "text"}
+PIECES = "(SELECT conv_id, turn * 1000 + p AS turn, substring(text, p * 40 + 1, 40) AS text FROM (SELECT *, unnest(range(0, greatest(1, (length(text) + 39) // 40))) AS p FROM conversations))"
 CAPTION = {"job_id": "conv_id", "cap_id": "conv_id * 1000 + turn", "start_ms": CUE["start_ms"] + " + 400", "end_ms": CUE["end_ms"] + " + 400", "text": "replace(text, 'an', 'am')"}
 FORKED = {"job_id": "conv_id", "idx": "turn", "id": "conv_id * 1000 + turn + 500", "lang": "'ja'", "start_ms": CUE["start_ms"] + " + 150 * (turn % 3)", "end_ms": CUE["end_ms"] + " + 150 * (turn % 3)", "text": "replace(text, 'e', 'i')", "reviewed": "turn % 2 = 0"}
 RENDITION = {"cue_id": "conv_id * 1000 + turn", "job_id": "conv_id", "lang": "case when turn % 4 = 0 then 'ja' else 'fr' end", "text": "replace(text, 'a', 'o')", "hash_of": "case when turn % 5 = 0 then replace(text, 'e', 'x') else text end", "reviewed": "turn % 4 = 2", "edited": "turn % 7 = 0"}
@@ -36,7 +38,7 @@ def sql(columns: dict[str, str], table: str, where: str | None = None) -> str:
 
 
 CUES_SQL = sql(CUE, "conversations")
-SHORT_SQL = sql(SHORT, "conversations")
+SHORT_SQL = sql(SHORT, PIECES)
 CAPTIONS_SQL = sql(CAPTION, "conversations", "turn % 4 <> 3")
 FORKED_SQL = sql(FORKED, "conversations", "conv_id % 4 = 0")
 RENDITIONS_SQL = sql(RENDITION, "conversations", "(conv_id + turn) % 2 = 0")
@@ -59,7 +61,9 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(table(spark, sf_dir, "conversations"), SHORT)
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 40)).cast("int")
+    each = table(spark, sf_dir, "conversations").withColumn("p", F.explode(F.sequence(F.lit(0), n - 1)))
+    return shaped(each.selectExpr("conv_id", "turn * 1000 + p AS turn", "substring(text, p * 40 + 1, 40) AS text"), SHORT)
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,16 +195,18 @@ def l15_annotations(spark, sf_dir):
     return learning.mined_annotations(spelled)
 
 
-@query("x21_edit_distance", f"SELECT id, levenshtein(a, b) AS edits, length(a) AS n FROM (SELECT id, regexp_replace(substr(text_final, 1, 200), '[^a-z ]', '', 'g') AS a, regexp_replace(substr(text_stt, 1, 200), '[^a-z ]', '', 'g') AS b FROM {X.CUES_SQL} WHERE reviewed)")
+@query("x21_edit_distance", f"SELECT id, levenshtein(a, b) AS edits, length(a) AS n FROM (SELECT id, regexp_replace(text_final, '[^a-z ]', '', 'g') AS a, regexp_replace(text_stt, '[^a-z ]', '', 'g') AS b FROM {X.CUES_SQL} WHERE reviewed)")
 def x21_edit_distance(spark, sf_dir):
-    plain = lambda c: F.regexp_replace(F.substring(c, 1, 200), "[^a-z ]", "")
+    plain = lambda c: F.regexp_replace(c, "[^a-z ]", "")
     rows = X.cues(spark, sf_dir).filter("reviewed").select("id", plain("text_final").alias("a"), plain("text_stt").alias("b"))
     return rows.select("id", F.levenshtein("a", "b").alias("edits"), F.length("a").alias("n"))
 
 
 @query("x22_k13_evaluation")
 def x22_k13_evaluation(spark, sf_dir):
-    return quality.evaluated(X.cues(spark, sf_dir)).withColumn("edits_gained", F.col("edits_stt") - F.col("edits_llm"))
+    """Error rates of each job, and what the corrections have gained."""
+    imported = X.media(spark, sf_dir).filter("job_id % 4 = 0").select("job_id")
+    return quality.evaluated(X.cues(spark, sf_dir), X.media(spark, sf_dir), imported).withColumn("gain", F.round(F.col("cer_stt") - F.col("cer_llm"), 4))
 
 
 @query("x6_agreement")

@@ -18,11 +18,11 @@ def j6_overlap_text(spark, sf_dir):
     return intervals.overlap_text(X.cues(spark, sf_dir), X.captions(spark, sf_dir))
 
 
-@query("j7_overlap_text_without_repeats", f"""WITH p AS (SELECT a.id, left(b.text, 2) AS text, b.start_ms, b.cap_id FROM {X.CUES_SQL} a JOIN {X.CAPTIONS_SQL} b ON {MEET}),
+@query("j7_overlap_text_without_repeats", f"""WITH p AS (SELECT a.id, CASE WHEN b.cap_id % 4 IN (1, 2) THEN 'the same line' ELSE b.text END AS text, b.start_ms, b.cap_id FROM {X.CUES_SQL} a JOIN {X.CAPTIONS_SQL} b ON {MEET}),
 q AS (SELECT *, lag(text) OVER (PARTITION BY id ORDER BY start_ms, cap_id) AS before FROM p)
 SELECT c.id, coalesce(string_agg(text, ' ' ORDER BY q.start_ms, cap_id) FILTER (before IS NULL OR before <> text), '') AS text FROM {X.CUES_SQL} c LEFT JOIN q ON q.id = c.id GROUP BY c.id""")
 def j7_overlap_text_without_repeats(spark, sf_dir):
-    return intervals.overlap_text(X.cues(spark, sf_dir), X.captions(spark, sf_dir).withColumn("text", F.left("text", F.lit(2))), without_repeats=True)
+    return intervals.overlap_text(X.cues(spark, sf_dir), X.captions(spark, sf_dir).withColumn("text", F.when((F.col("cap_id") % 4).isin(1, 2), "the same line").otherwise(F.col("text"))), without_repeats=True)
 
 
 @query("j8_best_overlap", f"SELECT id, match, overlap_ms FROM (SELECT a.id, b.id AS match, {OVER} AS overlap_ms, row_number() OVER (PARTITION BY a.id ORDER BY {OVER} DESC, b.start_ms, b.id) AS n FROM {X.CUES_SQL} a JOIN {X.FORKED_SQL} b ON {MEET}) WHERE n = 1")
@@ -35,10 +35,10 @@ def j9_dominant_overlap(spark, sf_dir):
     return intervals.dominant_overlap(X.forked(spark, sf_dir), X.cues(spark, sf_dir))
 
 
-@query("j10_nearest_same_text", f"""WITH a AS (SELECT job_id, id, start_ms, left({KEY.replace('text', 'text_stt')}, 1) AS k FROM {X.CUES_SQL}), b AS (SELECT job_id, id, start_ms, left({KEY.replace('text', 'text_stt')}, 1) AS k FROM {X.CUES_SQL})
+@query("j10_nearest_same_text", f"""WITH a AS (SELECT job_id, id, start_ms, CASE WHEN idx % 3 > 0 THEN 'thesameline' ELSE {KEY.replace('text', 'text_stt')} END AS k FROM {X.CUES_SQL}), b AS (SELECT job_id, id, start_ms, CASE WHEN idx % 3 > 0 THEN 'thesameline' ELSE {KEY.replace('text', 'text_stt')} END AS k FROM {X.CUES_SQL})
 SELECT id, match, away_ms FROM (SELECT a.id, b.id AS match, abs(a.start_ms - b.start_ms - 9000) AS away_ms, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.start_ms - b.start_ms - 9000), b.id) AS n FROM a JOIN b ON a.job_id = b.job_id AND a.k = b.k AND a.k <> '' WHERE abs(a.start_ms - b.start_ms - 9000) <= 20000) WHERE n = 1""")
 def j10_nearest_same_text(spark, sf_dir):
-    cues = X.cues(spark, sf_dir).withColumn("text", F.left(F.regexp_replace("text_stt", r"[^\p{L}\p{N}_]+", ""), F.lit(1)))
+    cues = X.cues(spark, sf_dir).withColumn("text", F.when(F.col("idx") % 3 > 0, "the same line").otherwise(F.col("text_stt")))
     return intervals.nearest_same_text(cues, cues.withColumn("start_ms", F.col("start_ms") + 9000))
 
 

@@ -73,6 +73,11 @@ def x19_x20_aligned_sentences(spark, sf_dir):
     return speech.aligned_sentences(sentences, words)
 
 
+@query("x20_rebuilt_cells")
+def x20_rebuilt_cells(spark, sf_dir):
+    return speech.rebuilt_cells(X.cues(spark, sf_dir).filter("job_id % 5 > 0 OR idx > 0"), x19_x20_aligned_sentences(spark, sf_dir))
+
+
 @query("x31_x32_annotated")
 def x31_x32_annotated(spark, sf_dir):
     lexicon = spark.createDataFrame([("얼굴", "안", "顔", "common"), ("", "해탈", "解脫", "special"), ("", "오온", "五蘊", "special")], "gloss string, reading string, hanja string, tier string")

@@ -232,3 +232,88 @@ def test_mentions_of_long_forms(spark):
     forms = spark.createDataFrame([(long,), (long[:40],), (long[:41],), ("bc",)], "form string")
     got = sorted(tuple(r) for r in quality.mentions(cues, F.col("text"), forms).collect())
     assert got == sorted([(1, long), (1, long[:40]), (1, long[:41]), (2, long[:40]), (2, long[:41]), (3, "bc")])
+
+
+def test_rebuilt_cells_are_idempotent(spark):
+    cues = spark.createDataFrame([(1, 0, 0, 900, "one two", "one two", "", True), (2, 0, 0, 900, "kept", "kept", "kept", True)], "job_id long, idx long, start_ms long, end_ms long, text_stt string, text_llm string, text_final string, reviewed boolean")
+    aligned = spark.createDataFrame([(1, 0, "One.", 10, 400), (1, 1, "Two.", 400, 800)], "job_id long, no long, text string, start_ms long, end_ms long")
+    once = speech.rebuilt_cells(cues, aligned)
+    rows = sorted(tuple(r) for r in once.collect())
+    assert rows == [(1, 0, 10, 400, "One.", "One.", "", False), (1, 1, 400, 800, "Two.", "Two.", "", False), (2, 0, 0, 900, "kept", "kept", "kept", True)]
+    moved = once.withColumn("start_ms", F.col("start_ms") + 1)
+    assert sorted(tuple(r) for r in speech.rebuilt_cells(moved, aligned).collect()) == sorted(tuple(r) for r in moved.collect())
+
+
+def test_sentences_are_found_among_errors(spark):
+    import random
+
+    r = random.Random(4)
+    script = [[f"w{r.randint(0, 400)}" for _ in range(r.randint(3, 9))] for _ in range(60)]
+    heard, at, truth = [], 0, []
+    for no, sentence in enumerate(script):
+        first = at
+        for w in sentence:
+            if r.random() > 0.06:
+                heard.append((1, at, at + 90, w if r.random() > 0.06 else "noise"))
+            at += 100
+        truth.append((first, at - 10))
+    sentences = spark.createDataFrame([(1, n, " ".join(s)) for n, s in enumerate(script)], "job_id long, no long, text string")
+    got = {x.no: x for x in speech.aligned_sentences(sentences, spark.createDataFrame(heard, "job_id long, start_ms long, end_ms long, word string")).collect()}
+    near = sum(abs(got[n].start_ms - a) <= 200 and abs(got[n].end_ms - b) <= 200 for n, (a, b) in enumerate(truth) if n in got)
+    assert near >= 54 and all(got[n].start_ms < got[n].end_ms for n in got)
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_error_rates_of_joined_texts(spark):
+    rows = [(1, 0, 1, "ein Satz", "ein Saz", "", True), (1, 1, 2, "", "weg", "", True), (1, 2, 3, "ganz anders lang", "kurz", "ganz anders, lang", True), (1, 3, 4, "offen", "offen", "", False), (2, 0, 5, "übung", "bung", "", True), (3, 0, 6, "gleich!", "Gleich", "", True)]
+    cues = spark.createDataFrame(rows, "job_id long, idx long, id long, text_final string, text_stt string, text_llm string, reviewed boolean")
+    media = spark.createDataFrame([(1, "t" * 50, False, 7), (2, "t", True, 8), (3, "u", False, 9)], "job_id long, title string, practice boolean, created long")
+    got = {r.job_id: r for r in quality.evaluated(cues, media, spark.createDataFrame([(3,)], "job_id long")).collect()}
+    ref, stt, llm = "ein satz ganz anders lang", "ein saz kurz", "ein saz ganz anders lang"
+    assert set(got) == {1, 3} and got[1].title == "t" * 40 and (got[1].n_reviewed, got[1].n_matched, got[1].source) == (2, 1, "app")
+    assert got[1].cer_stt == round(brute_distance(ref, stt) / len(ref), 4) and got[1].cer_llm == round(brute_distance(ref, llm) / len(ref), 4)
+    assert got[1].cer_matched == round(brute_distance("ein satz", "ein saz") / 8, 4) and (got[3].cer_stt, got[3].source) == (0.0, "srt")
+
+
+def test_correction_routes_send_all(spark):
+    lines = spark.createDataFrame([(1, i, f"text {i}", i > 0) for i in range(121)] + [(2, 500, " ", True)], "job_id long, id long, text string, needed boolean")
+    memo = lines.filter("id = 7").select(T.content_hash(20, F.lit("c"), F.col("text")).alias("source_hash"), F.lit("known").alias("text"))
+    got = {r.id: r for r in editing.correction_routes(lines, memo, "c").collect()}
+    assert (got[0].route, got[7].route, got[7].text, got[500].route) == ("skipped", "cached", "known", "blank")
+    assert [sum(r.chunk == c for r in got.values()) for c in range(3)] == [50, 50, 19]
+
+
+def test_long_readings_are_filled_in(spark):
+    reading = "가나다라마바사아자차카타"
+    lexicon = spark.createDataFrame([("", reading, "漢字", "special")], "gloss string, reading string, hanja string, tier string")
+    cues = spark.createDataFrame([(1, f"앞 {reading}를 뒤", "", "")], "id long, text_final string, text_llm string, text_stt string")
+    assert speech.annotated(cues, lexicon).first().text == f"앞 {reading}(漢字)를 뒤"
+
+
+def test_cut_places_against_the_definition():
+    """The first word at which a condition holds ends the line, found by trying each."""
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        at, w = 0, []
+        for k in range(r.randint(1, 25)):
+            at += r.choice([0, 50, 300, 650, 750])
+            w.append((at, at + 200, (" " if k == 0 or r.random() > 0.15 else "") + "가" * r.randint(1, 8) + r.choice(["", "", "다", "."])))
+            at += 200
+        got = speech.cut_places(words(*w), 8, 15)
+        assert got[-1] == len(w) - 1 and got == sorted(set(got))
+        assert all(i + 1 == len(w) or w[i + 1][2].startswith(" ") for i in got)
+        for a, b in zip([-1, *got[:-2]], got[:-1]):
+            line = "".join(x[2] for x in w[a + 1 : b + 1]).strip()
+            glued = [i for i in range(a + 1, b) if w[i + 1][2].startswith(" ")]
+            assert not glued or len("".join(x[2] for x in w[a + 1 : glued[-1] + 1]).strip()) < 15
+            assert len(line) >= 8 or w[b + 1][0] - w[b][1] >= 600 or w[b][1] - w[a + 1][0] >= speech.LONGEST or line.endswith((".", "다"))
