@@ -18,8 +18,9 @@ BLOCK = 128
 #: `[0-9a-f]+` meets a short run in most words; runs are maximal, so asking for the least length finds the same spans.
 FAST = {"hex": r"[0-9a-f]{24,}"}
 MARKOV = "markov"
-#: A run that an assignment begins in, however long its value, or one of 20 characters and more.
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_=-]*?{BASE[0][1]}|[A-Za-z0-9+/_=-]{{20,}})"
+#: Runs of 20 characters and more; and for texts with assignments also the runs that these begin in, so that they aren't taken for runs of their own.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+BESIDE_ASSIGNMENTS = rf"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_=-]*?{BASE[0][1]}|{CANDIDATE})"
 #: Labelled samples of each class that the Markov models are trained on.
 TRAINING_TOKENS = 4000
 #: Words that ordinary identifiers are made of.
@@ -35,6 +36,11 @@ IDENTIFIER_WORDS = (
 ALPHABET = 96
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value worked out once a row, even where f uses it inside a function of arrays."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def scanned(values: Column, start: Column, step, kind: str) -> Column:
     """An array of what step(state, value) gives for each value in turn: a struct of the next state and an out of type `kind`.
 
@@ -45,29 +51,32 @@ def scanned(values: Column, start: Column, step, kind: str) -> Column:
     each = lambda acc, v: F.transform(F.array(step(acc["state"], v)), lambda s: F.struct(s["state"].alias("state"), F.concat(acc["outs"], F.array(s["out"])).alias("outs")))[0]
     inner = lambda acc, block: F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("outs")), each)
     outer = lambda acc, block: F.transform(F.array(inner(acc, block)), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["blocks"], F.array(x["outs"])).alias("blocks")))[0]
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
-    whole = F.aggregate(blocks, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks")), outer, lambda acc: F.flatten(acc["blocks"]))
-    return F.when(F.size(values) > 0, whole).otherwise(none)
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+    whole = lambda v: F.aggregate(blocks(v), F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks")), outer, lambda acc: F.flatten(acc["blocks"]))
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
 
 
 def spans_of(text: Column, pattern: str) -> Column:
     """Leftmost, non-overlapping matches as an array of (start, end, match), in code points: what lies between them, from split, gives the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-
     def step(at: Column, x: Column) -> Column:
         start = at + F.length(x["gap"])
         end = start + F.length(x["match"])
         return F.struct(end.alias("state"), F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    return scanned(pairs, F.lit(0), step, "struct<start:int,end:int,match:string>")
+    kind = "struct<start:int,end:int,match:string>"
+
+    def of(found: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
+        return F.when(F.size(found) > 0, scanned(pairs, F.lit(0), step, kind)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
-def base_spans(text: Column, kind: str) -> Column:
+def long_enough(spans: Column, kind: str) -> Column:
+    """The spans of a kind of BASE whose measured part has its least length."""
     _, pattern, part, least = next(b for b in BASE if b[0] == kind)
     measured = (lambda m: F.length(F.regexp_extract(m, pattern, part))) if part else F.length
-    return F.filter(spans_of(text, FAST.get(kind, pattern)), lambda s: measured(s["match"]) >= least)
+    return F.filter(spans, lambda s: measured(s["match"]) >= least)
 
 
 def labelled_tokens(spark: SparkSession, n: int = TRAINING_TOKENS) -> DataFrame:
@@ -122,7 +131,7 @@ def log_ratio(token: Column, model: list[float]) -> Column:
 def secret_spans(docs: DataFrame, text_col: str = "text", out_col: str = "_spans", model: list[float] | None = None, threshold: float = 0.5) -> DataFrame:
     """docs with a column out_col: array of (start, end, kind), in order of start, then kind as BASE lists them, the method's own last.
 
-    Base spans are the matches of BASE whose measured part is long enough. The method adds the runs of CANDIDATE that hold a
+    Base spans are the matches of BASE whose measured part is long enough. The method adds the runs of 20 characters that hold a
     letter and a digit, touch no assignment, hold no access key or long hex run, and whose mean log-likelihood ratio is at
     least threshold; each of these is seen from the run itself. Null counts as empty.
     """
@@ -130,12 +139,16 @@ def secret_spans(docs: DataFrame, text_col: str = "text", out_col: str = "_spans
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = {kind: k for k, kind in enumerate([*(b[0] for b in BASE), MARKOV])}
     tagged = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order[kind]).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-    base = docs.withColumn("_base", F.concat(*(tagged(base_spans(text, kind), kind) for kind, *_ in BASE)))
+    patterns = {kind: FAST.get(kind, pattern) for kind, pattern, *_ in BASE}
+    assigned = docs.withColumn("_assign", spans_of(text, patterns["assign"]))
+    spans = {kind: F.col("_assign") if kind == "assign" else spans_of(text, pattern) for kind, pattern in patterns.items()}
+    base = assigned.withColumn("_base", F.concat(*(tagged(long_enough(spans[kind], kind), kind) for kind in patterns)))
     clear = lambda m: m.rlike("^[A-Za-z0-9+/_=-]+$") & ~m.rlike(BASE[0][1]) & ~m.rlike(r"AKIA[A-Z0-9]{16}") & ~m.rlike(r"[0-9a-f]{24}")
     likely = lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]") & clear(s["match"])
-    more = F.filter(F.filter(spans_of(text, CANDIDATE), likely), lambda s: log_ratio(s["match"], model) >= threshold)
+    runs = F.when(F.size("_assign") > 0, spans_of(text, BESIDE_ASSIGNMENTS)).otherwise(spans_of(text, CANDIDATE))
+    more = F.filter(F.filter(runs, likely), lambda s: log_ratio(s["match"], model) >= threshold)
     every = F.array_sort(F.concat("_base", tagged(more, MARKOV)))
-    return base.withColumn(out_col, F.transform(every, lambda s: F.struct(s["start"], s["end"], s["kind"]))).drop("_base")
+    return base.withColumn(out_col, F.transform(every, lambda s: F.struct(s["start"], s["end"], s["kind"]))).drop("_base", "_assign")
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None, threshold: float = 0.5) -> DataFrame:

@@ -304,9 +304,23 @@ def test_secret_scan(spark):
     assert text[900].startswith('é [secret]" Api_Key:short')
 
 
+def test_spans_of_a_text_with_very_many(spark):
+    """Thousands of spans, in blocks; runs that touch an assignment are left to it."""
+    r = random.Random(9)
+    pool = [f"{r.getrandbits(128):032x}" for _ in range(300)]
+    text = " ".join(["secret=abcdefgh12 xx_token=Zk3kQ9xW7vB1nM5pL8tR2y"] + [r.choice(pool) for _ in range(6000)])
+    found = secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert (found.n_assign, found.n_hex) == (2, len(want)) and "markov" not in found.spans
+    assert [tuple(map(int, s.split(":")[1:])) for s in found.spans.split(",") if s.startswith("hex")] == want
+    clean = secret_scan.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean == " ".join(["[secret] xx_[secret]"] + ["[secret]"] * 6000)
+
+
 def test_markov_models_part_random_from_ordinary(spark):
     model = secret_scan.train(secret_scan.labelled_tokens(spark, 1000))
-    fresh = secret_scan.labelled_tokens(spark, 1400).filter("length(token) >= 20").withColumn("llr", secret_scan.log_ratio(F.col("token"), model))
+    seen = secret_scan.labelled_tokens(spark, 1000).select("token")
+    fresh = secret_scan.labelled_tokens(spark, 2400).join(seen, "token", "left_anti").filter("length(token) >= 20").withColumn("llr", secret_scan.log_ratio(F.col("token"), model))
     right = fresh.select(((F.col("llr") >= 0.5) == F.col("is_random")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert right > 0.97
 
