@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from cuelake.functions.text import let, words_only
 
 #: Pronouns and demonstratives, whose meaning hangs on the context, and the particles that may follow them, in the order they are tried.
-REFERENCE_STEMS = "그 이 저 그것 이것 저것 그거 이거 저거 그녀 그분 이분 저분 그사람 이사람 저사람 그여자 이여자 저여자 그여인 이여인 저여인 그남자 이남자 저남자 그아이 이아이 저아이 그애 이애 저애 나 너 우리 당신 자기".split()
-PARTICLES = "에게서는 한테서는 께서는 이라는 라는 이라고 라고 처럼 보다 에게 한테 께서 께 에서 으로 부터 까지 밖에 마저 조차 마다 만큼 은 는 이 가 을 를 의 도 만 에 와 과 로 나 야".split()
+REFERENCE_STEMS = (
+    "그", "이", "저", "그것", "이것", "저것", "그거", "이거", "저거", "그녀", "그분", "이분", "저분", "그사람", "이사람", "저사람",
+    "그여자", "이여자", "저여자", "그여인", "이여인", "저여인", "그남자", "이남자", "저남자", "그아이", "이아이", "저아이", "그애", "이애", "저애", "나",
+    "너", "우리", "당신", "자기",
+)
+PARTICLES = (
+    "에게서는", "한테서는", "께서는", "이라는", "라는", "이라고", "라고", "처럼", "보다", "에게", "한테", "께서", "께", "에서", "으로", "부터",
+    "까지", "밖에", "마저", "조차", "마다", "만큼", "은", "는", "이", "가", "을", "를", "의", "도", "만", "에",
+    "와", "과", "로", "나", "야",
+)
+#: Ends of words in dialect.
 DIALECT_TAIL = "(해가|아가|어가|가꼬|아이가|니더|임더|데이|맞나)$"
 
 

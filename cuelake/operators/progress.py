@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.sources import storage
+
 
 def job_progress(cues: DataFrame) -> DataFrame:
     counts = cues.groupBy("job_id").agg(F.count("*").alias("n_total"), F.count_if("reviewed").alias("n_reviewed"))
@@ -49,6 +51,16 @@ def queue_places(requests: DataFrame, groups: int = 64) -> DataFrame:
     return open_.select("request_id", "status", "group_rank").join(placed, "request_id", "left")
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with place, 1 to n in the order given (which should have no ties): sorted in parts by range, written so that the parts stay as they are, numbered inside, and shifted by the sizes of the parts before."""
+    spark, folder = rows.sparkSession, storage.fresh_folder(rows.sparkSession, "numbered")
+    rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(folder)
+    laid = spark.read.parquet(folder).withColumn("_part", F.shiftright("_id", 33))
+    sizes = laid.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return laid.join(offsets, "_part").withColumn("place", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_before")
+
+
 def resume_target(jobs: DataFrame) -> DataFrame:
     """The unfinished job to go on with: most progress first, then newest."""
     share = F.col("n_reviewed") / F.greatest("n_total", F.lit(1))

@@ -90,8 +90,8 @@ def f11_job_search(spark, sf_dir):
 
 @query("t1_sorted_jobs", f"SELECT job_id, row_number() OVER (ORDER BY complete, coalesce(nullif(assignee, ''), '~'), n_reviewed DESC, job_id) AS place FROM {A3}")
 def t1_sorted_jobs(spark, sf_dir):
-    ordered = Window.orderBy("complete", F.coalesce(F.nullif("assignee", F.lit("")), F.lit("~")), F.desc("n_reviewed"), "job_id")
-    return jobs(spark, sf_dir).select("job_id", F.row_number().over(ordered).alias("place"))
+    order = ("complete", F.coalesce(F.nullif("assignee", F.lit("")), F.lit("~")), F.desc("n_reviewed"), "job_id")
+    return progress.numbered(jobs(spark, sf_dir), *order).select("job_id", F.col("place").cast("int").alias("place"))
 
 
 @query("t5_stratified_sample", f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY job_id) AS n FROM {X.CUES_SQL}) WHERE r % greatest(1, n // 3) = 0 AND r // greatest(1, n // 3) < 3")
