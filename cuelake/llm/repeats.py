@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,16 @@ from cuelake.llm.common import as_bytes, row_key, slices, written
 from cuelake.llm.shingles import OF_BYTE, mixed
 
 LENGTH = 400
-#: Contents of one anchor that one task compares; of an anchor with more, the windows are counted by their hash instead.
-MOST_CONTENTS = 8192
+#: Contents of one anchor that one task compares; those of an anchor with more are first dealt out anew, by further anchors.
+MOST_CONTENTS = 2048
 #: Suffixes of an interval that are looked at one by one; of a longer one, each byte's suffixes are searched instead.
 STEPS = 24
 #: Contents that are transformed at a time.
 AT_ONCE = 4096
 SEGMENT = 1 << 22
 POSITION_BITS = 24
-#: Of each half of a window's hash: a random number for every byte, and the odd number whose powers are the places.
-LANES = tuple((r.integers(1, 1 << 63, 256, dtype=np.uint64), r.integers(1, 1 << 62, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) for r in map(np.random.default_rng, (41, 43)))
+#: A run of windows: its row's key, where the text that it was found in begins, its first window, their end, their anchor, their group, the hash of the run's bytes, how many runs it stands for.
+RUN = "a long, b long, base long, first long, until long, anchor long, gram long, c long, d long, n long"
 
 
 def gram_size(length: int) -> int:
@@ -228,35 +229,62 @@ def compared(contents: DataFrame, length: int, at_once: int) -> DataFrame:
     return contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, first long, until long")
 
 
-def window_hashes(data: np.ndarray, length: int) -> list[np.ndarray]:
-    """128 bits of each window of data: two polynomials in an odd number over random numbers of the bytes, from sums up to each byte."""
-    out = []
-    for values, base in LANES:
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data) - 1, base)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * powers)])
-        # A window's sum begins at the power of its place, which the inverse takes away.
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data) - length, inverse)]))
-        out.append(mixed((sums[length:] - sums[:-length]) * back).view(np.int64))
-    return out
+def finer(contents: DataFrame, length: int, pieces: int) -> DataFrame:
+    """The contents' windows as runs again, by more than their anchor: the least n-gram of each of `pieces` equal parts of a window, and its place.
 
-
-def counted(contents: DataFrame, length: int) -> DataFrame:
-    """What compared() gives, for anchors with very many contents: windows are counted by a 128-bit hash of their bytes, summed before the shuffle."""
+    Windows that are equal have all of these in common, so they stay in one group; those of a hot anchor that differ part.
+    With as many pieces as bytes, a group holds the windows that are equal, and nothing is left to compare.
+    """
+    width = length // pieces
+    k = gram_size(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "content", 1 << 18):
             data, offsets = as_bytes(batch.column("content"))
-            sizes = np.diff(offsets) - length + 1
-            parts = [window_hashes(data[a:b], length) for a, b in zip(offsets[:-1], offsets[1:])]
-            first = np.repeat(batch.column("first").to_numpy(), sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            own = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("a", "b", "n")]
-            h, i = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own[0], own[1], first, own[2], h, i)], ["a", "b", "first", "n", "h", "i"])
+            raw = data.tobytes()
+            rows, out = {c: batch.column(c).to_numpy() for c in ("a", "b", "n", "first", "anchor", "gram")}, [[] for _ in range(6)]
+            for row, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                grams = np.zeros(end - begin - k + 1, np.uint64)
+                for j in range(k):
+                    grams = mixed_step(grams, OF_BYTE[data[begin + j : end - k + 1 + j]])
+                grams = mixed(grams)
+                keyed = (grams >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | np.arange(len(grams), dtype=np.uint64)
+                least = least_in_windows(keyed, width - k + 1)
+                windows = end - begin - length + 1
+                of_pieces = least[np.arange(windows)[:, None] + np.arange(pieces) * width]
+                first = np.flatnonzero(np.concatenate([[True], (of_pieces[1:] != of_pieces[:-1]).any(axis=1)]))
+                until = np.append(first[1:], windows)
+                places = (of_pieces[first] & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
+                place = int(rows["anchor"][row] - rows["first"][row])
+                key = np.full(len(first), rows["gram"][row]).view(np.uint64)
+                for j in range(pieces):
+                    key = mixed(mixed_step(mixed_step(key, grams[places[:, j]]), (places[:, j] - place).view(np.uint64)))
+                hashes = [hashlib.blake2b(raw[begin + s : begin + e - 1 + length], digest_size=16, salt=(place - s).to_bytes(8, "little")).digest() for s, e in zip(first.tolist(), until.tolist())]
+                content = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                for column, values in zip(out, (np.full(len(first), row), first, until, key.view(np.int64), content[:, 0], content[:, 1])):
+                    column.append(values)
+            if out[0]:
+                row, first, until, key, c, d = map(np.concatenate, out)
+                base = rows["first"][row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["a"][row], rows["b"][row], base, first + base, until + base, rows["anchor"][row], key, c, d, rows["n"][row])], RUN.replace(" long", "").split(", "))
 
-    windows = contents.mapInArrow(run, "a long, b long, first long, n long, h long, i long")
-    often = windows.groupBy("h", "i").agg(F.count("*").alias("_times")).filter("_times > 1").select(F.col("h").alias("_h"), F.col("i").alias("_i"))
-    return windows.filter("n = 1").join(often, (F.col("h") == F.col("_h")) & (F.col("i") == F.col("_i")), "left_semi").select("a", "b", "first", (F.col("first") + 1).alias("until"))
+    return contents.mapInArrow(run, RUN)
+
+
+def settled(these: DataFrame, texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Of runs: a table of the contents that have to be compared, with their bytes; and a, b, first, until of the runs whose content occurs more than once."""
+    contents = these.groupBy("gram", "c", "d").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "base", "first", "until", "anchor")).alias("one"))
+    contents = written(contents.select("gram", "c", "d", "n", "one.*"), "contents")
+    anchors = contents.groupBy("gram").agg(F.count("*").alias("contents"), F.count_if(F.col("n") == 1).alias("single")).filter("contents > 1 AND single > 0")
+    unsettled = contents.join(anchors, "gram").groupBy("a", "b", "base").agg(F.collect_list(F.struct("gram", "first", "until", "anchor", "n", "contents")).alias("_parts"))
+    own = texts.join(unsettled, ["a", "b", "base"]).dropDuplicates(["a", "b", "base"])
+    begin = F.col("_part.first") - F.col("base")
+    parts = own.select("a", "b", "base", "_bytes", F.explode("_parts").alias("_part")).select("a", "b", "_part.*", F.substring("_bytes", begin.cast("int") + 1, (F.col("_part.until") - F.col("_part.first")).cast("int") + (length - 1)).alias("content"))
+    # By another key than the one the counts were dealt by, so that a hot content's runs can be split.
+    flipped = lambda df: df.withColumn("_c", F.col("c").bitwiseXOR(F.lit(1)))
+    copies = flipped(contents.filter("n > 1").select("gram", "c", "d")).drop("c")
+    copied = flipped(these).withColumnsRenamed({"gram": "_gram", "d": "_d"}).join(copies, "_c").filter("gram = _gram AND d = _d").select("a", "b", "first", "until")
+    return written(parts, "parts"), copied
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_contents: int = MOST_CONTENTS, at_once: int = AT_ONCE) -> DataFrame:
@@ -269,25 +297,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. A text's windows fall into runs with the same anchor, some hundreds of bytes each, with a hash of the run's bytes.
     2. Runs with equal bytes are counted before the shuffle, and so are found without being compared: copies cost nothing more.
     3. One run of each other content goes to its anchor's group where this has several contents, and is compared there.
-       A group with more than most_contents is not gathered: its windows are counted by their hash.
+       The contents of a group with more than most_contents are runs of windows anew, with further anchors in halves of a
+       window, then in eighths and so on down to bytes, and go through 2 and 3 by those.
     4. The runs found are collected by document and cut out of its text.
     """
-    all_runs = written(runs(docs, length, id_col, text_col), "runs")
-    contents = all_runs.groupBy("gram", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "first", "until", "anchor")).alias("one"))
-    contents = written(contents.select("gram", "c", "d", "n", "one.*"), "contents")
-    anchors = contents.groupBy("gram").agg(F.count("*").alias("contents"), F.count_if(F.col("n") == 1).alias("single")).filter("contents > 1 AND single > 0")
-    unsettled = contents.join(anchors, "gram").groupBy("a", "b").agg(F.collect_list(F.struct("gram", "first", "until", "anchor", "n", "contents")).alias("_parts"))
     keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key(id_col, text_col).alias("_key"))
-    texts = keyed.select(F.col("_key.a").alias("a"), F.col("_key.b").alias("b"), F.col("_text").cast("binary").alias("_bytes")).join(unsettled, ["a", "b"])
     # A row that repeats has no single content, but may lend its bytes twice: once is enough.
-    parts = texts.dropDuplicates(["a", "b"]).select("a", "b", "_bytes", F.explode("_parts").alias("_part")).select("a", "b", "_part.*", F.substring("_bytes", F.col("_part.first").cast("int") + 1, (F.col("_part.until") - F.col("_part.first")).cast("int") + (length - 1)).alias("content"))
-    parts = written(parts, "parts")
-    found = compared(parts.filter(F.col("contents") <= most_contents), length, at_once).union(counted(parts.filter(F.col("contents") > most_contents), length))
-    # By another key than the one the counts were dealt by, so that a hot content's runs can be split.
-    flipped = lambda df: df.withColumn("_c", F.col("c").bitwiseXOR(F.lit(1)))
-    copies = flipped(contents.filter("n > 1").select("gram", "c", "d")).drop("c")
-    copied = flipped(all_runs).withColumnsRenamed({"gram": "_gram", "d": "_d"}).join(copies, "_c").filter("gram = _gram AND d = _d").select("a", "b", "first", "until")
-    cuts = found.union(copied).groupBy("a", "b").agg(F.collect_set(F.struct("first", "until")).alias("cuts"))
+    texts = keyed.select(F.col("_key.a").alias("a"), F.col("_key.b").alias("b"), F.lit(0).cast("long").alias("base"), F.col("_text").cast("binary").alias("_bytes"))
+    found, new_runs, pieces = [], runs(docs, length, id_col, text_col).withColumns({"base": F.lit(0).cast("long"), "n": F.lit(1).cast("long")}), 1
+    while True:
+        these = written(new_runs, "runs")
+        parts, copied = settled(these, texts, length)
+        small = F.col("contents") <= most_contents if pieces < length else F.lit(True)
+        found += [compared(parts.filter(small), length, at_once), copied]
+        hot = parts.filter(~small)
+        if hot.isEmpty():
+            break
+        pieces = min(length, 2 if pieces == 1 else pieces * 4)
+        texts, new_runs = hot.select("a", "b", F.col("first").alias("base"), F.col("content").alias("_bytes")), finer(hot, length, pieces)
+    cuts = reduce(DataFrame.union, found).groupBy("a", "b").agg(F.collect_set(F.struct("first", "until")).alias("cuts"))
     whole = keyed.select("_id", "_text", F.col("_key.a").alias("a"), F.col("_key.b").alias("b")).join(cuts, ["a", "b"], "left").select(F.col("_id").alias("id"), F.col("_text").alias("text"), "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,12 +72,23 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("most_contents", [8192, 1])
+@pytest.mark.parametrize("most_contents", [2048, 1])
 def test_repeats(spark, most_contents):
     got = repeats.without_repeats(frame(spark, ROWS), length=40, most_contents=most_contents, at_once=3).collect()
     same(((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got), brute_repeats(ROWS, 40))
 
 
+@pytest.mark.parametrize("most_contents", [2048, 5])
+def test_repeats_of_a_hot_anchor(spark, most_contents):
+    """A passage shorter and one longer than a window, each in many texts between bytes of their own, some of them alike."""
+    r = random.Random(5)
+    noise = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    short, long, edge = noise(25), noise(60), noise(30)
+    rows = [(i, noise(r.randint(0, 60)) + (edge[-r.randint(0, 30) or 30 :] if i % 3 == 0 else "") + (short if i % 2 else long) + noise(r.randint(0, 60))) for i in range(60)]
+    got = repeats.without_repeats(frame(spark, rows), length=40, most_contents=most_contents).collect()
+    same(((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got), brute_repeats(rows, 40))
+
+
 def test_interval_expansion_equals_comparison():
     r = random.Random(3)
     for _ in range(300):
