@@ -114,6 +114,16 @@ def repaired(cues: DataFrame, unsafe: DataFrame) -> DataFrame:
     return scored.filter("score > base").groupBy("id", "before").agg(F.max_by("text", F.struct("score", "text")).alias("text"))
 
 
+def absorbed(cues: DataFrame, global_pairs: DataFrame, job_pairs: DataFrame, unsafe: DataFrame) -> DataFrame:
+    """id, before, text, repaired of the unreviewed cues that learning changes: unsafe rewrites are undone first, then the pairs go over what that left."""
+    fixed = repaired(cues, unsafe).select("id", F.col("text").alias("_fixed"))
+    after = cues.join(fixed, "id", "left").withColumn("text_llm", F.coalesce("_fixed", "text_llm"))
+    put = propagated(after.select(cues.columns), global_pairs, job_pairs).select("id", F.col("text").alias("_put"))
+    rows = after.filter("NOT reviewed").join(put, "id", "left").join(cues.select("id", T.first_filled("text_final", "text_llm", "text_stt").alias("before")), "id")
+    text = F.coalesce("_put", T.first_filled("text_final", "text_llm", "text_stt"))
+    return rows.select("id", "before", text.alias("text"), F.col("_fixed").isNotNull().alias("repaired")).filter("before <> text")
+
+
 def term_counts(texts: DataFrame, col: str, token: str, stop: tuple[str, ...] = (), least: int = 1) -> DataFrame:
     found = texts.select(F.explode(F.regexp_extract_all(F.lower(col), F.lit(token), F.lit(0))).alias("term"))
     return found.filter(~F.col("term").isin(*stop, "")).groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= least)

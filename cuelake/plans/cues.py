@@ -299,3 +299,12 @@ def w16_chunks(spark, sf_dir):
 @query("w13_majority", f"SELECT job_id, first(word ORDER BY n DESC, word) AS word, max(n) AS votes FROM (SELECT job_id, word, count(*) AS n FROM {X.WORDS_SQL} GROUP BY ALL) GROUP BY job_id")
 def w13_majority(spark, sf_dir):
     return ordered.majority(X.words(spark, sf_dir), "job_id", "word")
+
+
+@query("w13_stragglers", rf"""WITH w AS (SELECT w.*, c.idx // 2 AS sentence, w.cue_id * 1000 + w.word_no AS no FROM {X.WORDS_SQL} w JOIN {X.CUES_SQL} c ON c.id = w.cue_id), v AS (SELECT job_id, sentence, cue_id, count(*) AS n, min(no) AS f FROM w GROUP BY ALL), m AS (SELECT job_id, sentence, first(cue_id ORDER BY n DESC, f) AS major, sum(n) AS words FROM v GROUP BY ALL),
+r AS (SELECT w.*, m.major, m.words, b.start_ms AS s, b.end_ms AS e, row_number() OVER (PARTITION BY w.job_id, w.sentence ORDER BY w.no) - 1 AS place, contains(regexp_replace({WORK.replace('text_', 'h.text_')}, '[^\w가-힣]', '', 'g'), regexp_replace(w.word, '[^\w가-힣]', '', 'g')) AS heard FROM w JOIN m USING (job_id, sentence) JOIN {X.CUES_SQL} b ON b.id = m.major JOIN {X.CUES_SQL} h ON h.id = w.cue_id)
+SELECT no, word, CASE WHEN cue_id <> major AND greatest(2 * s - start_ms - end_ms, start_ms + end_ms - 2 * e) <= 6000 AND NOT (place * 2 >= words AND heard) THEN major ELSE cue_id END AS cue_id FROM r""")
+def w13_stragglers(spark, sf_dir):
+    sentences = X.cues(spark, sf_dir).select(F.col("id").alias("cue_id"), F.floor(F.col("idx") / 2).alias("sentence"))
+    words = X.words(spark, sf_dir).join(sentences, "cue_id").withColumn("no", F.col("cue_id") * 1000 + F.col("word_no"))
+    return ordered.stragglers_moved(words, X.cues(spark, sf_dir)).select("no", "word", "cue_id")

@@ -175,18 +175,21 @@ def l8_propagated(spark, sf_dir):
     return learning.propagated(X.cues(spark, sf_dir), pair_table(spark, sf_dir), learning.first_seen(pairs(spark, sf_dir)))
 
 
+def unsafe_pairs(spark, sf_dir):
+    """Recognised words and their spelling in the machine texts, as if those were rewrites that went too far."""
+    word = F.explode(F.regexp_extract_all("text_stt", F.lit("[A-Za-z]*he[A-Za-z]*"), F.lit(0)))
+    return X.cues(spark, sf_dir).select(word.alias("wrong")).distinct().withColumn("right", F.replace("wrong", F.lit("he"), F.lit("eh")))
+
+
 @query("l7_repaired")
 def l7_repaired(spark, sf_dir):
-    unsafe = spark.createDataFrame([("teh", "the"), ("eht", "het")], "wrong string, right string")
-    return learning.repaired(X.cues(spark, sf_dir), unsafe)
+    return learning.repaired(X.cues(spark, sf_dir), unsafe_pairs(spark, sf_dir))
 
 
 @query("l6_absorb_phases")
 def l6_absorb_phases(spark, sf_dir):
-    """Extract, then propagate to what isn't reviewed: how many pairs and cues each phase touches."""
-    found = pairs(spark, sf_dir)
-    changed = learning.propagated(X.cues(spark, sf_dir), pair_table(spark, sf_dir), learning.first_seen(found)).filter("before <> text")
-    return found.agg(F.count("*").alias("n")).select(F.lit("extract").alias("phase"), "n").union(changed.agg(F.count("*").alias("n")).select(F.lit("propagate").alias("phase"), "n"))
+    """Extract pairs, repair unsafe rewrites, then propagate to what isn't reviewed."""
+    return learning.absorbed(X.cues(spark, sf_dir), pair_table(spark, sf_dir), learning.first_seen(pairs(spark, sf_dir)), unsafe_pairs(spark, sf_dir))
 
 
 @query("l15_annotations")

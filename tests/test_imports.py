@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cuelake.operators import imports
+from cuelake.operators import imports, learning, ordered
 
 CUE = "job_id long, id long, idx int, start_ms long, end_ms long, text_stt string, text_llm string, text_final string, reviewed boolean"
 
@@ -65,3 +65,25 @@ def test_empty_tables(spark):
     nothing = spark.createDataFrame([], CUE)
     new = nothing.select("job_id", "id", "start_ms", "end_ms", F.lit("x").alias("text"))
     assert imports.preview(new, nothing).count() == imports.time_defects(nothing, 2).count() == imports.span_merged(nothing, 0, 9, "x").count() == 0
+
+
+def test_stragglers(spark):
+    cues = spark.createDataFrame([(1, 1, 0, 0, 1000, "", "", "one two", True), (1, 2, 1, 1000, 2000, "", "", "three", True), (1, 3, 2, 9000, 9500, "", "", "x", True)], CUE)
+    spoken = [("zero", 950, 1100, 2), ("one", 100, 200, 1), ("two", 300, 400, 1), ("b", 500, 600, 1), ("three", 1000, 1200, 2), ("four", 1200, 1400, 2), ("far", 9000, 9100, 3)]
+    words = spark.createDataFrame([(1, 0, n, a, b, w, c) for n, (w, a, b, c) in enumerate(spoken)], "job_id long, sentence int, no int, start_ms long, end_ms long, word string, cue_id long")
+    got = {r.word: r.cue_id for r in ordered.stragglers_moved(words, cues).collect()}
+    # As many words in both cues: the one met first (2) counts, to which the first half's words move.
+    assert got == {"zero": 2, "one": 2, "two": 2, "b": 2, "three": 2, "four": 2, "far": 3}
+    got = {r.word: r.cue_id for r in ordered.stragglers_moved(words.filter("no > 0"), cues).collect()}
+    assert got == {"one": 1, "two": 1, "b": 1, "three": 2, "four": 1, "far": 3}
+
+
+def test_absorbed_is_phases_one_by_one(spark):
+    cues = spark.createDataFrame(
+        [(1, 1, 0, 0, 9, "그 책을 봅니다", "저 책을 봅니다 teh", "", False), (1, 2, 1, 9, 19, "teh", "teh", "the", True), (1, 3, 2, 19, 29, "nothing", "", "", False)], CUE
+    )
+    counted = spark.createDataFrame([("teh", "the", 2)], "wrong string, right string, count long")
+    own = spark.createDataFrame([], "wrong string, right string, job_id long, first_idx int")
+    unsafe = spark.createDataFrame([("그", "저")], "wrong string, right string")
+    got = learning.absorbed(cues, counted, own, unsafe).collect()
+    assert [tuple(r) for r in got] == [(1, "저 책을 봅니다 teh", "그 책을 봅니다 the", True)]
