@@ -176,8 +176,8 @@ def l8_propagated(spark, sf_dir):
 
 
 def unsafe_pairs(spark, sf_dir):
-    """Recognised words and their spelling in the machine texts, as if those were rewrites that went too far."""
-    word = F.explode(F.regexp_extract_all("text_stt", F.lit("[A-Za-z]*he[A-Za-z]*"), F.lit(0)))
+    """Recognised words that begin with "hea", and their spelling in the machine texts, as if those were rewrites that went too far."""
+    word = F.explode(F.regexp_extract_all("text_stt", F.lit(r"\bhea[A-Za-z]+"), F.lit(0)))
     return X.cues(spark, sf_dir).select(word.alias("wrong")).distinct().withColumn("right", F.replace("wrong", F.lit("he"), F.lit("eh")))
 
 
