@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import exact_dedup, language_id, license_scan, near_dedup, packing, repeats, secret_scan, segmentation, token_counts, webp
+from cuelake.llm import exact_dedup, language_id, license_scan, near_dedup, packing, repeats, secret_scan, segmentation, token_counts, token_store, webp
 from cuelake.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_back(token_store.stored(documents(spark, sf_dir)))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
