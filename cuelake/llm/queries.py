@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import exact_dedup, language_id, license_scan, near_dedup, packing, repeats, secret_scan, segmentation, token_counts, token_store, webp
+from cuelake.llm import exact_dedup, language_id, lexical_search, license_scan, near_dedup, packing, repeats, secret_scan, segmentation, token_counts, token_store, webp
 from cuelake.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_back(token_store.stored(documents(spark, sf_dir)))
 
@@ -89,6 +93,17 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY t ORDER BY points DESC, doc_id)
 """,
         "op4_license_scan": _license_sql(),
+        "op11_lexical_search": r"""
+WITH every AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+words AS (SELECT side, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM every),
+counts AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM words WHERE side = 'd'),
+tf AS (SELECT id AS doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM words WHERE side = 'd'),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM tf GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, counts GROUP BY term, n_docs),
+q AS (SELECT DISTINCT item_id, unnest(w) AS term FROM (SELECT id AS item_id, w FROM words WHERE side = 'i')),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score FROM q JOIN p USING (term) JOIN df USING (term), counts GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 50
+""",
         "op6_minhash_near_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
