@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import exact_dedup, language_id, lexical_search, license_scan, near_dedup, packing, repeats, secret_scan, segmentation, token_counts, token_store, webp
+from cuelake.llm import clustering, exact_dedup, language_id, lexical_search, license_scan, near_dedup, packing, repeats, secret_scan, segmentation, token_counts, token_store, webp
 from cuelake.llm.common import documents
 
 
@@ -56,6 +56,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_dual_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_back(token_store.stored(documents(spark, sf_dir)))
 
