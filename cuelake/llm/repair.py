@@ -21,7 +21,7 @@ MAGIC, HEADER = b"RPG1", struct.Struct("<4sIIIQQB3x")
 #: A rule costs two symbols and a length, so a pair that occurs less often than this is left alone.
 LEAST = 4
 #: In each round the pairs that occur at least 1 / SHARE as often as the most frequent one are replaced.
-SHARE = 8
+SHARE = 16
 #: Bits of the table that finds a pair's rule.
 TABLE_BITS = 16
 
@@ -35,12 +35,15 @@ def _keys(s: np.ndarray, last: np.ndarray, count: int) -> tuple[np.ndarray, int]
     return keys, bits
 
 
-def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, but for the one of all ones, and how often each occurs."""
+def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, but for the one of all ones, that occur `least` times or more, and how often each does."""
     ordered = np.sort(keys)
     ordered = ordered[: np.searchsorted(ordered, np.iinfo(keys.dtype).max)]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    return ordered[starts], np.diff(starts, append=len(ordered))
+    # The places whose key stands least - 1 places on as well: of a key that occurs n times, n - least + 1 side by side.
+    at = np.flatnonzero(ordered[least - 1 :] == ordered[: max(len(ordered) - least + 1, 0)])
+    kinds = ordered[at]
+    starts = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])) if len(at) else at
+    return kinds[starts], np.diff(starts, append=len(at)) + least - 1
 
 
 def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +61,9 @@ def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _apart(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Which of the places, ascending, are replaced: of two that overlap the one of the better rank, of equal ones the first, the third and so on."""
-    chosen = np.zeros(len(places), bool)
-    open_ = np.arange(len(places))
+    touches = places[1:] == places[:-1] + 1
+    chosen = ~(np.concatenate([[False], touches]) | np.concatenate([touches, [False]]))[: len(places)]
+    open_ = np.flatnonzero(~chosen)
     while len(open_):
         p, r = places[open_], ranks[open_]
         touches = p[1:] == p[:-1] + 1
@@ -88,9 +92,7 @@ def replaced(symbols: np.ndarray, starts: np.ndarray, terminals: int, least: int
     count, done = terminals, np.zeros(0, np.uint64)
     while len(s) > 1:
         keys, bits = _keys(s, last, count)
-        kinds, n = _pairs(keys)
-        live = n >= least
-        kinds, n = kinds[live], n[live]
+        kinds, n = _frequent(keys, least)
         sides = np.stack([kinds >> kinds.dtype.type(bits), kinds & kinds.dtype.type((1 << bits) - 1)], axis=1).astype(np.uint64)
         if len(done):
             live = ~np.isin(sides[:, 0] << np.uint64(32) | sides[:, 1], done)
@@ -124,13 +126,18 @@ def replaced(symbols: np.ndarray, starts: np.ndarray, terminals: int, least: int
 def _filled(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places starts, starts + 1, ... of each run, one run after another."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def shard(ids: np.ndarray, starts: np.ndarray, least: int = LEAST, share: int = SHARE) -> bytes:
     """The byte string of documents whose ids lie in ids (u32) from one of the n + 1 starts to the next."""
     full = np.flatnonzero(np.diff(starts) > 0)
-    terminals, symbols = np.unique(ids, return_inverse=True)
+    seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    seen[ids] = True
+    terminals = np.flatnonzero(seen)
+    symbols = (np.cumsum(seen, dtype=np.uint32) - 1)[ids]
     left, last, rules = replaced(symbols, np.append(starts[full], starts[-1]), len(terminals), least, share)
     begins = np.zeros(len(starts), np.int64)
     begins[full + 1] = np.flatnonzero(last) + 1

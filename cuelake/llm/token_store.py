@@ -21,11 +21,13 @@ from cuelake.llm.tokens import MOST_BYTES, TOGETHER, WordCache, tokenizer_path
 #: What closes each document.
 END_ID = 2
 #: Bytes of text that are encoded at a time.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 23
 #: A shard is closed once it holds so many ids; a document is never cut, so a longer one fills a shard of its own.
 SHARD_IDS = 1 << 17
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LETTER = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
+#: Second bytes, after 0xC3, of the Latin letters with marks; two of that row are signs.
+LATIN = (np.arange(256) >= 0x80) & (np.arange(256) <= 0xBF) & ~np.isin(np.arange(256), [0x97, 0xB7])
 #: ASCII signs, but for the one that stands inside the names of special tokens.
 SIGN = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~", np.uint8))
 #: White space beyond ASCII in UTF-8, as numbers of its last two and last three bytes.
@@ -42,7 +44,9 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     """
     space = SPACE[data]
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = (space[1:] & ~space[:-1]) | (SIGN[data[1:]] & LETTER[data[:-1]])
+    letter = LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & LATIN[data[1:]]
+    cut[1:-1] = (space[1:] & ~space[:-1]) | (SIGN[data[1:]] & letter[:-1])
     after = np.flatnonzero(cut[:-1])
     after = after[data[after - 1] >= 0x80]  # cuts before white space only
     if len(after):
@@ -117,17 +121,26 @@ class ChunkIds:
             other = sorted(set(new).difference(plain))
             self.add(other, *self.encoded(other))
 
+    def places(self, parts: list[bytes]) -> np.ndarray:
+        found = list(map(self.known.of.get, parts))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            self.learn([parts[i] for i in missing])
+            for i in missing:
+                found[i] = self.known.of[parts[i]]
+        return np.array(found, np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none), and the n + 1 places where each text's begin and end."""
         if self.known.held > self.known.most_bytes:
             self.clear()
         found, bounds = chunks(*as_bytes(texts))
         distinct = found.dictionary_encode()
-        at = self.known.places(distinct.dictionary.to_pylist(), self.learn)[distinct.indices.to_numpy()]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[bounds]
+        places = self.places(distinct.dictionary.to_pylist())[distinct.indices.to_numpy()]
+        sizes = self.sizes[places]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat((self.starts[places] - ends[:-1]).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], ends[bounds]
 
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
