@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuelake.sources.storage import fresh_folder
@@ -70,3 +72,97 @@ def throttled_beats(stream: DataFrame, key: str, seconds: int = 4) -> DataFrame:
 
     beats = stream.select(key, F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"))
     return beats.groupBy(key).applyInPandasWithState(run, f"{key} long, micros long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RELEASED = "lane long, seq long, request_id long, reclaimed boolean, created_us long, started_us long, ended_us long, status string, note string"
+
+
+class Lane(StatefulProcessor):
+    """One worker's queue. Requests wait until the watermark has passed them, so none that is older can still come; then the oldest is taken, and the next one when that has ended.
+
+    State: the requests that wait, when the worker is free again, and how many it has taken. A timer stands at the oldest request
+    that waits. A request whose run ends with a code other than 0 is an error with a note of it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "created_us long, request_id long, reclaimed boolean, run_us long, code int")
+        self.worker = handle.getValueState("worker", "free_us long, taken long")
+
+    def _wake(self, created_us: list[int]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if created_us:
+            self.handle.registerTimer(-(-min(created_us) // 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for part in rows for r in part[part["request_id"].notna()][["created_us", "request_id", "reclaimed", "run_us", "code"]].itertuples(index=False, name=None)]
+        if new:
+            self.waiting.appendList([(int(c), int(i), bool(b), int(d), int(x)) for c, i, b, d, x in new])
+            self._wake([r[0] for r in self.waiting.get()])
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(r) for r in self.waiting.get())
+        due, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
+        free, taken = self.worker.get() if self.worker.exists() else (0, 0)
+        out = []
+        for created, request, reclaimed, run, code in due:
+            started = max(created, free)
+            free = started + run
+            out.append((key[0], taken, request, reclaimed, created, started, free, "error" if code else "done", f"exit {code}" if code else ""))
+            taken += 1
+        self.worker.update((free, taken))
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self._wake([r[0] for r in rest])
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in RELEASED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def released(requests: DataFrame, delay: str) -> DataFrame:
+    """The order in which workers take requests (lane, request_id, status, created_at, run_us, code), oldest first and one at a time in each lane, as a stream of RELEASED.
+
+    Files may bring requests out of order by up to `delay`; they wait that long in the state. Requests found in processing belong to
+    a worker that has died: they are reclaimed, and queue with the pending ones. Rows without a request only move the watermark on.
+    Needs the state store of Spark that has timers (ROCKSDB).
+    """
+    open_ = requests.filter("request_id IS NULL OR status IN ('pending', 'processing')")
+    shaped = open_.select("lane", "request_id", (F.col("status") == "processing").alias("reclaimed"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), "run_us", "code", F.col("created_at").cast("timestamp").alias("_at"))
+    return shaped.withWatermark("_at", delay).groupBy("lane").transformWithStateInPandas(Lane(), RELEASED, "Append", "EventTime")
+
+
+def worked(stream: DataFrame, folder: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs what a stream of RELEASED hands out until it holds no more, and gives the outcomes.
+
+    Each batch is claimed before it is worked on, under `folder`, and its outcomes are written under its number, so a batch that
+    was cut off runs again after a restart with the same folder, from the state of the batch before it, and counts once.
+    """
+    spark = stream.sparkSession
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/claims/batch={number}")
+        mine = spark.read.schema(batch.schema).parquet(f"{folder}/claims/batch={number}")
+        process(mine).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that were claimed and have no outcome: what a worker that died has left in processing."""
+    claims = spark.read.parquet(f"{folder}/claims").select("lane", "seq", "request_id")
+    try:
+        out = spark.read.parquet(f"{folder}/out").select("request_id")
+    except AnalysisException:  # the first batch was cut off
+        return claims
+    return claims.join(out, "request_id", "left_anti")
