@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,8 +54,36 @@ def _matched_share(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
 
 
-def _longest_block(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x or "", y or "").find_longest_match().size for x, y in zip(a, b)], dtype="int32")
+def holds_something_alike(short: str, long: str, percent: int) -> bool:
+    """Whether a stretch of long that is as long as short matches it by `percent`. A stretch is compared only if it has that many characters in common, in whatever order; this count follows the stretch along."""
+    n, needed = len(short), -(-percent * len(short) // 100)
+    left = Counter(short)  # what of short the stretch doesn't have yet; below zero what it has too often
+    common = 0
+    for i, c in enumerate(long):
+        common += left[c] > 0
+        left[c] -= 1
+        if i >= n:
+            gone = long[i - n]
+            left[gone] += 1
+            common -= left[gone] > 0
+        if i >= n - 1 and common >= needed and 100 * SequenceMatcher(None, short, long[i - n + 1 : i + 1]).ratio() >= percent:
+            return True
+    return False
+
+
+def matched_characters(words: list[str], shown: str) -> list[int]:
+    """How many characters of each word lie in the matching blocks of all words and the text shown."""
+    ends = list(accumulate(map(len, words)))
+    hits = [0] * len(words)
+    at = 0
+    for block in SequenceMatcher(None, "".join(words), shown, autojunk=False).get_matching_blocks():
+        a, stop = block.a, block.a + block.size
+        while a < stop:
+            at = bisect_right(ends, a, at)
+            step = min(stop, ends[at]) - a
+            hits[at] += step
+            a += step
+    return hits
 
 
 def _replaced_phrases(machine: pd.Series, final: pd.Series) -> pd.Series:
@@ -113,8 +144,20 @@ def matched_share(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_matched_share, "double")(a, b)
 
 
-def longest_block(a: Column | str, b: Column | str) -> Column:
-    return F.pandas_udf(_longest_block, "int")(a, b)
+def holds_alike(short: Column, long: Column, percent: int) -> Column:
+    """False where one of them is null."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and y is not None and holds_something_alike(x, y, percent) for x, y in zip(a, b)], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(short, long)
+
+
+def matched_by_word(words: Column, shown: Column) -> Column:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([matched_characters(list(x), y or "") if x is not None else None for x, y in zip(a, b)])
+
+    return F.pandas_udf(run, "array<int>")(words, shown)
 
 
 def replaced_phrases(machine: Column | str, final: Column | str) -> Column:

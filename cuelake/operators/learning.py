@@ -58,19 +58,13 @@ def _first_word(c: Column) -> Column:
     return F.get(F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != ""), F.lit(0))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = storage.fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _closed(steps: DataFrame) -> DataFrame:
     """All (_from, _word) that steps reach one after another; paths double in length with each round, and each round's table cuts the lineage."""
-    found = _written(steps.distinct(), "chains")
+    found = storage.written(steps.distinct(), "chains")
     n = found.count()
     while n:
         longer = found.select("_from", F.col("_word").alias("_by")).join(found.select(F.col("_from").alias("_by"), "_word"), "_by").select("_from", "_word")
-        found = _written(found.select("_from", "_word").union(longer).distinct(), "chains")
+        found = storage.written(found.select("_from", "_word").union(longer).distinct(), "chains")
         last, n = n, found.count()
         if n == last:
             break

@@ -7,7 +7,6 @@ together is a join or a window of Spark.
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import alignment, korean
 from cuelake.functions import text as T
-from cuelake.operators import intervals, ordered
+from cuelake.operators import chains, intervals, ordered
+from cuelake.sources import storage
 
 WORD = "struct<start_ms:bigint,end_ms:bigint,word:string>"
 SENTENCE_MARKS = (".", "?", "!", "…")
@@ -90,12 +90,31 @@ def split_segments(segments: DataFrame, soft: int = 20, hard: int = 36) -> DataF
     return pieces.withColumn("_own", own).select("job_id", "seg_id", "piece", F.get("_own", F.lit(0))["start_ms"].alias("start_ms"), F.element_at("_own", -1)["end_ms"].alias("end_ms"), text.alias("text"), F.size("_own").alias("n_words")).filter("text <> ''")
 
 
-def prompt_echoes(cues: DataFrame, prompts: DataFrame, least: int = 6, percent: int = 80) -> DataFrame:
-    """Ids of cues that repeat a prompt: part of it word for word, or with one block of `percent` of the cue in common. prompts is a table of templates; all of them are tried."""
+def prompt_echoes(cues: DataFrame, prompts: DataFrame, least: int = 6, percent: int = 80, gram: int = 4) -> DataFrame:
+    """Ids of cues that repeat a prompt: part of it word for word, or with one block of `percent` of the cue in common. prompts is a table of any size; all of them count.
+
+    A block that long, wherever it begins, holds the middle of the cue, so only prompts with all grams of that middle can have
+    it. The middle's grams are looked up in the prompts' counts, and the rarest of them leads to the prompts to compare: an
+    equi-join, whose rows are cues times the prompts that share their rarest gram. Cues whose middle is shorter than a gram
+    (percent under 80) are led by all that begins like it.
+    """
     key = T.compact(F.col("text_stt"))
-    both = cues.select("id", key.alias("_k")).filter(F.length("_k") >= least).crossJoin(F.broadcast(prompts.select(T.compact(F.col("prompt")).alias("_p")).filter("_p <> ''").distinct()))
-    held = F.contains("_p", "_k")
-    return both.filter(held | (alignment.longest_block("_k", "_p") * 100 >= percent * F.length("_k"))).select("id").distinct()
+    texts = prompts.select(T.compact(F.col("prompt")).alias("_p")).filter("_p <> ''").distinct()
+    grams = texts.select("_p", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_p") - gram + 1, F.lit(1))), lambda i: F.substr("_p", i, F.lit(gram))))).alias("_g"))
+    counts = grams.groupBy("_g").agg(F.count("*").alias("_n"))
+    n = F.length("_k")
+    block = F.least(n, F.ceil(n * percent / 100).cast("int"))
+    sized = cues.select("id", key.alias("_k")).filter(n >= least).withColumn("_block", block)
+    middle = sized.withColumn("_size", F.greatest(2 * F.col("_block") - n, F.lit(0))).withColumn("_from", n - F.col("_block") + 1)
+    inner = middle.filter(F.col("_size") >= gram).withColumn("_gs", F.array_distinct(F.transform(F.sequence(F.col("_from"), F.col("_from") + F.col("_size") - gram), lambda i: F.substr("_k", i, F.lit(gram)))))
+    met = inner.select("id", "_k", "_block", F.size("_gs").alias("_of"), F.explode("_gs").alias("_g")).join(counts, "_g")
+    led = met.groupBy("id", "_k", "_block", "_of").agg(F.count("*").alias("_found"), F.min_by("_g", F.struct("_n", "_g")).alias("_g")).filter("_found = _of").select("id", "_k", "_block", "_g")
+    # A block has block - gram + 1 grams in a row, so one of every so many grams of the cue is in it.
+    step = F.greatest(F.col("_block") - gram + 1, F.lit(1))
+    rest = middle.filter((F.col("_size") < gram) & (F.col("_block") >= gram)).select("id", "_k", "_block", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - gram + 1, F.lit(1)), step), lambda i: F.substr("_k", i, F.lit(gram)))).alias("_g"))
+    both = led.union(rest).join(grams, "_g")
+    shared = F.exists(F.sequence(F.lit(1), F.length("_k") - F.col("_block") + 1), lambda i: F.contains("_p", F.substr("_k", i, F.col("_block"))))
+    return both.filter(shared).select("id").distinct()
 
 
 def cascade_ids(cues: DataFrame) -> DataFrame:
@@ -128,82 +147,75 @@ def crosschecked(cues: DataFrame, captions: DataFrame, prompts: DataFrame, below
     return ordered.renumbered(out.unionByName(gaps))
 
 
-def _contained(short: list[str], long: list[str]) -> bool:
-    n = len(short)
-    if any(long[i : i + n] == short for i in range(len(long) - n + 1)):
-        return True
-    a, b = "".join(short), "".join(long)
-    return len(a) <= len(b) and (a in b or any(SequenceMatcher(None, a, b[i : i + len(a)]).ratio() >= 0.85 for i in range(len(b) - len(a) + 1)))
+def _put_back(mine: str, heard: str, theirs: str, their_heard: str, grown: float = 1.2, alike: int = 85) -> Column:
+    """Which of two neighbouring texts has taken in the other's words and goes back to what was recognised: a struct of booleans (mine, theirs).
+
+    One text must hold the other (of two texts, the one with fewer words), or hold something alike by `alike` percent, while what
+    was recognised does not. The text that has grown more against what was recognised goes back, if it has grown by more than
+    `grown`; of two that have grown as much, the first.
+    """
+    a, b = T.words_only(F.col(mine)), T.words_only(F.col(theirs))
+    words = lambda c: F.size(F.filter(T.tokens(F.col(c)), lambda w: T.words_only(w) != ""))
+    fewer = words(mine) <= words(theirs)
+    short, long = F.when(fewer, a).otherwise(b), F.when(fewer, b).otherwise(a)
+    fits = (F.length(short) >= 2) & (F.length(short) <= F.length(long))
+    literal = F.contains(long, short)
+    near = alignment.holds_alike(F.when(fits & ~literal, short), F.when(fits & ~literal, long), alike)
+    ha, hb = T.words_only(F.col(heard)), T.words_only(F.col(their_heard))
+    known = (ha != "") & (hb != "") & (F.contains(ha, hb) | F.contains(hb, ha))
+    growth = lambda text, base: F.when(F.length(base) > 0, F.length(text) / F.length(base)).otherwise(F.lit(0.0))
+    put = fits & (literal | near) & ~known & (F.greatest(growth(a, ha), growth(b, hb)) > grown)
+    first = growth(a, ha) >= growth(b, hb)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.struct(yes(put & first).alias("mine"), yes(put & ~first).alias("theirs"))
 
 
 def clamped(cues: DataFrame) -> DataFrame:
     """id, text, clamped: corrections that took in a neighbour's words go back to what was recognised.
 
-    Two neighbours' corrections, one held in the other, while the recognised texts aren't: the one that has grown more (by a
-    fifth at least) is put back. A row put back counts so for the next pair, so a job is gone through in order; cues (job_id,
-    idx, id, text_stt, text_llm) are a few thousand a job.
+    cues: job_id, idx, id, text_stt, text_llm. A row put back counts so for the pair that it makes with the next row, so the pairs
+    of a job depend on one another in order. But a row has only two texts, so each pair is judged for both of the first row's,
+    all pairs at once, and the order is followed by a machine of two states (chains.with_state), which needs no task that holds
+    a job. Null texts are empty; rows that share a job and idx are ordered by id.
     """
-
-    def run(job: pd.DataFrame) -> pd.DataFrame:
-        job = job.sort_values("idx").reset_index(drop=True)
-        plain = lambda s: re.sub(r"[^\w가-힣]", "", s or "")
-        split = lambda s: [w for w in map(plain, (s or "").split()) if w]
-        texts, base, back = job["text_llm"].tolist(), [plain(s) for s in job["text_stt"]], [False] * len(job)
-        for i in range(len(job) - 1):
-            pair = [split(texts[i]), split(texts[i + 1])]
-            short, long = sorted(pair, key=len)
-            if not short or len("".join(short)) < 2 or not _contained(short, long):
-                continue
-            a, b = base[i], base[i + 1]
-            if a and b and (a in b or b in a):
-                continue
-            growth = [len("".join(w)) / len(x) if x else 0.0 for w, x in zip(pair, (a, b))]
-            worst = i if growth[0] >= growth[1] else i + 1
-            if max(growth) > 1.2 and base[worst]:
-                texts[worst], back[worst] = job["text_stt"][worst], True
-        return pd.DataFrame({"id": job["id"], "text": texts, "clamped": back})
-
-    return cues.select("job_id", "idx", "id", "text_stt", "text_llm").groupBy("job_id").applyInPandas(run, "id long, text string, clamped boolean")
-
-
-def fitted(text: str, start: int, end: int, words: list[dict], least_gap: int = 500, least_share: float = 0.6, shortest: int = 300) -> tuple[int, int, str]:
-    """New times of a cue from the words heard in it, and why: no-speech, weak-align, already-tight or trimmed."""
-    if not words:
-        return start, end, "no-speech"
-    plain = lambda s: re.sub(r"[^가-힣0-9a-zA-Z]+", "", s or "")
-    parts = [plain(w["word"]) for w in words]
-    heard, shown = "".join(parts), plain(text)
-    if not heard or not shown:
-        return start, end, "weak-align"
-    match = SequenceMatcher(None, heard, shown, autojunk=False)
-    if match.ratio() < least_share:
-        return start, end, "weak-align"
-    hit = [False] * len(heard)
-    for block in match.get_matching_blocks():
-        hit[block.a : block.a + block.size] = [True] * block.size
-    at, kept = 0, []
-    for w, p in zip(words, parts):
-        if p and 2 * sum(hit[at : at + len(p)]) >= len(p):
-            kept.append(w)
-        at += len(p)
-    if not kept:
-        return start, end, "weak-align"
-    first, last = min(w["start_ms"] for w in kept), max(w["end_ms"] for w in kept)
-    last = max(last, first + shortest)
-    return (first, last, "trimmed") if max(abs(first - start), abs(last - end)) >= least_gap else (start, end, "already-tight")
-
-
-def tightened(cues: DataFrame, words: DataFrame) -> DataFrame:
-    """id, start_ms, end_ms, reason: each cue fitted to the words whose midpoint it holds."""
+    keys, order = ["job_id"], ["idx", "id"]
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = chains.parted(cues.select("job_id", "idx", "id", text("text_stt"), text("text_llm")), keys, order)
+    pairs = chains.with_next(rows, keys, order, ["text_stt", "text_llm"]).select(*rows.columns, F.col("_next.text_stt").alias("_stt"), F.col("_next.text_llm").alias("_llm"))
+    judged = pairs.withColumns({"_0": _put_back("text_llm", "text_stt", "_llm", "_stt"), "_1": _put_back("text_stt", "text_stt", "_llm", "_stt")})
+    light = storage.written(judged.select("_part", "job_id", "idx", "id", "text_stt", "text_llm", F.col("_0.mine").alias("_m0"), F.col("_1.mine").alias("_m1"), F.col("_0.theirs").alias("_t0"), F.col("_1.theirs").alias("_t1")), "pairs")
+    state = chains.with_state(light, keys, order, "_t0", "_t1")
+    back = F.col("_state") | F.col("_m0")
+    return state.select("id", F.when(back, F.col("text_stt")).otherwise(F.col("text_llm")).alias("text"), back.alias("clamped"))
+
+
+def tightened(cues: DataFrame, words: DataFrame, least_gap: int = 500, least_share: float = 0.6, shortest: int = 300) -> DataFrame:
+    """id, start_ms, end_ms, reason: each cue fitted to the words whose midpoint it holds.
+
+    The cue's text is matched with what was heard, character by character (letters and digits only), and each word heard gets its
+    number of matched characters. The cue runs from the first to the last word of which half or more is matched, `shortest` at
+    least. It keeps its times where no word was heard (no-speech), where less than least_share of all characters match or no word
+    does (weak-align), and where neither time would move by least_gap (already-tight); else it is trimmed.
+    """
+    plain = lambda c: F.regexp_replace(c, "[^가-힣0-9a-zA-Z]+", "")
     inside = intervals.words_in_cues(words, cues)
-    heard = inside.groupBy(F.col("r_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_w_start").alias("start_ms"), F.col("l_w_end").alias("end_ms"), F.col("l_word").alias("word")))).alias("words"))
-
-    def run(text: pd.Series, start: pd.Series, end: pd.Series, words: pd.Series) -> pd.DataFrame:
-        rows = [fitted(t, s, e, list(w) if w is not None else []) for t, s, e, w in zip(text, start, end, words)]
-        return pd.DataFrame(rows, columns=["start_ms", "end_ms", "reason"])
-
-    plan = F.pandas_udf(run, "struct<start_ms:bigint,end_ms:bigint,reason:string>")
-    return cues.select("id", T.work_text().alias("t"), "start_ms", "end_ms").join(heard, "id", "left").select("id", plan("t", "start_ms", "end_ms", "words").alias("p")).select("id", "p.*")
+    word = F.struct(F.col("l_w_start").alias("start_ms"), F.col("l_w_end").alias("end_ms"), F.col("l_word").alias("word"))
+    heard = inside.groupBy(F.col("r_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(word)), lambda w: F.struct(w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), F.coalesce(plain(w["word"]), F.lit("")).alias("w"))).alias("words"))
+    rows = cues.select("id", "start_ms", "end_ms", plain(T.work_text()).alias("_shown")).join(heard, "id", "left")
+    rows = rows.withColumn("_hits", alignment.matched_by_word(F.transform("words", lambda w: w["w"]), F.col("_shown")))
+    total = lambda c, f: F.aggregate(c, F.lit(0), lambda acc, x: acc + f(x))
+    size = total("words", lambda w: F.length(w["w"]))
+    share = F.when((size > 0) & (F.length("_shown") > 0), 2 * total("_hits", lambda n: n) / (size + F.length("_shown")))
+    each = F.arrays_zip("words", "_hits")
+    kept = F.filter(each, lambda x: (F.length(x["words"]["w"]) > 0) & (2 * x["_hits"] >= F.length(x["words"]["w"])))
+    first = F.array_min(F.transform(kept, lambda x: x["words"]["start_ms"]))
+    last = F.greatest(F.array_max(F.transform(kept, lambda x: x["words"]["end_ms"])), first + shortest)
+    fit = rows.withColumns({"_share": share, "_first": first, "_last": last})
+    weak = F.coalesce(F.col("_share") < least_share, F.lit(True)) | F.col("_first").isNull()
+    moved = F.greatest(F.abs(F.col("_first") - F.col("start_ms")), F.abs(F.col("_last") - F.col("end_ms"))) >= least_gap
+    reason = F.when(F.col("words").isNull(), "no-speech").when(weak, "weak-align").when(moved, "trimmed").otherwise("already-tight")
+    at = lambda new, old: F.when(F.col("reason") == "trimmed", F.col(new)).otherwise(F.col(old)).alias(old)
+    return fit.withColumn("reason", reason).select("id", at("_first", "start_ms"), at("_last", "end_ms"), "reason")
 
 
 def _placed(tokens: DataFrame, order: list[str], word: str = "word") -> DataFrame:

@@ -24,6 +24,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/cuelake/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage is cut, and a lost executor costs no recomputation."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_tracks(cues: DataFrame, path: str) -> None:
     """Tracks by language and job; only the partitions that cues holds are replaced, so a job's new run leaves the others as they are."""
     cues.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang", "job_id").parquet(path)

@@ -153,11 +153,16 @@ def test_alignment_kernels():
     assert alignment.best_window("bcd", "xabcdx") == 100 and alignment.best_window("zzz", "abc") == 0
 
 
-def test_tighten():
-    w = words((1000, 1300, "안녕"), (1400, 1800, "하세요"))
-    assert speech.fitted("안녕 하세요", 0, 4000, w) == (1000, 1800, "trimmed")
-    assert speech.fitted("안녕 하세요", 900, 1900, w)[2] == "already-tight"
-    assert speech.fitted("전혀 다른", 0, 4000, w)[2] == "weak-align" and speech.fitted("x", 0, 1, [])[2] == "no-speech"
+def test_tighten(spark):
+    words = spark.createDataFrame([(1, 1000, 1300, "안녕"), (1, 1400, 1800, "하세요")], "job_id long, start_ms long, end_ms long, word string")
+
+    def fitted(text, start, end):
+        cue = spark.createDataFrame([(1, 1, start, end, text, "", "")], "job_id long, id long, start_ms long, end_ms long, text_final string, text_llm string, text_stt string")
+        return tuple(speech.tightened(cue, words).select("start_ms", "end_ms", "reason").first())
+
+    assert fitted("안녕 하세요", 0, 4000) == (1000, 1800, "trimmed")
+    assert fitted("안녕 하세요", 900, 1900)[2] == "already-tight"
+    assert fitted("전혀 다른", 0, 4000)[2] == "weak-align" and fitted("x", 0, 1)[2] == "no-speech"
 
 
 def test_files(spark, tmp_path):
