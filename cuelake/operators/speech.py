@@ -7,6 +7,7 @@ together is a join or a window of Spark.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -232,30 +233,98 @@ def _grams(line: DataFrame, as_name: str) -> DataFrame:
     return each.groupBy("job_id", "gram").agg(F.count("*").alias("_n"), F.min("at").alias(as_name)).filter("_n = 1").drop("_n")
 
 
-def aligned_sentences(sentences: DataFrame, words: DataFrame, least_share: float = 0.7, astray: int = 20) -> DataFrame:
-    """job_id, no, text, start_ms, end_ms: times of a script's sentences (job_id, no, text) from the words heard; a job that doesn't fit, or whose times would run backwards, gives no row.
+def _longest_chain(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the rows (s, h) those of a longest run in which both grow, by piles: each pile's top is the smallest h that ends a run of its length."""
+    rows = rows.sort_values(["s", "h"])
+    tops, top_rows, before = [], [], []
+    for row, h in enumerate(rows["h"].tolist()):
+        pile = bisect_left(tops, h)
+        before.append(top_rows[pile - 1] if pile else -1)
+        tops[pile : pile + 1], top_rows[pile : pile + 1] = [h], [row]
+    chain, row = [], top_rows[-1] if top_rows else -1
+    while row >= 0:
+        chain.append(row)
+        row = before[row]
+    return rows.iloc[chain[::-1]]
+
+
+def increasing(met: DataFrame) -> DataFrame:
+    """Of pairs (job_id, s, h) with one row for each s, a longest chain in which both grow.
 
-    Words and runs of three words that stand once in the script and once in what was heard are anchors, found by an equi-join.
-    Anchors more than `astray` words off the median of their neighbours go, as do those before an earlier one. Between two
-    anchors a word's place is interpolated. A job fits if the characters of words that are the same at their place are
-    least_share of all, counted on both sides.
+    A pair with all h before it smaller and all behind it larger is in every such chain and parts it from what follows. So only
+    the stretches between such pairs are searched, each on its own; no task holds a job that is in order.
+    """
+    keys, order = ["job_id"], ["s"]
+    rows = chains.parted(met.select("job_id", "s", "h"), keys, order)
+    seen = chains.running_max(rows, keys, order, "h", "_most")
+    bounded = storage.written(chains.running_max(seen, keys, order, "h", "_least", descending=True), "anchors")
+    clean = F.coalesce(F.col("_most") < F.col("h"), F.lit(True)) & F.coalesce(F.col("_least") > F.col("h"), F.lit(True))
+    stretches = chains.running_count(bounded, keys, order, clean, "_stretch").filter(~clean)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.select("job_id", "s", "h").schema)
+    chosen = stretches.groupBy("job_id", "_stretch").applyInPandas(lambda part: _longest_chain(part)[["job_id", "s", "h"]], kinds)
+    return bounded.filter(clean).select("job_id", "s", "h").unionByName(chosen)
+
+
+def _beside(line: DataFrame, anchor: str) -> DataFrame:
+    """line (job_id, at, and the anchor, a struct (s, h), where the word is one) with a and b: the anchors at or before each word and at or behind it. Two running windows, one in each direction."""
+    w = lambda by: Window.partitionBy("job_id").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("a", F.last(anchor, True).over(w(F.asc("at")))).withColumn("b", F.last(anchor, True).over(w(F.desc("at"))))
+
+
+def word_places(script: DataFrame, heard: DataFrame, astray: int = 20) -> DataFrame:
+    """script (job_id, at, w, ...) with h, the place in heard (job_id, at, w) of each word; jobs without an anchor give no row.
+
+    1. Words and runs of three that stand once in either text are anchors, found by an equi-join. Those more than `astray` words
+       off the median of their neighbours go; of the rest, a longest chain in which both places grow stays.
+    2. From each anchor on, and back from the next one, words that are the same as what was heard at their distance are anchors
+       too, up to the first that differs; where both meet, the earlier anchor's words count.
+    3. What is left lies between two anchors, by interpolation, or as far from the only one.
     """
-    tokens = sentences.select("job_id", "no", F.posexplode(F.split("text", r"\s+")).alias("i", "word"))
-    script, heard = _placed(tokens, ["no", "i"]), _placed(words, ["start_ms", "end_ms", "word"])
     met = _grams(script, "s").join(_grams(heard, "h"), ["job_id", "gram"]).groupBy("job_id", "s").agg(F.min("h").alias("h"))
     w = Window.partitionBy("job_id").orderBy("s")
     off = F.col("h") - F.col("s")
     near = met.withColumn("_m", F.percentile_approx(off, 0.5).over(w.rowsBetween(-4, 4))).filter(F.abs(off - F.col("_m")) <= astray)
-    anchors = near.withColumn("_most", F.max("h").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter("_most IS NULL OR h > _most").select("job_id", F.col("s").alias("at"), F.struct("s", "h").alias("anchor"))
-    by_place = Window.partitionBy("job_id").orderBy("at")
-    line = script.join(anchors, ["job_id", "at"], "left")
-    line = line.withColumns({"a": F.last("anchor", True).over(by_place.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first("anchor", True).over(by_place.rowsBetween(0, Window.unboundedFollowing))})
+    anchors = increasing(near).select("job_id", F.col("s").alias("at"), F.struct("s", "h").alias("anchor"))
+    line = _beside(script.join(anchors, ["job_id", "at"], "left"), "anchor").drop("anchor")
+    line = line.withColumn("_l", F.col("a.h") + F.col("at") - F.col("a.s")).withColumn("_r", F.col("b.h") + F.col("at") - F.col("b.s"))
+    for side in ("_l", "_r"):
+        line = line.join(heard.select("job_id", F.col("at").alias(side), F.col("w").alias(f"{side}w")), ["job_id", side], "left")
+    line = line.withColumn("_lok", F.coalesce((F.col("w") == F.col("_lw")) & F.coalesce(F.col("_l") < F.col("b.h"), F.lit(True)) | (F.col("at") == F.col("b.s")), F.lit(False)))
+    line = line.withColumn("_rok", F.coalesce((F.col("w") == F.col("_rw")) & F.coalesce(F.col("_r") > F.col("a.h"), F.lit(True)) | (F.col("at") == F.col("a.s")), F.lit(False)))
+    gap = Window.partitionBy("job_id", F.col("a.s"))
+    line = line.withColumn("_lrun", F.col("a").isNotNull() & (F.sum(F.when(F.col("_lok"), 0).otherwise(1)).over(gap.orderBy("at")) == 0))
+    line = line.withColumn("_rrun", F.col("b").isNotNull() & (F.sum(F.when(F.col("_rok"), 0).otherwise(1)).over(Window.partitionBy("job_id", F.col("b.s")).orderBy(F.desc("at"))) == 0))
+    reached = F.max(F.when(F.col("_lrun"), F.col("at"))).over(gap)
+    line = line.withColumn("_upto", reached)
+    apart = F.col("a").isNull() | ((F.col("at") > F.col("_upto")) & (F.col("_r") > F.col("a.h") + F.col("_upto") - F.col("a.s")))
+    # Two expressions, as a struct from one of the sides alone keeps its own fields.
+    place = F.when(F.col("_lrun"), F.col("_l")).when(F.col("_rrun") & apart, F.col("_r"))
+    line = line.withColumn("_more", F.when(place.isNotNull(), F.struct(F.col("at").alias("s"), place.alias("h"))))
+    line = _beside(line.select(*script.columns, "_more"), "_more").drop("_more")
     between = F.col("a.h") + F.round((F.col("at") - F.col("a.s")) * (F.col("b.h") - F.col("a.h")) / F.greatest(F.col("b.s") - F.col("a.s"), F.lit(1))).cast("int")
-    place = F.coalesce(between, F.col("a.h") + F.col("at") - F.col("a.s"), F.col("b.h") + F.col("at") - F.col("b.s"))
-    sizes = heard.groupBy("job_id").agg(F.count("*").alias("n_heard"), F.sum(F.length("w")).alias("heard_chars"))
-    placed = line.join(sizes, "job_id").withColumn("h", F.greatest(F.lit(0), F.least(place, F.col("n_heard") - 1)).cast("int")).filter("h IS NOT NULL")
+    found = F.coalesce(between, F.col("a.h") + F.col("at") - F.col("a.s"), F.col("b.h") + F.col("at") - F.col("b.s"))
+    sizes = heard.groupBy("job_id").agg(F.count("*").alias("_n"))
+    placed = line.withColumn("h", found).filter("h IS NOT NULL").join(sizes, "job_id")
+    return placed.withColumn("h", F.greatest(F.lit(0), F.least("h", F.col("_n") - 1)).cast("int")).select(*script.columns, "h")
+
+
+def script_and_heard(sentences: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words of sentences (job_id, no, text) and those heard (job_id, start_ms, end_ms, word) with their places in the job."""
+    tokens = sentences.select("job_id", "no", F.posexplode(F.split("text", r"\s+")).alias("i", "word"))
+    return _placed(tokens, ["no", "i"]), _placed(words, ["start_ms", "end_ms", "word"])
+
+
+def aligned_sentences(sentences: DataFrame, words: DataFrame, least_share: float = 0.7, astray: int = 20) -> DataFrame:
+    """job_id, no, text, start_ms, end_ms: times of a script's sentences (job_id, no, text) from the words heard; a job that doesn't fit, or whose times would run backwards, gives no row.
+
+    Places are those of word_places. A job fits if the characters of words that are the same at their place are least_share of
+    all, counted on both sides.
+    """
+    script, heard = (storage.written(x, "words") for x in script_and_heard(sentences, words))
+    placed = storage.written(word_places(script, heard, astray).select("job_id", "no", "w", "h"), "places")
+    sizes = heard.groupBy("job_id").agg(F.sum(F.length("w")).alias("heard_chars"))
     spoken = heard.select("job_id", F.col("at").alias("h"), F.col("w").alias("_heard"), "start_ms", "end_ms")
-    both = placed.join(spoken, ["job_id", "h"])
+    both = placed.join(spoken, ["job_id", "h"]).join(sizes, "job_id")
     same = F.sum(F.when(F.col("w") == F.col("_heard"), F.length("w")).otherwise(0))
     fit = both.groupBy("job_id").agg((2 * same / (F.sum(F.length("w")) + F.max("heard_chars"))).alias("share")).filter(F.col("share") >= least_share).select("job_id")
     found = both.join(fit, "job_id").groupBy("job_id", "no").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))

@@ -14,8 +14,20 @@ def segments(spark, sf_dir):
     return w.groupBy("job_id", "seg_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "w"))), lambda x: x["w"]).alias("words"))
 
 
-def prompts(spark):
-    return spark.createDataFrame([("the quick list of words that a recogniser was given",)], "prompt string")
+def prompts(spark, sf_dir):
+    return X.table(spark, sf_dir, "benchmark").select(F.col("text").alias("prompt"))
+
+
+def echoing(spark, sf_dir):
+    """Cues of which every third one says a slice of a prompt, with a change near its end."""
+    asked = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("_prompt"))
+    rows = X.cues(spark, sf_dir).withColumn("_item", F.when(F.col("idx") % 3 == 1, F.col("job_id") % 40)).join(asked, "_item", "left")
+    said = F.concat(F.substr("_prompt", (F.col("id") % 30 + 1).cast("int"), F.lit(50)), F.substr("text_stt", F.lit(1), (F.col("id") % 20).cast("int")))
+    return rows.withColumn("text_stt", F.when(F.col("_prompt").isNotNull(), said).otherwise(F.col("text_stt"))).drop("_item", "_prompt")
+
+
+ECHOING = f"(SELECT c.* REPLACE (CASE WHEN b.text IS NOT NULL THEN substr(b.text, id % 30 + 1, 50) || substr(text_stt, 1, id % 20) ELSE text_stt END AS text_stt) FROM {X.CUES_SQL} c LEFT JOIN benchmark b ON b.item_id = job_id % 40 AND idx % 3 = 1)"
+COMPACT = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}_]+', '', 'g'))".replace("\\", "\")
 
 
 @query("x11_split_segments")
@@ -28,10 +40,10 @@ def s5_word_stream(spark, sf_dir):
     return X.words(spark, sf_dir).filter("end_ms > start_ms").select("job_id", "cue_id", "word_no", "start_ms", "end_ms")
 
 
-@query("x8_prompt_echoes")
+@query("x8_prompt_echoes", f"""WITH c AS (SELECT id, {COMPACT.format('text_stt')} AS k FROM {ECHOING}), d AS (SELECT id, k, (length(k) * 80 + 99) // 100 AS n FROM c WHERE length(k) >= 6), p AS (SELECT DISTINCT {COMPACT.format('text')} AS p FROM benchmark)
+SELECT DISTINCT id FROM d JOIN p ON len(list_filter(range(0, length(k) - n + 1), lambda i: contains(p, substr(k, i + 1, n)))) > 0""")
 def x8_prompt_echoes(spark, sf_dir):
-    cues = X.cues(spark, sf_dir).withColumn("text_stt", F.when(F.col("idx") == 1, "List of words that a recogniser").otherwise(F.col("text_stt")))
-    return speech.prompt_echoes(cues, prompts(spark))
+    return speech.prompt_echoes(echoing(spark, sf_dir), prompts(spark, sf_dir))
 
 
 @query("x10_gap_rows")
@@ -41,15 +53,15 @@ def x10_gap_rows(spark, sf_dir):
 
 @query("x9_crosscheck")
 def x9_crosscheck(spark, sf_dir):
-    return speech.crosschecked(X.cues(spark, sf_dir).filter("idx % 3 > 0"), X.captions(spark, sf_dir), prompts(spark))
+    return speech.crosschecked(echoing(spark, sf_dir).filter("idx % 3 > 0"), X.captions(spark, sf_dir), prompts(spark, sf_dir))
 
 
 @query("e14_repair_recognition")
 def e14_repair_recognition(spark, sf_dir):
     """Cross-check anew for jobs that aren't complete."""
-    cues = X.cues(spark, sf_dir)
+    cues = echoing(spark, sf_dir)
     open_ = cues.filter("NOT reviewed").select("job_id").distinct()
-    return speech.crosschecked(cues.join(open_, "job_id", "left_semi"), X.captions(spark, sf_dir), prompts(spark))
+    return speech.crosschecked(cues.join(open_, "job_id", "left_semi"), X.captions(spark, sf_dir), prompts(spark, sf_dir))
 
 
 @query("x12_w9_clamped")

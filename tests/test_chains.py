@@ -157,3 +157,59 @@ def test_echoes_equal_all_pairs(spark, percent):
     got = speech.prompt_echoes(spark.createDataFrame(cues, "id long, text_stt string"), spark.createDataFrame([(p,) for p in prompts], "prompt string"), percent=percent)
     assert sorted(x.id for x in got.collect()) == [i for i, c in cues if echo(c)]
     assert got.count() > 30
+
+
+def test_longest_chain(spark):
+    r = random.Random(8)
+    rows, want = [], {}
+    for j in range(25):
+        n = r.randint(1, 60)
+        h = [i + (r.randint(-6, 6) if r.random() < 0.3 else 0) for i in range(n)]
+        rows += [(j, i, x) for i, x in enumerate(h)]
+        best = [1] * n
+        for i in range(n):
+            best[i] = 1 + max((best[k] for k in range(i) if h[k] < h[i]), default=0)
+        want[j] = max(best)
+    got = {}
+    for x in speech.increasing(spark.createDataFrame(rows, "job_id int, s int, h int")).orderBy("job_id", "s").collect():
+        got.setdefault(x.job_id, []).append(x.h)
+    assert {j: len(h) for j, h in got.items()} == want
+    assert all(a < b for h in got.values() for a, b in zip(h, h[1:]))
+
+
+def spoken(seed, n, kinds=500):
+    """A script, what was heard of it, and for each word of the script its place there, or None."""
+    r = random.Random(seed)
+    script = [f"w{r.randrange(kinds)}" for _ in range(n)]
+    heard, truth = [], []
+    for w in script:
+        if r.random() < 0.03:
+            heard += [f"w{r.randrange(kinds)}" for _ in range(r.randint(1, 3))]
+        if r.random() < 0.05:
+            truth.append(None)
+            continue
+        right = r.random() > 0.05
+        truth.append(len(heard) if right else None)
+        heard.append(w if right else "noise")
+    return script, heard, truth
+
+
+def places(spark, jobs):
+    sentences = [(j, n, " ".join(script[n * 8 : n * 8 + 8])) for j, (script, _, _) in enumerate(jobs) for n in range(-(-len(script) // 8))]
+    words = [(j, i * 100, i * 100 + 90, w) for j, (_, heard, _) in enumerate(jobs) for i, w in enumerate(heard)]
+    script, heard = speech.script_and_heard(spark.createDataFrame(sentences, "job_id long, no long, text string"), spark.createDataFrame(words, "job_id long, start_ms long, end_ms long, word string"))
+    return speech.word_places(script, heard)
+
+
+def test_places_of_words_are_those_of_an_exact_alignment(spark):
+    jobs = [spoken(seed, 600) for seed in range(4)]
+    got = {(x.job_id, x.at): x.h for x in places(spark, jobs).collect()}
+    exact = near = total = 0
+    for j, (script, heard, truth) in enumerate(jobs):
+        for b in SequenceMatcher(None, script, heard, autojunk=False).get_matching_blocks():
+            for i in range(b.size):
+                total += 1
+                exact += got[j, b.a + i] == b.b + i
+        near += sum(abs(got[j, i] - h) <= 2 for i, h in enumerate(truth) if h is not None)
+        assert all(got[j, i] <= got[j, i + 1] for i in range(len(script) - 1))
+    assert exact >= 0.98 * total and near >= 0.98 * sum(h is not None for _, _, t in jobs for h in t)
