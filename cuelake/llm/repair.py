@@ -64,17 +64,18 @@ def _apart(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     touches = places[1:] == places[:-1] + 1
     chosen = ~(np.concatenate([[False], touches]) | np.concatenate([touches, [False]]))[: len(places)]
     open_ = np.flatnonzero(~chosen)
-    while len(open_):
-        p, r = places[open_], ranks[open_]
-        touches = p[1:] == p[:-1] + 1
-        before = np.concatenate([[False], touches & (r[:-1] <= r[1:])])
-        after = np.concatenate([touches & (r[1:] < r[:-1]), [False]])
-        best = ~before & ~after
+    p, r = places[open_], ranks[open_]
+    while len(p):
+        touches = p[1:] - p[:-1] == 1
+        left = r[:-1] <= r[1:]
+        best, near = np.ones(len(p), bool), np.zeros(len(p), bool)
+        best[1:] = ~(touches & left)
+        best[:-1] &= ~touches | left
         chosen[open_[best]] = True
-        beside = np.zeros(len(open_), bool)
-        beside[1:] |= touches & best[:-1]
-        beside[:-1] |= touches & best[1:]
-        open_ = open_[~best & ~beside]
+        near[1:] = touches & best[:-1]
+        near[:-1] |= touches & best[1:]
+        rest = ~(best | near)
+        open_, p, r = open_[rest], p[rest], r[rest]
     return chosen
 
 

@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm import repair
 from cuelake.llm.common import as_bytes, slices, written
-from cuelake.llm.tokens import MOST_BYTES, TOGETHER, WordCache, tokenizer_path
+from cuelake.llm.tokens import TOGETHER, tokenizer_path
 
 #: What closes each document.
 END_ID = 2
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 1 << 23
+#: Bytes that the chunks a Python worker keeps may take, with their ids.
+KEPT_BYTES = 48 << 20
 #: A shard is closed once it holds so many ids; a document is never cut, so a longer one fills a shard of its own.
 SHARD_IDS = 1 << 17
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -68,13 +70,14 @@ def chunk_ids(path: str | None) -> ChunkIds:
 class ChunkIds:
     """Ids of texts under a byte-level tokenizer; each distinct chunk is encoded once, and its ids stay in one buffer.
 
-    Chunks of one space and a word go to the tokenizer many at a time, laid end to end: a token that begins with a space begins
-    the next chunk.
+    Chunks met before are an Arrow array, in which a batch's distinct ones are looked up together. Chunks of one space and a word
+    go to the tokenizer many at a time, laid end to end: a token that begins with a space begins the next chunk. Once what is
+    kept takes more than most_bytes, it is dropped before the next batch; only speed depends on it.
     """
 
-    WORD = re.compile(rb" [^\x09-\x0D\x20]+")
+    WORD = "^ [^\\t-\\r ]+$"
 
-    def __init__(self, path: str, most_bytes: int = MOST_BYTES):
+    def __init__(self, path: str, most_bytes: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,62 +85,66 @@ class ChunkIds:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.known = WordCache(most_bytes)
+        self.most_bytes = most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.known.clear()
-        self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.known = pa.array([], pa.binary())
+        self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
 
-    def encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+    def held(self) -> int:
+        return self.known.nbytes + 12 * len(self.known) + 4 * self.used
+
+    def encoded(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts.to_pylist()], add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in lists)]), np.fromiter(map(len, lists), np.int64, len(lists))
 
-    def encoded_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        lines = [b"".join(words[i : i + TOGETHER]).decode() for i in range(0, len(words), TOGETHER)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+    def encoded_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = as_bytes(words)
+        raw, cuts = data.tobytes(), [*offsets[:-1:TOGETHER].tolist(), int(offsets[-1])]
+        lines = [raw[a:b].decode() for a, b in zip(cuts, cuts[1:])]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))])
         starts = np.flatnonzero(self.begins[ids])
         if len(starts) != len(words):  # a special token stands in a word, or the file is of another kind
             return self.encoded(words)
         return ids, np.diff(starts, append=len(ids))
 
-    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.known.of)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(words) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[first : first + len(words)] = sizes
-        self.used += len(ids)
-        self.known.add(words, 4 * len(ids))
-
-    def learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if self.WORD.fullmatch(w)]
-        if plain:
-            self.add(plain, *self.encoded_words(plain))
-        if len(plain) < len(new):
-            other = sorted(set(new).difference(plain))
-            self.add(other, *self.encoded(other))
-
-    def places(self, parts: list[bytes]) -> np.ndarray:
-        found = list(map(self.known.of.get, parts))
-        if missing := [i for i, x in enumerate(found) if x is None]:
-            self.learn([parts[i] for i in missing])
-            for i in missing:
-                found[i] = self.known.of[parts[i]]
-        return np.array(found, np.int64)
+    def learn(self, parts: pa.Array) -> None:
+        """Keeps the ids of parts, none of them known, behind the others."""
+        word = pc.match_substring_regex(parts.cast(pa.string()), self.WORD)
+        for some, encode in ((word, self.encoded_words), (pc.invert(word), self.encoded)):
+            new, first = parts.filter(some), len(self.known)
+            ids, sizes = encode(new)
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while first + len(new) > len(self.starts):
+                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[first : first + len(new)] = sizes
+            self.used += len(ids)
+            self.known = pa.concat_arrays([self.known, new])
+
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """Where the distinct parts stand among the known ones; new ones are learnt."""
+        found = pc.index_in(parts, self.known)
+        if found.null_count:
+            new = parts.filter(found.is_null())
+            first = len(self.known)
+            self.learn(new)
+            behind = pc.index_in(new, self.known.slice(first))
+            found = pc.replace_with_mask(found, found.is_null(), pc.add(behind, pa.scalar(first, pa.int32())))
+        return found.to_numpy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none), and the n + 1 places where each text's begin and end."""
-        if self.known.held > self.known.most_bytes:
+        if self.held() > self.most_bytes:
             self.clear()
         found, bounds = chunks(*as_bytes(texts))
         distinct = found.dictionary_encode()
-        places = self.places(distinct.dictionary.to_pylist())[distinct.indices.to_numpy()]
+        places = self.places(distinct.dictionary)[distinct.indices.to_numpy()]
         sizes = self.sizes[places]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         at = np.repeat((self.starts[places] - ends[:-1]).astype(np.int32), sizes)
         at += np.arange(len(at), dtype=np.int32)
         return self.ids[at], ends[bounds]
