@@ -61,14 +61,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shuffles carry one light row per document and the few matches; templates are constants, so their broadcast doesn't grow.
     """
     templates = template_grams(docs, phrases, notices, k)
-    w = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), words(F.col(text_col)).alias("_words"))
+    w = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), words(F.col(text_col)).alias("_words")).withColumn("_n", F.size("_words").cast("long"))
     n = F.size("_words")
     # The first element stands for the document itself, so that one without any match keeps its row.
-    rolled = F.concat(F.array(F.lit(None).cast("long")), F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: gram_hash([F.element_at("_words", (i + j).cast("int")) for j in range(k)]))).otherwise(F.array().cast("array<bigint>")))
-    grams = w.select("_id", "_key", "_words", n.cast("long").alias("_n"), F.posexplode(rolled).alias("_pos", "_h"))
+    # A row has its own k words only, so a long text costs no more for each of its words than a short one.
+    kind = "struct<h:bigint,w:array<string>>"
+    gram = lambda i: F.struct(gram_hash([F.element_at("_words", (i + j).cast("int")) for j in range(k)]).alias("h"), F.slice("_words", i, k).alias("w"))
+    rolled = F.concat(F.array(F.lit(None).cast(kind)), F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), gram)).otherwise(F.array().cast(f"array<{kind}>")))
+    grams = w.select("_id", "_key", "_n", F.posexplode(rolled).alias("_pos", "_g"))
     found = (
-        grams.join(F.broadcast(templates), F.col("_h") == F.col("_hash"), "left")
-        .filter((F.col("_pos") == 0) | (F.slice("_words", F.greatest("_pos", F.lit(1)), k) == F.col("_gram")))
+        grams.join(F.broadcast(templates), F.col("_g.h") == F.col("_hash"), "left")
+        .filter((F.col("_pos") == 0) | (F.col("_g.w") == F.col("_gram")))
         .select("_id", "_key", "_n", (F.col("_pos") - 1).cast("long").alias("_pos"), "_template", "_label", "_base", "_place", "_grams")
     )
     diagonals = found.groupBy("_key", "_id", "_n", "_template", "_label", "_base", "_grams", (F.col("_pos") - F.col("_place")).alias("_diagonal")).agg(F.collect_set("_place").alias("_places"))

@@ -20,10 +20,10 @@ SHARE = 512
 WORDS = shingles.SKETCH_BITS // 64
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with key_a and key_b, the two halves of row_key."""
+def keyed(docs: DataFrame, *columns: Column | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key_a and key_b, the two halves of row_key, and the given columns of docs (all of them, if none is given)."""
     key = row_key(id_col, text_col)
-    return docs.select("*", key["a"].alias("key_a"), key["b"].alias("key_b"))
+    return docs.select(key["a"].alias("key_a"), key["b"].alias("key_b"), *(columns or ["*"]))
 
 
 def signatures(docs: DataFrame, k: int, rows: int, bands: int, id_col: str, text_col: str) -> DataFrame:
@@ -47,7 +47,7 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int, id_col: str, text
             own = [batch.column(c) for c in ("id", "key_a", "key_b")]
             yield pa.RecordBatch.from_arrays([*own, *columns], ["id", "key_a", "key_b", "n_shingles", "seq_a", "seq_b", "bands", "sketch"])
 
-    source = keyed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "key_a", "key_b", F.col(text_col).alias("text"))
+    source = keyed(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), id_col=id_col, text_col=text_col)
     return source.mapInArrow(run, "id long, key_a long, key_b long, n_shingles long, seq_a long, seq_b long, bands array<long>, sketch array<long>")
 
 
@@ -227,7 +227,7 @@ def classes_linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     flipped = lambda df: df.withColumn("_k", F.col("bucket").bitwiseXOR(F.lit(1)))
     members = written(flipped(buckets).join(flipped(sized).drop("bucket"), "_k").drop("_k"), "members")
     wanted = reps.select("id", "key_a", "key_b").join(members.select("id").distinct(), "id", "left_semi")
-    texts = keyed(docs, id_col, text_col).select("key_a", "key_b", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = keyed(docs, F.coalesce(F.col(text_col), F.lit("")).alias("text"), id_col=id_col, text_col=text_col)
     texts = written(texts.join(wanted, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b", "id"]).select("id", "text"), "texts")
     sketches = reps.select("id", "n_shingles", "sketch")
     pairs = members.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).union(members.filter("id < high AND id > low").select(F.col("high").alias("a"), F.col("id").alias("b"))).distinct()

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import unused
+
 #: Fixed values of the contract: kinds in the order of the digest, each with its pattern, the part that is measured, and that part's least length.
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -133,22 +135,24 @@ def secret_spans(docs: DataFrame, text_col: str = "text", out_col: str = "_spans
 
     Base spans are the matches of BASE whose measured part is long enough. The method adds the runs of 20 characters that hold a
     letter and a digit, touch no assignment, hold no access key or long hex run, and whose mean log-likelihood ratio is at
-    least threshold; each of these is seen from the run itself. Null counts as empty.
+    least threshold; each of these is seen from the run itself. Null counts as empty. All columns of docs stay, but for one
+    that has out_col's name.
     """
+    of_assign, of_base = unused(docs, "_assign", "_base")
     model = model or train(labelled_tokens(docs.sparkSession))
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = {kind: k for k, kind in enumerate([*(b[0] for b in BASE), MARKOV])}
     tagged = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order[kind]).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     patterns = {kind: FAST.get(kind, pattern) for kind, pattern, *_ in BASE}
-    assigned = docs.withColumn("_assign", spans_of(text, patterns["assign"]))
-    spans = {kind: F.col("_assign") if kind == "assign" else spans_of(text, pattern) for kind, pattern in patterns.items()}
-    base = assigned.withColumn("_base", F.concat(*(tagged(long_enough(spans[kind], kind), kind) for kind in patterns)))
+    assigned = docs.withColumn(of_assign, spans_of(text, patterns["assign"]))
+    spans = {kind: F.col(of_assign) if kind == "assign" else spans_of(text, pattern) for kind, pattern in patterns.items()}
+    base = assigned.withColumn(of_base, F.concat(*(tagged(long_enough(spans[kind], kind), kind) for kind in patterns)))
     clear = lambda m: m.rlike("^[A-Za-z0-9+/_=-]+$") & ~m.rlike(BASE[0][1]) & ~m.rlike(r"AKIA[A-Z0-9]{16}") & ~m.rlike(r"[0-9a-f]{24}")
     likely = lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]") & clear(s["match"])
-    runs = F.when(F.size("_assign") > 0, spans_of(text, BESIDE_ASSIGNMENTS)).otherwise(spans_of(text, CANDIDATE))
+    runs = F.when(F.size(of_assign) > 0, spans_of(text, BESIDE_ASSIGNMENTS)).otherwise(spans_of(text, CANDIDATE))
     more = F.filter(F.filter(runs, likely), lambda s: log_ratio(s["match"], model) >= threshold)
-    every = F.array_sort(F.concat("_base", tagged(more, MARKOV)))
-    return base.withColumn(out_col, F.transform(every, lambda s: F.struct(s["start"], s["end"], s["kind"]))).drop("_base", "_assign")
+    every = F.array_sort(F.concat(of_base, tagged(more, MARKOV)))
+    return base.withColumn(out_col, F.transform(every, lambda s: F.struct(s["start"], s["end"], s["kind"]))).drop(of_base, of_assign)
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -169,8 +173,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", model: list[float] | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs, with each secret in text_col replaced by mark (overlapping spans by one). A text without secrets, or null, stays as it is."""
-    found = secret_spans(docs, text_col, "_spans", model, threshold)
+    """docs, with each secret in text_col replaced by mark (overlapping spans by one). A text without secrets, or null, stays as it is.
+
+    Rows that repeat give repeated rows, an empty table none; the other columns stay, whatever their names.
+    """
+    (out,) = unused(docs, "_spans")
+    found = secret_spans(docs, text_col, out, model, threshold)
     # The state is the place up to which the text is told: what lies before a span is copied, a span that begins inside the last one adds no mark.
     text = F.col(text_col)
 
@@ -178,5 +186,5 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", mo
         told = F.when(s["start"] < at, "").otherwise(F.concat(text.substr(at + 1, s["start"] - at), F.lit(mark)))
         return F.struct(F.greatest(at, s["end"]).alias("state"), told.alias("out"))
 
-    whole = F.concat(F.array_join(scanned(F.col("_spans"), F.lit(0), step, "string"), ""), text.substr(F.array_max(F.transform("_spans", lambda s: s["end"])) + 1, F.length(text)))
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(text)).drop("_spans")
+    whole = F.concat(F.array_join(scanned(F.col(out), F.lit(0), step, "string"), ""), text.substr(F.array_max(F.transform(out, lambda s: s["end"])) + 1, F.length(text)))
+    return found.withColumn(text_col, F.when(F.size(out) > 0, whole).otherwise(text)).drop(out)
