@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -31,14 +32,34 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def best_window(a: str, b: str) -> float:
-    """The best indel ratio of the shorter text with a window of the longer one; windows may stand over its edges."""
+    """The best indel ratio of the shorter text with a window of the longer one, as long as it or standing over an edge.
+
+    One step of a window changes what it has in common with the text by one character at most. So behind a window that falls
+    short of the best one so far, as many are passed over as that takes to make up.
+    """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 0.0
     if short in long:
         return 100.0
     n = len(short)
-    return max(indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+    most, i = 0, 0  # characters in common with the best whole window
+    while i <= len(long) - n:
+        common = common_length(short, long[i : i + n])
+        i += max(1, most - common + 1)
+        most = max(most, common)
+    best = 100.0 * most / n
+    for edge in (lambda w: long[:w], lambda w: long[-w:]):
+        w = 1
+        while w < n:
+            if 200.0 * w / (n + w) > best:
+                common = common_length(short, edge(w))
+                best = max(best, 200.0 * common / (n + w))
+            else:
+                common = w
+            # The next width that could beat the best: 200 (common + d) > best (n + w + d).
+            w += max(1, math.floor((best * (n + w) - 200.0 * common) / (200.0 - best)))
+    return best
 
 
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -108,28 +129,65 @@ def _replaced_tokens(machine: pd.Series, final: pd.Series) -> pd.Series:
     return pd.Series([of(m or "", f or "") for m, f in zip(machine, final)])
 
 
-def _token_changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Tokens, white space included, that only one of the texts has, by a longest common subsequence."""
-    def of(x: str, y: str) -> tuple[list[str], list[str]]:
-        s, t = re.findall(r"\s+|\S+", x), re.findall(r"\s+|\S+", y)
-        table = [[0] * (len(t) + 1) for _ in range(len(s) + 1)]
-        for i in range(len(s) - 1, -1, -1):
-            for j in range(len(t) - 1, -1, -1):
-                table[i][j] = table[i + 1][j + 1] + 1 if s[i] == t[j] else max(table[i + 1][j], table[i][j + 1])
-        i = j = 0
-        gone, new = [], []
-        while i < len(s) or j < len(t):
-            if i < len(s) and j < len(t) and s[i] == t[j]:
-                i, j = i + 1, j + 1
-            elif j == len(t) or i < len(s) and table[i + 1][j] >= table[i][j + 1]:
-                gone.append(s[i])
-                i += 1
-            else:
-                new.append(t[j])
-                j += 1
-        return gone, new
+#: Rows of the table of common lengths that are kept between two that are kept for good.
+ROWS = 256
+
 
-    return pd.DataFrame([of(x or "", y or "") for x, y in zip(a, b)], columns=["deleted", "inserted"])
+def token_diff(s: list[str], t: list[str]) -> tuple[list[str], list[str]]:
+    """Tokens that only s or only t has, by a longest common subsequence; where there is a choice, equal tokens at the same time are kept, and a token of s goes before one of t.
+
+    Row i of the table of common lengths of s[i:] and t[j:] is one number: bit j tells whether it falls by one from j to j + 1.
+    A row follows from the next one by a few operations on whole numbers. Every ROWS-th row is kept; those between are made
+    again when the way through the table comes by, so memory is that of the square root of a table of bits.
+    """
+    n, m = len(s), len(t)
+    masks: dict[str, int] = {}
+    for j, token in enumerate(reversed(t)):  # reversed, so that carries run towards smaller j
+        masks[token] = masks.get(token, 0) | 1 << j
+    full = (1 << m) - 1
+
+    def above(row: int, token: str) -> int:
+        hit = row & masks.get(token, 0)
+        return ((row + hit) | (row - hit)) & full
+
+    # In these rows a bit is clear where the length falls; bit m - 1 - j belongs to j.
+    kept, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = above(row, s[i])
+        if i % ROWS == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def at(i: int) -> int:
+        if i not in rows:
+            rows.clear()
+            last = min(n, (i // ROWS + 1) * ROWS)
+            rows[last] = kept[last]
+            for k in range(last - 1, i - 1, -1):
+                rows[k] = above(rows[k + 1], s[k])
+        return rows[i]
+
+    length = lambda i, j: (m - j) - (at(i) & ((1 << (m - j)) - 1)).bit_count()
+    i = j = 0
+    gone, new = [], []
+    while i < n and j < m:
+        if s[i] == t[j]:
+            i, j = i + 1, j + 1
+            continue
+        right = length(i, j + 1)
+        if length(i + 1, j) >= right:
+            gone.append(s[i])
+            i += 1
+        else:
+            new.append(t[j])
+            j += 1
+    return gone + s[i:], new + t[j:]
+
+
+def _token_changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Tokens, white space included, that only one of the texts has."""
+    split = lambda x: re.findall(r"\s+|\S+", x or "")
+    return pd.DataFrame([token_diff(split(x), split(y)) for x, y in zip(a, b)], columns=["deleted", "inserted"])
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +42,6 @@ def mined_tokens(cues: DataFrame, token: str = "[가-힣]{2,}", stop: tuple[str,
     return kept.groupBy("wrong", "right").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "wrong", "right").limit(most)
 
 
-def apply_in_order(text: Column, pairs: Column) -> Column:
-    """Whole-word replacements one after another, each on what the one before has left."""
-    return F.aggregate(pairs, text, lambda acc, p: korean.replaced_whole(acc, p["wrong"], p["right"]))
-
-
 def pre_passed(cues: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
     """id, text: the recognised text after all pairs seen `least` times that it holds, most frequent first (then by name).
 
@@ -58,30 +55,42 @@ def _first_word(c: Column) -> Column:
     return F.get(F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != ""), F.lit(0))
 
 
-def _closed(steps: DataFrame) -> DataFrame:
-    """All (_from, _word) that steps reach one after another; paths double in length with each round, and each round's table cuts the lineage."""
-    found = storage.written(steps.distinct(), "chains")
-    n = found.count()
-    while n:
-        longer = found.select("_from", F.col("_word").alias("_by")).join(found.select(F.col("_from").alias("_by"), "_word"), "_by").select("_from", "_word")
-        found = storage.written(found.select("_from", "_word").union(longer).distinct(), "chains")
-        last, n = n, found.count()
-        if n == last:
-            break
-    return found
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != ""))
+
+
+def _run(text: Column, pairs: Column) -> Column:
+    """text after the pairs in order, and the pairs that changed it: a struct (text, used)."""
+    def step(acc: Column, p: Column) -> Column:
+        return T.let(korean.replaced_whole(acc["text"], p["wrong"], p["right"]), lambda new: F.struct(new.alias("text"), F.when(new == acc["text"], acc["used"]).otherwise(F.concat(acc["used"], F.array(p["right"]))).alias("used")))
+
+    return F.aggregate(pairs, F.struct(text.alias("text"), F.array().cast("array<string>").alias("used")), step)
 
 
 def _applied(cues: DataFrame, ranked: DataFrame, allowed: Column | None = None) -> DataFrame:
-    words = cues.select("id", "job_id", "idx", F.explode(F.array_distinct(F.filter(F.split("text", r"(?U)[^\w]+"), lambda w: w != ""))).alias("_word"))
-    # A replacement may bring in the first word of another pair, and that of a third one, so all pairs that could follow are taken along.
-    keyed = ranked.withColumn("_word", _first_word(F.col("wrong")))
-    chained = keyed.select(F.col("_word").alias("_from"), F.explode(F.array_distinct(F.filter(F.split("right", r"(?U)[^\w]+"), lambda w: w != ""))).alias("_word")).distinct()
-    starts = keyed.select("_word").distinct()
-    reach = words.join(_closed(chained.join(starts, "_word", "left_semi")).union(starts.select(F.col("_word").alias("_from"), "_word")).distinct().withColumnRenamed("_word", "_to"), words["_word"] == F.col("_from")).select("id", "job_id", "idx", F.col("_to").alias("_word")).distinct()
-    joined = reach.join(keyed, "_word")
-    met = (joined if allowed is None else joined.filter(allowed)).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("_rank", "wrong", "right"))).alias("_pairs"))
-    out = cues.join(met, "id", "left")
-    return out.select("id", F.col("text").alias("before"), F.when(F.col("_pairs").isNull(), F.col("text")).otherwise(apply_in_order(F.col("text"), F.col("_pairs"))).alias("text"))
+    """id, before, text: cues (id, job_id, idx, text) after all pairs (_rank, wrong, right), one after another by rank.
+
+    A pair meets a text through its first word. A replacement can bring in the first words of others only by its own words, so
+    after a round only the cues that changed and got words that they have not been looked up by go on, with these words; what
+    they meet joins their pairs, and all run again from the start. Each round costs what the last one has changed, however
+    large the vocabulary; there are as many as the longest chain of replacements that a text goes through.
+    """
+    keyed = storage.written(ranked.withColumn("_word", _first_word(F.col("wrong"))), "pairs")
+    kind = f"array<struct<_rank:{keyed.schema['_rank'].dataType.simpleString()},wrong:string,right:string>>"
+    start = cues.select("id", "job_id", "idx", F.col("text").alias("before"), "text", F.array().cast(kind).alias("_pairs"), _words(F.col("text")).alias("_had"), _words(F.col("text")).alias("_new"))
+    active, done = storage.written(start, "cues"), []
+    while True:
+        met = active.select("id", "job_id", "idx", F.explode("_new").alias("_word")).join(keyed, "_word")
+        met = (met if allowed is None else met.filter(allowed)).groupBy("id").agg(F.collect_set(F.struct("_rank", "wrong", "right")).alias("_met"))
+        grown = active.join(met, "id", "left").withColumn("_pairs", F.when(F.col("_met").isNull(), F.col("_pairs")).otherwise(F.array_sort(F.array_union("_pairs", F.col("_met").cast(kind)))))
+        ran = grown.withColumn("_ran", F.when(F.col("_met").isNotNull(), _run(F.col("before"), F.col("_pairs"))))
+        brought = F.array_except(F.coalesce(F.flatten(F.transform("_ran.used", _words)), F.array().cast("array<string>")), "_had")
+        after = ran.withColumn("_new", brought).select("id", "job_id", "idx", "before", F.coalesce("_ran.text", "text").alias("text"), "_pairs", F.array_union("_had", "_new").alias("_had"), "_new")
+        after = storage.written(after, "cues")
+        done.append(after.filter(F.coalesce(F.size("_new") == 0, F.lit(True))).select("id", "before", "text"))
+        active = after.filter("size(_new) > 0")
+        if active.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def propagated(cues: DataFrame, global_pairs: DataFrame, job_pairs: DataFrame, least: int = 2) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache, reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cuelake.functions import text as T
 
@@ -50,20 +56,48 @@ def surface_forms(terms: DataFrame, term: str = "term", variants: str = "variant
     return terms.select(F.col(term).alias("form")).union(terms.select(F.explode(F.split(F.coalesce(F.col(variants), F.lit("")), ",")).alias("form"))).select(F.trim("form").alias("form")).filter("form <> ''").distinct()
 
 
-def mentions(cues: DataFrame, hay: Column, forms: DataFrame, key: str = "id", gram: int = 4) -> DataFrame:
-    """(key, form): the forms that occur in each cue's text.
+#: Characters of the forms that one automaton holds, about 100 bytes each; a larger vocabulary takes several passes over the texts.
+FORM_CHARACTERS = 1 << 20
+
+
+@lru_cache(1)
+def _automaton(forms: tuple[str, ...]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for form in forms:
+        out.add_word(form, form)
+    out.make_automaton()
+    return out
+
+
+def mentions(cues: DataFrame, hay: Column, forms: DataFrame, key: str = "id", characters: int = FORM_CHARACTERS) -> DataFrame:
+    """(key, form): the forms that occur in each cue's text; null and empty forms and texts hold nothing.
 
-    Each form of `gram` characters or more is looked up by its first ones, so only places with that gram are compared; shorter
-    forms, which are few, are compared with each gram's beginning. An equi-join, whatever the vocabulary's size.
+    An automaton over the forms reads each text once and names those that end at each place, so the only rows made are matches;
+    nothing is joined. The vocabulary is dealt by hash to parts of about `characters` characters; each part's automaton is
+    built in the tasks from the part's forms, which are all that is broadcast.
     """
+    spark = cues.sparkSession
+    known = forms.filter("form <> ''").select("form").distinct()
+    parts = -(-(known.agg(F.sum(F.length("form"))).first()[0] or 0) // characters)
     at = cues.select(F.col(key).alias("_key"), hay.alias("_hay"))
-    places = at.select("_key", "_hay", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_hay"), F.lit(1)))).alias("_at"))
-    sized = forms.select("form", F.least(F.length("form"), F.lit(gram)).alias("_size"), F.substring("form", 1, gram).alias("_gram"))
-    grams = places.select("_key", F.col("_hay").substr(F.col("_at"), F.lit(40)).alias("_rest")).withColumn("_size", F.explode(F.sequence(F.lit(1), F.lit(gram)))).withColumn("_gram", F.expr("substring(_rest, 1, _size)")).filter("length(_gram) = _size")
-    found = grams.join(sized, ["_size", "_gram"]).filter(F.startswith("_rest", F.left("form", F.lit(40)))).select("_key", "form").distinct()
-    # The slices tell about forms of up to 40 characters; what begins like a longer one is looked up in its whole text.
-    long = found.filter(F.length("form") > 40).join(at, "_key").filter(F.contains("_hay", "form")).select("_key", "form").distinct()
-    return found.filter(F.length("form") <= 40).union(long).select(F.col("_key").alias(key), "form")
+    out = [spark.createDataFrame([], StructType([at.schema["_key"], StructField("form", StringType())]))]
+    for part in range(parts):
+        own = known.filter(F.pmod(F.xxhash64("form"), F.lit(parts)) == part)
+        shared = spark.sparkContext.broadcast(tuple(sorted(r.form for r in own.collect())))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            if not shared.value:
+                return
+            automaton = _automaton(shared.value)
+            for batch in batches:
+                found = [sorted({form for _, form in automaton.iter(text)}) if text else [] for text in batch.column("_hay").to_pylist()]
+                rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(rows)), pa.array([form for f in found for form in f], pa.string())], ["_key", "form"])
+
+        out.append(at.mapInArrow(run, out[0].schema))
+    return reduce(DataFrame.union, out).distinct().withColumnRenamed("_key", key)
 
 
 def low_risk(cues: DataFrame, mentioned: DataFrame) -> DataFrame:
@@ -99,10 +133,22 @@ def cer_text(c: Column) -> Column:
     return T.collapsed(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", "")))
 
 
+#: Edits up to which a band of that width is tried, one after another, before the whole table of two texts is worked out.
+BANDS = (32, 256, 2048, 16384)
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Character edits between two texts, in time of their length times the edits: a band that holds all cheap ways grows until the distance fits it."""
+    out = F.levenshtein(a, b)
+    for most in reversed(BANDS):
+        wider = out
+        out = T.let(F.levenshtein(a, b, most), lambda d: F.when(d >= 0, d).otherwise(wider))  # noqa: B023
+    return F.when(a == b, 0).otherwise(out)
+
+
 def error_rate(ref: Column, hyp: Column) -> Column:
-    """Character edits over the reference's length, to four places; null where the reference is empty. Equal texts cost nothing."""
-    edits = F.when(ref == hyp, 0).otherwise(F.levenshtein(ref, hyp))
-    return F.when(F.length(ref) > 0, F.round(edits / F.length(ref), 4))
+    """Character edits over the reference's length, to four places; null where the reference is empty."""
+    return F.when(F.length(ref) > 0, F.round(edits(ref, hyp) / F.length(ref), 4))
 
 
 def evaluated(cues: DataFrame, media: DataFrame, imported: DataFrame) -> DataFrame:

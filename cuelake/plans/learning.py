@@ -205,7 +205,19 @@ def x21_edit_distance(spark, sf_dir):
     return rows.select("id", F.levenshtein("a", "b").alias("edits"), F.length("a").alias("n"))
 
 
-@query("x22_k13_evaluation")
+def _rates_sql() -> str:
+    plain = lambda c: "trim(regexp_replace(lower(regexp_replace(" + c + r", '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', ' ', 'g'))"
+    joined = lambda c, name, only="": plain(f"coalesce(string_agg({c}, ' ' ORDER BY idx, id) {only}, '')") + f" AS {name}"
+    rate = lambda a, b: f"CASE WHEN length({a}) > 0 THEN round(levenshtein({a}, {b})::DOUBLE / length({a}), 4) END"
+    some = "FILTER (matched)"
+    return f"""WITH r AS (SELECT job_id, idx, id, text_final AS ref, text_stt AS stt, coalesce(nullif(text_llm, ''), text_stt) AS llm, length(trim(text_final)) AS n, greatest(length(trim(text_stt)), 1) AS m, trim(text_stt) <> '' AS heard FROM {X.CUES_SQL} WHERE reviewed AND trim(text_final) <> ''),
+k AS (SELECT *, heard AND n * 2 >= m AND n <= 2 * m AS matched FROM r),
+j AS (SELECT job_id, count(*) AS n_reviewed, count(*) FILTER (matched) AS n_matched, {joined('ref', 'a')}, {joined('stt', 'b')}, {joined('llm', 'c')}, {joined('ref', 'd', some)}, {joined('llm', 'e', some)} FROM k GROUP BY job_id),
+e AS (SELECT job_id, n_reviewed, n_matched, {rate('a', 'b')} AS cer_stt, {rate('a', 'c')} AS cer_llm, {rate('d', 'e')} AS cer_matched FROM j)
+SELECT e.*, left(title, 40) AS title, created, CASE WHEN job_id % 4 = 0 THEN 'srt' ELSE 'app' END AS source, round(cer_stt - cer_llm, 4) AS gain FROM e JOIN {X.MEDIA_SQL} USING (job_id) WHERE NOT practice"""
+
+
+@query("x22_k13_evaluation", _rates_sql())
 def x22_k13_evaluation(spark, sf_dir):
     """Error rates of each job, and what the corrections have gained."""
     imported = X.media(spark, sf_dir).filter("job_id % 4 = 0").select("job_id")
@@ -220,7 +232,7 @@ def x6_agreement(spark, sf_dir):
 
 @query("x7_window_similarity")
 def x7_window_similarity(spark, sf_dir):
-    rows = X.cues(spark, sf_dir).select("id", T.echo_key(F.substring("text_caption", 3, 12)).alias("a"), T.echo_key(F.col("text_stt")).alias("b"))
+    rows = X.cues(spark, sf_dir).select("id", T.echo_key(F.col("text_caption")).alias("a"), T.echo_key(F.col("text_stt")).alias("b"))
     return rows.select("id", F.round(alignment.window_similarity("a", "b"), 6).alias("score"))
 
 
