@@ -31,6 +31,32 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common_length(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Inserted, deleted and replaced characters. Equal heads and tails cost nothing; the rest is a column of the usual table at a time, as two whole numbers with the bits of its rises and falls."""
+    if a == b:
+        return 0
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    long, short = sorted((a[: len(a) - tail], b[: len(b) - tail]), key=len, reverse=True)
+    if not short:
+        return len(long)
+    n = len(long)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(long):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, out = full, 0, n
+    for c in short:
+        same = masks.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        rises, falls = down | (full & ~(diagonal | up)), up & diagonal
+        out += bool(rises & top) - bool(falls & top)
+        rises, falls = (rises << 1 | 1) & full, (falls << 1) & full
+        up, down = falls | (full & ~((same | down) | rises)), rises & (same | down)
+    return out
+
+
 def best_window(a: str, b: str) -> float:
     """The best indel ratio of the shorter text with a window of the longer one, as long as it or standing over an edge.
 
@@ -70,6 +96,10 @@ def _window_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([best_window(x or "", y or "") for x, y in zip(a, b)])
 
 
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
 def _matched_share(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matching characters / all, as matching blocks give them."""
     return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
@@ -198,6 +228,11 @@ def window_similarity(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_window_similarity, "double")(a, b)
 
 
+def edits(a: Column | str, b: Column | str) -> Column:
+    """Null where a text is null."""
+    return F.pandas_udf(_edits, "int")(a, b)
+
+
 def matched_share(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_matched_share, "double")(a, b)
 

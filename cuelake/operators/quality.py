@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from cuelake.functions import alignment
 from cuelake.functions import text as T
 
 
@@ -133,22 +134,9 @@ def cer_text(c: Column) -> Column:
     return T.collapsed(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", "")))
 
 
-#: Edits up to which a band of that width is tried, one after another, before the whole table of two texts is worked out.
-BANDS = (32, 256, 2048, 16384)
-
-
-def edits(a: Column, b: Column) -> Column:
-    """Character edits between two texts, in time of their length times the edits: a band that holds all cheap ways grows until the distance fits it."""
-    out = F.levenshtein(a, b)
-    for most in reversed(BANDS):
-        wider = out
-        out = T.let(F.levenshtein(a, b, most), lambda d: F.when(d >= 0, d).otherwise(wider))  # noqa: B023
-    return F.when(a == b, 0).otherwise(out)
-
-
 def error_rate(ref: Column, hyp: Column) -> Column:
     """Character edits over the reference's length, to four places; null where the reference is empty."""
-    return F.when(F.length(ref) > 0, F.round(edits(ref, hyp) / F.length(ref), 4))
+    return F.when(F.length(ref) > 0, F.round(alignment.edits(ref, hyp) / F.length(ref), 4))
 
 
 def evaluated(cues: DataFrame, media: DataFrame, imported: DataFrame) -> DataFrame:

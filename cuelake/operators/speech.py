@@ -22,6 +22,8 @@ from cuelake.sources import storage
 WORD = "struct<start_ms:bigint,end_ms:bigint,word:string>"
 SENTENCE_MARKS = (".", "?", "!", "…")
 SENTENCE_END = re.compile(r"[.?!…]$|[다요죠지]\?*$")
+#: Grams of a cue's middle that are looked up among those of the prompts.
+PROBES = 8
 BOUNDARY_GAP, SILENCE, LONGEST, TAIL = 600, 700, 7000, 6
 
 
@@ -95,8 +97,8 @@ def prompt_echoes(cues: DataFrame, prompts: DataFrame, least: int = 6, percent:
     """Ids of cues that repeat a prompt: part of it word for word, or with one block of `percent` of the cue in common. prompts is a table of any size; all of them count.
 
     A block that long, wherever it begins, holds the middle of the cue, so only prompts with all grams of that middle can have
-    it. The middle's grams are looked up in the prompts' counts, and the rarest of them leads to the prompts to compare: an
-    equi-join, whose rows are cues times the prompts that share their rarest gram. Cues whose middle is shorter than a gram
+    it. PROBES of these, spread over the middle, are looked up in the prompts' counts, and the rarest leads to the prompts to
+    compare: an equi-join, whose rows are cues times the prompts that share their rarest gram. Cues whose middle is shorter than a gram
     (percent under 80) are led by all that begins like it.
     """
     key = T.compact(F.col("text_stt"))
@@ -107,7 +109,7 @@ def prompt_echoes(cues: DataFrame, prompts: DataFrame, least: int = 6, percent:
     block = F.least(n, F.ceil(n * percent / 100).cast("int"))
     sized = cues.select("id", key.alias("_k")).filter(n >= least).withColumn("_block", block)
     middle = sized.withColumn("_size", F.greatest(2 * F.col("_block") - n, F.lit(0))).withColumn("_from", n - F.col("_block") + 1)
-    inner = middle.filter(F.col("_size") >= gram).withColumn("_gs", F.array_distinct(F.transform(F.sequence(F.col("_from"), F.col("_from") + F.col("_size") - gram), lambda i: F.substr("_k", i, F.lit(gram)))))
+    inner = middle.filter(F.col("_size") >= gram).withColumn("_gs", F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: F.substr("_k", F.col("_from") + F.floor(i * (F.col("_size") - gram) / (PROBES - 1)).cast("int"), F.lit(gram)))))
     met = inner.select("id", "_k", "_block", F.size("_gs").alias("_of"), F.explode("_gs").alias("_g")).join(counts, "_g")
     led = met.groupBy("id", "_k", "_block", "_of").agg(F.count("*").alias("_found"), F.min_by("_g", F.struct("_n", "_g")).alias("_g")).filter("_found = _of").select("id", "_k", "_block", "_g")
     # A block has block - gram + 1 grams in a row, so one of every so many grams of the cue is in it.

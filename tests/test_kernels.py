@@ -75,12 +75,22 @@ def distance(a, b):
     return row[-1]
 
 
-def test_edits_in_growing_bands(spark):
+def test_edits(spark):
     r = random.Random(5)
+    for _ in range(3000):
+        a, b = texts(r, "ab", 14), texts(r, "abc", 14)
+        assert alignment.edit_distance(a, b) == distance(a, b)
     rows = [(i, texts(r, "ab", 80), texts(r, "abc", 80)) for i in range(60)] + [(100, "a" * 400, "b" * 300), (101, "", "abc"), (102, "x", "x")]
-    got = {x.i: x.d for x in spark.createDataFrame(rows, "i int, a string, b string").select("i", quality.edits(F.col("a"), F.col("b")).alias("d")).collect()}
+    got = {x.i: x.d for x in spark.createDataFrame(rows, "i int, a string, b string").select("i", alignment.edits("a", "b").alias("d")).collect()}
     assert got == {i: distance(a, b) for i, a, b in rows}
-    assert spark.createDataFrame([(None, "a")], "a string, b string").select(quality.edits(F.col("a"), F.col("b")).alias("d")).first().d is None
+    assert spark.createDataFrame([(None, "a")], "a string, b string").select(alignment.edits("a", "b").alias("d")).first().d is None
+
+
+def test_edits_of_long_texts():
+    r = random.Random(9)
+    a = "".join(r.choice("abcdefgh ") for _ in range(60_000))
+    b = "".join(c for c in a if r.random() > 0.01)
+    assert alignment.edit_distance(a, b) == len(a) - len(b)
 
 
 @pytest.mark.parametrize("characters", [1 << 20, 20])
