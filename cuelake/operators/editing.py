@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.operators import intervals
+from cuelake.operators import intervals, learning, ordered, quality, relations
 from cuelake.operators.ordered import renumbered
+from cuelake.sources import storage
 
 TEXTS = ("text_stt", "text_caption", "text_llm", "text_final")
 #: The shortest cue that an edit may leave.
@@ -127,14 +128,99 @@ def routed(cues: DataFrame, renditions: DataFrame, model: DataFrame, lang: str)
     return rows.withColumn("route", route).select("id", "route", F.when(F.col("route").isin("edited", "fresh"), F.col("_old")).when(F.col("route") == "model", F.col("_new")).otherwise(F.col("_source")).alias("text"))
 
 
-def correction_routes(lines: DataFrame, memo: DataFrame, salt: str, chunk: int = 50) -> DataFrame:
-    """Routing of a job's lines (job_id, id, text, needed) to the correction model: blank or skipped (not needed) ones stay, cached ones take the memo's text, and all others are sent, `chunk` of a job at a time in order; chunk numbers begin at 0."""
-    known = memo.select(F.col("source_hash").alias("_hash"), F.col("text").alias("_known")).dropDuplicates(["_hash"])
-    rows = lines.withColumn("_hash", T.content_hash(20, F.lit(salt), F.col("text"))).join(known, "_hash", "left")
-    route = F.when(T.stripped(F.col("text")) == "", "blank").when(~F.col("needed"), "skipped").when(F.col("_known").isNotNull(), "cached").otherwise("sent")
-    place = F.row_number().over(Window.partitionBy("job_id", "route").orderBy("id")) - 1
-    routed_ = rows.withColumn("route", route)
-    return routed_.select("job_id", "id", "route", F.when(F.col("route") == "sent", F.floor(place / chunk)).alias("chunk"), F.when(F.col("route") == "cached", F.col("_known")).otherwise(F.col("text")).alias("text"))
+def correction_routes(cues: DataFrame, pairs: DataFrame, forms: DataFrame, memo: DataFrame, salt: str, chunk: int = 50) -> DataFrame:
+    """job_id, id, route, chunk, base, source_hash, text, uncertain: how each cue (job_id, idx, id, text_stt, text_caption, flagged) gets its corrected text.
+
+    The base is the recognised text after the pre-pass by learned pairs (wrong, right, count); it is what the hash, with the
+    caption, is made of. A cue without a base, or one that isn't flagged and holds no form of the domain, needs no model
+    (skipped): its base stays, or the caption's text where there is none. One whose hash is in memo (source_hash, text,
+    changed, uncertain) takes what was found before (cached), all others are sent, `chunk` of a job at a time in order; chunk
+    numbers begin at 0, and text is null until the model has answered.
+    """
+    passed = learning.pre_passed(cues, pairs).select("id", F.col("text").alias("base"))
+    rows = storage.written(cues.join(passed, "id").select("job_id", "idx", "id", "base", F.coalesce("text_caption", F.lit("")).alias("_caption"), "flagged"), "lines")
+    holds = quality.mentions(rows, F.concat_ws(" ", "base", "_caption"), forms).select("id", F.lit(True).alias("_holds")).distinct()
+    known = memo.select(F.col("source_hash"), F.struct("text", "changed", "uncertain").alias("_known")).dropDuplicates(["source_hash"])
+    filled = T.stripped(F.col("base")) != ""
+    needed = filled & (F.col("flagged") | F.col("_holds").isNotNull())
+    hashed = rows.join(holds, "id", "left").withColumn("source_hash", T.content_hash(20, F.lit(salt), F.col("base"), F.col("_caption"))).join(known, "source_hash", "left")
+    routed_ = hashed.withColumn("route", F.when(~needed, "skipped").when(F.col("_known").isNotNull(), "cached").otherwise("sent"))
+    place = F.row_number().over(Window.partitionBy("job_id", "route").orderBy("idx", "id")) - 1
+    text = F.when(F.col("route") == "skipped", F.when(filled, F.col("base")).otherwise(F.col("_caption"))).when(F.col("route") == "cached", F.when(F.col("_known.changed"), F.col("_known.text")).otherwise(F.col("base")))
+    uncertain = F.when(F.col("route") == "skipped", False).when(F.col("route") == "cached", F.col("_known.uncertain"))
+    return routed_.select("job_id", "id", "route", F.when(F.col("route") == "sent", F.floor(place / chunk)).alias("chunk"), "base", "source_hash", text.alias("text"), uncertain.alias("uncertain"))
+
+
+def corrected(routes: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, text, uncertain of all cues once the model has answered (id, text, uncertain; only what it changes), and the rows that the memo gets: one for each hash, from the first cue that has it."""
+    told = answers.select("id", F.col("text").alias("_new"), F.col("uncertain").alias("_unsure"))
+    sent = routes.filter("route = 'sent'").join(told, "id", "left")
+    given = sent.select("id", "base", "source_hash", F.coalesce("_new", "base").alias("text"), F.coalesce("_unsure", F.lit(False)).alias("uncertain"))
+    memo = given.groupBy("source_hash").agg(F.min(F.struct("id", "text", (F.col("text") != F.col("base")).alias("changed"), "uncertain")).alias("_m")).select("source_hash", "_m.text", "_m.changed", "_m.uncertain")
+    return routes.filter("route <> 'sent'").select("id", "text", "uncertain").unionByName(given.select("id", "text", "uncertain")), memo
+
+
+def retranslated(cues: DataFrame, renditions: DataFrame, chosen: DataFrame, model: DataFrame, lang: str) -> DataFrame:
+    """Renditions (cue_id, job_id, lang, text, hash_of, reviewed, edited) after one cue of a job was asked for anew (chosen: id).
+
+    The cue takes its neighbours along that need work without a break, six to a side at most: those with a source text and a
+    rendition that is missing, blank, or stale and not a person's own. New texts come from the model (source_hash, text) by the
+    hash of the source as it is now. They replace what was there, as not reviewed and not edited, made from that source. Where
+    the model has no text for the cue that was asked for, nothing of its job changes; nor does it for neighbours without one.
+    """
+    best = T.stripped(T.first_filled("text_final", "text_llm", "text_stt"))
+    mine = renditions.filter(F.col("lang") == lang).select(F.col("cue_id").alias("id"), T.stripped(F.coalesce("text", F.lit(""))).alias("_old"), "hash_of", "edited")
+    rows = cues.select("job_id", "idx", "id", best.alias("_best")).join(mine, "id", "left")
+    stale = ~F.col("edited") & (fresh_hash(F.col("hash_of")) != fresh_hash(F.col("_best")))
+    needs = (F.col("_best") != "") & F.coalesce(F.col("_old") == "", F.lit(True)) | (F.col("_best") != "") & F.coalesce(stale, F.lit(False))
+    taken = ordered.cluster_around(rows, chosen, needs).filter("_best <> ''")
+    texts = model.select("source_hash", T.stripped(F.col("text")).alias("_new")).filter("_new <> ''").dropDuplicates(["source_hash"])
+    answered = taken.withColumn("source_hash", fresh_hash(F.col("_best"))).join(texts, "source_hash")
+    asked = answered.join(chosen.select("id").distinct(), "id", "left_semi").select("job_id").distinct()
+    new = answered.join(asked, "job_id", "left_semi").select(F.col("id").alias("cue_id"), "job_id", F.lit(lang).alias("lang"), F.col("_new").alias("text"), F.col("_best").alias("hash_of"), F.lit(False).alias("reviewed"), F.lit(False).alias("edited"))
+    return storage.upserted(renditions.select(new.columns), new, ["cue_id", "lang"])
+
+
+def practice_flags(media: DataFrame, changes: DataFrame, courses: tuple[str, ...]) -> DataFrame:
+    """job_id, practice, course after changes (seq, job_id, course, on), in order of seq.
+
+    A change with a course binds the job to it, or with an empty one to none; one without a course (null) switches practice.
+    Binding makes a job one for practice, unbinding leaves that as it is, switching it off unbinds. A course belongs to one
+    job: whoever binds it last takes it from the holder. Clones, unknown courses and jobs that don't exist change nothing.
+    media: job_id, practice, is_clone, course. All by counts of the last change: a job's last one that touches its course, and
+    a course's last binding, whatever the number of changes.
+    """
+    valid = changes.filter(F.col("course").isNull() | F.col("course").isin("", *courses)).join(media.filter("NOT is_clone").select("job_id"), "job_id", "left_semi")
+    start = media.select(F.lit(-1).cast("long").alias("seq"), "job_id", "course", F.col("practice").alias("on"))
+    named = F.coalesce(F.col("course"), F.lit("")) != ""
+    off = F.col("course").isNull() & ~F.col("on")
+    every = valid.select(F.col("seq").cast("long").alias("seq"), "job_id", "course", "on").unionByName(start)
+    first = F.col("seq") < 0
+    sets_course = first | F.col("course").isNotNull() | off
+    sets_practice = first | named | F.col("course").isNull()
+    of_job = every.groupBy("job_id").agg(
+        F.max_by(F.struct(F.when(off, "").otherwise(F.col("course")).alias("course"), "seq"), F.when(sets_course, F.col("seq"))).alias("_c"),
+        F.max_by(F.when(first | F.col("course").isNull(), F.col("on")).otherwise(True), F.when(sets_practice, F.col("seq"))).alias("practice"),
+    )
+    held = every.filter(named).groupBy("course").agg(F.max("seq").alias("_last"))
+    rows = of_job.select("job_id", "practice", F.coalesce("_c.course", F.lit("")).alias("course"), F.col("_c.seq").alias("_seq")).join(held, "course", "left")
+    return rows.select("job_id", "practice", F.when(F.col("_seq") >= F.coalesce("_last", F.lit(-1)), F.col("course")).otherwise("").alias("course"))
+
+
+def course_map(flags: DataFrame, media: DataFrame) -> DataFrame:
+    """course, job_id, title: the job of each course; of several, the last by id."""
+    rows = flags.filter("course <> ''").join(media.filter("NOT is_clone").select("job_id", "title"), "job_id")
+    return rows.groupBy("course").agg(F.max(F.struct("job_id", "title")).alias("_m")).select("course", "_m.*")
+
+
+#: What ties the tables of a job together.
+JOB_KEYS = [relations.Key("cue", "job_id", "job"), relations.Key("rendition", "cue_id", "cue")]
+
+
+def without_stale_clones(tables: dict[str, DataFrame], now, days: int = 7, keys: list[relations.Key] = JOB_KEYS) -> dict[str, DataFrame]:
+    """The tables without clones for practice that nobody has touched for `days`, and without all that belongs to them. Real jobs never go: a row must be a clone and for practice."""
+    stale = tables["job"].filter("clone_of IS NOT NULL AND practice").filter(F.col("updated") < F.lit(now) - days)
+    return relations.cascade(tables, keys, {"job": stale.select("id")})
 
 
 def cached_stage(lines: DataFrame, memo: DataFrame, kind: str, salt: str, limit: int) -> DataFrame:
@@ -146,10 +232,15 @@ def cached_stage(lines: DataFrame, memo: DataFrame, kind: str, salt: str, limit:
     return routed_.join(todo, "id", "left").select("id", F.when(F.col("_sent"), "sent").when(F.col("route") == "todo", "later").otherwise(F.col("route")).alias("route"), F.coalesce("_known", "text").alias("text"))
 
 
-def cloned(cues: DataFrame, job_id: int, session: str) -> DataFrame:
-    """A deep copy of a job under an id made of the session's hash."""
-    new_job = F.conv(F.substring(F.sha2(F.lit(f"{job_id}:{session}"), 256), 1, 10), 16, 10).cast("long")
-    return cues.filter(F.col("job_id") == job_id).withColumn("job_id", new_job).withColumn("id", F.xxhash64("job_id", "id"))
+def practice_clones(tables: dict[str, DataFrame], job_id: int, session: str, now, keys: list[relations.Key] = JOB_KEYS) -> dict[str, DataFrame]:
+    """A deep copy, by table, of a practice job for one session: its rows and all that belongs to them, under new ids, named by a hash of the session.
+
+    A job that is no practice job, or is a clone itself, gives nothing; nor does one with a clone for this session already.
+    """
+    name = F.concat(F.split("title", "~")[0], F.lit("~"), F.substring(F.sha2(F.lit(session), 256), 1, 10))
+    mine = tables["job"].filter((F.col("clone_of") == job_id) & (F.col("title") == name)).isEmpty()
+    chosen = (F.col("id") == job_id) & F.col("practice") & F.col("clone_of").isNull() & F.lit(mine)
+    return relations.deep_copied(tables, keys, "job", chosen, {"title": name, "clone_of": F.lit(job_id).cast("long"), "updated": F.lit(now).cast("long"), "practice": F.lit(True)})
 
 
 def with_defects(cues: DataFrame, word: str, wrong: str, n: int) -> DataFrame:

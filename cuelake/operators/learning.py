@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import alignment, korean
 from cuelake.functions import text as T
+from cuelake.operators import intervals, quality
+from cuelake.operators.progress import numbered
 from cuelake.sources import storage
 
 LONGEST_PHRASE = 30
@@ -162,6 +164,44 @@ def few_shot(pairs: DataFrame, limit: int) -> DataFrame:
     return wide.filter(korean.is_safe_pair(F.col("wrong"), F.col("right"))).orderBy(F.desc("count"), "wrong", "right").limit(limit)
 
 
+def translation_pairs(cues: DataFrame, renditions: DataFrame, forked: DataFrame, media: DataFrame, lang: str) -> DataFrame:
+    """source, text, order: what people have translated into a language in real jobs, a row for each source text: the first by order.
+
+    First come reviewed or edited renditions, by job and cue; then reviewed cues of tracks of their own, each with the source cue
+    that it overlaps alone or for the most part. Blank texts on either side teach nothing.
+    """
+    real = media.filter("NOT practice").select("job_id")
+    best = T.stripped(T.first_filled("text_final", "text_llm", "text_stt"))
+    source = cues.join(real, "job_id", "left_semi").select("job_id", "id", "start_ms", "end_ms", best.alias("source"))
+    inherited = renditions.filter((F.col("lang") == lang) & (F.col("reviewed") | F.col("edited"))).select(F.col("cue_id").alias("id"), "text").join(source, "id")
+    own = forked.filter((F.col("lang") == lang) & F.col("reviewed")).join(real, "job_id", "left_semi")
+    matched = intervals.dominant_overlap(own, source).join(own.select("id", "text"), "id").withColumnRenamed("id", "_own").withColumnRenamed("match", "id").join(source, "id")
+    place = lambda part, by: F.struct(F.lit(part).alias("part"), F.col("job_id").cast("long").alias("job_id"), F.col(by).cast("long").alias("id"))
+    every = inherited.select("source", T.stripped(F.col("text")).alias("text"), place(0, "id").alias("order")).unionByName(matched.select("source", T.stripped(F.col("text")).alias("text"), place(1, "_own").alias("order")))
+    return every.filter("source <> '' AND text <> ''").groupBy("source").agg(F.min(F.struct("order", "text")).alias("_f")).select("source", "_f.text", "_f.order")
+
+
+def term_bearing_first(pairs: DataFrame, forms: DataFrame, most: int) -> DataFrame:
+    """place (from 0), source, text, has_term: `most` of the pairs (source, text, order).
+
+    Those whose source holds a form come first, by order; what they leave room for is a sample spread over the lengths of the
+    others: each step-th of them by length, the step being their number over the room. No task sees all pairs: lengths are
+    numbered in parts.
+    """
+    known = storage.written(pairs, "translations")
+    holds = quality.mentions(known, F.col("source"), forms, key="source").select("source").distinct()
+    bearing = known.join(holds, "source", "left_semi").orderBy("order").limit(most)
+    first = storage.written(bearing.withColumn("place", F.row_number().over(Window.orderBy("order")) - 1), "bearing")  # `most` rows
+    room, rest = most - first.count(), known.join(holds, "source", "left_anti")
+    out = first.select("place", "source", "text", F.lit(True).alias("has_term"))
+    n = rest.count()
+    if room <= 0 or not n:
+        return out
+    step = max(1, n // room)
+    sampled = numbered(rest.withColumn("_n", F.length("source")), "_n", "order").withColumn("_i", F.col("place") - 1).filter((F.col("_i") % step == 0) & (F.col("_i") < step * room))
+    return out.unionByName(sampled.select((F.lit(most - room) + F.floor(F.col("_i") / step)).cast("int").alias("place"), "source", "text", F.lit(False).alias("has_term")))
+
+
 def absorbed_annotations(log: DataFrame) -> DataFrame:
     """A lexicon from an absorb log (gloss, reading, hanja, job, seq): counts by job switches; special if seen twice or more and the reading has one spelling only."""
     counts = pair_counts(log, ("gloss", "reading", "hanja"))

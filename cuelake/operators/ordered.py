@@ -48,6 +48,18 @@ def cluster(cues: DataFrame, needs: Column, reach: int = 6, context: int = 4) ->
     return marked.join(pivot, "job_id").filter(away <= reach + context).select("id", (F.col("_needs") & (F.col("_block") == F.col("_of")) & (away <= reach)).alias("in_cluster"))
 
 
+def cluster_around(cues: DataFrame, chosen: DataFrame, needs: Column, reach: int = 6) -> DataFrame:
+    """cues that a request for one cue of each job (chosen: id) takes along: that cue, and its neighbours that need work without a break, at most `reach` to a side."""
+    w = Window.partitionBy("job_id").orderBy("idx", "id")
+    marked = cues.withColumns({"_at": F.row_number().over(w), "_fine": F.sum(F.when(needs, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_needs": needs})
+    pivot = marked.join(chosen.select("id").distinct(), "id", "left_semi").select("job_id", F.col("_at").alias("_p"), F.col("_fine").alias("_upto"), (F.col("_fine") - F.when(F.col("_needs"), 0).otherwise(1)).alias("_before"))
+    near = marked.join(pivot, "job_id").filter(F.abs(F.col("_at") - F.col("_p")) <= reach)
+    # As many fine cues up to a neighbour as up to the chosen one: none lies between.
+    left = (F.col("_at") < F.col("_p")) & F.col("_needs") & (F.col("_fine") == F.col("_before"))
+    right = (F.col("_at") > F.col("_p")) & F.col("_needs") & (F.col("_fine") == F.col("_upto"))
+    return near.filter((F.col("_at") == F.col("_p")) | left | right).select(cues.columns)
+
+
 def next_work(cues: DataFrame, cursor: int) -> DataFrame:
     """The cue to go to next in each job: fresh after the cursor, fresh anywhere, unreviewed after it, unreviewed anywhere, the next, the first."""
     after, fresh = F.col("idx") > cursor, ~F.col("reviewed") & ~F.col("hold")

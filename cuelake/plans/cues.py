@@ -256,10 +256,13 @@ def w5_w6_renumber(spark, sf_dir):
     return ordered.renumbered(X.cues(spark, sf_dir).filter("idx <> 2")).select("id", F.col("idx").cast("long").alias("idx"))
 
 
-@query("w7_cluster", f"""
+CLUSTER = f"""
 WITH c AS (SELECT *, sum(CASE WHEN reviewed THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY idx) AS block FROM {X.CUES_SQL}), p AS (SELECT job_id, min(idx) AS p_idx FROM c WHERE NOT reviewed GROUP BY job_id),
 q AS (SELECT c.job_id, block, p_idx FROM c JOIN p ON c.job_id = p.job_id AND idx = p_idx)
-SELECT c.id, NOT c.reviewed AND c.block = q.block AND abs(c.idx - q.p_idx) <= 6 AS in_cluster FROM c JOIN q USING (job_id) WHERE abs(c.idx - q.p_idx) <= 10""")
+SELECT c.id, NOT c.reviewed AND c.block = q.block AND abs(c.idx - q.p_idx) <= 6 AS in_cluster FROM c JOIN q USING (job_id) WHERE abs(c.idx - q.p_idx) <= 10"""
+
+
+@query("w7_cluster", CLUSTER)
 def w7_cluster(spark, sf_dir):
     cues = X.cues(spark, sf_dir)
     return ordered.cluster(cues, ~F.col("reviewed"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.operators import editing, quality
+from cuelake.operators import editing, learning
 from cuelake.plans import fixtures as X
 from cuelake.plans.cues import TERMS as TERM_FORMS
 from cuelake.plans.cues import WORK, forms
+from cuelake.plans.learning import COUNTS, counts
 from cuelake.plans.registry import query
+from cuelake.sources import storage
 
 RENUMBERED = "row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms, id) - 1 AS idx"
 BEST = "coalesce(nullif(text_final, ''), nullif(text_llm, ''), text_stt)"
+STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+RANKED = f"(SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS r FROM {COUNTS} QUALIFY r <= 40)"
 HASH = r"substr(sha256(regexp_replace({}, '^\s+|\s+$', '', 'g')), 1, 16)"
 
 
@@ -121,20 +126,102 @@ def e17_spell_routing(spark, sf_dir):
     return editing.cached_stage(lines, memo, "spell", "s1", 100)
 
 
-@query("e16_correct_routing", f"""WITH l AS (SELECT job_id, id, text_stt AS text, substr(sha256('c7' || chr(31) || text_stt), 1, 20) AS h, flagged OR EXISTS (SELECT 1 FROM {TERM_FORMS} t WHERE contains(coalesce(nullif(text_llm, ''), text_stt) || ' ' || text_caption, t.form)) AS needed FROM {X.CUES_SQL} c),
-k AS (SELECT DISTINCT h, lower(text) AS known FROM l WHERE id % 2 = 0), r AS (SELECT job_id, id, text, known, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 'blank' WHEN NOT needed THEN 'skipped' WHEN known IS NOT NULL THEN 'cached' ELSE 'sent' END AS route FROM l LEFT JOIN k USING (h))
-SELECT job_id, id, route, CASE WHEN route = 'sent' THEN (row_number() OVER (PARTITION BY job_id, route ORDER BY id) - 1) // 50 END AS chunk, CASE WHEN route = 'cached' THEN known ELSE text END AS text FROM r""")
+PAIRS = f"(SELECT a.term AS wrong, CASE WHEN a.r % 4 <> 0 AND b.term IS NOT NULL THEN b.term ELSE a.term || 'x' END AS \"right\", a.n AS count, a.r FROM {RANKED} a LEFT JOIN {RANKED} b ON b.r = a.r + 1)"
+_ONCE = r"regexp_replace({}, '(^|[^\p{{L}}\p{{N}}_])' || split_part(p, chr(1), 1) || '($|[^\p{{L}}\p{{N}}_])', '\1' || split_part(p, chr(1), 2) || '\2', 'g')"
+#: Neighbouring words share what stands between them, so each pair goes over the text twice.
+PRE_PASSED = f"list_reduce(list_prepend(text_stt, (SELECT list(wrong || chr(1) || \"right\" ORDER BY r) FROM {PAIRS})), lambda acc, p: CASE WHEN contains(acc, split_part(p, chr(1), 1)) THEN {_ONCE.format(_ONCE.format('acc'))} ELSE acc END)"
+
+
+def word_pairs(spark, sf_dir):
+    """Frequent words of documents, each to give way to the next one by rank, in chains of four."""
+    ranked = counts(spark, sf_dir).orderBy(F.desc("n"), "term").limit(40).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
+    following = ranked.select((F.col("r") - 1).alias("r"), F.col("term").alias("_next"))
+    right = F.when((F.col("r") % 4 != 0) & F.col("_next").isNotNull(), F.col("_next")).otherwise(F.concat("term", F.lit("x")))
+    return ranked.join(following, "r", "left").select(F.col("term").alias("wrong"), right.alias("right"), F.col("n").alias("count"))
+
+
+@query("l9_pre_pass_of_words", f"SELECT id, text_stt AS before, {PRE_PASSED} AS text FROM {X.CUES_SQL}")
+def l9_pre_pass_of_words(spark, sf_dir):
+    return learning.pre_passed(X.cues(spark, sf_dir), word_pairs(spark, sf_dir))
+
+
+ROUTES = f"""b AS (SELECT *, {PRE_PASSED} AS base FROM {X.CUES_SQL}), h AS (SELECT *, substr(sha256('c7' || chr(31) || base || chr(31) || text_caption), 1, 20) AS source_hash,
+  {STRIPPED.format('base')} <> '' AND (flagged OR EXISTS (SELECT 1 FROM {TERM_FORMS} t WHERE contains(base || ' ' || text_caption, t.form))) AS needed FROM b),
+m AS (SELECT source_hash, arg_min('known ' || base, id) AS known, arg_min(id % 4 = 0, id) AS changed, arg_min(id % 6 = 0, id) AS unsure FROM h WHERE id % 2 = 0 GROUP BY source_hash),
+r AS (SELECT h.*, known, changed, unsure, CASE WHEN NOT needed THEN 'skipped' WHEN known IS NOT NULL THEN 'cached' ELSE 'sent' END AS route FROM h LEFT JOIN m USING (source_hash)),
+routes AS (SELECT job_id, idx, id, route, CASE WHEN route = 'sent' THEN (row_number() OVER (PARTITION BY job_id, route ORDER BY idx, id) - 1) // 50 END AS chunk, base, source_hash,
+  CASE route WHEN 'skipped' THEN CASE WHEN {STRIPPED.format('base')} <> '' THEN base ELSE text_caption END WHEN 'cached' THEN CASE WHEN changed THEN known ELSE base END END AS text, CASE route WHEN 'skipped' THEN false WHEN 'cached' THEN unsure END AS uncertain FROM r)"""
+
+
+def correction_routes(spark, sf_dir):
+    cues, pairs = X.cues(spark, sf_dir), word_pairs(spark, sf_dir)
+    base = learning.pre_passed(cues, pairs).select("id", F.col("text").alias("base"))
+    hashed = cues.join(base, "id").select("id", "base", T.content_hash(20, F.lit("c7"), F.col("base"), F.col("text_caption")).alias("source_hash"))
+    memo = hashed.filter("id % 2 = 0").groupBy("source_hash").agg(F.min(F.struct("id", F.concat(F.lit("known "), "base").alias("text"), (F.col("id") % 4 == 0).alias("changed"), (F.col("id") % 6 == 0).alias("uncertain"))).alias("m")).select("source_hash", "m.text", "m.changed", "m.uncertain")
+    return editing.correction_routes(cues, pairs, forms(spark, sf_dir), memo, "c7")
+
+
+def answered(spark, sf_dir):
+    routes = storage.written(correction_routes(spark, sf_dir), "routes")
+    return editing.corrected(routes, routes.filter("id % 3 = 0").select("id", F.reverse("base").alias("text"), (F.col("id") % 5 == 0).alias("uncertain")))
+
+
+@query("e16_correct_routing", f"WITH {ROUTES} SELECT job_id, id, route, chunk, base, source_hash, text, uncertain FROM routes")
 def e16_correct_routing(spark, sf_dir):
+    return correction_routes(spark, sf_dir)
+
+
+@query("e16_corrected", f"WITH {ROUTES} SELECT id, CASE WHEN route <> 'sent' THEN text WHEN id % 3 = 0 THEN reverse(base) ELSE base END AS text, CASE WHEN route <> 'sent' THEN uncertain ELSE id % 3 = 0 AND id % 5 = 0 END AS uncertain FROM routes")
+def e16_corrected(spark, sf_dir):
+    return answered(spark, sf_dir)[0]
+
+
+@query("e16_memo", f"WITH {ROUTES}, s AS (SELECT *, row_number() OVER (PARTITION BY source_hash ORDER BY id) AS n, CASE WHEN id % 3 = 0 THEN reverse(base) ELSE base END AS given FROM routes WHERE route = 'sent') SELECT source_hash, given AS text, given <> base AS changed, id % 3 = 0 AND id % 5 = 0 AS uncertain FROM s WHERE n = 1")
+def e16_memo(spark, sf_dir):
+    return answered(spark, sf_dir)[1]
+
+
+STRIPPED_BEST = STRIPPED.format(BEST)
+
+
+@query("e18_retranslated", f"""WITH c AS (SELECT job_id, idx, id, {STRIPPED_BEST} AS best, row_number() OVER (PARTITION BY job_id ORDER BY idx, id) AS pos FROM {X.CUES_SQL}), r AS (SELECT * FROM {X.RENDITIONS_SQL}),
+n AS (SELECT c.*, best <> '' AND (r.text IS NULL OR {STRIPPED.format('r.text')} = '' OR (NOT r.edited AND {HASH.format('r.hash_of')} <> {HASH.format('best')})) AS needs FROM c LEFT JOIN r ON r.cue_id = c.id AND r.lang = 'fr'),
+p AS (SELECT job_id, pos AS p FROM n WHERE idx = job_id % 4), k AS (SELECT n.*, p FROM n JOIN p USING (job_id) WHERE abs(pos - p) <= 6 AND best <> '' AND NOT EXISTS (SELECT 1 FROM n o WHERE o.job_id = n.job_id AND NOT o.needs AND o.pos <> p AND o.pos BETWEEN least(n.pos, p) AND greatest(n.pos, p))),
+m AS (SELECT DISTINCT {HASH.format('best')} AS h FROM c WHERE id % 5 <> 0), a AS (SELECT k.*, 'new ' || best AS text FROM k JOIN m ON h = {HASH.format('best')}),
+w AS (SELECT * FROM a WHERE job_id IN (SELECT job_id FROM a WHERE pos = p))
+SELECT cue_id, job_id, lang, text, hash_of, reviewed, edited FROM r WHERE NOT (lang = 'fr' AND cue_id IN (SELECT id FROM w)) UNION ALL SELECT id, job_id, 'fr', text, best, false, false FROM w""")
+def e18_retranslated(spark, sf_dir):
     cues = X.cues(spark, sf_dir)
-    needed = quality.needs_model(cues, quality.mentions(cues, F.concat_ws(" ", T.machine_text(), "text_caption"), forms(spark, sf_dir))).select("id", F.lit(True).alias("_needed"))
-    lines = cues.join(needed, "id", "left").select("job_id", "id", F.col("text_stt").alias("text"), F.coalesce("_needed", F.lit(False)).alias("needed"))
-    memo = lines.filter("id % 2 = 0").select(T.content_hash(20, F.lit("c7"), F.col("text")).alias("source_hash"), F.lower("text").alias("text"))
-    return editing.correction_routes(lines, memo, "c7")
+    best = T.stripped(T.first_filled("text_final", "text_llm", "text_stt"))
+    model = cues.filter("id % 5 <> 0").select(editing.fresh_hash(best).alias("source_hash"), F.concat(F.lit("new "), best).alias("text")).distinct()
+    return editing.retranslated(cues, X.renditions(spark, sf_dir), cues.filter("idx = job_id % 4"), model, "fr")
+
+
+COURSES = tuple(f"c{k}" for k in range(40))
+CHANGES = "(SELECT event_id AS seq, user_id % 60 AS job_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'c' || event_id // 6 % 50 END AS course, event_id % 4 = 0 AS \"on\" FROM events)"
+BOUND = "(SELECT *, CASE job_id WHEN 14 THEN 'c1' WHEN 21 THEN 'c2' ELSE '' END AS course FROM " + X.MEDIA_SQL + ")"
+FLAGS = f"""WITH m AS (SELECT * FROM {BOUND}), v AS (SELECT * FROM {CHANGES} WHERE (course IS NULL OR course = '' OR substr(course, 2)::INT < 40) AND job_id IN (SELECT job_id FROM m WHERE NOT is_clone)),
+o AS (SELECT seq, job_id, CASE WHEN course IS NULL THEN '' ELSE course END AS course FROM v WHERE course IS NOT NULL OR NOT "on" UNION ALL SELECT -1, job_id, course FROM m),
+l AS (SELECT job_id, max(seq) AS seq, arg_max(course, seq) AS course FROM o GROUP BY job_id), q AS (SELECT seq, job_id, coalesce(course <> '', "on") AS practice FROM v WHERE course IS NULL OR course <> '' UNION ALL SELECT -1, job_id, practice FROM m),
+flags AS (SELECT job_id, (SELECT arg_max(practice, seq) FROM q WHERE q.job_id = l.job_id) AS practice, CASE WHEN course <> '' AND NOT EXISTS (SELECT 1 FROM o WHERE o.course = l.course AND o.seq > l.seq) THEN course ELSE '' END AS course FROM l)"""
+
+
+def practice_flags(spark, sf_dir):
+    n = F.col("event_id")
+    course = F.when(n % 6 == 1, "").when(n % 6 != 0, F.concat(F.lit("c"), (F.floor(n / 6) % 50).cast("string")))
+    changes = X.table(spark, sf_dir, "events").select(n.alias("seq"), (F.col("user_id") % 60).alias("job_id"), course.alias("course"), (n % 4 == 0).alias("on"))
+    media = X.media(spark, sf_dir).withColumn("course", F.when(F.col("job_id") == 14, "c1").when(F.col("job_id") == 21, "c2").otherwise(""))
+    return editing.practice_flags(media, changes, COURSES)
+
+
+@query("e21_practice_flags", f"{FLAGS} SELECT * FROM flags")
+def e21_practice_flags(spark, sf_dir):
+    return practice_flags(spark, sf_dir)
 
 
-@query("e19_clone", f"SELECT count(*) AS n, count(DISTINCT job_id) AS jobs, sum(end_ms - start_ms)::BIGINT AS ms FROM {X.CUES_SQL} WHERE job_id = 3")
-def e19_clone(spark, sf_dir):
-    return editing.cloned(X.cues(spark, sf_dir), 3, "session").agg(F.count("*").alias("n"), F.countDistinct("job_id").alias("jobs"), F.sum(T.duration_ms()).alias("ms"))
+@query("a13_course_map", f"{FLAGS} SELECT course, max(job_id) AS job_id, arg_max(title, job_id) AS title FROM flags JOIN (SELECT job_id, title FROM {X.MEDIA_SQL} WHERE NOT is_clone) USING (job_id) WHERE course <> '' GROUP BY course")
+def a13_course_map(spark, sf_dir):
+    return editing.course_map(practice_flags(spark, sf_dir), X.media(spark, sf_dir))
 
 
 @query("e20_defects", f"SELECT id, CASE WHEN has AND n <= 2 THEN replace(text_stt, 'ing', 'ign') ELSE text_stt END AS text_stt FROM (SELECT *, row_number() OVER (PARTITION BY job_id, has ORDER BY idx) AS n FROM (SELECT *, contains(text_stt, 'ing') AS has FROM {X.CUES_SQL}))")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("cues", "matching", "progress", "learning", "editing", "imports", "speech", "exchange", "streams", "relational")
+MODULES = ("cues", "matching", "progress", "learning", "editing", "relations", "imports", "speech", "exchange", "streams", "relational")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import ordered, speech
 from cuelake.plans import fixtures as X
+from cuelake.plans.cues import CLUSTER
 from cuelake.plans.registry import query
 
 
@@ -103,8 +104,9 @@ def e6_redistribute(spark, sf_dir):
     return speech.redistributed(X.cues(spark, sf_dir))
 
 
-@query("e18_retranslate_cluster")
+@query("e18_retranslate_cluster", f"SELECT id, 'new ' || text_stt AS text FROM ({CLUSTER}) JOIN {X.CUES_SQL} USING (id) WHERE in_cluster")
 def e18_retranslate_cluster(spark, sf_dir):
+    """The cluster around each job's first open cue; e18_retranslated has the write-back."""
     cues = X.cues(spark, sf_dir)
     chosen = ordered.cluster(cues, ~F.col("reviewed")).filter("in_cluster")
     return cues.join(chosen, "id", "left_semi").select("id", F.concat(F.lit("new "), "text_stt").alias("text"))
