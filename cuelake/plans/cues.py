@@ -200,12 +200,25 @@ def x35_proportional_place(spark, sf_dir):
     return ordered.proportional_places(X.words(spark, sf_dir), 10)
 
 
-@query("x13_line_wrap")
+def joined_sql(source: str) -> str:
+    """SQL for the rows of source with joined: its texts a and b once, what ends a and begins b standing once."""
+    strip = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+    tokens = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
+    return f"""(SELECT * EXCLUDE (l, r, lt, rt, shared, chars), CASE WHEN l = '' THEN r WHEN r = '' THEN l WHEN shared > 0 THEN array_to_string(list_concat(lt, rt[shared + 1:]), ' ') WHEN chars > 0 THEN l || substr(r, chars + 1) ELSE l || ' ' || r END AS joined FROM (
+  SELECT *, list_max(list_filter(range(0, least(len(lt), len(rt)) + 1), lambda k: lt[len(lt) - k + 1:len(lt)] = rt[1:k])) AS shared, list_max(list_filter(range(0, least(length(l), length(r), 30) + 1), lambda k: k = 0 OR k > 1 AND right(l, k) = left(r, k))) AS chars FROM (
+    SELECT *, {tokens.format('l')} AS lt, {tokens.format('r')} AS rt FROM (SELECT *, {strip.format('a')} AS l, {strip.format('b')} AS r FROM {source}))))"""
+
+
+@query("x13_line_wrap", rf"""WITH RECURSIVE w AS (SELECT id, list_filter(string_split_regex({WORK}, '\s+'), lambda t: t <> '') AS t FROM {X.CUES_SQL}), s AS (SELECT id, t, length(array_to_string(t, ' ')) // 2 + 1 AS half FROM w),
+g(id, even, width, i, line, done) AS (SELECT id, even, CASE WHEN even THEN half ELSE 42 END, 1, NULL::VARCHAR, []::VARCHAR[] FROM s, (VALUES (true), (false)) v(even)
+  UNION ALL SELECT g.id, even, width, i + 1, CASE WHEN line IS NULL THEN t[i] WHEN length(line || ' ' || t[i]) <= width THEN line || ' ' || t[i] ELSE t[i] END, CASE WHEN line IS NULL OR length(line || ' ' || t[i]) <= width THEN done ELSE list_append(done, line) END FROM g JOIN s USING (id) WHERE i <= len(t)),
+f AS (SELECT g.id, even, CASE WHEN line IS NULL THEN done ELSE list_append(done, line) END AS lines FROM g JOIN s USING (id) WHERE i = len(t) + 1)
+SELECT a.id, array_to_string(CASE WHEN len(a.lines) > 2 THEN b.lines[1:3] ELSE a.lines END, chr(10)) AS lines FROM f a JOIN f b USING (id) WHERE NOT a.even AND b.even""")
 def x13_line_wrap(spark, sf_dir):
     return X.cues(spark, sf_dir).select("id", T.wrapped(T.work_text(), 42).alias("lines"))
 
 
-@query("x14_join_dedup")
+@query("x14_join_dedup", f"SELECT id, joined FROM {joined_sql(f'(SELECT id, {WORK} AS a, lead({WORK}) OVER (PARTITION BY job_id ORDER BY idx) AS b FROM {X.CUES_SQL})')} WHERE b IS NOT NULL")
 def x14_join_dedup(spark, sf_dir):
     return ordered.merged_text(X.cues(spark, sf_dir))
 

@@ -9,7 +9,7 @@ from cuelake.functions import text as T
 from cuelake.operators import editing, learning
 from cuelake.plans import fixtures as X
 from cuelake.plans.cues import TERMS as TERM_FORMS
-from cuelake.plans.cues import WORK, forms
+from cuelake.plans.cues import WORK, forms, joined_sql
 from cuelake.plans.learning import COUNTS, counts
 from cuelake.plans.registry import query
 from cuelake.sources import storage
@@ -29,10 +29,17 @@ def e1_split(spark, sf_dir):
     return editing.split_at(cues, cues.filter("idx % 2 = 0").select("id", F.lit(5).alias("pos"))).select("job_id", "id", "idx", "start_ms", "end_ms", "text_stt", "text_final").withColumn("idx", F.col("idx").cast("long"))
 
 
-@query("e2_merge_next")
+_WITH_NEXT = f"(SELECT *, {', '.join(f'lead({c}) OVER w AS n_{c}' for c in ('id', 'end_ms', 'flagged', 'uncertain', *editing.TEXTS))} FROM {X.CUES_SQL} WINDOW w AS (PARTITION BY job_id ORDER BY idx))"
+_PAIRS_OF = " UNION ALL ".join(f"SELECT id, '{c}' AS c, {c} AS a, n_{c} AS b FROM n WHERE idx % 3 = 0 AND n_id IS NOT NULL" for c in editing.TEXTS)
+
+
+@query("e2_merge_next", f"""WITH n AS (SELECT * FROM {_WITH_NEXT}), p AS ({_PAIRS_OF}), j AS (SELECT id, {', '.join(f"max(joined) FILTER (c = '{c}') AS j_{c}" for c in editing.TEXTS)} FROM {joined_sql('p')} GROUP BY id),
+r AS (SELECT n.job_id, n.id, start_ms, CASE WHEN j.id IS NULL THEN end_ms ELSE greatest(end_ms, n_end_ms) END AS end_ms, {', '.join(f'CASE WHEN j.id IS NULL THEN {c} ELSE j_{c} END AS {c}' for c in editing.TEXTS)},
+  CASE WHEN j.id IS NULL THEN flagged ELSE flagged OR n_flagged END AS flagged, CASE WHEN j.id IS NULL THEN uncertain ELSE uncertain OR n_uncertain END AS uncertain, j.id IS NULL AND reviewed AS reviewed FROM n LEFT JOIN j USING (id) WHERE NOT (idx % 3 = 1))
+SELECT *, {RENUMBERED} FROM r""")
 def e2_merge_next(spark, sf_dir):
     cues = X.cues(spark, sf_dir)
-    return editing.merged_with_next(cues, cues.filter("idx % 3 = 0").select("id"))
+    return editing.merged_with_next(cues, cues.filter("idx % 3 = 0").select("id")).withColumn("idx", F.col("idx").cast("long"))
 
 
 @query("e3_delete", f"SELECT job_id, id, {RENUMBERED} FROM {X.CUES_SQL} WHERE idx % 4 <> 1")
@@ -99,10 +106,21 @@ def e10_unfork(spark, sf_dir):
     return editing.unforked(X.cues(spark, sf_dir), X.forked(spark, sf_dir))
 
 
-@query("e11_e12_import")
+_MEET = "b.job_id = a.job_id AND b.start_ms < a.end_ms AND b.end_ms > a.start_ms"
+_PLAIN = r"regexp_replace({}, '[^\p{{L}}\p{{N}}_]+', '', 'g')"
+NEW = X.FORKED_SQL.replace("replace(text, 'e', 'i')", "case when turn % 2 = 0 then text else replace(text, 'e', 'i') end")
+
+
+@query("e11_e12_import", f"""WITH a AS (SELECT job_id, id, start_ms, end_ms, text FROM {NEW}), m AS (SELECT a.id, b.text_stt AS t, b.start_ms, b.id AS old, lag(b.text_stt) OVER (PARTITION BY a.id ORDER BY b.start_ms, b.id) AS before FROM a JOIN {X.CUES_SQL} b ON {_MEET}),
+s AS (SELECT id, coalesce(string_agg(t, ' ' ORDER BY start_ms, old) FILTER (before IS NULL OR before <> t), '') AS text_stt FROM m GROUP BY id), k AS (SELECT a.id, string_agg(b.text, ' ' ORDER BY b.start_ms, b.cap_id) AS text_caption FROM a JOIN {X.CAPTIONS_SQL} b ON {_MEET} GROUP BY a.id),
+c AS (SELECT a.id, b.id AS rendition_of, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.start_ms - b.start_ms), b.id) AS n FROM a JOIN {X.CUES_SQL} b ON a.job_id = b.job_id AND {_PLAIN.format('a.text')} = {_PLAIN.format("coalesce(nullif(b.text_final, ''), nullif(b.text_llm, ''), b.text_stt)")} AND {_PLAIN.format('a.text')} <> '' WHERE abs(a.start_ms - b.start_ms) <= 20000)
+SELECT a.*, coalesce(s.text_stt, '') AS text_stt, rendition_of, coalesce(text_caption, '') AS text_caption, {RENUMBERED.replace('start_ms, end_ms, id', 'a.start_ms, a.end_ms, a.id')} FROM a LEFT JOIN s USING (id) LEFT JOIN k USING (id) LEFT JOIN (SELECT id, rendition_of FROM c WHERE n = 1) USING (id)""")
 def e11_e12_import(spark, sf_dir):
-    new = X.forked(spark, sf_dir).select("job_id", "id", "start_ms", "end_ms", "text")
-    return editing.imported(new, X.cues(spark, sf_dir), X.captions(spark, sf_dir))
+    """A new structure whose even cues have texts of the old one."""
+    text = F.when(F.col("idx") % 2 == 0, F.col("_whole")).otherwise(F.col("text"))
+    whole = X.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 500).alias("id"), F.col("text").alias("_whole"))
+    new = X.forked(spark, sf_dir).join(whole, "id").select("job_id", "id", "start_ms", "end_ms", text.alias("text"))
+    return editing.imported(new, X.cues(spark, sf_dir), X.captions(spark, sf_dir)).withColumn("idx", F.col("idx").cast("long"))
 
 
 MODEL = "(SELECT DISTINCT {} AS source_hash, 'model ' || left({}, 4) AS text FROM {} WHERE idx % 2 = 0)"
