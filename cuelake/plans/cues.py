@@ -209,11 +209,16 @@ def joined_sql(source: str) -> str:
     SELECT *, {tokens.format('l')} AS lt, {tokens.format('r')} AS rt FROM (SELECT *, {strip.format('a')} AS l, {strip.format('b')} AS r FROM {source}))))"""
 
 
-@query("x13_line_wrap", rf"""WITH RECURSIVE w AS (SELECT id, list_filter(string_split_regex({WORK}, '\s+'), lambda t: t <> '') AS t FROM {X.CUES_SQL}), s AS (SELECT id, t, length(array_to_string(t, ' ')) // 2 + 1 AS half FROM w),
-g(id, even, width, i, line, done) AS (SELECT id, even, CASE WHEN even THEN half ELSE 42 END, 1, NULL::VARCHAR, []::VARCHAR[] FROM s, (VALUES (true), (false)) v(even)
-  UNION ALL SELECT g.id, even, width, i + 1, CASE WHEN line IS NULL THEN t[i] WHEN length(line || ' ' || t[i]) <= width THEN line || ' ' || t[i] ELSE t[i] END, CASE WHEN line IS NULL OR length(line || ' ' || t[i]) <= width THEN done ELSE list_append(done, line) END FROM g JOIN s USING (id) WHERE i <= len(t)),
-f AS (SELECT g.id, even, CASE WHEN line IS NULL THEN done ELSE list_append(done, line) END AS lines FROM g JOIN s USING (id) WHERE i = len(t) + 1)
-SELECT a.id, array_to_string(CASE WHEN len(a.lines) > 2 THEN b.lines[1:3] ELSE a.lines END, chr(10)) AS lines FROM f a JOIN f b USING (id) WHERE NOT a.even AND b.even""")
+def wrapped_sql(source: str, width: int) -> str:
+    """Common table expressions that end with wrapped (k, lines): the text of each row (k, text) of source, word by word, and anew to half its length where there are more than two lines."""
+    return rf"""WITH RECURSIVE w AS (SELECT k, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '') AS t FROM {source}), s AS (SELECT k, t, length(array_to_string(t, ' ')) // 2 + 1 AS half FROM w),
+g(k, even, width, i, line, done) AS (SELECT k, even, CASE WHEN even THEN half ELSE {width} END, 1, NULL::VARCHAR, []::VARCHAR[] FROM s, (VALUES (true), (false)) v(even)
+  UNION ALL SELECT g.k, even, width, i + 1, CASE WHEN line IS NULL THEN t[i] WHEN length(line || ' ' || t[i]) <= width THEN line || ' ' || t[i] ELSE t[i] END, CASE WHEN line IS NULL OR length(line || ' ' || t[i]) <= width THEN done ELSE list_append(done, line) END FROM g JOIN s USING (k) WHERE i <= len(t)),
+f AS (SELECT g.k, even, CASE WHEN line IS NULL THEN done ELSE list_append(done, line) END AS lines FROM g JOIN s USING (k) WHERE i = len(t) + 1),
+wrapped AS (SELECT a.k, array_to_string(CASE WHEN len(a.lines) > 2 THEN b.lines[1:3] ELSE a.lines END, chr(10)) AS lines FROM f a JOIN f b USING (k) WHERE NOT a.even AND b.even)"""
+
+
+@query("x13_line_wrap", f"{wrapped_sql(f'(SELECT id AS k, {WORK} AS text FROM {X.CUES_SQL})', 42)} SELECT k AS id, lines FROM wrapped")
 def x13_line_wrap(spark, sf_dir):
     return X.cues(spark, sf_dir).select("id", T.wrapped(T.work_text(), 42).alias("lines"))
 
@@ -281,9 +286,10 @@ def w7_cluster(spark, sf_dir):
     return ordered.cluster(cues, ~F.col("reviewed"))
 
 
-@query("w8_first_occurrence", f"SELECT job_id, substr(text_stt, 1, 3) AS key, min(idx) AS first_idx FROM {X.CUES_SQL} GROUP BY ALL")
+@query("w8_first_occurrence", f"SELECT job_id, key, min(idx) AS first_idx FROM (SELECT job_id, idx, unnest(regexp_extract_all(text_stt, '[^ ]+')) AS key FROM {X.CUES_SQL}) GROUP BY ALL")
 def w8_first_occurrence(spark, sf_dir):
-    return X.cues(spark, sf_dir).groupBy("job_id", F.substring("text_stt", 1, 3).alias("key")).agg(F.min("idx").alias("first_idx"))
+    words = X.cues(spark, sf_dir).select("job_id", "idx", F.explode(F.regexp_extract_all("text_stt", F.lit("[^ ]+"), F.lit(0))).alias("key"))
+    return words.groupBy("job_id", "key").agg(F.min("idx").alias("first_idx"))
 
 
 @query("w11_next_work", f"""SELECT job_id, id FROM (SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN NOT reviewed AND NOT hold AND idx > 2 THEN 0 WHEN NOT reviewed AND NOT hold THEN 1 WHEN NOT reviewed AND idx > 2 THEN 2 WHEN NOT reviewed THEN 3 WHEN idx = 3 THEN 4 ELSE 5 END, idx) AS n FROM {X.CUES_SQL}) WHERE n = 1""")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuelake.plans import fixtures as X
-from cuelake.plans.learning import CHOSEN, TERMS, counts, log, terms
+from cuelake.plans.cues import wrapped_sql
+from cuelake.plans.learning import CHOSEN, LOG, TERMS, counts, log, terms
 from cuelake.plans.registry import query
 from cuelake.sources import formats, storage
 
@@ -16,10 +17,9 @@ def clock_sql(ms: str) -> str:
     return f"lpad(({ms} // 3600000)::VARCHAR, 2, '0') || ':' || lpad(({ms} // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad(({ms} // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad(({ms} % 1000)::VARCHAR, 3, '0')"
 
 
-@query("k1_srt_times", f"SELECT job_id, no, no::VARCHAR || chr(10) || {clock_sql('start_ms')} || ' --> ' || {clock_sql('e')} AS head FROM {CLOSED}")
+@query("k1_srt_times", f"{wrapped_sql(f'(SELECT job_id * 100000 + no AS k, text_final AS text FROM {CLOSED})', 42)} SELECT job_id, no, no::VARCHAR || chr(10) || {clock_sql('start_ms')} || ' --> ' || {clock_sql('e')} || chr(10) || lines AS block FROM {CLOSED} c JOIN wrapped ON k = job_id * 100000 + no")
 def k1_srt_times(spark, sf_dir):
-    blocks = formats.to_srt(X.cues(spark, sf_dir), "text_final", "en")
-    return blocks.select("job_id", F.col("no").cast("long").alias("no"), F.substring_index("block", "\n", 2).alias("head"))
+    return formats.to_srt(X.cues(spark, sf_dir), "text_final", "en").withColumn("no", F.col("no").cast("long"))
 
 
 @query("s6_srt_round_trip", rf"SELECT job_id::VARCHAR AS path, start_ms, e AS end_ms, trim(regexp_replace(text_final, '\s+', ' ', 'g')) AS text FROM {CLOSED}")
@@ -109,7 +109,7 @@ def k12_retention(spark, sf_dir):
     return storage.beyond_retention(X.table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 5)
 
 
-@query("k10_latest_snapshot", 'SELECT wrong, "right", max(seq) AS seq FROM (SELECT regexp_extract(text, \'^[^ ]+\') AS wrong, lang AS right, doc_id AS seq FROM documents) GROUP BY ALL')
+@query("k10_latest_snapshot", f'SELECT wrong, "right", max(seq) AS seq FROM {LOG} GROUP BY ALL')
 def k10_latest_snapshot(spark, sf_dir):
     return storage.latest(log(spark, sf_dir), ["wrong", "right"], ["seq"]).select("wrong", "right", "seq")
 

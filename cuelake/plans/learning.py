@@ -13,12 +13,19 @@ from cuelake.plans.registry import query
 STOP = ("with", "that", "this", "have")
 TOKENS = "(SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents)"
 COUNTS = f"(SELECT term, count(*) AS n FROM {TOKENS} WHERE term NOT IN {STOP} GROUP BY term HAVING count(*) >= 5)"
-LOG = "(SELECT regexp_extract(text, '^[^ ]+') AS wrong, lang AS right, source AS job, doc_id AS seq FROM documents)"
+#: Every word of every document as a pair with its language, in the order of documents and words.
+WORDS = "(SELECT doc_id, lang, source, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '[^ ]+') AS w FROM documents))"
+LOG = f"(SELECT w[i] AS wrong, lang AS right, source AS job, doc_id * 1000000 + i AS seq FROM {WORDS})"
 COUNTED = """(SELECT wrong, "right", sum(fresh)::BIGINT AS "count", arg_max(job, seq) AS source_job FROM (SELECT *, CASE WHEN lag(job) OVER w IS NULL OR lag(job) OVER w <> job THEN 1 ELSE 0 END AS fresh FROM {} WINDOW w AS (PARTITION BY wrong, "right" ORDER BY seq)) GROUP BY ALL)"""
 
 
+def words(spark, sf_dir):
+    split = X.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("w"))
+    return split.select("doc_id", "lang", "source", "w", F.posexplode("w").alias("i", "word"))
+
+
 def log(spark, sf_dir):
-    return X.table(spark, sf_dir, "documents").select(F.regexp_extract("text", "^[^ ]+", 0).alias("wrong"), F.col("lang").alias("right"), F.col("source").alias("job"), F.col("doc_id").alias("seq"))
+    return words(spark, sf_dir).select(F.col("word").alias("wrong"), F.col("lang").alias("right"), F.col("source").alias("job"), (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("seq"))
 
 
 def counts(spark, sf_dir):
@@ -122,9 +129,10 @@ def l21_special_readings(spark, sf_dir):
     return counts(spark, sf_dir).orderBy(F.desc("n"), "term").limit(50).filter("length(term) >= 5")
 
 
-@query("l16_lexicon", 'SELECT gloss, reading, hanja, "count", source_job, ambiguous, CASE WHEN NOT ambiguous AND "count" >= 2 THEN \'special\' ELSE \'common\' END AS tier FROM (SELECT *, count(*) OVER (PARTITION BY gloss, reading) > 1 AS ambiguous FROM (SELECT gloss, reading, hanja, sum(fresh)::BIGINT AS "count", arg_max(job, seq) AS source_job FROM (SELECT *, CASE WHEN lag(job) OVER w IS NULL OR lag(job) OVER w <> job THEN 1 ELSE 0 END AS fresh FROM (SELECT lang AS gloss, regexp_extract(text, \'^[^ ]+\') AS reading, substr(text, 1, 12) AS hanja, source AS job, doc_id AS seq FROM documents) WINDOW w AS (PARTITION BY gloss, reading, hanja ORDER BY seq)) GROUP BY ALL))')
+@query("l16_lexicon", 'SELECT gloss, reading, hanja, "count", source_job, ambiguous, CASE WHEN NOT ambiguous AND "count" >= 2 THEN \'special\' ELSE \'common\' END AS tier FROM (SELECT *, count(*) OVER (PARTITION BY gloss, reading) > 1 AS ambiguous FROM (SELECT gloss, reading, hanja, sum(fresh)::BIGINT AS "count", arg_max(job, seq) AS source_job FROM (SELECT *, CASE WHEN lag(job) OVER w IS NULL OR lag(job) OVER w <> job THEN 1 ELSE 0 END AS fresh FROM (SELECT lang AS gloss, w[i] AS reading, w[i + 1] AS hanja, source AS job, doc_id * 1000000 + i AS seq FROM ' + WORDS + ' WHERE i < len(w)) WINDOW w AS (PARTITION BY gloss, reading, hanja ORDER BY seq)) GROUP BY ALL))')
 def l16_lexicon(spark, sf_dir):
-    rows = X.table(spark, sf_dir, "documents").select(F.col("lang").alias("gloss"), F.regexp_extract("text", "^[^ ]+", 0).alias("reading"), F.substring("text", 1, 12).alias("hanja"), F.col("source").alias("job"), F.col("doc_id").alias("seq"))
+    following = F.get("w", F.col("i") + 1)
+    rows = words(spark, sf_dir).filter(F.col("i") + 1 < F.size("w")).select(F.col("lang").alias("gloss"), F.col("word").alias("reading"), following.alias("hanja"), F.col("source").alias("job"), (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("seq"))
     return learning.absorbed_annotations(rows)
 
 
