@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuelake.operators import progress
 from cuelake.plans import fixtures as X
 from cuelake.plans.cues import wrapped_sql
 from cuelake.plans.learning import CHOSEN, LOG, TERMS, counts, log, terms
@@ -128,3 +129,25 @@ def e22_partition_overwrite(spark, sf_dir):
     storage.write_tracks(rows, path)
     storage.write_tracks(rows.filter("job_id % 2 = 0").withColumn("text", F.concat(F.lit("x"), "text")), path)
     return spark.read.parquet(path).select("id", "text")
+
+
+ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
+
+
+@query("s8_encodings", f"SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text ELSE '안녕 ' || {ASCII} END AS content FROM benchmark")
+def s8_encodings(spark, sf_dir):
+    """Texts of two character sets, told apart by their bytes."""
+    old = F.pandas_udf(lambda texts: texts.map(lambda t: t.encode("cp949")), "binary")
+    text = F.concat(F.lit("안녕 "), F.regexp_replace("text", "[^ -~]", ""))
+    rows = X.table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("text").cast("binary")).otherwise(old(text)).alias("bytes"))
+    return rows.select("item_id", formats.decoded(F.col("bytes")).alias("content"))
+
+
+@query("s9_files_below_a_folder", "SELECT row_number() OVER (ORDER BY 'a=' || item_id % 3 || '/b=' || item_id) AS place, item_id, text || chr(10) AS content FROM benchmark")
+def s9_files_below_a_folder(spark, sf_dir):
+    """Files at any depth, in the order of their paths."""
+    folder = storage.fresh_folder(spark, "texts")
+    rows = X.table(spark, sf_dir, "benchmark").select((F.col("item_id") % 3).alias("a"), F.col("item_id").alias("b"), F.col("text").alias("value"))
+    rows.repartition("a", "b").write.partitionBy("a", "b").text(folder)
+    files = formats.read_files(spark, folder, "part-*").withColumn("path", F.regexp_extract("path", "(a=[0-9]+/b=[0-9]+)/", 1))
+    return progress.numbered(files, "path").select("place", F.regexp_extract("path", "b=([0-9]+)", 1).cast("long").alias("item_id"), "content")

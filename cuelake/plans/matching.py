@@ -13,6 +13,12 @@ OVER = "least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)"
 MEET = "a.job_id = b.job_id AND b.start_ms < a.end_ms AND b.end_ms > a.start_ms"
 
 
+@query("f4_overlaps", f"SELECT a.id, b.cap_id, {OVER} AS ms FROM {X.CUES_SQL} a JOIN {X.CAPTIONS_SQL} b ON {MEET}")
+def f4_overlaps(spark, sf_dir):
+    pairs = intervals.overlapping(X.cues(spark, sf_dir), X.captions(spark, sf_dir))
+    return pairs.select(F.col("l_id").alias("id"), F.col("r_cap_id").alias("cap_id"), intervals.overlap_ms().alias("ms"))
+
+
 @query("j6_overlap_text", f"SELECT a.id, coalesce(string_agg(b.text, ' ' ORDER BY b.start_ms, b.cap_id), '') AS text FROM {X.CUES_SQL} a LEFT JOIN {X.CAPTIONS_SQL} b ON {MEET} GROUP BY a.id")
 def j6_overlap_text(spark, sf_dir):
     return intervals.overlap_text(X.cues(spark, sf_dir), X.captions(spark, sf_dir))

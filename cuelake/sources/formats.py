@@ -20,12 +20,17 @@ def _from_cp949(contents: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else bytes(c).decode("cp949", "replace") for c in contents])
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8, or CP949 where they aren't that. Null stays null."""
+    old = F.pandas_udf(_from_cp949, "string")(content)  # Spark decodes no Korean character set itself
+    valid = F.try_validate_utf8(content.cast("string"))
+    return F.when(valid.isNotNull(), valid).otherwise(old)
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """path, content of the files below folder whose names match; bytes that aren't UTF-8 are read as CP949."""
+    """path, content of the files anywhere below folder whose names match."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    old = F.pandas_udf(_from_cp949, "string")(F.col("content"))  # Spark decodes no Korean character set itself
-    valid = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select("path", F.when(valid.isNotNull(), valid).otherwise(old).alias("content"))
+    return files.select("path", decoded(F.col("content")).alias("content"))
 
 
 def _ms(clock: Column) -> Column:
