@@ -57,14 +57,14 @@ def ngram_buckets(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_TRAINING_DOCUMENTS, buckets: int = BUCKETS) -> LanguageModel:
-    """A model from the rows that are not held out and have a text and a language: at most `most` of them, by the smallest hash of their id.
+    """A model from the rows that are not held out and have an id, a text and a language: at most `most` of them, by the smallest hash of their id; of rows that share an id the first by text.
 
     Counts are made in tasks and summed by (language, bucket); only this table, bounded by languages times buckets, reaches
     the driver. Without any labelled row the model knows no language and predicts `und` for all.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out("_id") & F.col("text").isNotNull() & F.col("lang").isNotNull())
     chosen = rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
-    sample = rows.join(F.broadcast(chosen), "_id", "left_semi").select("text", "lang")
+    sample = rows.join(F.broadcast(chosen), "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("text", "lang")).alias("_row")).select("_row.text", "_row.lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}

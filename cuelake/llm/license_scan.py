@@ -49,7 +49,7 @@ def template_grams(docs: DataFrame, phrases=BASE_PHRASES, notices=NOTICES, k: in
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=BASE_PHRASES, notices=NOTICES, k: int = K, coverage: float = 0.5, drift: int = 3) -> DataFrame:
-    """id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per (id, text).
+    """id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per row.
 
     Every rolling k-gram of words is hashed and joined to the places of the templates' k-grams. A match votes for the
     diagonal (place in the text less place in the template). Diagonals at most `drift` apart are merged, as an inserted or a
@@ -57,7 +57,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     where one diagonal has all its k-grams; a notice is found where merged diagonals hold at least `coverage` of its k-grams.
     score is 1 with a base phrase, else the largest share of any notice, 0 if none.
 
-    Null and empty texts have no words. Rows that repeat both id and text give one row. Extra columns are ignored. The only
+    Null and empty texts have no words. Rows that repeat both id and text are scanned as one and counted. Extra columns are ignored. The only
     shuffles carry one light row per document and the few matches; templates are constants, so their broadcast doesn't grow.
     """
     templates = template_grams(docs, phrases, notices, k)
@@ -74,14 +74,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .filter((F.col("_pos") == 0) | (F.col("_g.w") == F.col("_gram")))
         .select("_id", "_key", "_n", (F.col("_pos") - 1).cast("long").alias("_pos"), "_template", "_label", "_base", "_place", "_grams")
     )
-    diagonals = found.groupBy("_key", "_id", "_n", "_template", "_label", "_base", "_grams", (F.col("_pos") - F.col("_place")).alias("_diagonal")).agg(F.collect_set("_place").alias("_places"))
+    diagonals = found.groupBy("_key", "_id", "_n", "_template", "_label", "_base", "_grams", (F.col("_pos") - F.col("_place")).alias("_diagonal")).agg(F.collect_set("_place").alias("_places"), F.count("*").alias("_rows"))
     # Merged within a document and template only; each diagonal's votes are the template's places that it matches.
     by = Window.partitionBy("_key", "_template").orderBy("_diagonal")
     merged = (
         diagonals.withColumn("_new", F.when(F.col("_diagonal") - F.lag("_diagonal").over(by) <= F.when(F.col("_base"), 0).otherwise(drift), 0).otherwise(1))
         .withColumn("_island", F.sum("_new").over(by))
         .groupBy("_key", "_id", "_n", "_template", "_label", "_base", "_grams", "_island")
-        .agg(F.min("_diagonal").alias("_start"), F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).alias("_votes"))
+        .agg(F.min("_diagonal").alias("_start"), F.max("_rows").alias("_rows"), F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).alias("_votes"))
         .withColumn("_share", F.col("_votes") / F.col("_grams"))
     )
     base = F.col("_base") & (F.col("_votes") == F.col("_grams"))
@@ -96,6 +96,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             names(base).alias("base_labels"),
             names(base | notice).alias("labels"),
             F.coalesce(F.max(F.when(base, F.lit(1.0)).when(~F.col("_base"), F.col("_share"))), F.lit(0.0)).alias("score"),
+            # What stands for the document itself was counted once for each row that repeats.
+            F.max(F.when(F.col("_template").isNull(), F.col("_rows"))).alias("_copies"),
         )
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
         .select(F.col("_id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     )

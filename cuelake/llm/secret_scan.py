@@ -23,8 +23,12 @@ MARKOV = "markov"
 #: Runs of 20 characters and more; and for texts with assignments also the runs that these begin in, so that they aren't taken for runs of their own.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 BESIDE_ASSIGNMENTS = rf"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_=-]*?{BASE[0][1]}|{CANDIDATE})"
-#: Labelled samples of each class that the Markov models are trained on.
+#: Made samples of each class that the Markov models are trained on.
 TRAINING_TOKENS = 4000
+#: Documents whose words are samples of the ordinary class: those with the smallest hash of their id.
+TRAINING_DOCUMENTS = 2000
+#: What counts as an ordinary identifier of a text: words, joined or not, with a short number behind them at most.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]+(?:[_/-][A-Za-z]+)*[0-9]{0,3}(?![A-Za-z0-9+/_=-])"
 #: Words that ordinary identifiers are made of.
 IDENTIFIER_WORDS = (
     "account action address agent album alert amount answer array author balance batch block board body book branch buffer build button cache call card case channel chart check child city class client "
@@ -100,6 +104,25 @@ def labelled_tokens(spark: SparkSession, n: int = TRAINING_TOKENS) -> DataFrame:
     return ids.select(random.substr(F.lit(1), length).alias("token"), F.lit(True).alias("is_random")).unionAll(ids.select(identifier.alias("token"), F.lit(False).alias("is_random")))
 
 
+def ordinary_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAINING_DOCUMENTS) -> DataFrame:
+    """(token, is_random) of the identifiers in at most `most` of the texts, eight characters and more: each once, none of them random.
+
+    Documents are chosen by the smallest hash of their id; of rows that share an id the first by text counts, null ids and
+    texts are passed over. Values that are assigned to a name of BASE are no samples.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL AND _text IS NOT NULL")
+    chosen = rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
+    texts = rows.join(F.broadcast(chosen), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+    clean = F.regexp_replace("_text", BASE[0][1], " ")
+    tokens = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(clean, F.lit(ORDINARY), F.lit(0)))).alias("token"))
+    return tokens.filter("length(token) >= 8").distinct().withColumn("is_random", F.lit(False))
+
+
+def trained_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
+    """A model from made random strings and identifiers, and from the identifiers of the table's own texts."""
+    return train(labelled_tokens(docs.sparkSession).unionByName(ordinary_tokens(docs, id_col, text_col)))
+
+
 def code_of(token: Column, at: Column) -> Column:
     code = F.ascii(token.substr(at, F.lit(1))) - 32
     return F.when((code >= 0) & (code < ALPHABET), code).otherwise(0)
@@ -159,9 +182,11 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, n_assign, n_access, n_hex, base_sha256, spans per row: a row-wise scan of the whole text, without a shuffle.
 
     Null and empty texts have no spans (the digest is that of the empty string); rows that repeat give repeated rows, and
-    extra columns are ignored. The trained model is a constant of ALPHABET ** 2 numbers, whatever the table's size.
+    extra columns are ignored. Without a model, one is trained by trained_on(): a constant of ALPHABET ** 2 numbers, whatever
+    the table's size.
     """
-    found = secret_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "_spans", model, threshold).select("_id", "_spans")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    found = secret_spans(rows, "_text", "_spans", model or trained_on(rows, "_id", "_text"), threshold).select("_id", "_spans")
     of = lambda kind: F.filter("_spans", lambda s: s["kind"] == kind)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select(
@@ -172,13 +197,13 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", model: list[float] | None = None, threshold: float = 0.5) -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", model: list[float] | None = None, threshold: float = 0.5) -> DataFrame:
     """docs, with each secret in text_col replaced by mark (overlapping spans by one). A text without secrets, or null, stays as it is.
 
     Rows that repeat give repeated rows, an empty table none; the other columns stay, whatever their names.
     """
     (out,) = unused(docs, "_spans")
-    found = secret_spans(docs, text_col, out, model, threshold)
+    found = secret_spans(docs, text_col, out, model or trained_on(docs, id_col, text_col), threshold)
     # The state is the place up to which the text is told: what lies before a span is copied, a span that begins inside the last one adds no mark.
     text = F.col(text_col)
 

@@ -292,6 +292,50 @@ def test_language_id(spark):
     assert {x.lang_pred for x in none} == {"und"}
 
 
+def test_models_on_tokens_that_no_generator_of_ours_has_made(spark):
+    """Random strings of four alphabets, and names of the standard library; the models are trained on made samples and on identifiers of the table's texts."""
+    import argparse
+    import ast
+    import asyncio
+    import email.message
+    import http
+    import inspect
+    import logging
+    import socket
+    import ssl
+    import string
+    import subprocess
+    import unittest
+    import uuid
+
+    r = random.Random(5)
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    secrets = [of(string.ascii_letters + string.digits, r.randint(20, 40)) for _ in range(300)] + [of(string.ascii_lowercase + string.digits, r.randint(20, 40)) for _ in range(300)]
+    secrets += [str(uuid.UUID(int=r.getrandbits(128))) for _ in range(150)] + ["ghp_" + of(string.ascii_letters + string.digits, 36) for _ in range(150)]
+    modules = (argparse, ast, asyncio, asyncio.BaseEventLoop, email.message, http, inspect, logging, socket, socket.socket, ssl, ssl.SSLContext, subprocess, unittest, unittest.TestCase)
+    names = {n for m in modules for n in dir(m) if len(n) >= 16 and not n.startswith("__")}
+    texts = [(i, f"The {a} calls {b}, see documentation of configuration number{i}.") for i, (a, b) in enumerate(zip(sorted(dir(str)) * 4, sorted(dir(dict)) * 8))]
+    model = secret_scan.trained_on(spark.createDataFrame([*texts, (None, "nothing_of_this"), (1, None)], "doc_id long, text string"))
+    tokens = spark.createDataFrame([(x, True) for x in secrets] + [(x, False) for x in sorted(names)], "token string, y boolean")
+    got = tokens.withColumn("x", secret_scan.log_ratio(F.col("token"), model) >= 0.5).collect()
+    missed, taken = sum(g.y and not g.x for g in got), sum(g.x and not g.y for g in got)
+    assert len(names) > 300 and missed <= 0.03 * len(secrets) and taken <= 0.03 * len(names)
+
+
+def test_license_scan_counts_rows_that_repeat(spark):
+    rows = [(1, "under the mit license")] * 3 + [(1, "other words here")] * 2 + [(None, None)] * 2
+    got = license_scan.license_scan(frame(spark, rows)).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_base) for x in got) == sorted([("1", 4, 1)] * 3 + [("1", 3, 0)] * 2 + [("None", 0, 0)] * 2)
+
+
+def test_language_training_is_bounded_by_rows(spark):
+    rows = [(1, "aa bb", "xx")] * 50 + [(1, "aa cc", "xx")] * 50 + [(4, "dd ee", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counted = language_id.train(docs, most=5)
+    alone = language_id.train(docs.distinct().filter("text <> 'aa cc'"), most=5)
+    assert counted.languages == alone.languages and (counted.log_prob == alone.log_prob).all() and (counted.log_prior == alone.log_prior).all()
+
+
 def test_secret_scan(spark):
     token = "aZ3kQ9xW7vB1nM5pL8tR2yU6"
     rows = [*ROWS, (900, 'é password = "hunter22" Api_Key:short x secret: token: abcdefgh'), (901, f"AKIA{'Q' * 16} AKIASHORT"), (902, f"{'0123456789abcdef' * 2} deadbeef"), (903, f"key {token} user_account_name_filter_index2 https://example.org/path/item/list/number1"), (904, None)]
