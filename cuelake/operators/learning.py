@@ -108,15 +108,16 @@ def propagated(cues: DataFrame, global_pairs: DataFrame, job_pairs: DataFrame, l
 def repaired(cues: DataFrame, unsafe: DataFrame) -> DataFrame:
     """id, before, text: unreviewed machine text with an unsafe rewrite undone, where that brings it closer to what was recognised.
 
-    Both directions of each pair are tried; of all candidates of a cue, the closest one counts if it beats the text as it is.
+    Both directions of each pair are tried; of all candidates of a cue, the closest one counts if it beats the text as it is (of
+    equally close ones the last by name). A candidate is aligned only if its characters could beat the best one so far.
     """
     rows = cues.filter("NOT reviewed AND text_final = '' AND text_llm <> ''").select("id", "text_stt", "text_llm")
     words = rows.select("id", F.explode(F.array_distinct(F.filter(F.split("text_llm", r"(?U)[^\w]+"), lambda w: w != ""))).alias("_word"))
     both = unsafe.select(F.col("right").alias("from"), F.col("wrong").alias("to")).union(unsafe.select("wrong", "right"))
     tried = words.join(both.withColumn("_word", _first_word(F.col("from"))), "_word").join(rows, "id").filter(F.contains("text_stt", "to"))
     changed = tried.withColumn("text", korean.replaced_whole(F.col("text_llm"), F.col("from"), F.col("to"))).filter("text <> text_llm")
-    scored = changed.select("id", F.col("text_llm").alias("before"), "text", alignment.matched_share("text_stt", "text").alias("score"), alignment.matched_share("text_stt", "text_llm").alias("base"))
-    return scored.filter("score > base").groupBy("id", "before").agg(F.max_by("text", F.struct("score", "text")).alias("text"))
+    gathered = changed.groupBy("id", "text_stt", "text_llm").agg(F.collect_set("text").alias("_texts"))
+    return gathered.select("id", F.col("text_llm").alias("before"), alignment.closest("text_stt", "text_llm", "_texts").alias("text")).filter("text IS NOT NULL")
 
 
 def absorbed(cues: DataFrame, global_pairs: DataFrame, job_pairs: DataFrame, unsafe: DataFrame) -> DataFrame:

@@ -129,3 +129,15 @@ def test_replacements_of_a_large_vocabulary(spark):
     cues = spark.range(2_000).selectExpr("id", "id AS job_id", "id AS idx", "concat('w', id * 50, ' and w', id * 50 + 3) AS text_stt")
     got = {x.id: x.text for x in learning.pre_passed(cues, pairs).collect()}
     assert got == {i: f"w{i * 50 + 4 + 200000} and w{i * 50 + 4 + 200000}" for i in range(2_000)}
+
+
+def test_closest_text_equals_all_alignments():
+    from difflib import SequenceMatcher
+
+    r = random.Random(10)
+    share = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
+    for _ in range(1500):
+        heard, text = texts(r, "abc", 12), texts(r, "abc", 12)
+        candidates = [texts(r, "abc", 12) for _ in range(r.randint(0, 8))]
+        want = max(((share(heard, c), c) for c in candidates), default=(0, None))
+        assert alignment.closest_text(heard, text, candidates) == (want[1] if want[0] > share(heard, text) else None)
