@@ -89,8 +89,28 @@ FROM d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id
 """
 
 
+def _clusters_sql(rounds: int = 5, k: int = 40) -> str:
+    """Lloyd rounds with every vector against every centroid. All numbers are whole and below 2 ** 53, so doubles hold them exactly."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT v.id, min(struct_pack(d := v.a + c.a - 2 * list_inner_product(v.q, c.q), k := c.k)) AS best FROM v, c{r} c GROUP BY v.id)")
+        if r < rounds:
+            steps.append(f"s{r} AS MATERIALIZED (SELECT k, list(m ORDER BY i) AS q FROM (SELECT best.k AS k, i, floor(sum(q[i]) / count(*)) AS m FROM a{r} JOIN v USING (id), range(1, 65) t(i) GROUP BY ALL) GROUP BY k)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT k, q, list_inner_product(q, q) AS a FROM (SELECT c.k, coalesce(s.q, c.q) AS q FROM c{r} c LEFT JOIN s{r} s USING (k)))")
+    return f"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, q, list_inner_product(q, q) AS a FROM kept),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS k, q, a FROM v QUALIFY k < {k}),
+{", ".join(steps)}
+SELECT v.vec_id, a.best.k::INTEGER AS cluster, a.best.d::BIGINT AS distance, sum(a.best.d) OVER (PARTITION BY a.best.k)::BIGINT AS cluster_inertia, sum(a.best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.q, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (id) JOIN c{rounds} c ON c.k = a.best.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_dual_tree_clusters": _clusters_sql(),
         "op2_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256
