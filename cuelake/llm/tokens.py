@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that the words a Python worker keeps may take, by estimate; then it starts anew. Only speed depends on it.
-MOST_BYTES = 128 << 20
+MOST_BYTES = 64 << 20
 #: What a word takes besides its own bytes and ids: its entry in a dictionary, its string object and its places.
 ENTRY_BYTES = 150
 #: Words encoded in one call.
