@@ -163,6 +163,19 @@ def l9_pre_pass_of_words(spark, sf_dir):
     return learning.pre_passed(X.cues(spark, sf_dir), word_pairs(spark, sf_dir))
 
 
+#: A pair of its own for each job, seen in one of its first cues.
+OWN = f"(SELECT job_id, term AS wrong, term || 'q' AS \"right\", job_id % 3 AS first_idx FROM {X.MEDIA_SQL} JOIN {RANKED} ON r = 1 + job_id % 40)"
+
+
+@query("l8_propagated_words", f"""WITH t AS (SELECT id, job_id, idx, {BEST} AS text_stt FROM {X.CUES_SQL} WHERE NOT reviewed), g AS MATERIALIZED (SELECT wrong, "right" FROM {PAIRS} WHERE count >= 2), o AS MATERIALIZED (SELECT * FROM {OWN}),
+k AS (SELECT t.id, wrong, "right" FROM t, g UNION SELECT t.id, wrong, "right" FROM t JOIN o ON o.job_id = t.job_id AND t.idx > first_idx), l AS (SELECT id, list(wrong || chr(1) || "right" ORDER BY -length(wrong), wrong, "right") AS pairs FROM k GROUP BY id)
+SELECT t.id, text_stt AS before, list_reduce(list_prepend(text_stt, pairs), lambda acc, p: CASE WHEN contains(acc, split_part(p, chr(1), 1)) THEN {_ONCE.format(_ONCE.format('acc'))} ELSE acc END) AS text FROM t JOIN l USING (id) WHERE text_stt <> ''""")
+def l8_propagated_words(spark, sf_dir):
+    ranked = counts(spark, sf_dir).orderBy(F.desc("n"), "term").limit(40).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
+    own = X.media(spark, sf_dir).select("job_id", (F.col("job_id") % 3).alias("first_idx"), (1 + F.col("job_id") % 40).alias("r")).join(ranked, "r")
+    return learning.propagated(X.cues(spark, sf_dir), word_pairs(spark, sf_dir), own.select("job_id", F.col("term").alias("wrong"), F.concat("term", F.lit("q")).alias("right"), "first_idx"))
+
+
 ROUTES = f"""b AS (SELECT *, {PRE_PASSED} AS base FROM {X.CUES_SQL}), h AS (SELECT *, substr(sha256('c7' || chr(31) || base || chr(31) || text_caption), 1, 20) AS source_hash,
   {STRIPPED.format('base')} <> '' AND (flagged OR EXISTS (SELECT 1 FROM {TERM_FORMS} t WHERE contains(base || ' ' || text_caption, t.form))) AS needed FROM b),
 m AS (SELECT source_hash, arg_min('known ' || base, id) AS known, arg_min(id % 4 = 0, id) AS changed, arg_min(id % 6 = 0, id) AS unsure FROM h WHERE id % 2 = 0 GROUP BY source_hash),

@@ -84,9 +84,13 @@ def confirmed_items(spark, sf_dir):
     return cues, cues.filter("idx % 2 = 0").select("job_id", "id", pairs)
 
 
-@query("x32_promoted")
+_OPEN, _SHUT = '{"reading":"무상","discovered":', '{"reading":"해탈","discovered":true}'
+
+
+@query("x32_promoted", f"""SELECT id, CASE WHEN idx % 4 = 0 THEN '무상과 ' || text_llm ELSE '무상(無常)과 ' || text_llm END AS text_llm, CASE WHEN idx % 4 = 0 THEN text_final || ' 해탈(解脫)은 해탈(解脫)과 해탈' ELSE '' END AS text_final,
+CASE WHEN idx % 4 = 0 THEN '[{_OPEN}' || (idx % 3 = 0)::VARCHAR || '}}]' WHEN idx % 3 = 0 THEN '[{_SHUT}]' ELSE '[{_SHUT},{_OPEN}false}}]' END AS hints, 1 AS n_applied FROM {X.CUES_SQL} WHERE idx % 2 = 0""")
 def x32_promoted(spark, sf_dir):
-    return imports.promoted(*confirmed_items(spark, sf_dir))
+    return imports.promoted(*confirmed_items(spark, sf_dir)).withColumn("hints", F.to_json("hints"))
 
 
 @query("x32_newly_registered", f"SELECT v.reading, v.gloss, v.hanja FROM (VALUES ('해탈', '', '解脫'), ('무상', '', '無常'), ('없음', '', '無')) v(reading, gloss, hanja) WHERE reading <> '해탈' AND EXISTS (SELECT 1 FROM {X.CUES_SQL} WHERE idx % 2 = 0)")

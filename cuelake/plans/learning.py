@@ -155,6 +155,39 @@ def l12_l14_safe_pairs(spark, sf_dir):
     return rows.withColumn("is_reference", korean.is_reference(F.col("wrong"))).withColumn("is_safe", korean.is_safe_pair(F.col("wrong"), F.col("right")))
 
 
+STEMS, PARTICLES = (f"[{', '.join(repr(w) for w in words)}]" for words in (korean.REFERENCE_STEMS, korean.PARTICLES))
+_CLEAN = r"regexp_replace({}, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g')"
+_PLAIN = r"regexp_replace({}, '[^\p{{L}}\p{{N}}_]+', '', 'g')"
+
+
+def _reference_sql(phrase: str) -> str:
+    """Whether a phrase is a reference: four times over, the first particle that leaves two characters goes."""
+    fitting = f"list_filter({PARTICLES}, lambda p: suffix(acc, p) AND length(acc) > length(p) + 1)"
+    return f"list_contains({STEMS}, list_reduce([{_PLAIN.format(_CLEAN.format(phrase))}, '', '', '', ''], lambda acc, x: CASE WHEN list_contains({STEMS}, acc) OR len({fitting}) = 0 THEN acc ELSE left(acc, length(acc) - length({fitting}[1])) END))"
+
+
+def _picked(words: tuple[str, ...], of) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, words)), (of % len(words) + 1).cast("int"))
+
+
+_N_STEMS, _N_PARTICLES = len(korean.REFERENCE_STEMS), len(korean.PARTICLES)
+_WRONG = f"{STEMS}[event_id % {_N_STEMS} + 1] || CASE WHEN event_id % 5 = 0 THEN '들' ELSE '' END || {PARTICLES}[event_id // {_N_STEMS} % {_N_PARTICLES} + 1] || CASE WHEN event_id % 3 = 0 THEN {PARTICLES}[event_id % {_N_PARTICLES} + 1] || '.' ELSE '' END"
+_RIGHT = f"CASE event_id % 4 WHEN 0 THEN '백궁' WHEN 1 THEN '합니더' WHEN 2 THEN ' 약속을 해가 ' ELSE {STEMS}[event_id // 7 % {_N_STEMS} + 1] || {PARTICLES}[event_id // 11 % {_N_PARTICLES} + 1] END"
+_TAIL = korean.DIALECT_TAIL
+
+
+@query("l12_l14_particles", f"""WITH e AS (SELECT event_id, {_WRONG} AS wrong, {_RIGHT} AS "right" FROM events), d AS (SELECT DISTINCT wrong AS phrase FROM e UNION SELECT DISTINCT "right" FROM e), f AS MATERIALIZED (SELECT phrase, {_reference_sql('phrase')} AS refers, {_CLEAN.format('phrase')} AS clean, {_PLAIN.format('phrase')} AS plain FROM d)
+SELECT event_id, a.refers AS is_reference, a.clean <> '' AND b.clean <> '' AND a.clean <> b.clean AND NOT a.refers AND NOT b.refers AND NOT (regexp_matches(a.plain, '{_TAIL}') AND NOT regexp_matches(b.plain, '{_TAIL}')) AS is_safe FROM e JOIN f a ON a.phrase = wrong JOIN f b ON b.phrase = e."right" """)
+def l12_l14_particles(spark, sf_dir):
+    """Pronouns with one particle or two, some with an ending that is none, against phrases of all kinds."""
+    n = F.col("event_id")
+    particle = lambda of: _picked(korean.PARTICLES, F.floor(of))
+    wrong = F.concat(_picked(korean.REFERENCE_STEMS, n), F.when(n % 5 == 0, "들").otherwise(""), particle(n / _N_STEMS), F.when(n % 3 == 0, F.concat(particle(n), F.lit("."))).otherwise(""))
+    right = F.when(n % 4 == 0, "백궁").when(n % 4 == 1, "합니더").when(n % 4 == 2, " 약속을 해가 ").otherwise(F.concat(_picked(korean.REFERENCE_STEMS, F.floor(n / 7)), particle(n / 11)))
+    rows = X.table(spark, sf_dir, "events").select("event_id", wrong.alias("wrong"), right.alias("right"))
+    return rows.select("event_id", korean.is_reference(F.col("wrong")).alias("is_reference"), korean.is_safe_pair(F.col("wrong"), F.col("right")).alias("is_safe"))
+
+
 @query("l1_extracted_pairs")
 def l1_extracted_pairs(spark, sf_dir):
     return learning.extracted_pairs(X.cues(spark, sf_dir))
@@ -200,7 +233,7 @@ def l6_absorb_phases(spark, sf_dir):
     return learning.absorbed(X.cues(spark, sf_dir), pair_table(spark, sf_dir), learning.first_seen(pairs(spark, sf_dir)), unsafe_pairs(spark, sf_dir))
 
 
-@query("l15_annotations")
+@query("l15_annotations", f"SELECT DISTINCT job_id, gloss, reading, hanja FROM {X.CUES_SQL}, (VALUES ('얼굴', '안', '顔'), ('', '해탈', '解脫')) v(gloss, reading, hanja) WHERE reviewed AND idx % 2 = 0")
 def l15_annotations(spark, sf_dir):
     spelled = X.cues(spark, sf_dir).withColumn("text_final", F.when(F.col("idx") % 2 == 0, F.concat("text_final", F.lit(" 얼굴 안(顔) 자 해탈(解脫)"))).otherwise(F.col("text_final")))
     return learning.mined_annotations(spelled)

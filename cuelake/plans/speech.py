@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import ordered, speech
 from cuelake.plans import fixtures as X
-from cuelake.plans.cues import CLUSTER
+from cuelake.plans.cues import CLUSTER, WORK
 from cuelake.plans.registry import query
 
 
@@ -78,7 +78,13 @@ def x16_tighten(spark, sf_dir):
     return speech.tightened(cues, words)
 
 
-@query("x19_x20_aligned_sentences")
+#: What is heard is the script itself, so each sentence lasts from its first word with a letter or digit to its last one.
+ALIGNED = f"""(WITH w AS (SELECT job_id, idx, id, start_ms, text_stt, string_split(text_stt, ' ') AS w FROM {X.CUES_SQL}), p AS (SELECT *, len(w) AS n, unnest(range(0, len(w))) AS i FROM w),
+h AS (SELECT job_id, idx, start_ms + i * 7000 // n AS a, start_ms + (i + 1) * 7000 // n AS b FROM p WHERE regexp_replace(w[i + 1], '[^가-힣0-9a-zA-Z]', '', 'g') <> '')
+SELECT w.job_id, w.idx AS no, regexp_replace(any_value(text_stt), '^\\s+|\\s+$', '', 'g') AS text, min(a) AS start_ms, max(b) AS end_ms FROM w JOIN h USING (job_id, idx) GROUP BY w.job_id, w.idx)"""
+
+
+@query("x19_x20_aligned_sentences", f"SELECT * FROM {ALIGNED}")
 def x19_x20_aligned_sentences(spark, sf_dir):
     sentences = X.cues(spark, sf_dir).select("job_id", F.col("idx").alias("no"), F.col("text_stt").alias("text"))
     split = X.cues(spark, sf_dir).select("job_id", "start_ms", F.split("text_stt", " ").alias("w"))
@@ -86,12 +92,14 @@ def x19_x20_aligned_sentences(spark, sf_dir):
     return speech.aligned_sentences(sentences, words)
 
 
-@query("x20_rebuilt_cells")
+#: No job's machine texts are its script (every third one is empty), so each job with aligned sentences is made anew.
+@query("x20_rebuilt_cells", f"""WITH a AS (SELECT * FROM {ALIGNED}) SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY no) - 1 AS idx, start_ms, end_ms, text AS text_stt, text AS text_llm, '' AS text_final, false AS reviewed FROM a
+UNION ALL SELECT job_id, idx, start_ms, end_ms, text_stt, text_llm, text_final, reviewed FROM {X.CUES_SQL} WHERE (job_id % 5 > 0 OR idx > 0) AND job_id NOT IN (SELECT job_id FROM a)""")
 def x20_rebuilt_cells(spark, sf_dir):
     return speech.rebuilt_cells(X.cues(spark, sf_dir).filter("job_id % 5 > 0 OR idx > 0"), x19_x20_aligned_sentences(spark, sf_dir))
 
 
-@query("x31_x32_annotated")
+@query("x31_x32_annotated", f"SELECT id, CASE WHEN idx % 2 = 0 THEN '얼굴 안(顔) 자 그리고 오온(五蘊)을 해탈(解脫)' ELSE regexp_replace({WORK}, '^\\s+|\\s+$', '', 'g') END AS text FROM {X.CUES_SQL}")
 def x31_x32_annotated(spark, sf_dir):
     lexicon = spark.createDataFrame([("얼굴", "안", "顔", "common"), ("", "해탈", "解脫", "special"), ("", "오온", "五蘊", "special")], "gloss string, reading string, hanja string, tier string")
     cues = X.cues(spark, sf_dir).withColumn("text_final", F.when(F.col("idx") % 2 == 0, "얼굴 안 자 그리고 오온을 해탈").otherwise(F.col("text_final")))
