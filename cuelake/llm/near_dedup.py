@@ -173,12 +173,23 @@ def by_block(rows: DataFrame, columns: list[str], of_block, schema: str, texts:
 def across(members: DataFrame, texts: DataFrame, k: int, percent: int, most: int, block: int) -> DataFrame:
     """Links (a, b) between members of a bucket that belong to different components; members: bucket, n, id, component, n_shingles, sketch.
 
-    A bucket of more than `block` members is cut into blocks by a hash of the id, and each pair of blocks is one group. Only
-    sketches go to every pair of blocks; texts go where their sketch has a partner.
+    A bucket's largest component, if it holds most of the members, is never compared with itself, so a large group of copies
+    costs a few strangers times its size, not its square: its members and the others are cut into blocks of their own by a hash
+    of the id, and each pair of blocks is one group, but for pairs of the largest component's. Only sketches go to the pairs of
+    blocks; texts go where their sketch has a partner.
     """
-    blocks = F.ceil(F.col("n") / block)
-    mine = F.pmod(F.xxhash64("id"), blocks)
-    placed = members.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    flipped = lambda df: df.withColumn("_k", F.col("bucket").bitwiseXOR(F.lit(1)))
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("_of"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("_of", "component")).alias("_l")).select("bucket", F.col("_l._of").alias("_most"), F.col("_l.component").alias("_main"))
+    sized = flipped(members).join(flipped(largest).drop("bucket"), "_k").drop("_k")
+    cut = F.col("_most") * 2 > F.col("n")
+    main = cut & (F.col("component") == F.col("_main"))
+    others = F.ceil(F.when(cut, F.col("n") - F.col("_most")).otherwise(F.col("n")) / block)
+    own = F.when(cut, F.ceil(F.col("_most") / block)).otherwise(0)
+    hashed = F.xxhash64("id")
+    mine = F.when(main, others + F.pmod(hashed, F.greatest(own, F.lit(1)))).otherwise(F.pmod(hashed, F.greatest(others, F.lit(1))))
+    last = F.when(main, others - 1).otherwise(others + own - 1)
+    placed = sized.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     columns = ["bucket", "i", "j", "side", "id", "component", "n_shingles", "sketch"]
     rows = placed.select("bucket", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), F.col("_mine").alias("side"), *columns[4:])
 
@@ -209,8 +220,9 @@ def classes_linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     2. MinHash samples are folded into band keys (a pair at the threshold misses all bands once in 10^7) and an odd sketch.
     3. In each band bucket every member is paired with the first and the last one, which doesn't grow with its square. Pairs
        whose sketches differ too much (a pair at the threshold: once in 10^9) go; the rest is confirmed on full sets.
-    4. Buckets whose members these links don't join are compared in full across the components, in blocks of bounded size,
-       and only links that join components leave a block. So every pair of a bucket is joined or compared.
+    4. Buckets whose members these links don't join are compared in full across the components, in blocks of bounded size (a
+       bucket's main component only with the others), and only links that join components leave a block. So every pair of a
+       bucket is joined or compared.
     """
     rows = rows or (5 if percent >= 85 else 4)
     bands = shingles.bands_for(percent / 100, rows)
@@ -237,7 +249,7 @@ def classes_linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     # Buckets of up to three members have had all their pairs.
     named = members.filter("n > 3").select("bucket", "n", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = named.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
-    open_ = flipped(named).join(flipped(split).select("_k"), "_k", "left_semi").drop("_k").join(sketches, "id")
+    open_ = written(flipped(named).join(flipped(split).select("_k"), "_k", "left_semi").drop("_k").join(sketches, "id"), "open")
     more = across(open_, texts, k, percent, most, block)
     if by_id:
         several = live.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("seq_a", "seq_b"))).filter("min_seq_a < max_seq_a OR min_seq_b < max_seq_b").select("id")

@@ -432,3 +432,17 @@ def test_empty_tables(spark):
         segmentation.decoded(segmentation.sampled_segmentations(none)), language_id.language_id(none), secret_scan.secret_scan(none), packing.packed(none),
     ):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 16])
+def test_a_main_component_meets_the_others_of_its_bucket(spark, block):
+    """Of a bucket with one large component and a few others every pair across is compared, and none within the large one."""
+    r = np.random.default_rng(3)
+    width = near_dedup.WORDS
+    sketches = {i: r.integers(-(1 << 62), 1 << 62, width).tolist() for i in range(40)}
+    rows = [(7, 40, i, 0 if i < 30 else i, 10, sketches[i if i < 33 else i - 33]) for i in range(40)]  # 33 on have the sketch of a main member
+    members = spark.createDataFrame(rows, "bucket long, n long, id long, component long, n_shingles long, sketch array<long>")
+    words = {i: " ".join(f"w{(i if i < 33 else i - 33) * 50 + k}" for k in range(12)) for i in range(40)}
+    texts = spark.createDataFrame(list(words.items()), "id long, text string")
+    got = {tuple(sorted((x.a, x.b))) for x in near_dedup.across(members, texts, 3, 85, 0, block).collect()}
+    assert got == {(i - 33, i) for i in range(33, 40)}
