@@ -289,10 +289,11 @@ def test_error_rates_of_joined_texts(spark):
 
 
 def test_correction_routes_send_all(spark):
-    lines = spark.createDataFrame([(1, i, f"text {i}", i > 0) for i in range(121)] + [(2, 500, " ", True)], "job_id long, id long, text string, needed boolean")
-    memo = lines.filter("id = 7").select(T.content_hash(20, F.lit("c"), F.col("text")).alias("source_hash"), F.lit("known").alias("text"))
-    got = {r.id: r for r in editing.correction_routes(lines, memo, "c").collect()}
-    assert (got[0].route, got[7].route, got[7].text, got[500].route) == ("skipped", "cached", "known", "blank")
+    cues = spark.createDataFrame([(1, i, i, f"text {i}", "", i > 0) for i in range(121)] + [(2, 0, 500, " ", "caption", True)], "job_id long, idx long, id long, text_stt string, text_caption string, flagged boolean")
+    memo = cues.filter("id = 7").select(T.content_hash(20, F.lit("c"), F.col("text_stt"), F.lit("")).alias("source_hash"), F.lit("known").alias("text"), F.lit(True).alias("changed"), F.lit(False).alias("uncertain"))
+    none = spark.createDataFrame([], "wrong string, right string, count long")
+    got = {r.id: r for r in editing.correction_routes(cues, none, spark.createDataFrame([], "form string"), memo, "c").collect()}
+    assert (got[0].route, got[7].route, got[7].text, got[500].route, got[500].text) == ("skipped", "cached", "known", "skipped", "caption")
     assert [sum(r.chunk == c for r in got.values()) for c in range(3)] == [50, 50, 19]
 
 
