@@ -26,7 +26,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of the texts (null: none), the word at each place, and the n + 1 places where each text's begin and end.
 
     Words end at ASCII white space. At the edges of a text the empty word may stand.
@@ -34,7 +34,13 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     offsets = np.asarray(split.offsets).astype(np.int64)
     found = split.flatten().dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy(), offsets - offsets[0]
+    return found.dictionary, found.indices.to_numpy(), offsets - offsets[0]
+
+
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """distinct_words() with the words as a list."""
+    words, at, bounds = distinct_words(texts)
+    return words.to_pylist(), at, bounds
 
 
 class WordCache:
@@ -97,6 +103,7 @@ class WordIds:
             if all(model.encode(w, add_special_tokens=False).ids == one(w) for w in self.PROBES):
                 self.model = model
         self.known = WordCache(most_bytes)
+        self.last: tuple[pa.Array, np.ndarray] | None = None  # the words of the batch before, and their places
         self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +149,26 @@ class WordIds:
             ids, ends = self.gathered(both)
             self.add([m[0] for m in signed], ids, np.diff(ends[1::2], prepend=0))
 
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places of the distinct words of a batch. Most stood in the batch before, so these are looked up in Arrow, all at once."""
+        if self.last is None:
+            out = self.known.places(words.to_pylist(), self.learn)
+        else:
+            found = pc.index_in(words, self.last[0])
+            hit = found.is_valid()
+            mask, out = hit.to_numpy(zero_copy_only=False), np.empty(len(words), np.int64)
+            out[mask] = self.last[1][found.drop_null().to_numpy()]
+            out[~mask] = self.known.places(words.filter(pc.invert(hit)).to_pylist(), self.learn)
+        self.last = words, out
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none), and the n + 1 places where each text's begin and end."""
         if self.known.held > self.known.most_bytes:
             self.known.clear()
-            self.used = 0
+            self.used, self.last = 0, None
         if self.lowers:
             texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        words, at, bounds = words_of(texts)
-        ids, ends = self.gathered(self.known.places(words, self.learn)[at])
+        words, at, bounds = distinct_words(texts)
+        ids, ends = self.gathered(self.places(words)[at])
         return ids, np.concatenate([[0], ends])[bounds]
