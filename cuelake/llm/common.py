@@ -65,7 +65,7 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that the texts of each hold about `most` bytes (a longer text stands alone): small enough for the cache, and a bound on memory."""
+    """The batches again, cut so that the texts of each hold about `most` bytes (a longer text stands alone): small enough for the cache, and a bound on memory. What Arrow has freed meanwhile goes back to the machine after each batch."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(lengths)
@@ -75,3 +75,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             end = max(start + 1, int(np.searchsorted(total, before + most, "right")))
             yield batch.slice(start, end - start)
             start = end
+        pa.default_memory_pool().release_unused()

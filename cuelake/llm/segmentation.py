@@ -18,7 +18,7 @@ from cuelake.llm.tokens import WordCache, tokenizer_path
 
 SPACE = "▁"
 #: Bytes of text that are searched together, ids that are decoded together, and bytes of lattices that a Python worker keeps.
-AT_ONCE, DECODED_AT_ONCE, KEPT_BYTES = 1 << 19, 1 << 17, 48 << 20
+AT_ONCE, DECODED_AT_ONCE, KEPT_BYTES = 3 << 17, 1 << 17, 48 << 20
 #: The scores of a BPE model are ranks; a piece's log weight is its score times this.
 ALPHA = 5e-4
 #: Scores below this mark pieces that only stand in the vocabulary (runs of spaces).
