@@ -124,10 +124,10 @@ def lattices_of(path: str | None, alpha: float) -> Lattices:
     return Lattices(pieces(path, alpha))
 
 
-def units_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct units of the texts, the unit at each place, and each text's number of units.
+def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct units of the texts without the space before them, the unit at each place, and each text's number of units.
 
-    A unit begins at each space, which no piece crosses, and is written with the mark of a space before it; an empty text has none.
+    A unit begins at each space, which no piece crosses; an empty text has none.
     """
     split = pc.split_pattern(texts, " ")
     offsets = np.asarray(split.offsets).astype(np.int64)
@@ -135,7 +135,7 @@ def units_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     full = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
     counts = np.diff(offsets)
     at = found.indices.to_numpy()[np.repeat(full, counts)]
-    return [f"{SPACE}{w}" for w in found.dictionary.to_pylist()], at, np.where(full, counts, 0)
+    return found.dictionary, at, np.where(full, counts, 0)
 
 
 class Lattices:
@@ -150,17 +150,28 @@ class Lattices:
 
     def __init__(self, vocabulary: Pieces, most_bytes: int = KEPT_BYTES):
         self.vocabulary, self.known = vocabulary, WordCache(most_bytes)
+        self.last: tuple[pa.Array, np.ndarray] | None = None  # the units of the batch before, and their places
         self.nodes = self.edges = 0
         self.start, self.first = np.zeros(1 << 10, np.int64), np.zeros(1 << 14, np.int64)
         self.node, self.to, self.piece = (np.zeros(1 << 15, np.int32) for _ in range(3))
         self.lp, self.share = np.zeros(1 << 15), np.zeros(1 << 15)
 
-    def starts(self, units: list[str]) -> np.ndarray:
-        """The first node of each unit."""
+    def starts(self, units: pa.Array) -> np.ndarray:
+        """The first node of each of the distinct units of a batch. Many stood in the batch before, so these are looked up in Arrow, all at once."""
         if self.known.held > self.known.most_bytes:
             self.known.clear()
             self.nodes = self.edges = 0
-        at = self.known.places(units, self.learn)
+            self.last = None
+        spelt = lambda some: [f"{SPACE}{w}" for w in some.to_pylist()]
+        if self.last is None:
+            at = self.known.places(spelt(units), self.learn)
+        else:
+            found = pc.index_in(units, self.last[0])
+            hit = found.is_valid()
+            mask, at = hit.to_numpy(zero_copy_only=False), np.empty(len(units), np.int64)
+            at[mask] = self.last[1][found.drop_null().to_numpy()]
+            at[~mask] = self.known.places(spelt(units.filter(pc.invert(hit))), self.learn)
+        self.last = units, at
         return self.start[at]
 
     def put(self, name: str, at: int, values: np.ndarray) -> None:
