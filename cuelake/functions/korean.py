@@ -66,6 +66,7 @@ def annotations(c: Column) -> Column:
 
 def replaced_whole(c: Column, wrong: Column, right: Column) -> Column:
     """c with wrong replaced where neither a word character stands before it nor after it."""
-    quoted = F.concat(F.lit(r"(?U)(?<![\w가-힣])\Q"), wrong, F.lit(r"\E(?![\w가-힣])"))
+    # The literal comes first, so what stands before it is looked at where it was found only.
+    quoted = F.concat(F.lit(r"(?U)\Q"), wrong, F.lit(r"\E(?<![\w가-힣]\Q"), wrong, F.lit(r"\E)(?![\w가-힣])"))
     literal = F.replace(F.replace(right, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-    return F.regexp_replace(c, quoted, literal)
+    return F.when(F.contains(c, wrong), F.regexp_replace(c, quoted, literal)).otherwise(c)

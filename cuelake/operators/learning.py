@@ -14,6 +14,8 @@ from cuelake.operators.progress import numbered
 from cuelake.sources import storage
 
 LONGEST_PHRASE = 30
+#: So many words at the start of a phrase lead to the texts that hold it.
+HEAD = 3
 
 
 def extracted_pairs(cues: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def mined_tokens(cues: DataFrame, token: str = "[가-힣]{2,}", stop: tuple[str,
 def pre_passed(cues: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
     """id, text: the recognised text after all pairs seen `least` times that it holds, most frequent first (then by name).
 
-    Pairs meet cues through the pair's first word, so a vocabulary of any size is an equi-join.
+    Pairs meet cues through the pair's first words, so a vocabulary of any size is an equi-join.
     """
     strong = pairs.filter(F.col("count") >= least)
     return _applied(cues.select("id", "job_id", "idx", F.col("text_stt").alias("text")), strong.withColumn("_rank", F.struct(-F.col("count"), "wrong", "right")))
@@ -57,40 +59,52 @@ def _first_word(c: Column) -> Column:
     return F.get(F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != ""), F.lit(0))
 
 
-def _words(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != ""))
+def _keys(c: Column) -> Column:
+    """Hashes of the runs of one to HEAD words in a text: where a phrase stands whole, the hash of its first HEAD words is one of them. Words that are missing at the end don't count in a hash."""
+    words = F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != "")
+    return T.let(words, lambda ws: F.flatten(F.transform(ws, lambda _, i: F.array(*(F.xxhash64(*(F.get(ws, i + k) for k in range(n))) for n in range(1, HEAD + 1))))))
+
+
+def _head(c: Column) -> Column:
+    """The hash of the first HEAD words of a phrase, null without words."""
+    words = F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != "")
+    return T.let(words, lambda ws: F.when(F.size(ws) > 0, F.xxhash64(*(F.get(ws, F.lit(k)) for k in range(HEAD)))))
 
 
 def _run(text: Column, pairs: Column) -> Column:
-    """text after the pairs in order, and the pairs that changed it: a struct (text, used)."""
+    """text after the pairs in order, and all that it was on the way: a struct (text, trace)."""
     def step(acc: Column, p: Column) -> Column:
-        return T.let(korean.replaced_whole(acc["text"], p["wrong"], p["right"]), lambda new: F.struct(new.alias("text"), F.when(new == acc["text"], acc["used"]).otherwise(F.concat(acc["used"], F.array(p["right"]))).alias("used")))
+        return T.let(korean.replaced_whole(acc["text"], p["wrong"], p["right"]), lambda new: F.struct(new.alias("text"), F.when(new == acc["text"], acc["trace"]).otherwise(F.concat(acc["trace"], F.array(new))).alias("trace")))
 
-    return F.aggregate(pairs, F.struct(text.alias("text"), F.array().cast("array<string>").alias("used")), step)
+    return F.aggregate(pairs, F.struct(text.alias("text"), F.array().cast("array<string>").alias("trace")), step)
 
 
-def _applied(cues: DataFrame, ranked: DataFrame, allowed: Column | None = None) -> DataFrame:
+def _applied(cues: DataFrame, ranked: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """id, before, text: cues (id, job_id, idx, text) after all pairs (_rank, wrong, right), one after another by rank.
 
-    A pair meets a text through its first word. A replacement can bring in the first words of others only by its own words, so
-    after a round only the cues that changed and got words that they have not been looked up by go on, with these words; what
-    they meet joins their pairs, and all run again from the start. Each round costs what the last one has changed, however
-    large the vocabulary; there are as many as the longest chain of replacements that a text goes through.
+    own: pairs (_rank, wrong, right, job_id, _after) of single jobs, for their cues behind the place _after.
+
+    A pair meets a text through its first words, all HEAD of them where it has as many, so by an equi-join whose rows are close
+    to the replacements to be made; own pairs meet by job as well. A replacement makes new runs of words. So after a round the
+    cues that it has changed are looked up anew by the runs that they had on the way and not at first; those that meet further
+    pairs run again from the start, with all of theirs. There are as many rounds as the longest chain of replacements that a
+    text goes through, and each costs what the last one has changed.
     """
-    keyed = storage.written(ranked.withColumn("_word", _first_word(F.col("wrong"))), "pairs")
-    kind = f"array<struct<_rank:{keyed.schema['_rank'].dataType.simpleString()},wrong:string,right:string>>"
-    start = cues.select("id", "job_id", "idx", F.col("text").alias("before"), "text", F.array().cast(kind).alias("_pairs"), _words(F.col("text")).alias("_had"), _words(F.col("text")).alias("_new"))
+    keyed = [(storage.written(rows.withColumn("_key", _head(F.col("wrong"))).filter("_key IS NOT NULL"), "pairs"), by) for rows, by in ((ranked, []), (own, ["job_id"])) if rows is not None]
+    pair = F.struct("_rank", "wrong", "right")
+    kind = f"array<struct<_rank:{ranked.schema['_rank'].dataType.simpleString()},wrong:string,right:string>>"
+    start = cues.select("id", "job_id", "idx", F.col("text").alias("before"), "text", F.array().cast(kind).alias("_pairs"), F.lit(True).alias("_on"), F.array_distinct(_keys(F.col("text"))).alias("_new"))
     active, done = storage.written(start, "cues"), []
     while True:
-        met = active.select("id", "job_id", "idx", F.explode("_new").alias("_word")).join(keyed, "_word")
-        met = (met if allowed is None else met.filter(allowed)).groupBy("id").agg(F.collect_set(F.struct("_rank", "wrong", "right")).alias("_met"))
-        grown = active.join(met, "id", "left").withColumn("_pairs", F.when(F.col("_met").isNull(), F.col("_pairs")).otherwise(F.array_sort(F.array_union("_pairs", F.col("_met").cast(kind)))))
-        ran = grown.withColumn("_ran", F.when(F.col("_met").isNotNull(), _run(F.col("before"), F.col("_pairs"))))
-        brought = F.array_except(F.coalesce(F.flatten(F.transform("_ran.used", _words)), F.array().cast("array<string>")), "_had")
-        after = ran.withColumn("_new", brought).select("id", "job_id", "idx", "before", F.coalesce("_ran.text", "text").alias("text"), "_pairs", F.array_union("_had", "_new").alias("_had"), "_new")
-        after = storage.written(after, "cues")
-        done.append(after.filter(F.coalesce(F.size("_new") == 0, F.lit(True))).select("id", "before", "text"))
-        active = after.filter("size(_new) > 0")
+        asked = active.select("id", "job_id", "idx", F.explode("_new").alias("_key"))
+        found = [asked.join(pairs, ["_key", *by]).filter("idx > _after" if by else "true").select("id", pair.alias("_p")) for pairs, by in keyed]
+        met = reduce(DataFrame.union, found).groupBy("id").agg(F.collect_set("_p").cast(kind).alias("_met"))
+        grown = active.join(met, "id", "left").withColumn("_on", F.coalesce(F.size(F.array_except("_met", "_pairs")) > 0, F.lit(False)))
+        ran = grown.withColumn("_pairs", F.when(F.col("_on"), F.array_sort(F.array_union("_pairs", "_met")))).withColumn("_ran", F.when(F.col("_on"), _run(F.col("before"), F.col("_pairs"))))
+        brought = F.array_except(F.flatten(F.transform("_ran.trace", _keys)), _keys(F.col("before")))
+        after = storage.written(ran.select("id", "job_id", "idx", "before", F.coalesce("_ran.text", "text").alias("text"), "_pairs", "_on", F.when(F.col("_on"), brought).alias("_new")), "cues")
+        done.append(after.filter("NOT _on OR size(_new) = 0").select("id", "before", "text"))
+        active = after.filter("_on AND size(_new) > 0")
         if active.isEmpty():
             return reduce(DataFrame.union, done)
 
@@ -98,11 +112,10 @@ def _applied(cues: DataFrame, ranked: DataFrame, allowed: Column | None = None)
 def propagated(cues: DataFrame, global_pairs: DataFrame, job_pairs: DataFrame, least: int = 2) -> DataFrame:
     """id, before, text of cues that aren't reviewed: global pairs seen `least` times go everywhere, a job's own pairs to its cues after the first one they were seen in; longest first."""
     rank = F.struct(-F.length("wrong"), "wrong", "right")
-    everywhere = global_pairs.filter(F.col("count") >= least).select("wrong", "right", F.lit(None).cast("long").alias("_job"), F.lit(None).cast("long").alias("_after"))
-    here = job_pairs.select("wrong", "right", F.col("job_id").alias("_job"), F.col("first_idx").alias("_after"))
-    ranked = everywhere.unionByName(here).withColumn("_rank", rank)
+    everywhere = global_pairs.filter(F.col("count") >= least).select("wrong", "right", rank.alias("_rank"))
+    here = job_pairs.select("wrong", "right", "job_id", F.col("first_idx").alias("_after"), rank.alias("_rank"))
     targets = cues.filter("NOT reviewed").select("id", "job_id", "idx", T.first_filled(*(c for c in ("text_final", "text_llm", "text_stt") if c in cues.columns)).alias("text")).filter("text <> ''")
-    return _applied(targets, ranked, F.col("_job").isNull() | ((F.col("_job") == F.col("job_id")) & (F.col("idx") > F.col("_after"))))
+    return _applied(targets, everywhere, here)
 
 
 def repaired(cues: DataFrame, unsafe: DataFrame) -> DataFrame:
