@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from cuelake.functions import alignment
 from cuelake.operators import learning
 from cuelake.sources import storage
 
@@ -46,3 +48,34 @@ def test_pre_pass_equals_all_pairs_in_order(spark):
     cues = spark.createDataFrame([(i, 1, i, t) for i, t in enumerate(texts)], "id long, job_id long, idx long, text_stt string")
     got = {x.id: x.text for x in learning.pre_passed(cues, spark.createDataFrame(pairs, "wrong string, right string, count long")).collect()}
     assert got == {i: plain_pre_pass(t, pairs) for i, t in enumerate(texts)}
+
+
+def test_blocks_are_those_of_difflib():
+    r = random.Random(3)
+    for n in (*range(12), 40, 90, 300):
+        for kinds in ("ab", "abcdefgh ", "가나다라마바사아자차카타"):
+            a = "".join(r.choice(kinds) for _ in range(n))
+            for b in ("".join(r.choice(kinds) for _ in range(r.randint(0, n + 5))), a.replace("ab", "a"), a[n // 3 :] + a[: n // 2]):
+                want = [0] * len(a)
+                for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
+                    want[m.a : m.a + m.size] = range(m.b + 1, m.b + m.size + 1)
+                got = [0] * len(a)
+                for i, j, size in alignment.matching_blocks(a, b):
+                    got[i : i + size] = range(j + 1, j + size + 1)
+                assert got == want
+
+
+def test_stretches_are_compared_only_if_alike_in_order(monkeypatch):
+    r = random.Random(4)
+    compared = []
+    monkeypatch.setattr(alignment, "SequenceMatcher", lambda *args: compared.append(args) or SequenceMatcher(*args))
+    text = lambda n: "".join(r.choice("etaoinshr") for _ in range(n))
+    for _ in range(40):
+        short, long = text(r.randint(2, 30)), text(60)
+        at = r.randint(0, 20)
+        long = long if r.random() < 0.5 else long[:at] + short[:-1] + "x" + long[at:]
+        n = len(short)
+        want = any(100 * SequenceMatcher(None, short, long[i : i + n]).ratio() >= 85 for i in range(len(long) - n + 1))
+        assert alignment.holds_something_alike(short, long, 85) == want
+    compared.clear()
+    assert not alignment.holds_something_alike(text(300), text(400), 85) and not compared
