@@ -21,7 +21,7 @@ COUNTED = """(SELECT wrong, "right", sum(fresh)::BIGINT AS "count", arg_max(job,
 
 def words(spark, sf_dir):
     split = X.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("w"))
-    return split.select("doc_id", "lang", "source", "w", F.posexplode("w").alias("i", "word"))
+    return split.select("doc_id", "lang", "source", F.posexplode("w").alias("i", "word"))
 
 
 def log(spark, sf_dir):
@@ -131,8 +131,11 @@ def l21_special_readings(spark, sf_dir):
 
 @query("l16_lexicon", 'SELECT gloss, reading, hanja, "count", source_job, ambiguous, CASE WHEN NOT ambiguous AND "count" >= 2 THEN \'special\' ELSE \'common\' END AS tier FROM (SELECT *, count(*) OVER (PARTITION BY gloss, reading) > 1 AS ambiguous FROM (SELECT gloss, reading, hanja, sum(fresh)::BIGINT AS "count", arg_max(job, seq) AS source_job FROM (SELECT *, CASE WHEN lag(job) OVER w IS NULL OR lag(job) OVER w <> job THEN 1 ELSE 0 END AS fresh FROM (SELECT lang AS gloss, w[i] AS reading, w[i + 1] AS hanja, source AS job, doc_id * 1000000 + i AS seq FROM ' + WORDS + ' WHERE i < len(w)) WINDOW w AS (PARTITION BY gloss, reading, hanja ORDER BY seq)) GROUP BY ALL))')
 def l16_lexicon(spark, sf_dir):
-    following = F.get("w", F.col("i") + 1)
-    rows = words(spark, sf_dir).filter(F.col("i") + 1 < F.size("w")).select(F.col("lang").alias("gloss"), F.col("word").alias("reading"), following.alias("hanja"), F.col("source").alias("job"), (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("seq"))
+    split = X.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("w"))
+    # Each word carries the next one, not the whole text.
+    two = F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.size("w")).alias("next"))
+    each = split.select("doc_id", "lang", "source", F.posexplode(two).alias("i", "p")).filter("p.next IS NOT NULL")
+    rows = each.select(F.col("lang").alias("gloss"), F.col("p.word").alias("reading"), F.col("p.next").alias("hanja"), F.col("source").alias("job"), (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("seq"))
     return learning.absorbed_annotations(rows)
 
 

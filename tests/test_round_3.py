@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import alignment
 from cuelake.operators import learning
+from cuelake.plans import registry
 from cuelake.sources import storage
 
 
@@ -79,3 +80,12 @@ def test_stretches_are_compared_only_if_alike_in_order(monkeypatch):
         assert alignment.holds_something_alike(short, long, 85) == want
     compared.clear()
     assert not alignment.holds_something_alike(text(300), text(400), 85) and not compared
+
+
+def test_a_word_carries_the_next_one_only(spark, tmp_path):
+    spark.createDataFrame([(1, "a b a b c", "en", "web", 9)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    lexicon = registry.queries()["l16_lexicon"](spark, str(tmp_path))
+    plan = lexicon._jdf.queryExecution().optimizedPlan().toString()
+    made = next(line for line in plan.split("\n") if "Generate posexplode" in line)
+    assert made.count("w#") == made.split("posexplode(")[1].split("), [")[0].count("w#")  # the array itself isn't repeated
+    assert sorted((x.reading, x.hanja, x["count"]) for x in lexicon.collect()) == [("a", "b", 1), ("b", "a", 1), ("b", "c", 1)]
