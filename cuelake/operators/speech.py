@@ -227,6 +227,11 @@ def _placed(tokens: DataFrame, order: list[str], word: str = "word") -> DataFram
     return plain.withColumn("at", F.row_number().over(Window.partitionBy("job_id").orderBy(*order)) - 1)
 
 
+def _with_chars(line: DataFrame) -> DataFrame:
+    """line with _c, the characters of the job before each word."""
+    return line.withColumn("_c", F.sum(F.length("w")).over(Window.partitionBy("job_id").orderBy("at")) - F.length("w"))
+
+
 def _grams(line: DataFrame, as_name: str) -> DataFrame:
     """Words, and runs of three, that occur once in their job: job_id, gram, and the place as as_name."""
     w = Window.partitionBy("job_id").orderBy("at")
@@ -280,17 +285,19 @@ def word_places(script: DataFrame, heard: DataFrame, astray: int = 20) -> DataFr
        off the median of their neighbours go; of the rest, a longest chain in which both places grow stays.
     2. From each anchor on, and back from the next one, words that are the same as what was heard at their distance are anchors
        too, up to the first that differs; where both meet, the earlier anchor's words count.
-    3. What is left lies between two anchors, by interpolation, or as far from the only one.
+    3. What is left lies between two anchors, by interpolation over characters, or as many of them from the only one: words
+       that were written apart and heard as one, or the other way round, so find their place.
     """
     met = _grams(script, "s").join(_grams(heard, "h"), ["job_id", "gram"]).groupBy("job_id", "s").agg(F.min("h").alias("h"))
     w = Window.partitionBy("job_id").orderBy("s")
     off = F.col("h") - F.col("s")
     near = met.withColumn("_m", F.percentile_approx(off, 0.5).over(w.rowsBetween(-4, 4))).filter(F.abs(off - F.col("_m")) <= astray)
     anchors = increasing(near).select("job_id", F.col("s").alias("at"), F.struct("s", "h").alias("anchor"))
-    line = _beside(script.join(anchors, ["job_id", "at"], "left"), "anchor").drop("anchor")
+    script_chars, heard_chars = _with_chars(script), _with_chars(heard)
+    line = _beside(script_chars.join(anchors, ["job_id", "at"], "left"), "anchor").drop("anchor")
     line = line.withColumn("_l", F.col("a.h") + F.col("at") - F.col("a.s")).withColumn("_r", F.col("b.h") + F.col("at") - F.col("b.s"))
     for side in ("_l", "_r"):
-        line = line.join(heard.select("job_id", F.col("at").alias(side), F.col("w").alias(f"{side}w")), ["job_id", side], "left")
+        line = line.join(heard_chars.select("job_id", F.col("at").alias(side), F.col("w").alias(f"{side}w"), F.col("_c").alias(f"{side}c")), ["job_id", side], "left")
     line = line.withColumn("_lok", F.coalesce((F.col("w") == F.col("_lw")) & F.coalesce(F.col("_l") < F.col("b.h"), F.lit(True)) | (F.col("at") == F.col("b.s")), F.lit(False)))
     line = line.withColumn("_rok", F.coalesce((F.col("w") == F.col("_rw")) & F.coalesce(F.col("_r") > F.col("a.h"), F.lit(True)) | (F.col("at") == F.col("a.s")), F.lit(False)))
     gap = Window.partitionBy("job_id", F.col("a.s"))
@@ -301,12 +308,26 @@ def word_places(script: DataFrame, heard: DataFrame, astray: int = 20) -> DataFr
     apart = F.col("a").isNull() | ((F.col("at") > F.col("_upto")) & (F.col("_r") > F.col("a.h") + F.col("_upto") - F.col("a.s")))
     # Two expressions, as a struct from one of the sides alone keeps its own fields.
     place = F.when(F.col("_lrun"), F.col("_l")).when(F.col("_rrun") & apart, F.col("_r"))
-    line = line.withColumn("_more", F.when(place.isNotNull(), F.struct(F.col("at").alias("s"), place.alias("h"))))
-    line = _beside(line.select(*script.columns, "_more"), "_more").drop("_more")
-    between = F.col("a.h") + F.round((F.col("at") - F.col("a.s")) * (F.col("b.h") - F.col("a.h")) / F.greatest(F.col("b.s") - F.col("a.s"), F.lit(1))).cast("int")
-    found = F.coalesce(between, F.col("a.h") + F.col("at") - F.col("a.s"), F.col("b.h") + F.col("at") - F.col("b.s"))
+    # Equal words, so as many characters on either side.
+    behind = F.when(F.col("_lrun"), F.col("_lc")).when(F.col("_rrun") & apart, F.col("_rc"))
+    line = line.withColumn("_more", F.when(place.isNotNull(), F.struct(F.col("at").alias("s"), place.alias("h"), F.col("_c").alias("sc"), behind.alias("hc"), F.length("w").alias("n"))))
+    line = _beside(line.select(*script.columns, "_c", "_more"), "_more").drop("_more")
+    a_end, from_ = F.col("a.hc") + F.col("a.n"), F.col("_c") - F.col("a.sc") - F.col("a.n")
+    shown, spoken = F.col("b.sc") - F.col("a.sc") - F.col("a.n"), F.col("b.hc") - F.col("a.hc") - F.col("a.n")
+    target = F.coalesce(a_end + F.floor(from_ * spoken / F.greatest(shown, F.lit(1))), a_end + from_, F.col("b.hc") - (F.col("b.sc") - F.col("_c")))
+    # An anchor keeps its place, and where nothing was heard between two of them, words go to the nearer one.
+    nearer = F.col("a.h") + F.round((F.col("at") - F.col("a.s")) * (F.col("b.h") - F.col("a.h")) / F.greatest(F.col("b.s") - F.col("a.s"), F.lit(1))).cast("int")
+    line = line.withColumn("h", F.when(F.col("b.h") - F.col("a.h") <= 1, nearer)).withColumn("_target", F.when(F.col("h").isNull(), F.greatest(target, F.lit(0))))
+    known = line.filter("h IS NOT NULL").select(*script.columns, "h")
+    # Both texts in one line by characters: a word's place is that of the last word heard that begins at or before its own place.
+    asked = line.filter("h IS NULL AND _target IS NOT NULL").select("job_id", F.col("_target").alias("_c"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_h"), F.struct(*(c for c in script.columns if c != "job_id")).alias("_row"))
+    said = heard_chars.join(asked.select("job_id").distinct(), "job_id", "left_semi").select("job_id", "_c", F.lit(0).alias("_kind"), F.col("at").cast("int").alias("_h"))
+    both = said.unionByName(asked, allowMissingColumns=True)
+    last = F.last("_h", True).over(Window.partitionBy("job_id").orderBy("_c", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("h", last).filter("_kind = 1").select("job_id", "_row.*", "h").select(*script.columns, "h")
+    line = known.unionByName(found)
     sizes = heard.groupBy("job_id").agg(F.count("*").alias("_n"))
-    placed = line.withColumn("h", found).filter("h IS NOT NULL").join(sizes, "job_id")
+    placed = line.filter("h IS NOT NULL").join(sizes, "job_id")
     return placed.withColumn("h", F.greatest(F.lit(0), F.least("h", F.col("_n") - 1)).cast("int")).select(*script.columns, "h")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from difflib import SequenceMatcher
 
+import duckdb
 from pyspark.sql import functions as F
 
 from cuelake.functions import alignment
@@ -89,3 +90,14 @@ def test_a_word_carries_the_next_one_only(spark, tmp_path):
     made = next(line for line in plan.split("\n") if "Generate posexplode" in line)
     assert made.count("w#") == made.split("posexplode(")[1].split("), [")[0].count("w#")  # the array itself isn't repeated
     assert sorted((x.reading, x.hanja, x["count"]) for x in lexicon.collect()) == [("a", "b", 1), ("b", "a", 1), ("b", "c", 1)]
+
+
+def test_words_heard_as_one_belong_to_their_sentence(spark, tmp_path):
+    r = random.Random(6)
+    text = lambda: "".join(r.choice(["de", "la", f"w{r.randrange(300)}", f"x{r.randrange(300)}"]) + r.choice([*" " * 14, ".\n"]) for _ in range(r.randint(3, 25))) + r.choice(["a.\nb.\nc.", "end"])
+    spark.createDataFrame([(j, t, "user", text()) for j in range(60) for t in range(5)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = registry.queries()["x19_x20_aligned_sentences"](spark, str(tmp_path)).toPandas()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = {(a, b): (x, y) for a, b, x, y in db.sql(f"SELECT job_id, no, start_ms, end_ms FROM ({registry.oracle_sql()['x19_x20_aligned_sentences']})").fetchall()}
+    assert {(x.job_id, x.no): (x.start_ms, x.end_ms) for x in got.itertuples()} == want
