@@ -163,14 +163,19 @@ def suspects(work: Column, second: Column, low: Column, most: int = 6) -> Column
 
 def join_without_overlap(a: Column, b: Column) -> Column:
     """a and b joined once: the longest run of tokens, else 2 to 30 characters, that ends a and begins b stands once; else a blank between."""
-    left, right = stripped(a), stripped(b)
-    at, bt = tokens(left), tokens(right)
-    least = F.least(F.size(at), F.size(bt))
-    shared = F.array_max(F.filter(F.sequence(F.lit(0), least), lambda k: F.slice(at, F.size(at) - k + 1, k) == F.slice(bt, F.lit(1), k)))
-    chars = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(left), F.length(right), F.lit(30))), lambda k: (k != 1) & ((k == 0) | (F.right(left, k) == F.left(right, k)))))
-    by_token = F.array_join(F.concat(at, F.slice(bt, shared + 1, F.size(bt))), " ")
-    by_char = F.concat(left, right.substr(chars + 1, F.length(right)))
-    return F.when(left == "", right).when(right == "", left).when(shared > 0, by_token).when(chars > 0, by_char).otherwise(F.concat_ws(" ", left, right))
+    def joined(t: Column) -> Column:
+        left, right, at, bt = t["l"], t["r"], t["lt"], t["rt"]
+        least = F.least(F.size(at), F.size(bt))
+        # A run that ends a begins with the first token of b.
+        same = lambda k: (k == 0) | ((F.get(at, F.size(at) - k) == F.get(bt, F.lit(0))) & (F.slice(at, F.size(at) - k + 1, k) == F.slice(bt, F.lit(1), k)))
+        shared = F.array_max(F.filter(F.sequence(F.lit(0), least), same))
+        chars = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(left), F.length(right), F.lit(30))), lambda k: (k != 1) & ((k == 0) | (F.right(left, k) == F.left(right, k)))))
+        by_token = lambda n: F.array_join(F.concat(at, F.slice(bt, n + 1, F.size(bt))), " ")
+        by_char = F.concat(left, right.substr(chars + 1, F.length(right)))
+        return F.when(left == "", right).when(right == "", left).otherwise(let(shared, lambda n: F.when(n > 0, by_token(n)).when(chars > 0, by_char).otherwise(F.concat_ws(" ", left, right))))
+
+    ends = F.struct(stripped(a).alias("l"), stripped(b).alias("r"))
+    return let(ends, lambda e: let(F.struct(e["l"].alias("l"), e["r"].alias("r"), tokens(e["l"]).alias("lt"), tokens(e["r"]).alias("rt")), joined))
 
 
 def wrapped(c: Column, width: int, most: int = 2) -> Column:

@@ -9,6 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from cuelake.functions import alignment
+from cuelake.functions import text as T
 from cuelake.operators import learning
 from cuelake.plans import registry
 from cuelake.sources import storage
@@ -101,3 +102,11 @@ def test_words_heard_as_one_belong_to_their_sentence(spark, tmp_path):
     db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     want = {(a, b): (x, y) for a, b, x, y in db.sql(f"SELECT job_id, no, start_ms, end_ms FROM ({registry.oracle_sql()['x19_x20_aligned_sentences']})").fetchall()}
     assert {(x.job_id, x.no): (x.start_ms, x.end_ms) for x in got.itertuples()} == want
+
+
+def test_tokens_are_made_once_a_text(spark):
+    joined = T.join_without_overlap(F.col("a"), F.col("b"))
+    texts = [("a b c", "b c d", "a b c d"), ("", "x", "x"), ("ab", "bc", "ab bc"), ("xyab", "abz", "xyabz"), ("x x", "x x x", "x x x"), (" a ", "", "a")]
+    rows = spark.createDataFrame(texts, "a string, b string, want string").select(joined.alias("got"), "want")
+    assert all(r.got == r.want for r in rows.collect())
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
