@@ -83,11 +83,14 @@ def cut_places(words: list[dict], soft: int, hard: int) -> list[int]:
 def split_segments(segments: DataFrame, soft: int = 20, hard: int = 36) -> DataFrame:
     """segments (job_id, seg_id, words: array of WORD) cut into cue-sized pieces: job_id, seg_id, piece, start_ms, end_ms, text, n_words."""
 
-    def run(words: pd.Series) -> pd.Series:
-        return pd.Series([cut_places(list(w), soft, hard) if w is not None and len(w) else [] for w in words])
+    # Three plain arrays: a batch of structs would hold an object for each of its words.
+    def run(starts: pd.Series, ends: pd.Series, texts: pd.Series) -> pd.Series:
+        places = lambda *row: cut_places([{"start_ms": a, "end_ms": b, "word": w} for a, b, w in zip(*row)], soft, hard)
+        return pd.Series([places(a, b, w) if w is not None and len(w) else [] for a, b, w in zip(starts, ends, texts)])
 
     cut = F.pandas_udf(run, "array<int>")
-    pieces = segments.withColumn("_cuts", cut("words")).select("job_id", "seg_id", "words", "_cuts", F.posexplode("_cuts").alias("piece", "_to"))
+    of = lambda name: F.transform("words", lambda w: w[name])
+    pieces = segments.withColumn("_cuts", cut(of("start_ms"), of("end_ms"), of("word"))).select("job_id", "seg_id", "words", "_cuts", F.posexplode("_cuts").alias("piece", "_to"))
     own = F.expr("slice(words, if(piece = 0, 0, _cuts[piece - 1] + 1) + 1, _to - if(piece = 0, -1, _cuts[piece - 1]))")
     text = F.trim(F.array_join(F.transform("_own", lambda w: w["word"]), ""))
     return pieces.withColumn("_own", own).select("job_id", "seg_id", "piece", F.get("_own", F.lit(0))["start_ms"].alias("start_ms"), F.element_at("_own", -1)["end_ms"].alias("end_ms"), text.alias("text"), F.size("_own").alias("n_words")).filter("text <> ''")

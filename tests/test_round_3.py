@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import alignment
 from cuelake.functions import text as T
-from cuelake.operators import learning
+from cuelake.operators import learning, speech
 from cuelake.plans import registry
 from cuelake.sources import storage
 
@@ -104,6 +104,14 @@ def test_words_heard_as_one_belong_to_their_sentence(spark, tmp_path):
     assert {(x.job_id, x.no): (x.start_ms, x.end_ms) for x in got.itertuples()} == want
 
 
+def test_segments_are_cut_from_plain_arrays(spark):
+    words = [(i * 300, i * 300 + 250, f" word{i}.") for i in range(30)]
+    segments = spark.createDataFrame([(1, 1, words)], "job_id long, seg_id long, words array<struct<start_ms:bigint,end_ms:bigint,word:string>>")
+    pieces = speech.split_segments(segments)
+    assert "run(words#" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.n_words for x in pieces.collect()) == 30
+
+
 def test_tokens_are_made_once_a_text(spark):
     joined = T.join_without_overlap(F.col("a"), F.col("b"))
     texts = [("a b c", "b c d", "a b c d"), ("", "x", "x"), ("ab", "bc", "ab bc"), ("xyab", "abz", "xyabz"), ("x x", "x x x", "x x x"), (" a ", "", "a")]
