@@ -93,20 +93,21 @@ def majority(rows: DataFrame, by: str, value: str) -> DataFrame:
     return counts.groupBy(by).agg(F.min_by(value, F.struct(-F.col("votes"), F.col(value))).alias(value), F.max("votes").alias("votes"))
 
 
-def stragglers_moved(words: DataFrame, cues: DataFrame, within_ms: int = 3000) -> DataFrame:
+def stragglers_moved(words: DataFrame, cues: DataFrame, within_ms: int = 3000, outside: str = T.NON_WORD) -> DataFrame:
     """Words (job_id, sentence, no, start_ms, end_ms, word, cue_id) with the words of a sentence that fell to another cue than most of it moved there.
 
     Of cues with as many words, the one met first counts. A word whose midpoint is more than within_ms from that cue stays where
-    it is, and so does one in the sentence's second half that its own cue's work text holds: it was really heard there.
+    it is, and so does one in the sentence's second half that its own cue's work text holds: it was really heard there. Both are
+    compared without the characters that `outside`, a pattern, names.
     """
     votes = words.groupBy("job_id", "sentence", "cue_id").agg(F.count("*").alias("_n"), F.min("no").alias("_first"))
     major = votes.groupBy("job_id", "sentence").agg(F.max_by("cue_id", F.struct("_n", -F.col("_first"))).alias("_major"), F.sum("_n").alias("_words"))
     spans = cues.select(F.col("id").alias("_major"), F.col("start_ms").alias("_from"), F.col("end_ms").alias("_until"))
-    heard = cues.select(F.col("id").alias("cue_id"), T.words_only(T.work_text()).alias("_heard"))
+    heard = cues.select(F.col("id").alias("cue_id"), F.regexp_replace(T.work_text(), outside, "").alias("_heard"))
     place = F.row_number().over(Window.partitionBy("job_id", "sentence").orderBy("no")) - 1
     twice = F.col("start_ms") + F.col("end_ms")
     near = F.greatest(2 * F.col("_from") - twice, twice - 2 * F.col("_until")) <= 2 * within_ms
-    tail = (place * 2 >= F.col("_words")) & F.contains(F.coalesce("_heard", F.lit("")), T.words_only(F.col("word")))
+    tail = (place * 2 >= F.col("_words")) & F.contains(F.coalesce("_heard", F.lit("")), F.regexp_replace("word", outside, ""))
     rows = words.join(major, ["job_id", "sentence"]).join(spans, "_major", "left").join(heard, "cue_id", "left").withColumn("_stays", tail)
     return rows.withColumn("cue_id", F.when((F.col("cue_id") != F.col("_major")) & near & ~F.col("_stays"), F.col("_major")).otherwise(F.col("cue_id"))).select(words.columns)
 
