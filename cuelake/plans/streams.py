@@ -34,7 +34,10 @@ LANES_SQL = X.sql(LANES, X.REQUESTS_SQL, "status IN ('pending', 'processing')")
 
 
 def request_files(spark, sf_dir, parts: int = 6) -> tuple[str, int]:
-    """Requests as a folder of files: each part of the time in files of its own, but for every third request, which comes a part late. And the seconds of a part."""
+    """Requests as a folder of files: each part of the time in files of its own, but for every third request, which comes a part late. And the seconds of a part.
+
+    A part may have many files, read one after another: a late request can come after one that is all but two parts younger.
+    """
     rows, folder = X.shaped(X.requests(spark, sf_dir), LANES), fresh_folder(spark, "requests")
     low, high = rows.agg(F.min("created_at"), F.max("created_at")).first()
     if low is None:
@@ -42,10 +45,13 @@ def request_files(spark, sf_dir, parts: int = 6) -> tuple[str, int]:
         return folder, 1
     seconds = int((high - low).total_seconds()) // parts + 1
     at = F.floor((F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp"))) / (seconds * 1_000_000)) + F.when(F.col("request_id") % 3 == 0, 1).otherwise(0)
-    for part in range(parts + 2):
-        rows.filter(at == part).write.parquet(f"{folder}/{part}")
+    dealt = fresh_folder(spark, "parts")
+    rows.withColumn("part", at).write.partitionBy("part").parquet(dealt)
+    dealt = spark.read.schema(rows.withColumn("part", at).schema).parquet(dealt)
+    for part in range(parts + 1):
+        dealt.filter(F.col("part") == part).drop("part").write.parquet(f"{folder}/{part}")
     tick = spark.createDataFrame([(-1, high + timedelta(seconds=3 * seconds))], "lane long, created_at timestamp")
-    tick.select("lane", F.lit(None).cast("long").alias("request_id"), F.lit(None).cast("string").alias("status"), F.col("created_at").cast(rows.schema["created_at"].dataType).alias("created_at"), F.lit(0).cast("long").alias("run_us"), F.lit(0).alias("code")).write.parquet(f"{folder}/{parts + 2}")
+    tick.select("lane", F.lit(None).cast("long").alias("request_id"), F.lit(None).cast("string").alias("status"), F.col("created_at").cast(rows.schema["created_at"].dataType).alias("created_at"), F.lit(0).cast("long").alias("run_us"), F.lit(0).alias("code")).write.parquet(f"{folder}/{parts + 1}")
     return folder, seconds
 
 
@@ -57,7 +63,7 @@ def r1_ordered_release(spark, sf_dir):
     folder, seconds = request_files(spark, sf_dir)
     schema = spark.read.option("recursiveFileLookup", "true").parquet(folder).schema
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(folder)
-    done = queue.worked(queue.released(stream, f"{seconds + 1} seconds"), fresh_folder(spark, "worker"), lambda claimed: claimed)
+    done = queue.worked(queue.released(stream, f"{2 * seconds} seconds"), fresh_folder(spark, "worker"), lambda claimed: claimed)
     return done.select("lane", "seq", "request_id", "reclaimed", "started_us", "ended_us", "status", "note")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -78,46 +79,84 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 RELEASED = "lane long, seq long, request_id long, reclaimed boolean, created_us long, started_us long, ended_us long, status string, note string"
 
 
+#: Requests that wait lie together by this span of their time.
+SPAN_US = 3_600_000_000
+REQUEST = np.dtype([("created_us", "<i8"), ("request_id", "<i8"), ("run_us", "<i8"), ("code", "<i4"), ("reclaimed", "?")])
+
+
 class Lane(StatefulProcessor):
     """One worker's queue. Requests wait until the watermark has passed them, so none that is older can still come; then the oldest is taken, and the next one when that has ended.
 
-    State: the requests that wait, when the worker is free again, and how many it has taken. A timer stands at the oldest request
+    State: when the worker is free again and how many requests it has taken; and the requests that wait, by spans of their time,
+    in chunks of packed rows: what arrives is a chunk more, and only spans that the watermark has reached are read again, one
+    at a time. So a batch costs what it brings and what it releases, however many wait. A timer stands at the oldest request
     that waits. A request whose run ends with a code other than 0 is an error with a note of it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "created_us long, request_id long, reclaimed boolean, run_us long, code int")
+        self.spans = handle.getMapState("spans", "span long", "chunks int, oldest_us long")
+        self.waiting = handle.getMapState("waiting", "span long, chunk int", "packed binary")
         self.worker = handle.getValueState("worker", "free_us long, taken long")
 
-    def _wake(self, created_us: list[int]) -> None:
+    def _wake(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if created_us:
-            self.handle.registerTimer(-(-min(created_us) // 1000))
+        oldest = min((oldest for _, oldest in self.spans.values()), default=None)
+        if oldest is not None:
+            self.handle.registerTimer(-(-oldest // 1000))
+
+    def _wait(self, span: int, rows: np.ndarray) -> None:
+        chunks, oldest = self.spans.getValue((span,)) if self.spans.containsKey((span,)) else (0, rows["created_us"][0])
+        self.waiting.updateValue((span, chunks), (rows.tobytes(),))
+        self.spans.updateValue((span,), (chunks + 1, int(min(oldest, rows["created_us"].min()))))
+
+    def _taken_out(self, span: int) -> np.ndarray:
+        """The requests of a span in order; they don't wait any more."""
+        chunks, _ = self.spans.getValue((span,))
+        rows = np.concatenate([np.frombuffer(self.waiting.getValue((span, k))[0], REQUEST) for k in range(chunks)])
+        for k in range(chunks):
+            self.waiting.removeKey((span, k))
+        self.spans.removeKey((span,))
+        return rows[np.lexsort([rows[c] for c in ("code", "run_us", "reclaimed", "request_id", "created_us")])]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for part in rows for r in part[part["request_id"].notna()][["created_us", "request_id", "reclaimed", "run_us", "code"]].itertuples(index=False, name=None)]
-        if new:
-            self.waiting.appendList([(int(c), int(i), bool(b), int(d), int(x)) for c, i, b, d, x in new])
-            self._wake([r[0] for r in self.waiting.get()])
+        parts = []
+        for part in rows:
+            part = part[part["request_id"].notna()]
+            new = np.empty(len(part), REQUEST)
+            for c in REQUEST.names:
+                new[c] = part[c].to_numpy(REQUEST[c])
+            parts.append(new)
+        new = np.concatenate(parts) if parts else np.empty(0, REQUEST)
+        if len(new):
+            span = new["created_us"] // SPAN_US
+            order = np.argsort(span, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(span[order])) + 1):
+                self._wait(int(span[mine[0]]), new[mine])
+            self._wake()
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.waiting.get())
-        due, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
         free, taken = self.worker.get() if self.worker.exists() else (0, 0)
-        out = []
-        for created, request, reclaimed, run, code in due:
-            started = max(created, free)
-            free = started + run
-            out.append((key[0], taken, request, reclaimed, created, started, free, "error" if code else "done", f"exit {code}" if code else ""))
-            taken += 1
-        self.worker.update((free, taken))
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        self._wake([r[0] for r in rest])
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in RELEASED.split(", ")])
+        for span in sorted(span for (span,), (_, oldest) in list(self.spans.iterator()) if oldest <= passed):
+            held = self._taken_out(span)
+            n = int(np.searchsorted(held["created_us"], passed, "right"))
+            if n < len(held):
+                self._wait(span, held[n:])
+            due = held[:n]
+            # A request starts when it is made or when the runs before it have ended, back to the last one that the worker waited for.
+            before = np.cumsum(due["run_us"]) - due["run_us"]
+            started = before + np.maximum(free, np.maximum.accumulate(due["created_us"] - before))
+            ended = started + due["run_us"]
+            failed = due["code"] != 0
+            out = pd.DataFrame({"lane": key[0], "seq": taken + np.arange(n), "request_id": due["request_id"], "reclaimed": due["reclaimed"], "created_us": due["created_us"], "started_us": started, "ended_us": ended})
+            out["status"], out["note"] = np.where(failed, "error", "done"), [f"exit {code}" if code else "" for code in due["code"].tolist()]
+            free, taken = int(ended[-1]), taken + n
+            self.worker.update((free, taken))
+            yield out
+        self._wake()
 
     def close(self) -> None:
         pass

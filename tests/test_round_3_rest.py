@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 
 from cuelake.plans import registry
+from cuelake.streaming import queue
 
 
 def test_stragglers_take_letters_as_sql_does(spark, tmp_path):
@@ -15,3 +16,89 @@ def test_stragglers_take_letters_as_sql_does(spark, tmp_path):
     want = sorted(db.sql(registry.oracle_sql()["w13_stragglers"]).fetchall())
     assert sorted(tuple(r) for r in registry.queries()["w13_stragglers"](spark, str(tmp_path)).select("no", "word", "cue_id").collect()) == want
     assert want[-1] == (1001000, "té", 1001)
+
+
+def test_requests_in_many_files_a_part_are_all_released(spark, tmp_path):
+    spark.range(300).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id * 40) AS ts", "id % 20 AS user_id", "'signup' AS event_type", "double(id % 5) AS value", "'' AS props"
+    ).selectExpr("* EXCEPT (ts)", "cast(ts AS timestamp_ntz) AS ts").repartition(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(registry.oracle_sql()["r1_ordered_release"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a task, and so a file, for each that is read
+    try:
+        got = registry.queries()["r1_ordered_release"](spark, str(tmp_path)).select(*want.columns).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(tuple(r) for r in got) == sorted(want.fetchall())
+
+
+def test_a_batch_reads_only_requests_that_it_releases(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    class Store(dict):
+        def __init__(self):
+            super().__init__()
+            self.read = 0
+
+        def containsKey(self, k):
+            return k in self
+
+        def getValue(self, k):
+            self.read += len(self[k][0]) if isinstance(self[k][0], bytes) else 0
+            return self[k]
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+        iterator, get, exists = dict.items, lambda self: self[0], lambda self: 0 in self
+
+        def update(self, v):
+            self[0] = v
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.stores = [], {}
+
+        def getMapState(self, name, *_):
+            return self.stores.setdefault(name, Store())
+
+        getValueState = getMapState
+
+        def listTimers(self):
+            return self.timers
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class Passed:
+        def __init__(self, hours):
+            self.hours = hours
+
+        def getCurrentWatermarkInMs(self):
+            return self.hours * 3_600_000
+
+    lane, handle = queue.Lane(), Handle()
+    lane.init(handle)
+    hour, out = 3_600_000_000, []
+    for batch in range(50):
+        at = np.arange(20) * 5 * hour + batch
+        new = pd.DataFrame({"created_us": at, "request_id": at, "reclaimed": False, "run_us": 2 * hour, "code": 0})
+        list(lane.handleInputRows((1,), iter([new]), None))
+        if batch == 30:
+            out += list(lane.handleExpiredTimer((1,), Passed(1), None))
+    assert handle.stores["waiting"].read == 31 * queue.REQUEST.itemsize
+    out += list(lane.handleExpiredTimer((1,), Passed(1000), None))
+    got = pd.concat(out)
+    assert len(got) == 1000 and not handle.timers and not handle.stores["waiting"]
+    free = 0
+    for made, started, ended in got[["created_us", "started_us", "ended_us"]].itertuples(index=False):
+        assert started == max(made, free)
+        free = ended
