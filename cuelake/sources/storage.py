@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,9 +33,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Jobs of neighbouring ids that share a partition of the stored tracks.
+TOGETHER = 1000
+
+
 def write_tracks(cues: DataFrame, path: str) -> None:
-    """Tracks by language and job; only the partitions that cues holds are replaced, so a job's new run leaves the others as they are."""
-    cues.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang", "job_id").parquet(path)
+    """Tracks by language and range of jobs (jobs, TOGETHER of them); only tracks (lang, job_id) that cues holds are replaced, so a job's new run leaves the others as they are.
+
+    The other tracks of the ranges that are touched are written again with the new ones, so there are as many folders as ranges,
+    not as jobs, and only one writer may work on a range at a time.
+    """
+    spark, jobs = cues.sparkSession, F.floor(F.col("job_id") / TOGETHER).alias("jobs")
+    new = cues.select("*", jobs)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:  # nothing there yet
+        stored = None
+    if stored is not None:
+        new = written(new, "tracks")
+        tracks = written(new.select("lang", "jobs", "job_id").distinct(), "tracks")
+        stored = stored.withColumn("lang", F.col("lang").cast(new.schema["lang"].dataType))
+        same = lambda t, *keys: reduce(Column.__and__, [stored[k].eqNullSafe(t[k]) for k in keys])
+        ranges = tracks.select("lang", "jobs").distinct()
+        others = stored.join(ranges, same(ranges, "lang", "jobs"), "left_semi").join(tracks, same(tracks, "lang", "job_id"), "left_anti")
+        new = written(new.unionByName(others.select(*new.columns)), "tracks")
+    new.repartition("lang", "jobs").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang", "jobs").parquet(path)
 
 
 def upserted(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

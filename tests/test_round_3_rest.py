@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+
 import duckdb
+from pyspark.sql import functions as F
 
 from cuelake.plans import registry
+from cuelake.sources import storage
 from cuelake.streaming import queue
 
 
@@ -102,3 +106,14 @@ def test_a_batch_reads_only_requests_that_it_releases(spark, monkeypatch):
     for made, started, ended in got[["created_us", "started_us", "ended_us"]].itertuples(index=False):
         assert started == max(made, free)
         free = ended
+
+
+def test_tracks_lie_in_ranges_of_jobs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(2500).selectExpr("if(id = 7, null, if(id % 2 = 0, 'en', 'ja')) AS lang", "if(id = 9, null, id) AS job_id", "'old' AS text")
+    storage.write_tracks(rows, path)
+    storage.write_tracks(rows.filter("job_id IN (4, 5, 7, 2400) OR job_id IS NULL").withColumn("text", F.lit("new")), path)
+    storage.write_tracks(spark.createDataFrame([(None, 8, "new")], rows.schema), path)
+    got = {(r.lang, r.job_id, r.text) for r in spark.read.parquet(path).collect()}
+    assert got == {(r.lang, r.job_id, "new" if r.job_id in (4, 5, 7, 2400, None) else "old") for r in rows.collect()} | {(None, 8, "new")}
+    assert len(glob.glob(f"{path}/*/jobs=*")) == 8  # and not a folder a job
