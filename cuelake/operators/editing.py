@@ -128,16 +128,17 @@ def routed(cues: DataFrame, renditions: DataFrame, model: DataFrame, lang: str)
     return rows.withColumn("route", route).select("id", "route", F.when(F.col("route").isin("edited", "fresh"), F.col("_old")).when(F.col("route") == "model", F.col("_new")).otherwise(F.col("_source")).alias("text"))
 
 
-def correction_routes(cues: DataFrame, pairs: DataFrame, forms: DataFrame, memo: DataFrame, salt: str, chunk: int = 50) -> DataFrame:
+def correction_routes(cues: DataFrame, pairs: DataFrame, forms: DataFrame, memo: DataFrame, salt: str, chunk: int = 50, passed: DataFrame | None = None) -> DataFrame:
     """job_id, id, route, chunk, base, source_hash, text, uncertain: how each cue (job_id, idx, id, text_stt, text_caption, flagged) gets its corrected text.
 
     The base is the recognised text after the pre-pass by learned pairs (wrong, right, count); it is what the hash, with the
     caption, is made of. A cue without a base, or one that isn't flagged and holds no form of the domain, needs no model
     (skipped): its base stays, or the caption's text where there is none. One whose hash is in memo (source_hash, text,
     changed, uncertain) takes what was found before (cached), all others are sent, `chunk` of a job at a time in order; chunk
-    numbers begin at 0, and text is null until the model has answered.
+    numbers begin at 0, and text is null until the model has answered. passed: the pre-pass (id, base), where it has been made.
     """
-    passed = learning.pre_passed(cues, pairs).select("id", F.col("text").alias("base"))
+    if passed is None:
+        passed = learning.pre_passed(cues, pairs).select("id", F.col("text").alias("base"))
     rows = storage.written(cues.join(passed, "id").select("job_id", "idx", "id", "base", F.coalesce("text_caption", F.lit("")).alias("_caption"), "flagged"), "lines")
     holds = quality.mentions(rows, F.concat_ws(" ", "base", "_caption"), forms).select("id", F.lit(True).alias("_holds")).distinct()
     known = memo.select(F.col("source_hash"), F.struct("text", "changed", "uncertain").alias("_known")).dropDuplicates(["source_hash"])

@@ -186,10 +186,11 @@ routes AS (SELECT job_id, idx, id, route, CASE WHEN route = 'sent' THEN (row_num
 
 def correction_routes(spark, sf_dir):
     cues, pairs = X.cues(spark, sf_dir), word_pairs(spark, sf_dir)
-    base = learning.pre_passed(cues, pairs).select("id", F.col("text").alias("base"))
+    pairs = storage.written(pairs, "word_pairs")
+    base = storage.written(learning.pre_passed(cues, pairs).select("id", F.col("text").alias("base")), "base")
     hashed = cues.join(base, "id").select("id", "base", T.content_hash(20, F.lit("c7"), F.col("base"), F.col("text_caption")).alias("source_hash"))
     memo = hashed.filter("id % 2 = 0").groupBy("source_hash").agg(F.min(F.struct("id", F.concat(F.lit("known "), "base").alias("text"), (F.col("id") % 4 == 0).alias("changed"), (F.col("id") % 6 == 0).alias("uncertain"))).alias("m")).select("source_hash", "m.text", "m.changed", "m.uncertain")
-    return editing.correction_routes(cues, pairs, forms(spark, sf_dir), memo, "c7")
+    return editing.correction_routes(cues, pairs, forms(spark, sf_dir), memo, "c7", passed=base)
 
 
 def answered(spark, sf_dir):

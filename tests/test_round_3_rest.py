@@ -7,6 +7,7 @@ import glob
 import duckdb
 from pyspark.sql import functions as F
 
+from cuelake.operators import learning
 from cuelake.plans import registry
 from cuelake.sources import storage
 from cuelake.streaming import queue
@@ -117,3 +118,10 @@ def test_tracks_lie_in_ranges_of_jobs(spark, tmp_path):
     got = {(r.lang, r.job_id, r.text) for r in spark.read.parquet(path).collect()}
     assert got == {(r.lang, r.job_id, "new" if r.job_id in (4, 5, 7, 2400, None) else "old") for r in rows.collect()} | {(None, 8, "new")}
     assert len(glob.glob(f"{path}/*/jobs=*")) == 8  # and not a folder a job
+
+
+def test_routes_make_the_pre_pass_once(spark, monkeypatch):
+    made, calls = learning.pre_passed, []
+    monkeypatch.setattr(learning, "pre_passed", lambda *a: calls.append(a) or made(*a))
+    registry.queries()["e16_correct_routing"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
