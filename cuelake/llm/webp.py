@@ -34,10 +34,11 @@ RUN_BITS = 16
 FIRST_FEW = np.tri(RUN_BITS + 1, RUN_BITS, -1, bool)
 #: The longest code that the encoder writes, and the colour cache's bits in its grey images (no two of 256 indices share a place) and in its colour images.
 LONGEST_CODE, CACHE_BITS = 13, {True: 10, False: 6}
-#: Bytes (grey images) or pixels that a back-reference copies at least, and how far it looks back.
+#: Bytes (grey images) or pixels that a back-reference copies at least.
 LEAST_COPY = {True: 20, False: 3}
 #: Characters of written text, the most frequent first, and the bytes from which on a text has codes made for it.
 TYPICAL, OWN_CODES_FROM = b" etnairsoluhdcmpgbfvy.\n,wkqzxj", 1 << 16
+#: How far back-references look, how much one copies at most, and the bits of a place among the pixels that are searched.
 FARTHEST, MOST_COPIED, PLACE_BITS = (1 << 20) - 121, 4096, 28
 
 
@@ -421,16 +422,6 @@ def evenly(bits: Bits, group: list[PrefixCode], count: int) -> np.ndarray | None
     return out
 
 
-def split(argb: np.ndarray) -> np.ndarray:
-    """Bytes A, R, G, B of each pixel as a last axis of signed numbers."""
-    return np.stack([(argb >> s) & 255 for s in (24, 16, 8, 0)], axis=-1).astype(np.int64)
-
-
-def joined(channels: np.ndarray) -> np.ndarray:
-    c = channels.astype(np.uint32) & 255
-    return c[..., 0] << 24 | c[..., 1] << 16 | c[..., 2] << 8 | c[..., 3]
-
-
 def guess(mode: int, left, top, corner, right) -> list[int]:
     """A pixel's prediction in modes 1 to 13 from its neighbours, channel by channel."""
     mean = lambda a, b: [(x + y) >> 1 for x, y in zip(a, b)]
