@@ -634,38 +634,52 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+def packed(values: np.ndarray, sizes: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
+    """Numbers of up to 56 bits at their places (bits) of a stream, which never go back; the stream in words of 64 bits."""
+    word, off = at >> 6, (at & 63).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out = np.zeros(n_words + 1, np.uint64)
+    out[word[first]] = np.bitwise_or.reduceat(values << off, first)
+    over = np.flatnonzero((at & 63) + sizes > 64)
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - off[over])
+    return out
+
+
 class Fields:
-    """Numbers of up to 56 bits one after another, put into bytes at the end."""
+    """Numbers one after another, put into bytes at the end."""
 
     def __init__(self) -> None:
         self.values: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
 
     def put(self, *fields: tuple[int, int]) -> None:
-        self.many(np.array([v for v, _ in fields], np.uint64), np.array([n for _, n in fields], np.int64))
+        """Each with its bits; long ones (parts that stand in many files) are cut."""
+        cut = [(v >> k & ((1 << 48) - 1), min(48, n - k)) for v, n in fields for k in range(0, n, 48)]
+        self.many(np.array([v for v, _ in cut], np.uint64), np.array([n for _, n in cut], np.int64))
 
     def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Of up to 56 bits each."""
         self.values.append(values)
         self.sizes.append(sizes)
 
-    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
-        """The same bits in numbers of 48, for parts that stand in many files."""
-        total = int(sum(s.sum() for s in self.sizes))
-        whole = int.from_bytes(self.bytes(), "little")
-        sizes = [min(48, total - at) for at in range(0, total, 48)]
-        return np.array([whole >> 48 * k & ((1 << 48) - 1) for k in range(len(sizes))], np.uint64), np.array(sizes, np.int64)
+    def whole(self) -> tuple[int, int]:
+        """All as one number, and its bits."""
+        return int.from_bytes(self.bytes(), "little"), int(sum(s.sum() for s in self.sizes))
 
     def bytes(self) -> bytes:
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
         values, sizes = values[sizes > 0], sizes[sizes > 0]
         ends = np.cumsum(sizes)
-        word, off = (ends - sizes) >> 6, ((ends - sizes) & 63).astype(np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        out = np.zeros(int(ends[-1] >> 6) + 2, np.uint64)
-        out[word[first]] = np.bitwise_or.reduceat(values << off, first)
-        over = np.flatnonzero(off.astype(np.int64) + sizes > 64)
-        out[word[over] + 1] |= values[over] >> (np.uint64(64) - off[over])
-        return out.tobytes()[: -(-int(ends[-1]) // 8)]
+        return packed(values, sizes, ends - sizes, int(ends[-1] >> 6) + 1).tobytes()[: -(-int(ends[-1]) // 8)]
+
+
+def joined(*parts: tuple[int, int]) -> tuple[int, int]:
+    """Numbers with their bits as one."""
+    value = at = 0
+    for v, n in parts:
+        value |= v << at
+        at += n
+    return value, at
 
 
 def put_code(fields: Fields, lengths: np.ndarray) -> None:
@@ -715,8 +729,8 @@ def near_codes(width: int) -> dict[int, int]:
     return {max(1, x + y * width): c for c, (x, y) in reversed(list(enumerate(NEAR, 1)))}
 
 
-def copies(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of the parts that stand somewhere before as well: looked up by the `least` values that begin there, the last such place first."""
+def copies(values: np.ndarray, least: int, starts: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of the parts that stand somewhere before as well: looked up by the `least` values that begin there, the last such place first. Where values are those of several images (starts: of each, and the end), parts are copied inside one image only."""
     n = len(values) - least + 1
     if n < 2:
         return []
@@ -732,16 +746,16 @@ def copies(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     keys = np.sort(h >> low << low | np.arange(n, dtype=np.uint64))
     same = np.flatnonzero(keys[1:] >> low == keys[:-1] >> low)
     at, before = ((keys[k] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) for k in (same + 1, same))
-    near = at - before <= FARTHEST
+    starts = np.array([0, len(values)]) if starts is None else starts
+    image = np.searchsorted(starts, at, "right")
+    near = (at - before <= FARTHEST) & (before >= starts[image - 1]) & (at + least <= starts[image])
     order = np.argsort(at[near])
-    at, before = at[near][order], before[near][order]
-    if not len(at):
-        return []
+    at, before, ends = at[near][order], before[near][order], starts[image[near][order]]
     raw, out, free, size = values.tobytes(), [], 0, values.itemsize
-    for at, source in zip(at.tolist(), before.tolist()):
+    for at, source, end in zip(at.tolist(), before.tolist(), ends.tolist()):
         if at < free:
             continue
-        length, most = 0, min(MOST_COPIED, len(values) - at)
+        length, most = 0, min(MOST_COPIED, end - at)
         a, b = source * size, at * size
         step = 32 * size
         while length < most and raw[a : a + step] == raw[b : b + step]:
@@ -757,7 +771,7 @@ def copies(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 
 @cache
-def standard() -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+def standard() -> tuple[list[np.ndarray], list[np.ndarray], tuple[int, int]]:
     """Lengths and codes for what a prediction leaves of grey pixels of written text, and the bits that tell them: short for differences of two bytes that are frequent by TYPICAL, and for copies of words and lines."""
     byte = np.ones(256)
     byte[128:192], byte[0xC3] = 2, 8
@@ -775,22 +789,34 @@ def standard() -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarr
     told = Fields()
     for size in sizes:
         put_code(told, size)
-    codes = [codes_of(size) for size in sizes]
-    return [sizes[0], *[np.zeros(256, np.int64)] * 3, sizes[4]], codes, *told.chunks()
+    return sizes, [codes_of(size) for size in sizes], told.whole()
 
 
-def put_image(fields: Fields, argb: np.ndarray, width: int, cache_bits: int, top: bool, least: int, typical: bool = False) -> None:
-    """The pixels (one line of ARGB numbers) under prefix codes of their own (typical: the standard ones), with back-references and, where cache_bits says, a colour cache."""
+def put_copies(found: list[tuple[int, int, int]], width: int, value: np.ndarray, bits: np.ndarray, sizes: list[np.ndarray], codes: list[np.ndarray]) -> None:
+    """Puts what a back-reference has after its length's symbol (extra bits, distance) into the fields of its first pixel."""
+    starts, ((_, extra, n), (back_symbol, back_extra, back_n)) = copy_symbols(found, width)
+    for v, k in ((extra, n), (codes[4][back_symbol], sizes[4][back_symbol]), (back_extra, back_n)):
+        value[starts] |= v.astype(np.uint64) << bits[starts].astype(np.uint64)
+        bits[starts] += k
+
+
+def copy_symbols(found: list[tuple[int, int, int]], width: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Where back-references begin, and prefixed() of their lengths and of their distances."""
+    near = near_codes(width)
+    numbers = np.array([(at, n, near.get(d, d + 120)) for at, n, d in found], np.int64).reshape(-1, 3)
+    return numbers[:, 0], [prefixed(numbers[:, k]) for k in (1, 2)]
+
+
+def put_image(fields: Fields, argb: np.ndarray, width: int, cache_bits: int, top: bool, least: int) -> None:
+    """The pixels (one line of ARGB numbers) under prefix codes of their own, with back-references and, where cache_bits says, a colour cache."""
     count = len(argb)
     found = copies(argb, least) if least else []
     kind = np.zeros(count, np.int8)  # 0: literal, 1: cached, 2: begins a copy, 3: copied
     if cache_bits:
-        if cache_bits == CACHE_BITS[True]:  # each index has a place of its own, so it is held from its second time on
+        if cache_bits == CACHE_BITS[True]:
             index = (argb >> np.uint32(8)).astype(np.uint8)
-            place, first = cache_places(0xFF000000, cache_bits)[index], np.zeros(256, np.int64)
-            first[index[::-1]] = np.arange(count - 1, -1, -1)
-            kind[:] = 1
-            kind[first[np.bincount(index, minlength=256) > 0]] = 0
+            place = cache_places(0xFF000000, cache_bits)[index]
+            kind[held_before(index, np.array([0, count]))] = 1
         else:
             place = (argb * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)
             order = np.argsort(place, kind="stable")
@@ -799,43 +825,72 @@ def put_image(fields: Fields, argb: np.ndarray, width: int, cache_bits: int, top
     for at, length, _ in found:
         kind[at : at + length] = 3
         kind[at] = 2
-    channels = [(argb >> np.uint32(s)) & np.uint32(255) for s in (8, 16, 0, 24)]
-    symbols = [c.astype(np.int64) for c in (channels[:1] if typical else channels)]
+    symbols = [((argb >> np.uint32(s)) & np.uint32(255)).astype(np.int64) for s in (8, 16, 0, 24)]
     if cache_bits:
         symbols[0][kind == 1] = 280 + place[kind == 1].astype(np.int64)
-    near = near_codes(width)
-    starts = np.array([f[0] for f in found], np.int64)
-    told = prefixed(np.array([[n, near.get(d, d + 120)] for _, n, d in found], np.int64).reshape(-1, 2).T)
-    (length_symbol, back_symbol), (length_extra, back_extra), (length_bits, back_bits) = told
+    starts, ((length_symbol, *_), (back_symbol, *_)) = copy_symbols(found, width)
     symbols[0][starts] = 256 + length_symbol
     shown, literal = kind != 3, kind == 0
     fields.put(*([(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]), *([(0, 1)] if top else []))
-    if typical:
-        sizes, codes, *told = standard()
-        fields.many(*told)
-    else:
-        alphabets = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-        parts = [symbols[0][shown], *(c[literal] for c in symbols[1:]), back_symbol]
-        sizes = [code_lengths(np.bincount(p, minlength=a)) for p, a in zip(parts, alphabets)]
-        for size in sizes:
-            put_code(fields, size)
-        codes = [codes_of(size) for size in sizes]
-        sizes = [size if np.count_nonzero(size) > 1 else np.zeros_like(size) for size in sizes]
-    value, bits = codes[0][symbols[0]], sizes[0][symbols[0]].copy()
-    for c in range(1, len(symbols)):
+    alphabets = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    parts = [symbols[0][shown], *(c[literal] for c in symbols[1:]), back_symbol]
+    sizes = [code_lengths(np.bincount(p, minlength=a)) for p, a in zip(parts, alphabets)]
+    for size in sizes:
+        put_code(fields, size)
+    codes = [codes_of(size) for size in sizes]
+    sizes = [size if np.count_nonzero(size) > 1 else np.zeros_like(size) for size in sizes]
+    value, bits = codes[0][symbols[0]], sizes[0][symbols[0]]
+    for c in range(1, 4):
         more = sizes[c][symbols[c]]
         if more.any():
             value = np.where(literal, value | codes[c][symbols[c]] << bits.astype(np.uint64), value)
             bits += np.where(literal, more, 0)
-    for v, n in ((length_extra, length_bits), (codes[4][back_symbol], sizes[4][back_symbol]), (back_extra, back_bits)):
-        value[starts] |= v.astype(np.uint64) << bits[starts].astype(np.uint64)
-        bits[starts] += n
+    put_copies(found, width, value, bits, sizes, codes)
     fields.many(value[shown], bits[shown])
 
 
-def best_tiles(costs: np.ndarray, bits: int) -> np.ndarray:
-    """The cheapest choice of each tile (two to the power of bits a side), for costs (choice, row, column) of single pixels."""
-    down, across = (np.arange(0, n, 1 << bits) for n in costs.shape[1:])
+def held_before(index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether the colour cache holds a pixel: each index has a place of its own there, so it does from the index's second time in an image on."""
+    keys = index.astype(np.intp)
+    if len(starts) > 2:
+        keys += np.repeat(np.arange(len(starts) - 1) * 256, np.diff(starts))
+    first, held = np.full(256 * (len(starts) - 1), -1), np.ones(len(index), bool)
+    first[keys[::-1]] = np.arange(len(index) - 1, -1, -1)
+    held[first[first >= 0]] = False
+    return held
+
+
+def under_standard_codes(index: np.ndarray, starts: np.ndarray, width: int, heads: list[tuple[int, int]]) -> list[bytes]:
+    """The streams of images of one width (their indices one after another, starts: of each, and the end): what stands before the pixels, and these under the standard codes, with back-references and colour cache."""
+    sizes, codes, _ = standard()
+    cached = 280 + cache_places(0xFF000000, CACHE_BITS[True])
+    symbol = index + (held_before(index, starts).astype(np.uint16) << np.uint16(8))
+    value, bits = (np.concatenate([x[0][:256], x[0][cached]]).take(symbol) for x in (codes, sizes))
+    found, shown = copies(index, LEAST_COPY[True], starts), np.ones(len(index), bool)
+    for at, length, _ in found:
+        shown[at + 1 : at + length] = False
+    places, ((length_symbol, *_), _) = copy_symbols(found, width)
+    value[places], bits[places] = codes[0][256 + length_symbol], sizes[0][256 + length_symbol]
+    put_copies(found, width, value, bits, sizes, codes)
+    # Each image begins with a word of its own.
+    told = np.concatenate([[0], np.cumsum(shown)])[starts]
+    value, bits = value[shown], bits[shown]
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    before = np.array([n for _, n in heads])
+    total = before + np.diff(ends[told])
+    words = np.concatenate([[0], np.cumsum((total + 63) >> 6)])
+    at = ends[:-1] + np.repeat(64 * words[:-1] + before - ends[told[:-1]], np.diff(told))
+    raw, out = packed(value, bits, at, int(words[-1])).tobytes(), []
+    for (head, n), first, size in zip(heads, (8 * words).tolist(), ((total + 7) >> 3).tolist()):
+        split = first + (n >> 3)
+        head = (head | raw[split] << (n & ~7)).to_bytes((n >> 3) + 1, "little")
+        out.append(head + raw[split + 1 : first + size])
+    return out
+
+
+def best_tiles(costs: np.ndarray, bits: int, down: np.ndarray | None = None) -> np.ndarray:
+    """The cheapest choice of each tile (two to the power of bits a side, or from one row of `down` to the next), for costs (choice, row, column) of single pixels."""
+    down, across = np.arange(0, costs.shape[1], 1 << bits) if down is None else down, np.arange(0, costs.shape[2], 1 << bits)
     return np.add.reduceat(np.add.reduceat(costs, across, axis=2, dtype=np.int64), down, axis=1).argmin(axis=0)
 
 
@@ -847,26 +902,33 @@ def distance_from_zero(c: np.ndarray) -> np.ndarray:
     return np.minimum(c, -c)
 
 
-def predicted(planes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a prediction leaves of the pixels, plane by plane (of bytes, alpha last if there are four), and the mode of each tile: from the left, from above, from either side of that, or means of these."""
-    _, height, width = planes.shape
-    # One line of pixels, so that a place's neighbours stand at fixed distances; the first row and column are mended below.
-    line = np.concatenate([np.zeros((len(planes), width + 1), np.uint8), planes.reshape(len(planes), -1)], 1)
-    corner, top, right, left = (line[:, k : k + height * width].reshape(planes.shape) for k in (0, 1, 2, width))
+def predicted(planes: np.ndarray, bits: int, heights: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """What a prediction leaves of the pixels of images that lie one below another, plane by plane (of bytes, alpha last if there are four), and the mode of each tile, image by image: from the left, from above, from either side of that, or means of these."""
+    n_planes, height, width = len(planes), planes.shape[1] + len(heights), planes.shape[2]
+    # Each image under a row of zeros, all in one line of pixels, so that a place's neighbours stand at fixed distances; first rows and columns are mended below.
+    ends = np.cumsum(heights) + np.arange(1, len(heights) + 1)
+    first = ends - heights
+    own = np.ones(height, bool)
+    own[first - 1] = False
+    line = np.zeros((n_planes, (height + 1) * width + 1), np.uint8)
+    corner, top, right, left, here = (line[:, k : k + height * width].reshape(n_planes, height, width) for k in (0, 1, 2, width, width + 1))
+    here[:, own] = planes
     guesses = {1: left, 2: top, 3: right, 4: corner, 8: halfway(corner, top), 9: halfway(top, right)}
-    rest = np.stack([planes - g for g in guesses.values()])
+    rest = np.stack([here - g for g in guesses.values()])
+    rest[:, :, first, 0] = here[:, first, 0]
     costs = distance_from_zero(rest)
-    mode = best_tiles(costs[:, 0] if len(planes) == 1 else costs.sum(axis=1), bits)
-    out = np.empty_like(planes)
-    for y, line in enumerate(mode.tolist()):
+    down = np.concatenate([np.concatenate([[a - 1], np.arange(a, b, 1 << bits)]) for a, b in zip(first.tolist(), ends.tolist())])
+    tiles = own[down]
+    mode = best_tiles(costs[:, 0] if n_planes == 1 else costs.sum(axis=1), bits, down)[tiles]
+    out = np.empty_like(here)
+    for a, b, line in zip(down[tiles].tolist(), np.append(down[1:], height)[tiles].tolist(), mode.tolist()):
         for x, k in enumerate(line):
-            tile = (slice(None), slice(y << bits, (y + 1) << bits), slice(x << bits, (x + 1) << bits))
+            tile = (slice(None), slice(a, b), slice(x << bits, (x + 1) << bits))
             out[tile] = rest[k][tile]
-    out[:, 0, 1:], out[:, 1:, 0] = planes[:, 0, 1:] - planes[:, 0, :-1], planes[:, 1:, 0] - planes[:, :-1, 0]
-    out[:, 0, 0] = planes[:, 0, 0]
-    if len(planes) == 4:
-        out[3, 0, :1] -= 255
-    return out, np.array(list(guesses))[mode]
+    out[:, first, 1:], out[:, 1:, 0] = here[:, first, 1:] - here[:, first, :-1], here[:, 1:, 0] - here[:, :-1, 0]
+    if n_planes == 4:
+        out[3, first, 0] -= 255
+    return out[:, own], np.split(np.array(list(guesses))[mode], np.cumsum([-(-h >> bits) for h in heights])[:-1])
 
 
 def uncoloured(planes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -902,73 +964,113 @@ def side(n_pixels: int, least: int = 16) -> tuple[int, int]:
 
 
 @lru_cache(1024)
-def small_image(argb: bytes, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fields of a palette, or of the image of a transform's tiles."""
+def small_image(argb: bytes, width: int, least: int) -> tuple[int, int]:
+    """A palette, or the image of a transform's tiles, as one number with its bits."""
     fields = Fields()
     put_image(fields, np.frombuffer(argb, np.uint32), width, 0, False, least)
-    return fields.chunks()
+    return fields.whole()
 
 
-def palette(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The fields of a palette of what the transforms leave of greys: red and blue without green, each as its difference from the one before."""
-    steps = np.diff(values, prepend=np.uint8(0)).astype(np.uint32)
+@lru_cache(64)
+def palette(values: bytes) -> tuple[int, int]:
+    """A palette of what the transforms leave of greys, as one number with its bits: red and blue without green, each as its difference from the one before."""
+    steps = np.diff(np.frombuffer(values, np.uint8), prepend=np.uint8(0)).astype(np.uint32)
     less = -steps.astype(np.uint8) & np.uint32(255)
-    return small_image((less << np.uint32(16) | steps << np.uint32(8) | less).tobytes(), len(values), LEAST_COPY[False])
+    return joined((1, 1), (PALETTE, 2), (len(values) - 1, 8), small_image((less << np.uint32(16) | steps << np.uint32(8) | less).tobytes(), len(values), LEAST_COPY[False]))
 
 
-def encode(payload: bytes, most_grey: int = MAX_SIDE * MAX_SIDE) -> bytes:
-    """A lossless WebP file that holds payload: as grey pixels of a byte each, or, where one image can't hold these (over most_grey bytes), as colour pixels of four bytes G, R, B, A.
+def head(width: int, height: int, grey: bool, bits: int, modes: np.ndarray, factors: np.ndarray) -> tuple[int, int]:
+    """A stream's beginning: size and three transforms, as one number with its bits."""
+    modes, across = (np.uint32(0xFF000000) | modes.astype(np.uint32) << np.uint32(8)).tobytes(), modes.shape[1]
+    return joined(
+        (SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (int(not grey), 1), (0, 3),
+        (1, 1), (PREDICTOR, 2), (bits - 2, 3), small_image(modes, across, 0),
+        (1, 1), (CROSS_COLOUR, 2), (bits - 2, 3), small_image(factors.tobytes(), across, 0),
+        (1, 1), (SUBTRACT_GREEN, 2),
+    )
 
-    Each file goes through all that the format has. Pixels are predicted by tile; what green tells of red and blue is taken
-    from them by tile, and green is subtracted. What is left of greys has as many colours as there are different bytes at
-    most, so it has a palette: of its own with up to 16 colours, several to a pixel, or else all 256. The indices have
-    back-references and a colour cache, under the standard codes up to OWN_CODES_FROM bytes, else under codes made for them.
-    Colour pixels have more colours than a palette holds, and codes of their own. Zeros fill the last row.
-    """
-    grey = len(payload) <= most_grey
-    width, height = side(len(payload) if grey else len(payload) // 4)
-    data = np.frombuffer(payload.ljust((1 if grey else 4) * width * height, b"\0"), np.uint8)
+
+def in_file(stream: bytes) -> bytes:
+    chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) & 1)
+    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+
+
+def encode_greys(payloads: list[bytes], width: int, heights: list[int]) -> list[bytes]:
+    """encode() for grey images of one width, whose pixels are worked on together; no file depends on the others."""
+    starts = np.concatenate([[0], np.cumsum(heights)])
+    data = np.frombuffer(b"".join(p.ljust(width * h, b"\0") for p, h in zip(payloads, heights)), np.uint8).reshape(1, -1, width)
     bits = tile_bits(width)
-    fields = Fields()
-    fields.put((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (int(not grey), 1), (0, 3))
-    # Red, green and blue of greys are the same, so one plane stands for them; planes of colours are B, G, R, A.
-    planes, modes = predicted(data.reshape(1, height, width) if grey else np.stack([data[k::4].reshape(height, width) for k in (2, 0, 1, 3)]), bits)
-    if grey:
+    planes, modes = predicted(data, bits, heights)
+    heads, alike, out = [], [], [b""] * len(payloads)
+    for k, (payload, mode) in enumerate(zip(payloads, modes)):
         # Green tells all of red and blue: a factor of one (32 in 1/32) leaves nothing of them, in every tile.
-        factors = factor_numbers(np.full(modes.shape, 32), np.full(modes.shape, 32))
-    else:
-        planes, factors = uncoloured(planes, bits)
-        planes[[0, 2]] -= planes[1]
-    fields.put((1, 1), (PREDICTOR, 2), (bits - 2, 3))
-    fields.many(*small_image((np.uint32(0xFF000000) | modes.astype(np.uint32) << np.uint32(8)).tobytes(), modes.shape[1], 0))
-    fields.put((1, 1), (CROSS_COLOUR, 2), (bits - 2, 3))
-    fields.many(*small_image(factors.tobytes(), modes.shape[1], 0))
-    fields.put((1, 1), (SUBTRACT_GREEN, 2))
-    if grey:
-        index = planes[0]
+        factors = factor_numbers(np.full(mode.shape, 32), np.full(mode.shape, 32))
+        begin, index = head(width, heights[k], True, bits, mode, factors), planes[0, starts[k] : starts[k + 1]]
         values = np.flatnonzero(np.bincount(index.ravel(), minlength=256)).astype(np.uint8)
         if many := len(values) > 16:
             values = np.arange(256, dtype=np.uint8)
-        else:
-            place = np.zeros(256, np.uint8)
-            place[values] = np.arange(len(values))
-            index = place[index]
-        fields.put((1, 1), (PALETTE, 2), (len(values) - 1, 8))
-        fields.many(*palette(values))
-        fields.put((0, 1))
+        begin = joined(begin, palette(values.tobytes()), (0, 1))
+        if many and len(payload) < OWN_CODES_FROM:
+            heads.append(joined(begin, (1, 1), (CACHE_BITS[True], 4), (0, 1), standard()[2]))
+            alike.append(k)
+            continue
         packed = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1 if len(values) <= 16 else 0
         if packed:
-            together = 1 << packed
-            parts = np.pad(index, ((0, 0), (0, -width % together))).reshape(height, -1, together).astype(np.int64)
+            place, together = np.zeros(256, np.uint8), 1 << packed
+            place[values] = np.arange(len(values))
+            parts = np.pad(place[index], ((0, 0), (0, -width % together))).reshape(heights[k], -1, together).astype(np.int64)
             index = (parts << (np.arange(together) * (8 >> packed))).sum(axis=-1)
-        argb = np.uint32(0xFF000000) | index.astype(np.uint32).ravel() << np.uint32(8)
-        put_image(fields, argb, index.shape[1], CACHE_BITS[True], True, LEAST_COPY[True], many and len(payload) < OWN_CODES_FROM)
-    else:
-        fields.put((0, 1))
-        put_image(fields, np.ascontiguousarray(np.moveaxis(planes, 0, -1)).view(np.uint32).ravel(), width, CACHE_BITS[False], True, LEAST_COPY[False])
-    stream = fields.bytes()
-    chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) & 1)
-    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+        fields = Fields()
+        fields.put(begin)
+        put_image(fields, np.uint32(0xFF000000) | index.astype(np.uint32).ravel() << np.uint32(8), index.shape[1], CACHE_BITS[True], True, LEAST_COPY[True])
+        out[k] = in_file(fields.bytes())
+    if alike:
+        kept = planes[0] if len(alike) == len(payloads) else np.concatenate([planes[0, starts[k] : starts[k + 1]] for k in alike])
+        streams = under_standard_codes(kept.ravel(), np.concatenate([[0], np.cumsum([heights[k] * width for k in alike])]), width, heads)
+        for k, stream in zip(alike, streams):
+            out[k] = in_file(stream)
+    return out
+
+
+def encode_colours(payload: bytes) -> bytes:
+    """encode() for an image of colour pixels."""
+    width, height = side(len(payload) // 4)
+    data, bits = np.frombuffer(payload.ljust(4 * width * height, b"\0"), np.uint8), tile_bits(width)
+    planes, (modes,) = predicted(np.stack([data[k::4].reshape(height, width) for k in (2, 0, 1, 3)]), bits, [height])  # planes are B, G, R, A
+    planes, factors = uncoloured(planes, bits)
+    planes[[0, 2]] -= planes[1]
+    fields = Fields()
+    fields.put(head(width, height, False, bits, modes, factors), (0, 1))
+    put_image(fields, np.ascontiguousarray(np.moveaxis(planes, 0, -1)).view(np.uint32).ravel(), width, CACHE_BITS[False], True, LEAST_COPY[False])
+    return in_file(fields.bytes())
+
+
+def encode_all(payloads: list[bytes], most_grey: int = MAX_SIDE * MAX_SIDE) -> list[bytes]:
+    """Lossless WebP files that hold one payload each: as grey pixels of a byte each, or, where one image can't hold these (over most_grey bytes), as colour pixels of four bytes G, R, B, A.
+
+    Each file goes through all that the format has. Pixels are predicted by tile; what green tells of red and blue is taken
+    from them by tile, and green is subtracted. What is left of greys has as many colours as there are different bytes at
+    most, so it has a palette: of its own with up to 16 colours, several to a pixel, or else all 256. The indices have
+    back-references and a colour cache, under the standard codes up to OWN_CODES_FROM bytes, else under codes made for them.
+    Colour pixels have more colours than a palette holds, and codes of their own. Zeros fill the last row.
+    """
+    out, alike = [b""] * len(payloads), {}
+    for k, payload in enumerate(payloads):
+        if len(payload) > most_grey:
+            out[k] = encode_colours(payload)
+        else:
+            width, height = side(len(payload))
+            # Long ones gain nothing by company.
+            alike.setdefault((width, k if len(payload) >= OWN_CODES_FROM else -1), []).append((k, height))
+    for (width, _), images in alike.items():
+        for (k, _), file in zip(images, encode_greys([payloads[k] for k, _ in images], width, [h for _, h in images])):
+            out[k] = file
+    return out
+
+
+def encode(payload: bytes, most_grey: int = MAX_SIDE * MAX_SIDE) -> bytes:
+    """encode_all() of a single payload."""
+    return encode_all([payload], most_grey)[0]
 
 
 def is_grey(media: bytes) -> bool:
@@ -1010,7 +1112,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             data, offsets = as_bytes(batch.column("text"))
             raw = data.tobytes()
             payloads = [padded(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), pa.array([len(p) for p in payloads], pa.int64()), pa.array([encode(p) for p in payloads], pa.binary())], ["id", "n_bytes", "payload_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), pa.array([len(p) for p in payloads], pa.int64()), pa.array(encode_all(payloads), pa.binary())], ["id", "n_bytes", "payload_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, media binary")

@@ -111,3 +111,20 @@ def test_tiles_done_at_once_give_what_rows_do():
                     guess = want[y - 1, 0] if y else want[0, x - 1] if x else np.array([0, 0, 0, 255])
                 want[y, x] = (out[y, x] + guess) & 255
         assert (got == want).all()
+
+
+def test_files_made_together_are_those_made_alone_and_share_the_steps(monkeypatch):
+    r = random.Random(13)
+    few, long = [webp.padded(bytes(r.choice(b"ab") for _ in range(n))) for n in (1, 70, 900)], webp.padded(b" ".join(r.choice([b"one", b"two", b"three"]) for _ in range(15_000)))
+    # Neighbours with the same words: nothing may be copied from one image into the next.
+    payloads = [p for text in texts() for p in (text, text, text[:-64] or text)] + [*few, long, webp.padded(b""), webp.padded(r.randbytes(3000))]
+    r.shuffle(payloads)
+    alone = [webp.encode(p) for p in payloads]
+    calls = []
+    inner = webp.predicted
+    monkeypatch.setattr(webp, "predicted", lambda *args: calls.append(1) or inner(*args))
+    assert webp.encode_all(payloads) == alone
+    assert len(calls) <= 7 < len(payloads)  # once for each width, and for a long text
+    for payload, file in zip(payloads, alone):
+        assert webp.samples(webp.decode(file), True)[: len(payload)] == payload
+    assert webp.encode_all([]) == []
