@@ -634,7 +634,7 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def packed(values: np.ndarray, sizes: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
+def in_words(values: np.ndarray, sizes: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
     """Numbers of up to 56 bits at their places (bits) of a stream, which never go back; the stream in words of 64 bits."""
     word, off = at >> 6, (at & 63).astype(np.uint64)
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -670,7 +670,7 @@ class Fields:
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
         values, sizes = values[sizes > 0], sizes[sizes > 0]
         ends = np.cumsum(sizes)
-        return packed(values, sizes, ends - sizes, int(ends[-1] >> 6) + 1).tobytes()[: -(-int(ends[-1]) // 8)]
+        return in_words(values, sizes, ends - sizes, int(ends[-1] >> 6) + 1).tobytes()[: -(-int(ends[-1]) // 8)]
 
 
 def joined(*parts: tuple[int, int]) -> tuple[int, int]:
@@ -792,14 +792,6 @@ def standard() -> tuple[list[np.ndarray], list[np.ndarray], tuple[int, int]]:
     return sizes, [codes_of(size) for size in sizes], told.whole()
 
 
-def put_copies(found: list[tuple[int, int, int]], width: int, value: np.ndarray, bits: np.ndarray, sizes: list[np.ndarray], codes: list[np.ndarray]) -> None:
-    """Puts what a back-reference has after its length's symbol (extra bits, distance) into the fields of its first pixel."""
-    starts, ((_, extra, n), (back_symbol, back_extra, back_n)) = copy_symbols(found, width)
-    for v, k in ((extra, n), (codes[4][back_symbol], sizes[4][back_symbol]), (back_extra, back_n)):
-        value[starts] |= v.astype(np.uint64) << bits[starts].astype(np.uint64)
-        bits[starts] += k
-
-
 def copy_symbols(found: list[tuple[int, int, int]], width: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Where back-references begin, and prefixed() of their lengths and of their distances."""
     near = near_codes(width)
@@ -807,6 +799,14 @@ def copy_symbols(found: list[tuple[int, int, int]], width: int) -> tuple[np.ndar
     return numbers[:, 0], [prefixed(numbers[:, k]) for k in (1, 2)]
 
 
+def put_copies(value: np.ndarray, bits: np.ndarray, starts: np.ndarray, lengths: tuple, backs: tuple, sizes: np.ndarray, codes: np.ndarray) -> None:
+    """Adds what stands behind the symbol of a back-reference's length (its extra bits, the distance under the last code, that one's extra bits) to the fields of its first pixel."""
+    (_, length_extra, length_bits), (symbol, extra, extra_bits) = lengths, backs
+    for v, n in ((length_extra, length_bits), (codes[symbol], sizes[symbol]), (extra, extra_bits)):
+        value[starts] |= v.astype(np.uint64) << bits[starts].astype(np.uint64)
+        bits[starts] += n
+
+
 def put_image(fields: Fields, argb: np.ndarray, width: int, cache_bits: int, top: bool, least: int) -> None:
     """The pixels (one line of ARGB numbers) under prefix codes of their own, with back-references and, where cache_bits says, a colour cache."""
     count = len(argb)
@@ -828,12 +828,12 @@ def put_image(fields: Fields, argb: np.ndarray, width: int, cache_bits: int, top
     symbols = [((argb >> np.uint32(s)) & np.uint32(255)).astype(np.int64) for s in (8, 16, 0, 24)]
     if cache_bits:
         symbols[0][kind == 1] = 280 + place[kind == 1].astype(np.int64)
-    starts, ((length_symbol, *_), (back_symbol, *_)) = copy_symbols(found, width)
-    symbols[0][starts] = 256 + length_symbol
+    starts, (lengths, backs) = copy_symbols(found, width)
+    symbols[0][starts] = 256 + lengths[0]
     shown, literal = kind != 3, kind == 0
     fields.put(*([(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]), *([(0, 1)] if top else []))
     alphabets = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    parts = [symbols[0][shown], *(c[literal] for c in symbols[1:]), back_symbol]
+    parts = [symbols[0][shown], *(c[literal] for c in symbols[1:]), backs[0]]
     sizes = [code_lengths(np.bincount(p, minlength=a)) for p, a in zip(parts, alphabets)]
     for size in sizes:
         put_code(fields, size)
@@ -845,7 +845,7 @@ def put_image(fields: Fields, argb: np.ndarray, width: int, cache_bits: int, top
         if more.any():
             value = np.where(literal, value | codes[c][symbols[c]] << bits.astype(np.uint64), value)
             bits += np.where(literal, more, 0)
-    put_copies(found, width, value, bits, sizes, codes)
+    put_copies(value, bits, starts, lengths, backs, sizes[4], codes[4])
     fields.many(value[shown], bits[shown])
 
 
@@ -869,9 +869,9 @@ def under_standard_codes(index: np.ndarray, starts: np.ndarray, width: int, head
     found, shown = copies(index, LEAST_COPY[True], starts), np.ones(len(index), bool)
     for at, length, _ in found:
         shown[at + 1 : at + length] = False
-    places, ((length_symbol, *_), _) = copy_symbols(found, width)
-    value[places], bits[places] = codes[0][256 + length_symbol], sizes[0][256 + length_symbol]
-    put_copies(found, width, value, bits, sizes, codes)
+    places, (lengths, backs) = copy_symbols(found, width)
+    value[places], bits[places] = codes[0][256 + lengths[0]], sizes[0][256 + lengths[0]]
+    put_copies(value, bits, places, lengths, backs, sizes[4], codes[4])
     # Each image begins with a word of its own.
     told = np.concatenate([[0], np.cumsum(shown)])[starts]
     value, bits = value[shown], bits[shown]
@@ -880,7 +880,7 @@ def under_standard_codes(index: np.ndarray, starts: np.ndarray, width: int, head
     total = before + np.diff(ends[told])
     words = np.concatenate([[0], np.cumsum((total + 63) >> 6)])
     at = ends[:-1] + np.repeat(64 * words[:-1] + before - ends[told[:-1]], np.diff(told))
-    raw, out = packed(value, bits, at, int(words[-1])).tobytes(), []
+    raw, out = in_words(value, bits, at, int(words[-1])).tobytes(), []
     for (head, n), first, size in zip(heads, (8 * words).tolist(), ((total + 7) >> 3).tolist()):
         split = first + (n >> 3)
         head = (head | raw[split] << (n & ~7)).to_bytes((n >> 3) + 1, "little")
