@@ -57,7 +57,9 @@ def s7_transcript_lines(spark, sf_dir):
 
 @query("s7_transcript_documents", "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n_documents FROM documents")
 def s7_transcript_documents(spark, sf_dir):
-    files = X.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("[2024.01.02] a\n"), "text", F.lit("\n[2024.01.03] b"))).otherwise(F.col("text")).alias("content"))
+    # Lines of the text that look like a header are quoted, so that each file has the headers that were put in.
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), rf"(?mdU)^[^\S\n]*(?={formats.DATE})", "> ")
+    files = X.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("[2024.01.02] a\n"), text, F.lit("\n[2024.01.03] b"))).otherwise(text).alias("content"))
     return formats.parse_transcript(files)[1].withColumn("n_documents", F.col("n_documents").cast("int"))
 
 

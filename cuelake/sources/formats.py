@@ -74,12 +74,21 @@ def parse_speech(rows: DataFrame, key: str, *contents: str) -> DataFrame:
     return segments.select(key, "seg_no", ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), "s.text", "s.words", "s.avg_logprob")
 
 
+#: A date at the start of a line opens a document of a transcript.
+DATE = r"\[\d{4}\.\d{2}\.\d{2}\]"
+
+
 def parse_transcript(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paragraphs (path, text) of transcripts, and (path, n_documents): date headers open documents; time codes and durations are left out."""
-    lines = files.select("path", F.explode(F.split("content", r"\r?\n")).alias("l")).select("path", T.stripped(F.col("l")).alias("text")).filter("text <> ''")
-    header = F.col("text").rlike(r"^\[\d{4}\.\d{2}\.\d{2}\]")
+    """Paragraphs (path, text) of transcripts, and (path, n_documents) with a row for each file: date headers open documents; time codes and durations are left out.
+
+    A file without lines, or without content, is one document, as any file without headers; files that share a path count by themselves.
+    """
+    split = F.transform(F.split("content", r"\r?\n"), T.stripped)
+    header = lambda text: text.rlike(f"^{DATE}")
+    lines = files.select("path", F.explode(split).alias("text")).filter("text <> ''")
     timing = F.col("text").rlike(r"^\d{1,2}:\d{2}(:\d{2})?$") | F.col("text").rlike(r"^\(\d+분(\s*\d+초)?\)$")
-    return lines.filter(~header & ~timing), lines.groupBy("path").agg(F.greatest(F.count_if(header), F.lit(1)).alias("n_documents"))
+    headers = F.coalesce(F.size(F.filter(split, header)), F.lit(0))
+    return lines.filter(~header(F.col("text")) & ~timing), files.select("path", F.greatest(headers, F.lit(1)).cast("long").alias("n_documents"))
 
 
 def parse_script(files: DataFrame) -> DataFrame:
