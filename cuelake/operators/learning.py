@@ -109,6 +109,11 @@ def _applied(cues: DataFrame, ranked: DataFrame, own: DataFrame | None = None) -
             return reduce(DataFrame.union, done)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Few rows that each take long, over all of the session's shuffle partitions: adaptive execution would put them together by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def propagated(cues: DataFrame, global_pairs: DataFrame, job_pairs: DataFrame, least: int = 2) -> DataFrame:
     """id, before, text of cues that aren't reviewed: global pairs seen `least` times go everywhere, a job's own pairs to its cues after the first one they were seen in; longest first."""
     rank = F.struct(-F.length("wrong"), "wrong", "right")
@@ -130,12 +135,12 @@ def repaired(cues: DataFrame, unsafe: DataFrame) -> DataFrame:
     tried = words.join(both.withColumn("_word", _first_word(F.col("from"))), "_word").join(rows, "id").filter(F.contains("text_stt", "to"))
     changed = tried.withColumn("text", korean.replaced_whole(F.col("text_llm"), F.col("from"), F.col("to"))).filter("text <> text_llm")
     gathered = changed.groupBy("id", "text_stt", "text_llm").agg(F.collect_set("text").alias("_texts"))
-    return gathered.select("id", F.col("text_llm").alias("before"), alignment.closest("text_stt", "text_llm", "_texts").alias("text")).filter("text IS NOT NULL")
+    return _spread(gathered).select("id", F.col("text_llm").alias("before"), alignment.closest("text_stt", "text_llm", "_texts").alias("text")).filter("text IS NOT NULL")
 
 
 def absorbed(cues: DataFrame, global_pairs: DataFrame, job_pairs: DataFrame, unsafe: DataFrame) -> DataFrame:
     """id, before, text, repaired of the unreviewed cues that learning changes: unsafe rewrites are undone first, then the pairs go over what that left."""
-    fixed = repaired(cues, unsafe).select("id", F.col("text").alias("_fixed"))
+    fixed = storage.written(repaired(cues, unsafe).select("id", F.col("text").alias("_fixed")), "repaired")
     after = cues.join(fixed, "id", "left").withColumn("text_llm", F.coalesce("_fixed", "text_llm"))
     put = propagated(after.select(cues.columns), global_pairs, job_pairs).select("id", F.col("text").alias("_put"))
     rows = after.filter("NOT reviewed").join(put, "id", "left").join(cues.select("id", T.first_filled("text_final", "text_llm", "text_stt").alias("before")), "id")

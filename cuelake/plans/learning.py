@@ -9,6 +9,7 @@ from cuelake.functions import text as T
 from cuelake.operators import learning, quality
 from cuelake.plans import fixtures as X
 from cuelake.plans.registry import query
+from cuelake.sources import storage
 
 STOP = ("with", "that", "this", "have")
 TOKENS = "(SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents)"
@@ -205,8 +206,8 @@ def pairs(spark, sf_dir):
     return learning.extracted_pairs(X.cues(spark, sf_dir))
 
 
-def pair_table(spark, sf_dir):
-    return learning.pair_counts(pairs(spark, sf_dir).select("wrong", "right", F.col("job_id").alias("job"), (F.col("job_id") * 1000 + F.col("idx")).alias("seq")))
+def pair_table(spark, sf_dir, found=None):
+    return learning.pair_counts((found or pairs(spark, sf_dir)).select("wrong", "right", F.col("job_id").alias("job"), (F.col("job_id") * 1000 + F.col("idx")).alias("seq")))
 
 
 @query("l9_l10_pre_pass")
@@ -216,7 +217,8 @@ def l9_l10_pre_pass(spark, sf_dir):
 
 @query("l8_propagated")
 def l8_propagated(spark, sf_dir):
-    return learning.propagated(X.cues(spark, sf_dir), pair_table(spark, sf_dir), learning.first_seen(pairs(spark, sf_dir)))
+    found = storage.written(pairs(spark, sf_dir), "found")
+    return learning.propagated(X.cues(spark, sf_dir), pair_table(spark, sf_dir, found), learning.first_seen(found))
 
 
 def unsafe_pairs(spark, sf_dir):
@@ -233,7 +235,8 @@ def l7_repaired(spark, sf_dir):
 @query("l6_absorb_phases")
 def l6_absorb_phases(spark, sf_dir):
     """Extract pairs, repair unsafe rewrites, then propagate to what isn't reviewed."""
-    return learning.absorbed(X.cues(spark, sf_dir), pair_table(spark, sf_dir), learning.first_seen(pairs(spark, sf_dir)), unsafe_pairs(spark, sf_dir))
+    found = storage.written(pairs(spark, sf_dir), "found")
+    return learning.absorbed(X.cues(spark, sf_dir), pair_table(spark, sf_dir, found), learning.first_seen(found), unsafe_pairs(spark, sf_dir))
 
 
 @query("l15_annotations", f"SELECT DISTINCT job_id, gloss, reading, hanja FROM {X.CUES_SQL}, (VALUES ('얼굴', '안', '顔'), ('', '해탈', '解脫')) v(gloss, reading, hanja) WHERE reviewed AND idx % 2 = 0")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import duckdb
 
+from cuelake.functions import alignment
+from cuelake.operators import learning
 from cuelake.plans import registry
 from cuelake.sources import formats
 
@@ -22,3 +25,15 @@ def test_each_transcript_counts_its_documents(spark, tmp_path):
     paragraphs, documents = formats.parse_transcript(files)
     assert Counter(map(tuple, documents.collect())) == Counter([("a", 3), ("b", 1), ("c", 1), ("c", 1)])
     assert [tuple(r) for r in paragraphs.collect()] == [("a", "w")]
+
+
+def test_candidates_are_aligned_once_by_the_session_s_parts(spark, monkeypatch):
+    cues = spark.createDataFrame([(i, False, "", f"the book {i} of heat", f"teh book {i} of heat") for i in range(9)], "id long, reviewed boolean, text_final string, text_stt string, text_llm string")
+    fixed = learning.repaired(cues, spark.createDataFrame([("the", "teh")], "wrong string, right string"))
+    assert sorted(r.text for r in fixed.collect()) == [f"the book {i} of heat" for i in range(9)]
+    plan = fixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ArrowEvalPython [") == 1 and "REPARTITION_BY_NUM" in plan
+    monkeypatch.setattr(alignment, "SequenceMatcher", None)  # its tables of single characters take most of the time
+    r = random.Random(7)
+    heard = "".join(r.choices("etaoin shr", k=600))
+    assert alignment.closest_text(heard, heard.replace("t", "th"), [heard.replace("t", "th", 3), heard[:300]]) == heard.replace("t", "th", 3)
