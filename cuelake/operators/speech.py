@@ -224,15 +224,9 @@ def tightened(cues: DataFrame, words: DataFrame, least_gap: int = 500, least_sha
     return fit.withColumn("reason", reason).select("id", at("_first", "start_ms"), at("_last", "end_ms"), "reason")
 
 
-def _placed(tokens: DataFrame, order: list[str], word: str = "word") -> DataFrame:
-    """Tokens with letters or digits, `w` without all else, and their place `at` in the job."""
-    plain = tokens.withColumn("w", F.regexp_replace(word, "[^가-힣0-9a-zA-Z]", "")).filter("w <> ''")
-    return plain.withColumn("at", F.row_number().over(Window.partitionBy("job_id").orderBy(*order)) - 1)
-
-
-def _with_chars(line: DataFrame) -> DataFrame:
-    """line with _c, the characters of the job before each word."""
-    return line.withColumn("_c", F.sum(F.length("w")).over(Window.partitionBy("job_id").orderBy("at")) - F.length("w"))
+def _plain(word: Column) -> Column:
+    """A word's letters and digits alone."""
+    return F.regexp_replace(word, "[^가-힣0-9a-zA-Z]", "")
 
 
 def _grams(line: DataFrame, as_name: str) -> DataFrame:
@@ -275,14 +269,28 @@ def increasing(met: DataFrame) -> DataFrame:
     return bounded.filter(clean).select("job_id", "s", "h").unionByName(chosen)
 
 
+#: Rows of the line that holds both texts of a job.
+HEARD, SCRIPT = 0, 1
+
+
 def _beside(line: DataFrame, anchor: str) -> DataFrame:
-    """line (job_id, at, and the anchor, a struct (s, h), where the word is one) with a and b: the anchors at or before each word and at or behind it. Two running windows, one in each direction."""
-    w = lambda by: Window.partitionBy("job_id").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    """line (job_id, _kind, at, and the anchor, a struct (s, h), where the word is one) with a and b: the anchors at or before each word and at or behind it. Two running windows, one in each direction."""
+    w = lambda by: Window.partitionBy("job_id", "_kind").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     return line.withColumn("a", F.last(anchor, True).over(w(F.asc("at")))).withColumn("b", F.last(anchor, True).over(w(F.desc("at"))))
 
 
+def _said(line: DataFrame, place: str, said: Column, name: str) -> DataFrame:
+    """line with what `said` gives for the word heard at the script's place; null where none was."""
+    heard = F.col("_kind") == HEARD
+    at = F.when(heard, F.col("at")).otherwise(F.col(place))
+    return line.withColumn("_at", at).withColumn(name, F.max(F.when(heard, said)).over(Window.partitionBy("job_id", "_at"))).drop("_at")
+
+
 def word_places(script: DataFrame, heard: DataFrame, astray: int = 20) -> DataFrame:
-    """script (job_id, at, w, ...) with h, the place in heard (job_id, at, w) of each word; jobs without an anchor give no row.
+    """script (job_id, at, w, ...) with h, the place in heard (job_id, at, w) of each word, and same: whether that is the same word.
+
+    The words of both texts lie in one line, dealt by job once; what belongs together meets in windows, not in joins, so neither
+    text is shuffled again. Windows spill, so no task holds a job.
 
     1. Words and runs of three that stand once in either text are anchors, found by an equi-join. Those more than `astray` words
        off the median of their neighbours go; of the rest, a longest chain in which both places grow stays.
@@ -295,49 +303,57 @@ def word_places(script: DataFrame, heard: DataFrame, astray: int = 20) -> DataFr
     w = Window.partitionBy("job_id").orderBy("s")
     off = F.col("h") - F.col("s")
     near = met.withColumn("_m", F.percentile_approx(off, 0.5).over(w.rowsBetween(-4, 4))).filter(F.abs(off - F.col("_m")) <= astray)
-    anchors = increasing(near).select("job_id", F.col("s").alias("at"), F.struct("s", "h").alias("anchor"))
-    script_chars, heard_chars = _with_chars(script), _with_chars(heard)
-    line = _beside(script_chars.join(anchors, ["job_id", "at"], "left"), "anchor").drop("anchor")
+    anchors = increasing(near).select("job_id", F.col("s").alias("at"), F.struct("s", "h").alias("anchor"), F.lit(SCRIPT).alias("_kind"))
+    words = script.withColumn("_kind", F.lit(SCRIPT)).unionByName(heard.select("job_id", "at", "w", F.lit(HEARD).alias("_kind")), allowMissingColumns=True)
+    # Windows widen the rows, so small parts aren't put together: their sorts would spill.
+    parts = int(script.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = words.unionByName(anchors, allowMissingColumns=True).repartition(parts, "job_id")
+    text = Window.partitionBy("job_id", "_kind")
+    line = line.withColumn("anchor", F.max("anchor").over(Window.partitionBy("job_id", "_kind", "at"))).filter("w IS NOT NULL")
+    # _c: the characters of the text before each word.
+    line = line.withColumn("_c", F.sum(F.length("w")).over(text.orderBy("at")) - F.length("w"))
+    line = _beside(line, "anchor").drop("anchor")
     line = line.withColumn("_l", F.col("a.h") + F.col("at") - F.col("a.s")).withColumn("_r", F.col("b.h") + F.col("at") - F.col("b.s"))
     for side in ("_l", "_r"):
-        line = line.join(heard_chars.select("job_id", F.col("at").alias(side), F.col("w").alias(f"{side}w"), F.col("_c").alias(f"{side}c")), ["job_id", side], "left")
+        line = _said(line, side, F.struct("w", "_c"), "_s").withColumn(f"{side}w", F.col("_s.w")).withColumn(f"{side}c", F.col("_s._c")).drop("_s")
     line = line.withColumn("_lok", F.coalesce((F.col("w") == F.col("_lw")) & F.coalesce(F.col("_l") < F.col("b.h"), F.lit(True)) | (F.col("at") == F.col("b.s")), F.lit(False)))
     line = line.withColumn("_rok", F.coalesce((F.col("w") == F.col("_rw")) & F.coalesce(F.col("_r") > F.col("a.h"), F.lit(True)) | (F.col("at") == F.col("a.s")), F.lit(False)))
-    gap = Window.partitionBy("job_id", F.col("a.s"))
+    gap = Window.partitionBy("job_id", "_kind", F.col("a.s"))
     line = line.withColumn("_lrun", F.col("a").isNotNull() & (F.sum(F.when(F.col("_lok"), 0).otherwise(1)).over(gap.orderBy("at")) == 0))
-    line = line.withColumn("_rrun", F.col("b").isNotNull() & (F.sum(F.when(F.col("_rok"), 0).otherwise(1)).over(Window.partitionBy("job_id", F.col("b.s")).orderBy(F.desc("at"))) == 0))
-    reached = F.max(F.when(F.col("_lrun"), F.col("at"))).over(gap)
-    line = line.withColumn("_upto", reached)
+    line = line.withColumn("_upto", F.max(F.when(F.col("_lrun"), F.col("at"))).over(gap))
+    line = line.withColumn("_rrun", F.col("b").isNotNull() & (F.sum(F.when(F.col("_rok"), 0).otherwise(1)).over(Window.partitionBy("job_id", "_kind", F.col("b.s")).orderBy(F.desc("at"))) == 0))
     apart = F.col("a").isNull() | ((F.col("at") > F.col("_upto")) & (F.col("_r") > F.col("a.h") + F.col("_upto") - F.col("a.s")))
     # Two expressions, as a struct from one of the sides alone keeps its own fields.
     place = F.when(F.col("_lrun"), F.col("_l")).when(F.col("_rrun") & apart, F.col("_r"))
     # Equal words, so as many characters on either side.
     behind = F.when(F.col("_lrun"), F.col("_lc")).when(F.col("_rrun") & apart, F.col("_rc"))
     line = line.withColumn("_more", F.when(place.isNotNull(), F.struct(F.col("at").alias("s"), place.alias("h"), F.col("_c").alias("sc"), behind.alias("hc"), F.length("w").alias("n"))))
-    line = _beside(line.select(*script.columns, "_c", "_more"), "_more").drop("_more")
+    line = _beside(line.select(*script.columns, "_kind", "_c", "_more"), "_more").drop("_more")
     a_end, from_ = F.col("a.hc") + F.col("a.n"), F.col("_c") - F.col("a.sc") - F.col("a.n")
     shown, spoken = F.col("b.sc") - F.col("a.sc") - F.col("a.n"), F.col("b.hc") - F.col("a.hc") - F.col("a.n")
     target = F.coalesce(a_end + F.floor(from_ * spoken / F.greatest(shown, F.lit(1))), a_end + from_, F.col("b.hc") - (F.col("b.sc") - F.col("_c")))
     # An anchor keeps its place, and where nothing was heard between two of them, words go to the nearer one.
     nearer = F.col("a.h") + F.round((F.col("at") - F.col("a.s")) * (F.col("b.h") - F.col("a.h")) / F.greatest(F.col("b.s") - F.col("a.s"), F.lit(1))).cast("int")
-    line = line.withColumn("h", F.when(F.col("b.h") - F.col("a.h") <= 1, nearer)).withColumn("_target", F.when(F.col("h").isNull(), F.greatest(target, F.lit(0))))
-    known = line.filter("h IS NOT NULL").select(*script.columns, "h")
-    # Both texts in one line by characters: a word's place is that of the last word heard that begins at or before its own place.
-    asked = line.filter("h IS NULL AND _target IS NOT NULL").select("job_id", F.col("_target").alias("_c"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_h"), F.struct(*(c for c in script.columns if c != "job_id")).alias("_row"))
-    said = heard_chars.join(asked.select("job_id").distinct(), "job_id", "left_semi").select("job_id", "_c", F.lit(0).alias("_kind"), F.col("at").cast("int").alias("_h"))
-    both = said.unionByName(asked, allowMissingColumns=True)
-    last = F.last("_h", True).over(Window.partitionBy("job_id").orderBy("_c", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("h", last).filter("_kind = 1").select("job_id", "_row.*", "h").select(*script.columns, "h")
-    line = known.unionByName(found)
-    sizes = heard.groupBy("job_id").agg(F.count("*").alias("_n"))
-    placed = line.filter("h IS NOT NULL").join(sizes, "job_id")
-    return placed.withColumn("h", F.greatest(F.lit(0), F.least("h", F.col("_n") - 1)).cast("int")).select(*script.columns, "h")
+    line = line.withColumn("h", F.when(F.col("b.h") - F.col("a.h") <= 1, nearer)).withColumn("_target", F.when((F.col("_kind") == SCRIPT) & F.col("h").isNull(), F.greatest(target, F.lit(0))))
+    # By characters, a word's place is that of the last word heard that begins at or before its own place.
+    by_char = Window.partitionBy("job_id").orderBy(F.when(F.col("_kind") == HEARD, F.col("_c")).otherwise(F.col("_target")), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("_kind") == HEARD, F.col("at")), True).over(by_char)
+    line = line.withColumn("_found", found).withColumn("h", F.coalesce("h", F.when(F.col("_target").isNotNull(), F.col("_found"))).cast("int"))
+    line = _said(line, "h", F.col("w"), "_heard").withColumn("same", F.col("w") == F.col("_heard"))
+    return line.filter((F.col("_kind") == SCRIPT) & F.col("h").isNotNull()).select(*script.columns, "h", "same")
 
 
 def script_and_heard(sentences: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The words of sentences (job_id, no, text) and those heard (job_id, start_ms, end_ms, word) with their places in the job."""
-    tokens = sentences.select("job_id", "no", F.posexplode(F.split("text", r"\s+")).alias("i", "word"))
-    return _placed(tokens, ["no", "i"]), _placed(words, ["start_ms", "end_ms", "word"])
+    """The words w of sentences (job_id, no, text) and of those heard (job_id, start_ms, end_ms, word), letters and digits alone, with their places `at` in the job.
+
+    A script's places follow from the number of words in each sentence, so its words aren't shuffled.
+    """
+    kept = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), _plain), lambda w: w != "")
+    before = F.sum(F.size("_w")).over(Window.partitionBy("job_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1))
+    counted = sentences.select("job_id", "no", kept.alias("_w")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    script = counted.select("job_id", "no", "_before", F.posexplode("_w").alias("_i", "w")).select("job_id", "no", (F.col("_before") + F.col("_i")).cast("int").alias("at"), "w")
+    at = F.row_number().over(Window.partitionBy("job_id").orderBy("start_ms", "end_ms", "word")) - 1
+    return script, words.withColumn("w", _plain(F.col("word"))).filter("w <> ''").withColumn("at", at).drop("word")
 
 
 def aligned_sentences(sentences: DataFrame, words: DataFrame, least_share: float = 0.7, astray: int = 20) -> DataFrame:
@@ -347,20 +363,22 @@ def aligned_sentences(sentences: DataFrame, words: DataFrame, least_share: float
     all, counted on both sides.
     """
     script, heard = (storage.written(x, "words") for x in script_and_heard(sentences, words))
-    placed = storage.written(word_places(script, heard, astray).select("job_id", "no", "w", "h"), "places")
-    sizes = heard.groupBy("job_id").agg(F.sum(F.length("w")).alias("heard_chars"))
-    spoken = heard.select("job_id", F.col("at").alias("h"), F.col("w").alias("_heard"), "start_ms", "end_ms")
-    both = placed.join(spoken, ["job_id", "h"]).join(sizes, "job_id")
-    same = F.sum(F.when(F.col("w") == F.col("_heard"), F.length("w")).otherwise(0))
-    fit = both.groupBy("job_id").agg((2 * same / (F.sum(F.length("w")) + F.max("heard_chars"))).alias("share")).filter(F.col("share") >= least_share).select("job_id")
-    found = both.join(fit, "job_id").groupBy("job_id", "no").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    size = F.length("w")
+    placed = word_places(script, heard, astray).groupBy("job_id", "no").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum(F.when(F.col("same"), size).otherwise(0)).alias("_same"), F.sum(size).alias("_chars"))
+    placed = storage.written(placed, "places")
+    sizes = heard.groupBy("job_id").agg(F.sum(size).alias("_heard_chars"))
+    share = 2 * F.sum("_same") / (F.sum("_chars") + F.max("_heard_chars"))
+    fit = placed.join(sizes, "job_id").groupBy("job_id").agg(share.alias("share")).filter(F.col("share") >= least_share).select("job_id")
     # A sentence begins behind the one before it, if it has a word left there.
     in_order = Window.partitionBy("job_id").orderBy("no")
-    begun = found.withColumn("lo", F.least("hi", F.greatest("lo", F.coalesce(F.max("hi").over(in_order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(0)))))
-    time = lambda c, name: spoken.select("job_id", F.col("h").alias(c), F.col(name))
-    timed = begun.join(time("lo", "start_ms"), ["job_id", "lo"]).join(time("hi", "end_ms"), ["job_id", "hi"])
+    begun = placed.join(fit, "job_id").withColumn("lo", F.least("hi", F.greatest("lo", F.coalesce(F.max("hi").over(in_order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(0)))))
+    # Both ends of a sentence ask at once, so the words heard are dealt out once.
+    ends = begun.select("job_id", "no", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(True).alias("_first")), F.struct(F.col("hi").alias("at"), F.lit(False).alias("_first")))).alias("_e")).select("job_id", "no", "_e.*")
+    met = ends.join(heard.select("job_id", "at", "start_ms", "end_ms"), ["job_id", "at"])
+    timed = met.groupBy("job_id", "no").agg(F.max(F.when(F.col("_first"), F.col("start_ms"))).alias("start_ms"), F.max(F.when(~F.col("_first"), F.col("end_ms"))).alias("end_ms"))
     back = (F.col("end_ms") <= F.col("start_ms")) | F.coalesce(F.col("start_ms") < F.lag("end_ms").over(in_order), F.lit(False))
-    wrong = timed.withColumn("_back", back).filter("_back").select("job_id").distinct()
+    timed = storage.written(timed.withColumn("_back", back), "times")
+    wrong = timed.filter("_back").select("job_id").distinct()
     return timed.join(wrong, "job_id", "left_anti").join(sentences, ["job_id", "no"]).select("job_id", "no", T.stripped(F.col("text")).alias("text"), "start_ms", "end_ms")
 
 

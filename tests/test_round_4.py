@@ -8,9 +8,9 @@ from collections import Counter
 import duckdb
 
 from cuelake.functions import alignment
-from cuelake.operators import learning
+from cuelake.operators import learning, speech
 from cuelake.plans import registry
-from cuelake.sources import formats
+from cuelake.sources import formats, storage
 
 
 def test_each_transcript_counts_its_documents(spark, tmp_path):
@@ -37,3 +37,15 @@ def test_candidates_are_aligned_once_by_the_session_s_parts(spark, monkeypatch):
     r = random.Random(7)
     heard = "".join(r.choices("etaoin shr", k=600))
     assert alignment.closest_text(heard, heard.replace("t", "th"), [heard.replace("t", "th", 3), heard[:300]]) == heard.replace("t", "th", 3)
+
+
+def test_words_are_dealt_once_behind_their_anchors(spark):
+    words = [f"w{i % 37}{i % 11}" for i in range(400)]
+    script = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "job_id long, at int, w string")
+    heard = spark.createDataFrame([(1, i, w) for i, w in enumerate(words[:100] + ["x", "y"] + words[101:])], "job_id long, at int, w string")
+    placed = speech.word_places(script, heard)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    # Joins are those by few rows a part, in the search for anchors; all words go through one exchange.
+    assert plan.count("RepartitionByExpression [job_id") == 1 and sum("Join" in x for x in plan.split("\n")) <= 1
+    got = {x.at: (x.h, x.same) for x in placed.collect()}
+    assert got[99] == (99, True) and got[101] == (102, True) and not got[100][1] and len(got) == 400
