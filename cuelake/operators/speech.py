@@ -390,6 +390,7 @@ def rebuilt_cells(cues: DataFrame, aligned: DataFrame) -> DataFrame:
     """
     key = lambda c: F.regexp_replace(c, "[^가-힣0-9a-zA-Z]", "")
     script = lambda df, order, text: df.groupBy("job_id").agg(F.sha2(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(order, key(F.col(text)).alias("k")))), lambda x: x["k"])), 256).alias("_script"))
+    aligned = storage.written(aligned, "aligned")  # read three times below
     same = script(cues, "idx", "text_llm").join(script(aligned, "no", "text"), ["job_id", "_script"]).select("job_id")
     new = aligned.join(same, "job_id", "left_anti")
     columns = ["job_id", "idx", "start_ms", "end_ms", "text_stt", "text_llm", "text_final", "reviewed"]

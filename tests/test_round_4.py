@@ -49,3 +49,12 @@ def test_words_are_dealt_once_behind_their_anchors(spark):
     assert plan.count("RepartitionByExpression [job_id") == 1 and sum("Join" in x for x in plan.split("\n")) <= 1
     got = {x.at: (x.h, x.same) for x in placed.collect()}
     assert got[99] == (99, True) and got[101] == (102, True) and not got[100][1] and len(got) == 400
+
+
+def test_aligned_sentences_are_made_once(spark, monkeypatch):
+    written, names = storage.written, []
+    monkeypatch.setattr(storage, "written", lambda df, name: names.append(name) or written(df, name))
+    cues = spark.createDataFrame([(1, 0, 0, 9, "a", "a", "", False), (2, 0, 0, 9, "b", "b", "b", True)], "job_id long, idx long, start_ms long, end_ms long, text_stt string, text_llm string, text_final string, reviewed boolean")
+    aligned = spark.createDataFrame([(1, 0, "a b", 5, 8)], "job_id long, no long, text string, start_ms long, end_ms long")
+    assert sorted((x.job_id, x.idx, x.text_llm, x.start_ms) for x in speech.rebuilt_cells(cues, aligned).collect()) == [(1, 0, "a b", 5), (2, 0, "b", 0)]
+    assert names == ["aligned"]
