@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.functions import alignment, korean
+from cuelake.functions import alignment, korean, phrases
 from cuelake.functions import text as T
 from cuelake.operators import intervals, quality
 from cuelake.operators.progress import numbered
@@ -56,27 +56,22 @@ def pre_passed(cues: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
 
 
 def _first_word(c: Column) -> Column:
-    return F.get(F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != ""), F.lit(0))
+    return F.get(_words(c), F.lit(0))
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != "")
 
 
 def _keys(c: Column) -> Column:
     """Hashes of the runs of one to HEAD words in a text: where a phrase stands whole, the hash of its first HEAD words is one of them. Words that are missing at the end don't count in a hash."""
-    words = F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != "")
-    return T.let(words, lambda ws: F.flatten(F.transform(ws, lambda _, i: F.array(*(F.xxhash64(*(F.get(ws, i + k) for k in range(n))) for n in range(1, HEAD + 1))))))
+    of = lambda ws, i, n: F.xxhash64(F.concat_ws(" ", *(F.get(ws, i + k) for k in range(n))))
+    return T.let(_words(c), lambda ws: F.flatten(F.transform(ws, lambda _, i: F.array(*(of(ws, i, n) for n in range(1, HEAD + 1))))))
 
 
 def _head(c: Column) -> Column:
     """The hash of the first HEAD words of a phrase, null without words."""
-    words = F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != "")
-    return T.let(words, lambda ws: F.when(F.size(ws) > 0, F.xxhash64(*(F.get(ws, F.lit(k)) for k in range(HEAD)))))
-
-
-def _run(text: Column, pairs: Column) -> Column:
-    """text after the pairs in order, and all that it was on the way: a struct (text, trace)."""
-    def step(acc: Column, p: Column) -> Column:
-        return T.let(korean.replaced_whole(acc["text"], p["wrong"], p["right"]), lambda new: F.struct(new.alias("text"), F.when(new == acc["text"], acc["trace"]).otherwise(F.concat(acc["trace"], F.array(new))).alias("trace")))
-
-    return F.aggregate(pairs, F.struct(text.alias("text"), F.array().cast("array<string>").alias("trace")), step)
+    return T.let(_words(c), lambda ws: F.when(F.size(ws) > 0, F.xxhash64(F.array_join(F.slice(ws, 1, HEAD), " "))))
 
 
 def _applied(cues: DataFrame, ranked: DataFrame, own: DataFrame | None = None) -> DataFrame:
@@ -90,21 +85,24 @@ def _applied(cues: DataFrame, ranked: DataFrame, own: DataFrame | None = None) -
     pairs run again from the start, with all of theirs. There are as many rounds as the longest chain of replacements that a
     text goes through, and each costs what the last one has changed.
     """
-    keyed = [(storage.written(rows.withColumn("_key", _head(F.col("wrong"))).filter("_key IS NOT NULL"), "pairs"), by) for rows, by in ((ranked, []), (own, ["job_id"])) if rows is not None]
-    pair = F.struct("_rank", "wrong", "right")
-    kind = f"array<struct<_rank:{ranked.schema['_rank'].dataType.simpleString()},wrong:string,right:string>>"
-    start = cues.select("id", "job_id", "idx", F.col("text").alias("before"), "text", F.array().cast(kind).alias("_pairs"), F.lit(True).alias("_on"), F.array_distinct(_keys(F.col("text"))).alias("_new"))
-    active, done = storage.written(start, "cues"), []
+    keyed = [(storage.written(rows.withColumn("_key", _head(F.col("wrong"))).filter("_key IS NOT NULL AND right IS NOT NULL"), "pairs"), by) for rows, by in ((ranked, []), (own, ["job_id"])) if rows is not None]
+    # Pairs are told apart by a hash, as arrays of structs are compared element by element.
+    pair = F.struct("_rank", "wrong", "right", F.xxhash64("_rank", "wrong", "right").alias("_no"))
+    kind = f"array<struct<_rank:{ranked.schema['_rank'].dataType.simpleString()},wrong:string,right:string,_no:bigint>>"
+    numbers = lambda of: F.transform(of, lambda p: p["_no"])
+    start = storage.written(cues.select("id", "job_id", "idx", F.col("text").alias("before"), "text", F.array().cast(kind).alias("_pairs")), "cues")
+    # The runs of the texts at first are many, and made as they are looked up.
+    active, new, done = start, F.array_distinct(_keys(F.col("text"))), []
     while True:
-        asked = active.select("id", "job_id", "idx", F.explode("_new").alias("_key"))
+        asked = active.select("id", "job_id", "idx", F.explode(new).alias("_key"))
         found = [asked.join(pairs, ["_key", *by]).filter("idx > _after" if by else "true").select("id", pair.alias("_p")) for pairs, by in keyed]
         met = reduce(DataFrame.union, found).groupBy("id").agg(F.collect_set("_p").cast(kind).alias("_met"))
-        grown = active.join(met, "id", "left").withColumn("_on", F.coalesce(F.size(F.array_except("_met", "_pairs")) > 0, F.lit(False)))
-        ran = grown.withColumn("_pairs", F.when(F.col("_on"), F.array_sort(F.array_union("_pairs", "_met")))).withColumn("_ran", F.when(F.col("_on"), _run(F.col("before"), F.col("_pairs"))))
-        brought = F.array_except(F.flatten(F.transform("_ran.trace", _keys)), _keys(F.col("before")))
-        after = storage.written(ran.select("id", "job_id", "idx", "before", F.coalesce("_ran.text", "text").alias("text"), "_pairs", "_on", F.when(F.col("_on"), brought).alias("_new")), "cues")
-        done.append(after.filter("NOT _on OR size(_new) = 0").select("id", "before", "text"))
-        active = after.filter("_on AND size(_new) > 0")
+        grown = active.join(met, "id", "left").withColumn("_more", F.array_except(numbers("_met"), numbers("_pairs"))).withColumn("_on", F.coalesce(F.size("_more") > 0, F.lit(False)))
+        paired = grown.withColumn("_pairs", F.when(F.col("_on"), F.array_sort(F.concat("_pairs", F.filter("_met", lambda p: F.array_contains(F.col("_more"), p["_no"]))))))
+        ran = paired.withColumn("_ran", phrases.in_turn("before", F.transform("_pairs", lambda p: p["wrong"]), F.transform("_pairs", lambda p: p["right"]), HEAD))
+        after = storage.written(ran.select("id", "job_id", "idx", "before", F.when(F.col("_on"), F.col("_ran.text")).otherwise(F.col("text")).alias("text"), "_pairs", F.when(F.col("_on"), F.col("_ran.brought")).alias("_new")), "cues")
+        done.append(after.filter("_new IS NULL OR size(_new) = 0").select("id", "before", "text"))
+        active, new = after.filter("size(_new) > 0"), F.transform("_new", lambda run: F.xxhash64(run))
         if active.isEmpty():
             return reduce(DataFrame.union, done)
 

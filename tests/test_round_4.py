@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
-from cuelake.functions import alignment
+from cuelake.functions import alignment, phrases
 from cuelake.operators import learning, speech
 from cuelake.plans import registry
 from cuelake.sources import formats, storage
@@ -58,3 +60,36 @@ def test_aligned_sentences_are_made_once(spark, monkeypatch):
     aligned = spark.createDataFrame([(1, 0, "a b", 5, 8)], "job_id long, no long, text string, start_ms long, end_ms long")
     assert sorted((x.job_id, x.idx, x.text_llm, x.start_ms) for x in speech.rebuilt_cells(cues, aligned).collect()) == [(1, 0, "a b", 5), (2, 0, "b", 0)]
     assert names == ["aligned"]
+
+
+def test_replacements_tell_all_new_runs():
+    r = random.Random(8)
+    for _ in range(3000):
+        word = lambda: r.choice(["a", "b", "c", "가", "é", "ab", "x" * 30])
+        text = "".join(word() + r.choice([" ", " ", ", ", "-", ""]) for _ in range(r.randint(0, 60)))
+        phrase = lambda n: r.choice([" ", ", "]).join(word() for _ in range(r.randint(1, n)))
+        pairs = [(phrase(2), r.choice([phrase(3), "-", ""])) for _ in range(5)]
+        want, now = set(), text
+        for wrong, right in pairs:
+            now = re.sub(rf"(?<!\w){re.escape(wrong)}(?!\w)", lambda _, put=right: put, now)
+            want |= phrases.runs(phrases.words(now), 3)
+        got, brought = phrases.replaced_in_turn(text, pairs, 3)
+        assert got == now and brought == want - phrases.runs(phrases.words(text), 3)
+
+
+def test_words_are_those_of_the_keys(spark):
+    texts = ["a b_c, d-e 가나 é", "éx ²x ½ ⅷ", "ⓐ 🅰b ‍z‌", "𝐀b 1٣ ‿a", "", "..."]
+    rows = spark.createDataFrame([(t, sorted(phrases.runs(phrases.words(t), learning.HEAD))) for t in texts], "t string, runs array<string>")
+    same = F.array_sort(F.array_distinct(learning._keys(F.col("t")))) == F.array_sort(F.transform("runs", lambda x: F.xxhash64(x)))
+    assert all(x.same for x in rows.select(same.alias("same")).collect())
+
+
+def test_the_pre_pass_makes_keys_of_a_text_once(spark, monkeypatch):
+    """The texts that a cue goes through on the way aren't cut into words again: a table holds only what the replacements brought."""
+    written, tables = storage.written, []
+    monkeypatch.setattr(storage, "written", lambda df, name: tables.append(written(df, name)) or tables[-1])
+    cues = spark.createDataFrame([(i, 1, i, " ".join(f"w{i}x{k}" for k in range(80)) + " teh cat") for i in range(4)], "id long, job_id long, idx long, text_stt string")
+    pairs = spark.createDataFrame([("teh", "the", 9), ("the cat", "a dog", 5)], "wrong string, right string, count long")
+    assert all(x.text.endswith(" a dog") for x in learning.pre_passed(cues, pairs).collect())
+    assert "_new" not in tables[1].columns
+    assert {n for (n,) in tables[2].selectExpr("size(_new)").collect()} == {5}  # the, the cat, x79 the, x79 the cat, x78 x79 the
